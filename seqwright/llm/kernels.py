@@ -145,3 +145,29 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np
 def rebatch(schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
     """A record batch from Python lists or numpy arrays."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+_TABULATION = _RNG.integers(0, 1 << 32, (8, 256), dtype=np.uint32)
+
+
+def gram_codes(data: np.ndarray, offsets: np.ndarray, sizes: range, bits: int, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each gram length: (codes of ``bits`` bits, start positions) of the byte grams inside the texts.
+
+    Tabulation hashes: longer grams extend the sums of shorter ones.
+    """
+    folded = _ASCII_LOWER[data] if lower else data
+    total = np.zeros(len(data), np.uint32)
+    for n in range(1, sizes.stop):
+        m = len(data) - n + 1
+        if m <= 0:
+            return
+        total = total[:m] + _TABULATION[n - 1][folded[n - 1 :]]
+        if n in sizes:
+            inside = np.ones(m, bool)
+            for back in range(1, n):  # a text's last n-1 positions start no gram
+                cut = offsets[1:] - back
+                cut = cut[(cut >= offsets[:-1]) & (cut < m)]
+                inside[cut] = False
+            codes = (total * np.uint32(0x9E3779B1 + 2 * n)) >> np.uint32(32 - bits)
+            at = np.flatnonzero(inside)
+            yield codes[at], at
