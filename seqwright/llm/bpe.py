@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
-Whole pre-tokens that are vocabulary entries are resolved by a minimal perfect
+Texts are cut into pre-tokens by array operations that agree with the public
+tokenizers' pattern. Whole pre-tokens that are vocabulary entries are resolved by a minimal perfect
 hash over the vocabulary (hash-and-displace: a bucket's displacement sends its
 keys to free slots of a table of exactly as many slots as keys). Pre-tokens it
 does not hold are merged with a heap of adjacent pairs over a doubly linked
@@ -12,12 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from seqwright.llm import kernels
 from seqwright.llm.common import chosen, table
 
 #: Entries that a worker remembers of pre-tokens it has merged; it forgets all beyond, which changes no result.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 class PerfectHash:
@@ -141,109 +142,141 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder for one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.table = PerfectHash(self.ranks)
-        self.split = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
+        self.forget()
         self.vocabulary: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
-        self.packed = [i.to_bytes(4, "little") for i in range(len(self.vocabulary))]
-
-    def learn(self, pretokens: set[str]) -> None:
-        """Put the ids of new pre-tokens into the memo: the perfect hash first, the heap for the rest."""
-        if len(self.memo) + len(pretokens) > MEMO:
-            self.memo.clear()
-        texts = list(pretokens)
-        keys = [t.encode() for t in texts]
-        for text, key, rank in zip(texts, keys, self.table.find(keys), strict=True):
-            self.memo[text] = self.packed[rank] if rank >= 0 else b"".join([self.packed[i] for i in merge(key, self.ranks)])
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) if t else [] for t in texts]
-        new = set().union(*parts)
-        new -= self.memo.keys()
-        if new:
-            known = set().union(*parts) if len(self.memo) + len(new) > MEMO else new
-            self.learn(known)
-        get = self.memo.__getitem__
-        for p in parts:
-            yield b"".join(map(get, p))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def forget(self) -> None:
+        """Empty the memo: the ids of pre-tokens met so far, one after the other, and where each pre-token's are."""
+        self.memo: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.known = 0
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+    def learn(self, hashes: list[int], keys: list[bytes]) -> None:
+        """Put the ids of new pre-tokens into the memo: the perfect hash first, the heap for the rest."""
+        ids = [[rank] if rank >= 0 else self.merged(key) for key, rank in zip(keys, self.table.find(keys), strict=True)]
+        used = int(self.ends[self.known - 1]) if self.known else 0
+        after = np.cumsum([len(i) for i in ids]) + used
+        while len(self.flat) < after[-1]:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.ends) < self.known + len(ids):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used : after[-1]] = list(itertools.chain.from_iterable(ids))
+        self.ends[self.known : self.known + len(ids)] = after
+        self.memo.update(zip(hashes, range(self.known, self.known + len(ids)), strict=True))
+        self.known += len(ids)
+
+    def merged(self, key: bytes) -> list[int]:
+        return merge(key, self.ranks)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in ``data`` as uint32, and where each text's begin and end.
+
+        Pre-tokens are told apart by 64-bit hashes, so only those that the memo
+        lacks are looked at one by one.
+        """
+        starts, ends = kernels.pretokens(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        hashes, first, place = np.unique(kernels.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if self.known + len(hashes) > MEMO:
+            self.forget()
+        own = hashes.tolist()
+        at = np.fromiter(map(self.memo.get, own, itertools.repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            raw = data.tobytes()
+            keys = [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            at[new] = np.arange(self.known, self.known + len(new))
+            self.learn(hashes[new].tolist(), keys)
+        stop = self.ends[at]
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        count = (stop - begin)[place]
+        after = np.cumsum(count)
+        ids = self.flat[np.repeat(begin[place] - (after - count), count) + np.arange(after[-1])]
+        return ids, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+
+
+_CODECS: dict[tuple[str, type], Codec] = {}
+
+
+def codec(path: str, kind: type[Codec] = Codec) -> Codec:
+    """One codec a process, rank file and kind."""
+    if (path, kind) not in _CODECS:
+        _CODECS[path, kind] = kind(path)
+    return _CODECS[path, kind]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, kind: type[Codec] = Codec) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, offsets of each row's ids), about CHUNK_BYTES of text at a time."""
+    own = codec(path, kind)
+    for batch in batches:
+        for low, high, data, offsets in kernels.chunks(batch.column("text")):
+            yield batch.slice(low, high - low), *own.encode(data, offsets)
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec a process and rank file."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def rank_file(path: str | None) -> str:
+    return path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, emit) -> Iterator[pa.RecordBatch]:
-    own = codec(path, pattern)
-    for batch in batches:
-        column = batch.column("text")
-        for low, high, _, _ in kernels.chunks(column):
-            part = batch.slice(low, high - low)
-            yield emit(part, own, list(own.encode(part.column("text").to_pylist())))
+def source_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return chosen(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids``, the binary little-endian uint32 token ids of each whole text.
 
     Null and empty texts have no ids. Every row is encoded by itself, so
     repeated rows and null ids stay as they are; further columns are dropped.
     No pre-token is too long: the heap takes n log n steps.
     """
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    path = rank_file(path)
 
-    def emit(part, own, ids):
-        return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, at in encoded(batches, path):
+            raw = ids.astype("<u4", copy=False).tobytes()
+            packed = [raw[4 * i : 4 * j] for i, j in itertools.pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
-    source = chosen(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(lambda b: _batches(b, path, pattern, emit), "doc_id long, ids binary")
+    return source_rows(docs, doc_id, text).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, *, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(ids: DataFrame, *, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` from the rows of :func:`encode`; null ids decode to an empty text."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = rank_file(path)
 
-    def run(batches):
-        own = codec(path, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
         for batch in batches:
-            texts = [own.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            texts = [own.decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, *, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip_digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, the digest of its ids and of the bytes that they decode to."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def emit(part, own, ids):
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column("doc_id").cast(pa.int64()),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-            ],
-            schema=schema,
-        )
-
-    source = chosen(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(lambda b: _batches(b, path, pattern, emit), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    path = rank_file(path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for part, ids, at in encoded(batches, path):
+            raw, spans = ids.astype("<u4", copy=False).tobytes(), list(itertools.pairwise(at.tolist()))
+            digests = [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in spans]
+            decoded = [hashlib.sha256(own.decode(ids[i:j])).hexdigest() for i, j in spans]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=names)
+
+    return source_rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bytes of text that a kernel looks at together; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -171,3 +172,79 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, sizes: range, bits: int, l
             codes = (total * np.uint32(0x9E3779B1 + 2 * n)) >> np.uint32(32 - bits)
             at = np.flatnonzero(inside)
             yield codes[at], at
+
+
+#: Character classes of the pre-token pattern: letters, numbers, other, white space.
+_LETTER, _NUMBER, _OTHER, _BLANK = range(4)
+_CLASSES: list[np.ndarray] = []
+
+
+def character_classes() -> np.ndarray:
+    """The class of each code point, as the pattern's own regular expressions tell it."""
+    if not _CLASSES:
+        everything = "".join(map(chr, range(0x110000)))
+        found = np.full(0x110000, _OTHER, np.uint8)
+        for kind, expression in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+            for m in regex.finditer(expression, everything):
+                found[m.start() : m.end()] = kind
+        _CLASSES.append(found)
+    return _CLASSES[0]
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the class of the character that it is part of."""
+    table = character_classes()
+    found = table[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        n = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> n)
+        for j in range(1, 4):
+            more = n > j
+            point[more] = point[more] << 6 | data[lead[more] + j] & 0x3F
+        kind = table[point]
+        found[lead] = kind
+        for j in range(1, 4):
+            more = n > j
+            found[lead[more] + j] = kind[more]
+    return found
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the matches of the public tokenizers' pattern in each text.
+
+    Runs of a class are the matches, but for three rules. The last character of
+    a run of blanks before something else is a match of its own, or, if it is a
+    space, belongs to what follows. An apostrophe that starts a match takes the
+    s, t, m, d, re, ve or ll after it. Texts are apart.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = byte_classes(data)
+    start = np.zeros(n + 1, bool)
+    start[1:n] = kind[1:] != kind[:-1]
+    blank_end = np.flatnonzero((kind[:-1] == _BLANK) & (kind[1:] != _BLANK)) + 1
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    blank_end = blank_end[~edge[blank_end]]
+    start[offsets] = True
+    last = blank_end - 1
+    for _ in range(3):
+        last = np.where((data[last] & 0xC0) == 0x80, last - 1, last)
+    start[last] = True
+    start[blank_end[data[last] == 0x20]] = False
+    quote = np.flatnonzero((data == 0x27) & start[:n])
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    one, two = padded[quote + 1], padded[quote + 2]
+    one = np.where(edge[np.minimum(quote + 1, n)], 0, one)
+    two = np.where(edge[np.minimum(quote + 2, n)], 0, two)
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for which, width in ((short, 2), (long, 3)):
+        at = quote[which]
+        start[at + 1] = False
+        start[at + width] = True
+    starts = np.flatnonzero(start[:n])
+    return starts, np.append(starts[1:], n)

@@ -3,9 +3,42 @@
 from __future__ import annotations
 
 from seqwright.llm.bpe import op8_byte_bpe
+from seqwright.llm.chat import PLANTED, op3_chat_format
+from seqwright.llm.fingerprint import op6_fingerprints
+from seqwright.llm.language import op2_language_id
+from seqwright.llm.mixing import op7_source_mix
+from seqwright.llm.packing import op5_packed_ids
+from seqwright.llm.quality import op4_quality_rules
+from seqwright.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_chat_format": op3_chat_format,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packed_ids": op5_packed_ids,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+
+ORACLES: dict[str, str] = {
+    "op3_chat_format": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}'
+), formed AS (
+  SELECT *, row_number() OVER own AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), chr(92) || chr(10))) + 1 + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) OVER own AS chars
+  FROM turns WINDOW own AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, max(n) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) FILTER (WHERE role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM formed GROUP BY conv_id
+""",
+}
