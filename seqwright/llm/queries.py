@@ -5,6 +5,7 @@ from __future__ import annotations
 from seqwright.llm.bpe import op8_byte_bpe
 from seqwright.llm.chat import PLANTED, op3_chat_format
 from seqwright.llm.fingerprint import op6_fingerprints
+from seqwright.llm.jaccard import op1_ngram_jaccard
 from seqwright.llm.language import op2_language_id
 from seqwright.llm.mixing import op7_source_mix
 from seqwright.llm.packing import op5_packed_ids
@@ -12,6 +13,7 @@ from seqwright.llm.quality import op4_quality_rules
 from seqwright.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
