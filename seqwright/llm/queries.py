@@ -10,6 +10,7 @@ from seqwright.llm.language import op2_language_id
 from seqwright.llm.mixing import op7_source_mix
 from seqwright.llm.packing import op5_packed_ids
 from seqwright.llm.quality import op4_quality_rules
+from seqwright.llm.repeats import op10_suffix_dedup
 from seqwright.llm.toxicity import op9_toxicity
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
