@@ -293,7 +293,7 @@ def cut_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     """What is left of ``text``, and how many maximal runs were removed."""
     parts, at, n = [], 0, 0
-    for s in spans or []:
+    for s in spans if spans is not None else ():
         if s["low"] > at or not n:
             parts.append(text[at : s["low"]])
             n += 1
