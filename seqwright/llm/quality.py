@@ -65,9 +65,9 @@ def count_of(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
 
 
-def facts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``q``: what the base contract and the rules look at, from the whole text."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+def facts(text: Column) -> Column:
+    """A struct of what the base contract and the rules look at, from the whole text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
 
     def of_words(w: Column) -> Column:
@@ -78,23 +78,23 @@ def facts(docs: DataFrame, *, text: str = "text") -> DataFrame:
         ended = F.size(F.filter(x, lambda one: F.rtrim(one).rlike("[.?!:;\"'”»)]$")))
         return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), ended.cast("long").alias("ended"))
 
-    w, x = F.col("__w"), F.col("__x")
-    parts = docs.withColumns({"__w": let(words(t), of_words), "__x": let(lines, of_lines)})
-    q = F.struct(
-        w["n"].alias("n_words"),
-        count_of(t, SPACES).alias("n_spaces"),
-        F.char_length(t).cast("long").alias("n_chars"),
-        count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
-        x["dup"].alias("n_dup_lines"),
-        w["repeat"].alias("n_repeat_words"),
-        w["plain"].alias("n_plain_words"),
-        x["n"].alias("n_lines"),
-        x["ended"].alias("n_ended"),
-        (F.char_length(t) - F.char_length(F.regexp_replace(t, "\\p{Lu}", ""))).alias("n_upper"),
-        count_of(t, "0123456789").alias("n_digits"),
-        count_of(t, "!").alias("n_shouts"),
-    )
-    return parts.withColumn("q", q).drop("__w", "__x")
+    def together(w: Column, x: Column) -> Column:
+        return F.struct(
+            w["n"].alias("n_words"),
+            count_of(t, SPACES).alias("n_spaces"),
+            F.char_length(t).cast("long").alias("n_chars"),
+            count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+            x["dup"].alias("n_dup_lines"),
+            w["repeat"].alias("n_repeat_words"),
+            w["plain"].alias("n_plain_words"),
+            x["n"].alias("n_lines"),
+            x["ended"].alias("n_ended"),
+            (F.char_length(t) - F.char_length(F.regexp_replace(t, "\\p{Lu}", ""))).alias("n_upper"),
+            count_of(t, "0123456789").alias("n_digits"),
+            count_of(t, "!").alias("n_shouts"),
+        )
+
+    return let(let(words(t), of_words), lambda w: let(let(lines, of_lines), lambda x: together(w, x)))
 
 
 @dataclass(frozen=True)
@@ -129,11 +129,9 @@ RULES = (
 )
 
 
-def votes(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs``, which have ``q``, with the column ``votes``: one of -1, 0, 1 a rule, in their order."""
-    q = F.col("q")
-    one = [F.when(F.coalesce(r.bad(q), F.lit(False)), -1).when(F.coalesce(r.good(q), F.lit(False)), 1).otherwise(0) for r in rules]
-    return docs.withColumn("votes", F.array(*one))
+def votes(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """An array of one of -1, 0, 1 a rule, in their order."""
+    return F.array(*[F.when(F.coalesce(r.bad(q), F.lit(False)), -1).when(F.coalesce(r.good(q), F.lit(False)), 1).otherwise(0) for r in rules])
 
 
 @dataclass(frozen=True)
@@ -179,13 +177,16 @@ def maximise(counts: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
     return model
 
 
-def posterior(voted: DataFrame, model: Model) -> DataFrame:
-    """``voted`` with ``p_good``, the posterior probability of a good text."""
-    total = F.lit(model.bias)
-    for k, (bad, none, good) in enumerate(model.ratios):
-        vote = F.get(F.col("votes"), F.lit(k))
-        total = total + F.when(vote == -1, bad).when(vote == 1, good).otherwise(none)
-    return voted.withColumn("p_good", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total)))))
+def posterior(own: Column, model: Model) -> Column:
+    """The probability that a text with the votes ``own`` is good."""
+
+    def of_votes(v: Column) -> Column:
+        total = F.lit(model.bias)
+        for k, (bad, none, good) in enumerate(model.ratios):
+            total = total + F.when(F.get(v, F.lit(k)) == -1, bad).when(F.get(v, F.lit(k)) == 1, good).otherwise(none)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total))))
+
+    return let(own, of_votes)
 
 
 def base_failed(q: Column) -> Column:
@@ -197,21 +198,18 @@ def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     The texts are read twice and never shuffled.
     """
-    own = [c for c in docs.columns]
-    clash = {c: f"__own_{c}" for c in own if c.lower() in ("q", "votes", "p_good", "__w", "__x")}
-    renamed = docs.withColumnsRenamed(clash) if clash else docs
-    voted = votes(facts(renamed, text=clash.get(text, text)))
-    model = fit(voted.select("votes"))
-    kept = posterior(voted, model).where(~base_failed(F.col("q")) & (F.col("p_good") >= KEEP))
-    return kept.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in own])
+    own = facts(F.col(f"`{text}`"))
+    model = fit(docs.select(let(own, lambda q: votes(q)).alias("votes")))
+    # One expression, so that the filter computes the facts once.
+    return docs.where(let(own, lambda q: ~base_failed(q) & (posterior(votes(q), model) >= KEEP)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chosen(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    voted = written(votes(facts(docs)).select("doc_id", "q", "votes"), "quality")
-    q = F.col("q")
-    failed = base_failed(q)
-    return posterior(voted, fit(voted)).select(
+    found = written(docs.select("doc_id", facts(F.col("text")).alias("q")), "quality").withColumn("votes", votes(F.col("q")))
+    q, model = F.col("q"), fit(found)
+    failed, p_good = base_failed(q), posterior(F.col("votes"), model)
+    return found.select(
         "doc_id",
         q["n_words"].alias("n_words"),
         (q["n_chars"] - q["n_spaces"]).cast("long").alias("word_chars"),
@@ -219,6 +217,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         q["n_dup_lines"].alias("n_dup_lines"),
         q["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (F.col("p_good") >= KEEP)).alias("kept"),
-        F.round("p_good", 6).alias("p_good"),
+        (~failed & (p_good >= KEEP)).alias("kept"),
+        F.round(p_good, 6).alias("p_good"),
     )
