@@ -35,7 +35,7 @@ GRAM = 32
 #: Windows of one text that are looked at together; a text's anchors don't depend on where it is cut.
 PIECE = 1 << 22
 #: Bytes of segments in a shard, and in the shards that are merged with each other.
-SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 22
+SHARD_BYTES, MERGE_BYTES = 1 << 17, 1 << 20
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,7 +103,7 @@ def segment_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 class Shard:
-    """The Burrows-Wheeler transform of some strings, each with an end mark below all bytes, and where its suffixes start."""
+    """The Burrows-Wheeler transform of some strings, each with an end mark below all bytes, and the string and offset of its suffixes."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         """``data`` holds the strings one after the other."""
@@ -129,9 +129,8 @@ class Shard:
             if rank[order[-1]] == n - 1:
                 break
             depth *= 2
-        self.starts = order
-        self.string = string[order]
-        self.offset = (lengths[string] - left)[order]
+        self.string = string[order].astype(np.int32)
+        self.offset = (lengths[string] - left)[order].astype(np.int32)
         before = np.concatenate([[0], symbol[:-1]])
         self.transform = before[order].astype(np.uint16)
 
@@ -156,23 +155,22 @@ def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.nda
     for s in shards:
         to = np.argsort(s.transform, kind="stable")
         first.append(s.transform[to])
-        following.append(to + base)
+        following.append((to + base).astype(np.int32))
         base += len(to)
     symbol, one = np.concatenate(first), np.concatenate(following)
     n = len(symbol)
     depth = 6
-    key, at, ended = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
+    key, at, ended = np.zeros(n, np.int64), np.arange(n, dtype=np.int32), np.zeros(n, bool)
     for _ in range(depth):
         key = key << 9 | np.where(ended, 0, symbol[at])
         ended |= symbol[at] == 0
         at = one[at]
     step = at  # depth symbols on
-    steps = {1: one, depth: step}
     eight = one[one[step]]
     # Suffixes that have met their end mark differ from all others.
     order = np.lexsort((np.where(ended, np.arange(n), -1), key))
-    agree = np.zeros(n, np.int64)
-    rank = np.empty(n, np.int64)
+    agree = np.zeros(n, np.int32)
+    rank = np.empty(n, np.int32)
 
     def refined(order: np.ndarray, new: np.ndarray, known: int) -> None:
         fresh = new & ~was
@@ -188,8 +186,7 @@ def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.nda
     while depth < length:
         by = min(depth, length - depth)
         jump = step if by == depth else eight if by == 8 else _jump(one, by)
-        second = rank[jump]
-        pair = rank * n + second
+        pair = rank.astype(np.int64) * n + rank[jump]
         order = np.argsort(pair, kind="stable")  # merges the shards' runs, which are in order already
         sorted_key = pair[order]
         new = np.ones(n, bool)
@@ -198,14 +195,13 @@ def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.nda
         depth += by
         if 2 * depth <= length:
             step = step[step]
-    del steps
     agree[~was] = length
     return order, agree, rank
 
 
 def _jump(one: np.ndarray, by: int) -> np.ndarray:
     """``one`` composed ``by`` times."""
-    found, power = np.arange(len(one)), one
+    found, power = np.arange(len(one), dtype=np.int32), one
     while by:
         if by & 1:
             found = power[found]
