@@ -1,6 +1,191 @@
-"""The registered queries over the reference tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqwright.functions import tokens as T
+from seqwright.operators import context, corpus, evaluate, features, lookup
+from seqwright.operators.tokenize import WHITE_PUNCT, tokens
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(_read(spark, sf_dir, "documents"))
+
+
+def white_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir)
+
+
+def punct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(_read(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")), WHITE_PUNCT)
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.term_counts(_tokens(spark, sf_dir))
+
+
+def ridf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.idf_table(_tokens(spark, sf_dir), _read(spark, sf_dir, "documents").count())
+    return found.select("tok", "tf", "df", F.round("idf", 6).alias("idf"), F.round("ridf", 6).alias("ridf"))
+
+
+def ridf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.idf_table(_tokens(spark, sf_dir), _read(spark, sf_dir, "documents").count())
+    return corpus.scaled_table(found, "ridf").select("tok", F.round("weight", 6).alias("weight"))
+
+
+def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.bigrams(_tokens(spark, sf_dir))
+
+
+def feature_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    found = corpus.mutual_information(_tokens(spark, sf_dir).select("doc_id", F.lower("tok").alias("feature")), labels)
+    return found.select("feature", F.round("mi", 6).alias("mi"))
+
+
+def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey",
+        T.shape(name).alias("shape"),
+        T.normalised(name).alias("normalised"),
+        T.caseless(name).alias("caseless"),
+        T.matching(name, "DIGIT", "[0-9]").alias("digit"),
+        F.array_join(T.suffixes(name, 3), " ").alias("suffixes"),
+        F.array_join(T.prefixes(name, 3), " ").alias("prefixes"),
+        F.array_join(T.leading_grams(name, 2, 4), "|").alias("leading"),
+    )
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sequences: a position a turn, the role as its label."""
+    rows = _read(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("seq_id"), F.col("turn").alias("pos"), F.col("role").alias("tok"), F.when(F.col("role") == "assistant", "A").otherwise("lex").alias("label"))
+
+
+def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = F.col("tok")
+    rows = _turns(spark, sf_dir)
+    return rows.select("doc_id", "pos", F.array_join(context.over(tok, [-1, 0, 1]), " ").alias("over"), F.array_join(context.within(tok, [-2, -1]), " ").alias("within"), context.ngram(tok, [-1, 0]).alias("ngram"))
+
+
+def nearest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context.nearest(_turns(spark, sf_dir), F.col("tok") == "assistant")
+    return found.select("doc_id", "pos", F.col("left").alias("to_left"), F.col("right").alias("to_right"))
+
+
+def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.spans(_turns(spark, sf_dir)).select("doc_id", "label", "st", "en")
+
+
+def lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("L"), F.col("item_id") % 3).alias("lex_name"), F.col("text").alias("entry"))
+    found = lookup.lexicon_tags(_tokens(spark, sf_dir), lookup.lexicon(entries))
+    return found.select("doc_id", "pos", "tok", F.array_join("lexicons", ",").alias("lexicons"))
+
+
+def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_read(spark, sf_dir, "labels"), "toxic", "quality")
+
+
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.label_scores(label_confusion(spark, sf_dir))
+    return found.select("label", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.folds(_read(spark, sf_dir, "events").select("event_id"), "event_id", 5)
+
+
+def supported_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    state = rows.select("doc_id", "seq_id", "pos", F.col("tok").alias("fname"), "label", F.lit(False).alias("edge"))
+    edge = rows.select("doc_id", "seq_id", "pos", F.lit(":E:").alias("fname"), "label", F.lit(True).alias("edge"))
+    return features.supported(state.union(edge))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
+    )
+}
+
+_TOKENS = r"toks AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \r\n\t]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[^ \r\n\t]+'), 1) - 1 AS pos FROM documents)"
+_IDF = "(SELECT tok, sum(n) AS tf, count(*) AS df FROM (SELECT doc_id, tok, count(*) AS n FROM toks GROUP BY ALL) GROUP BY tok)"
+_TURNS = "turns AS (SELECT conv_id AS doc_id, turn AS pos, role AS tok, CASE WHEN role = 'assistant' THEN 'A' ELSE 'lex' END AS label FROM conversations)"
+_RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / df) + log2(1 - exp(-tf / n_docs)) AS ridf FROM {_IDF}, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents))"
+
+ORACLES: dict[str, str] = {
+    "white_tokens": f"WITH {_TOKENS} SELECT doc_id, CAST(pos AS INT) AS pos, tok FROM toks",
+    "punct_tokens": r"""
+SELECT conv_id * 1000 + turn AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok
+FROM (SELECT conv_id, turn, regexp_extract_all(text, '[!-/:-@\[-`{-~]+|[^ \r\n\t!-/:-@\[-`{-~]+') AS x FROM conversations)""",
+    "term_counts": f"WITH {_TOKENS} SELECT tok, CAST(tf AS BIGINT) AS tf, df FROM {_IDF}",
+    "ridf_table": f"WITH {_TOKENS}, {_RIDF} SELECT tok, CAST(tf AS BIGINT) AS tf, df, round(idf, 6) AS idf, round(ridf, 6) AS ridf FROM ridf",
+    "ridf_weights": f"""
+WITH {_TOKENS}, {_RIDF}, ends AS (SELECT least(0, min(ridf)) AS low, greatest(0, max(ridf)) AS high FROM ridf)
+SELECT tok, round((ridf - low) / (high - low), 6) AS weight FROM ridf, ends WHERE (ridf - low) / (high - low) > 0.001""",
+    "word_bigrams": f"""
+WITH {_TOKENS} SELECT first, second, count(*) AS n
+FROM (SELECT tok AS first, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM toks) WHERE second IS NOT NULL GROUP BY ALL""",
+    "feature_mi": f"""
+WITH {_TOKENS}, have AS (SELECT DISTINCT doc_id, lower(tok) AS feature FROM toks),
+lab AS (SELECT doc_id, quality AS label FROM labels), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lab),
+cells AS (
+  SELECT f.feature, n_feature, n_label, n, coalesce("both", 0) AS "both"
+  FROM (SELECT feature, count(*) AS n_feature FROM have JOIN lab USING (doc_id) GROUP BY feature) f
+  CROSS JOIN (SELECT label, count(*) AS n_label FROM lab GROUP BY label) l CROSS JOIN total
+  LEFT JOIN (SELECT feature, label, count(*) AS "both" FROM have JOIN lab USING (doc_id) GROUP BY ALL) b ON b.feature = f.feature AND b.label = l.label)
+SELECT feature, round(sum(
+  CASE WHEN "both" > 0 THEN "both" / n * log2("both" * n / (n_feature * n_label)) ELSE 0 END +
+  CASE WHEN n_label > "both" THEN (n_label - "both") / n * log2((n_label - "both") * n / ((n - n_feature) * n_label)) ELSE 0 END), 6) AS mi
+FROM cells GROUP BY feature""",
+    "part_features": r"""
+SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\p{Nd}', 'd', 'g') AS shape,
+  CASE WHEN regexp_matches(p_name, '[0-9,.]*[0-9]+$') THEN '-NUMBER-' ELSE p_name END AS normalised,
+  upper(p_name) AS caseless, CASE WHEN regexp_matches(p_name, '[0-9]') THEN 'DIGIT' END AS digit,
+  CASE WHEN length(p_name) >= 3 THEN 'SUF:' || right(p_name, 3) || ' SUF:' || right(p_name, 2) || ' SUF:' || right(p_name, 1) ELSE '' END AS suffixes,
+  CASE WHEN length(p_name) >= 3 THEN 'PREF:' || left(p_name, 3) || ' PREF:' || left(p_name, 2) || ' PREF:' || left(p_name, 1) ELSE '' END AS prefixes,
+  array_to_string([p_name[i:i + 1] FOR i IN range(1, least(length(p_name), 4))], '|') AS leading
+FROM part""",
+    "context_features": f"""
+WITH {_TURNS}, near AS (SELECT *, lag(tok, 1) OVER s AS a, lag(tok, 2) OVER s AS b, lead(tok, 1) OVER s AS z FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, concat_ws(' ', '-1@' || a, '0@' || tok, '1@' || z) AS over,
+  CASE WHEN a IS NULL THEN '' WHEN b IS NULL OR a = b THEN a ELSE least(a, b) || ' ' || greatest(a, b) END AS within,
+  coalesce(a, 'START') || '^' || tok AS ngram FROM near""",
+    "nearest_marks": f"""
+WITH {_TURNS}, d AS (
+  SELECT doc_id, pos, pos - coalesce(max(CASE WHEN tok = 'assistant' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos), min(pos) OVER (PARTITION BY doc_id)) AS l,
+    coalesce(min(CASE WHEN tok = 'assistant' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos DESC), max(pos) OVER (PARTITION BY doc_id)) - pos AS r FROM turns)
+SELECT doc_id, pos, CASE WHEN l <= 5 THEN l WHEN l <= 7 THEN 7 WHEN l <= 9 THEN 9 WHEN l <= 12 THEN 12 ELSE 13 END AS to_left,
+  CASE WHEN r <= 5 THEN r WHEN r <= 7 THEN 7 WHEN r <= 9 THEN 9 WHEN r <= 12 THEN 12 ELSE 13 END AS to_right FROM d""",
+    "label_spans": f"""
+WITH {_TURNS}, m AS (SELECT *, CASE WHEN lag(label) OVER s = label THEN 0 ELSE 1 END AS start FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m)
+SELECT doc_id, label, min(pos) AS st, max(pos) AS en FROM runs WHERE label <> 'lex' GROUP BY doc_id, run, label""",
+    "lexicon_tags": f"""
+WITH {_TOKENS}, lex AS (SELECT DISTINCT 'L' || item_id % 3 AS lex_name, unnest(regexp_extract_all(text, '\\S+')) AS term FROM benchmark),
+names AS (SELECT term, string_agg(lex_name, ',' ORDER BY lex_name) AS lexicons FROM lex GROUP BY term)
+SELECT doc_id, CAST(pos AS INT) AS pos, tok, coalesce(lexicons, '') AS lexicons FROM toks LEFT JOIN names ON tok = term""",
+    "label_confusion": "SELECT toxic AS system, quality AS gold, count(*) AS n FROM labels GROUP BY ALL",
+    "label_scores": """
+SELECT coalesce(p.label, r.label) AS label, round(precision, 9) AS precision, round(recall, 9) AS recall
+FROM (SELECT toxic AS label, avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0 END) AS precision FROM labels GROUP BY toxic) p
+FULL JOIN (SELECT quality AS label, avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0 END) AS recall FROM labels GROUP BY quality) r ON p.label = r.label""",
+    "event_folds": "SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / ceil((SELECT count(*) FROM events) / 5.0)) AS INT) AS fold FROM events",
+    "supported_features": f"""
+WITH {_TURNS}, all_rows AS (
+  SELECT tok AS fname, CAST(NULL AS VARCHAR) AS prv, label AS cur FROM turns
+  UNION ALL SELECT ':E:', lag(label) OVER (PARTITION BY doc_id ORDER BY pos), label FROM turns)
+SELECT fname, prv, cur, count(*) AS n FROM all_rows WHERE fname <> ':E:' OR prv IS NOT NULL GROUP BY ALL""",
+}
