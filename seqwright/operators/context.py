@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def sequence() -> WindowSpec:
     return Window.partitionBy("doc_id", "seq_id").orderBy("pos")
 
@@ -24,13 +28,20 @@ def within(value: Column, offsets: list[int]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array(*[at(value, o) for o in offsets]), lambda x: x.isNotNull())))
 
 
-def ngram(value: Column, offsets: list[int]) -> Column:
-    """One conjunction of the values at the offsets; START stands before a sequence, END after it, nothing farther out."""
+def ngram(value: Column, offsets: list[int], *, whole: bool = False) -> Column:
+    """One conjunction of the values at the offsets; START stands before a sequence, END after it, nothing farther out.
+
+    With ``whole``, it is null if a token at an offset has no value.
+    """
     parts = []
     for o in offsets:
         edge = at(F.lit(1), o - 1) if o > 0 else at(F.lit(1), o + 1) if o < 0 else F.lit(1)
         parts.append(F.coalesce(at(value, o), F.when(edge.isNotNull(), F.lit("END" if o > 0 else "START"))))
-    return F.concat_ws("^", *parts)
+    joined = F.concat_ws("^", *parts)
+    if not whole:
+        return joined
+    lacking = [at(F.lit(1), o).isNotNull() & at(value, o).isNull() for o in offsets]
+    return F.when(~reduce(or_, lacking), joined)
 
 
 def cross(left: Column, right: Column) -> Column:

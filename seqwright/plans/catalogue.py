@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
-from seqwright.operators import context, corpus, evaluate, features, lookup
+from seqwright.functions import spec
+from seqwright.operators import context, convert, corpus, crf, dialog, evaluate, features, lookup, maxent
 from seqwright.operators.tokenize import WHITE_PUNCT, tokens
 
 
@@ -113,16 +114,131 @@ def supported_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.supported(state.union(edge))
 
 
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", convert.strip_tags(F.col("html")).alias("text"))
+
+
+def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return convert.inline_spans(pages).select("doc_id", "tag", "st", "en")
+
+
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.offsets(_read(spark, sf_dir, "documents"))
+
+
+def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens under two overlapping spans a document, one of them crossing bins."""
+    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    spans = docs.select("doc_id", F.lit(10).alias("st"), F.lit(60).alias("en"), F.lit("A").alias("label")).union(docs.select("doc_id", F.lit(40), F.lit(2100), F.lit("B")))
+    return convert.label_tokens(convert.offsets(docs), spans).select("doc_id", "pos", "label", "begin")
+
+
+def projected_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "lineitem")
+    line, number = F.col("l_orderkey").alias("line"), F.col("l_linenumber")
+    alignment = items.select(line, number.alias("tgt"), (1 + number % 3).alias("src"), (F.col("l_tax") * 12.5).alias("p"))
+    source = items.groupBy(line, number.alias("pos")).agg(F.min("l_returnflag").alias("attr"))
+    return convert.project(alignment.groupBy("line", "tgt", "src").agg(F.max("p").alias("p")), source)
+
+
+def feature_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.feature_numbers(_tokens(spark, sf_dir).select(F.col("tok").alias("fname")))
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\r\\n\\t]+"), F.lit(0))
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("user"), words.alias("toks"))
+
+
+def post_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialog.same_user(dialog.positions(_posts(spark, sf_dir)))
+    return found.select("doc_id", "pos", dialog.length_bin(F.col("toks")).alias("length"), "beginning", "ending", "size", F.round("raw", 6).alias("raw"), "same")
+
+
+def post_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialog.candidates(_posts(spark, sf_dir), 2)
+    toks, ref = F.col("toks"), F.col("ref_toks")
+    return found.select("doc_id", "pos", F.col("back").cast("long").alias("back"), F.round(dialog.overlap(toks, ref), 6).alias("overlap"), F.round(dialog.length_ratio(toks, ref), 6).alias("ratio"))
+
+
+_SPEC = r"""
+word as wdNormFn over (-1 to 1);
+pair as (wdFn cross regexpFn(MARK,^[su])) within (-1,0);
+gram as caselessWdFn ngram (-1,0,1);
+"""
+
+
+def spec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spec.features(_turns(spark, sf_dir).drop("label"), _SPEC)
+    return found.select("doc_id", "pos", *[F.array_join(c, " ").alias(c) for c in ("word", "pair", "gram")])
+
+
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax of three classes of parts under a table of fixed parameters."""
+    words = F.split("p_name", " ")
+    parts = _read(spark, sf_dir, "part")
+    one = parts.select("p_partkey", F.explode(F.array_distinct(words)).alias("fname"))
+    instances = parts.select(F.col("p_partkey").alias("id"), F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
+    params = one.select("fname").distinct().select("fname", F.explode(F.array(*map(F.lit, range(1, 4)))).alias("k"))
+    params = params.select("fname", F.concat(F.lit("c"), "k").alias("cls"), (F.char_length("fname") * F.col("k") % 5 / 4).alias("w"))
+    found = maxent.class_scores(instances, params, ["c1", "c2", "c3"])
+    return found.select("id", "label_pred", *[F.round(F.col("probs")[c], 6).alias(c) for c in ("c1", "c2", "c3")])
+
+
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("alt_id"), (F.col("l_quantity") / 10).alias("score"))
+    return maxent.rank(rows.groupBy("group_id", "alt_id").agg(F.max("score").alias("score"))).select("group_id", "alt_id", F.round("prob", 6).alias("prob"), "best")
+
+
+def viterbi_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labels over the turns of each conversation; staying scores 2."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("seq_id"), F.col("turn").alias("pos"), F.array((n % 7).cast("double"), (n % 5).cast("double")).alias("scores"))
+    seqs = rows.groupBy("doc_id", "seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "scores"))).alias("s")).select("doc_id", "seq_id", "s.pos", "s.scores")
+    return crf.viterbi(seqs, [[2, 0], [0, 2]]).select("doc_id", "pos", "y")
+
+
+def _event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence a user and day: the event type is the label, what is known of value and time the features."""
+    at = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")) - 1
+    feats = F.create_map(F.lit("bias"), F.lit(1.0), F.concat(F.lit("value"), F.floor(F.col("value") / 20)), F.lit(1.0), F.concat(F.lit("hour"), F.hour("ts")), F.lit(1.0))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.datediff(F.to_date("ts"), F.lit("2000-01-01")).alias("seq_id"), at.alias("pos"), F.col("event_type").alias("label"), feats.alias("feats"))
+
+
+def crf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = _event_tokens(spark, sf_dir)
+    labels = sorted(r[0] for r in toks.select("label").where("label IS NOT NULL").distinct().collect())
+    seqs = crf.sequences(toks, labels, buckets=256)
+    return crf.decode(seqs, crf.fit(seqs, labels, buckets=256, steps=5))
+
+
+def maxent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents by their lower-case words."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\S+"), F.lit(0)))
+    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return maxent.predict(docs, maxent.fit(docs.join(labels, "id"), steps=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
+        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns, crf_events, maxent_quality,
     )
 }
 
 _TOKENS = r"toks AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \r\n\t]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[^ \r\n\t]+'), 1) - 1 AS pos FROM documents)"
 _IDF = "(SELECT tok, sum(n) AS tf, count(*) AS df FROM (SELECT doc_id, tok, count(*) AS n FROM toks GROUP BY ALL) GROUP BY tok)"
 _TURNS = "turns AS (SELECT conv_id AS doc_id, turn AS pos, role AS tok, CASE WHEN role = 'assistant' THEN 'A' ELSE 'lex' END AS label FROM conversations)"
+_OFFSETS = r"""pieces AS (
+  SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[ \r\n\t]*[^ \r\n\t]+') AS x FROM documents)),
+offs AS (
+  SELECT doc_id, CAST(pos AS INT) AS pos, ltrim(p, E' \r\n\t') AS tok, CAST(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS en FROM pieces)"""
+_POSTS = r"""posts AS (
+  SELECT conv_id AS doc_id, turn AS pos, role AS "user", regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+') AS toks,
+    count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)"""
 _RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / df) + log2(1 - exp(-tf / n_docs)) AS ridf FROM {_IDF}, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents))"
 
 ORACLES: dict[str, str] = {
@@ -188,4 +304,63 @@ WITH {_TURNS}, all_rows AS (
   SELECT tok AS fname, CAST(NULL AS VARCHAR) AS prv, label AS cur FROM turns
   UNION ALL SELECT ':E:', lag(label) OVER (PARTITION BY doc_id ORDER BY pos), label FROM turns)
 SELECT fname, prv, cur, count(*) AS n FROM all_rows WHERE fname <> ':E:' OR prv IS NOT NULL GROUP BY ALL""",
+    "stripped_pages": "SELECT page_id, regexp_replace(html, '<[^<>]+>', '', 'g') AS text FROM pages",
+    "page_spans": r"""
+WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<[^<>]+>|[^<]+|<') AS x FROM pages)),
+a AS (SELECT *, CAST(sum(CASE WHEN regexp_full_match(p, '<[^<>]+>') THEN 0 ELSE length(p) END) OVER (PARTITION BY page_id ORDER BY n) AS BIGINT) AS pos FROM p),
+t AS (SELECT *, regexp_extract(p, '^</?([^ \r\n\t>]+)', 1) AS tag, NOT starts_with(p, '</') AS opens FROM a
+  WHERE regexp_full_match(p, '<[^<>]+>') AND NOT regexp_matches(p, '/>$|^<[!?]')),
+d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY n) + CASE WHEN opens THEN 0 ELSE 1 END AS depth FROM t),
+l AS (SELECT *, lead(pos) OVER w AS en, NOT lead(opens) OVER w AS ends FROM d WINDOW w AS (PARTITION BY page_id, tag, depth ORDER BY n))
+SELECT page_id AS doc_id, tag, pos AS st, en FROM l WHERE opens AND ends""",
+    "token_offsets": f"WITH {_OFFSETS} SELECT doc_id, pos, tok, en - length(tok) AS st, en FROM offs",
+    "token_labels": f"""
+WITH {_OFFSETS}, l AS (
+  SELECT doc_id, pos, CASE WHEN en <= 60 AND en > 10 THEN 'A' WHEN en <= 2100 AND en > 40 THEN 'B' ELSE 'lex' END AS label FROM offs)
+SELECT doc_id, pos, label, label = 'lex' OR coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY pos) <> label, true) AS begin FROM l""",
+    "projected_flags": """
+SELECT a.l_orderkey AS line, a.l_linenumber AS pos, min(b.l_returnflag) AS attr FROM lineitem a
+JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = 1 + a.l_linenumber % 3 WHERE a.l_tax * 12.5 > 0.5 GROUP BY ALL""",
+    "feature_numbers": f"WITH {_TOKENS} SELECT tok AS fname, row_number() OVER (ORDER BY count(*) DESC, tok) AS fid FROM toks GROUP BY tok",
+    "post_features": f"""
+WITH {_POSTS} SELECT doc_id, pos,
+  'postLen=' || CASE WHEN len(toks) < 3 THEN 'short' WHEN len(toks) < 7 THEN 'medium' WHEN len(toks) < 12 THEN 'long' ELSE 'verylong' END AS length,
+  CASE WHEN place < 1 THEN 'posBegin' WHEN place < 2 THEN 'posBeg1' WHEN place < 4 THEN 'posBeg3' WHEN place < 6 THEN 'posBeg5' END AS beginning,
+  CASE WHEN n - place < 2 THEN 'posEnd' WHEN n - place < 4 THEN 'posEnd3' END AS ending,
+  CASE WHEN n < 3 THEN ':lnSm1:' WHEN n < 5 THEN ':lnSm2:' WHEN n < 7 THEN ':lnSm3:' WHEN n < 9 THEN ':lnSm4:' WHEN n < 15 THEN ':lnSm5:' ELSE ':lnBig:' END AS size,
+  round((place + 1) / n, 6) AS raw,
+  CASE WHEN place > 0 THEN CASE WHEN lag(coalesce("user", 'Unk')) OVER (PARTITION BY doc_id ORDER BY pos) = coalesce("user", 'Unk') THEN 'SAME_USER' ELSE 'DIFFERENT_USER' END END AS same
+FROM posts""",
+    "post_candidates": f"""
+WITH {_POSTS} SELECT a.doc_id, a.pos, a.place - b.place AS back,
+  CASE WHEN len(a.toks) > 0 THEN round(len(list_filter(a.toks, lambda t: list_contains(b.toks, t))) / len(a.toks), 6) ELSE 0 END AS overlap,
+  CASE WHEN len(b.toks) > 0 THEN round(len(a.toks) / len(b.toks), 6) END AS ratio
+FROM posts a JOIN posts b ON a.doc_id = b.doc_id AND a.place - b.place IN (1, 2)""",
+    "spec_features": f"""
+WITH {_TURNS}, n AS (
+  SELECT doc_id, pos, tok, lag(tok) OVER s AS a, lead(tok) OVER s AS z FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, concat_ws(' ', '-1@' || a, '0@' || tok, '1@' || z) AS word,
+  array_to_string(list_sort(list_distinct(list_filter([a, tok], lambda t: regexp_matches(t, '^[su]')))).list_transform(lambda t: t || '&MARK'), ' ') AS pair,
+  coalesce(upper(a), 'START') || '^' || upper(tok) || '^' || coalesce(upper(z), 'END') AS gram FROM n""",
+    "class_scores": """
+WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS w FROM part),
+s AS (SELECT id, sum(length(w) % 5 / 4) AS a, sum(length(w) * 2 % 5 / 4) AS b, sum(length(w) * 3 % 5 / 4) AS c FROM w GROUP BY id),
+e AS (SELECT *, exp(a) + exp(b) + exp(c) AS z FROM s)
+SELECT id, CASE WHEN a >= b AND a >= c THEN 'c1' WHEN b >= c THEN 'c2' ELSE 'c3' END AS label_pred,
+  round(exp(a) / z, 6) AS c1, round(exp(b) / z, 6) AS c2, round(exp(c) / z, 6) AS c3 FROM e""",
+    "ranked_items": """
+WITH a AS (SELECT l_orderkey AS group_id, l_linenumber AS alt_id, max(l_quantity / 10) AS score FROM lineitem GROUP BY ALL)
+SELECT group_id, alt_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY group_id), 6) AS prob,
+  row_number() OVER (PARTITION BY group_id ORDER BY score DESC, alt_id) = 1 AS best FROM a""",
+    "viterbi_turns": """
+WITH RECURSIVE t AS (
+  SELECT conv_id AS doc_id, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(coalesce(text, '')) % 7 AS a, length(coalesce(text, '')) % 5 AS b FROM conversations),
+r AS (
+  SELECT doc_id, i, n, a, b, [0] AS pa, [1] AS pb FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.doc_id, t.i, t.n, greatest(r.a + 2, r.b) + t.a, greatest(r.a, r.b + 2) + t.b,
+    list_append(CASE WHEN r.b > r.a + 2 THEN r.pb ELSE r.pa END, 0), list_append(CASE WHEN r.b + 2 > r.a THEN r.pb ELSE r.pa END, 1)
+  FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1)
+SELECT t.doc_id, t.pos, (CASE WHEN r.b > r.a THEN r.pb ELSE r.pa END)[t.i] AS y FROM t JOIN r ON r.doc_id = t.doc_id AND r.i = r.n""",
 }
