@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import context, convert, corpus, crf, dialog, evaluate, features, lookup, maxent
+from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse
 from seqwright.operators.tokenize import WHITE_PUNCT, tokens
 
 
@@ -221,11 +221,33 @@ def maxent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.predict(docs, maxent.fit(docs.join(labels, "id"), steps=10))
 
 
+def plain_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexer.pieces(_read(spark, sf_dir, "documents"))
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return lexer.tokens(lexer.pieces(pages, lexer.TAGGED))
+
+
+def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree over the words of each part's name, under scores from the lengths of words."""
+    words = _read(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("n", "w"))
+    words = words.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("seq_id"), (F.col("n") + 1).alias("id"), F.char_length("w").alias("l"))
+    heads = words.select("doc_id", F.col("id").alias("gov"), F.col("l").alias("g")).union(words.where("id = 1").select("doc_id", F.lit(0), F.lit(0)))
+    pairs = words.join(heads, "doc_id").where("id <> gov")  # a name has a handful of words
+    return parse.trees(pairs.select("doc_id", "seq_id", "gov", "id", (F.col("g") / 2 - F.abs(F.col("id") - F.col("gov")) + F.col("l") % 3 / 4).alias("score")))
+
+
+def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.clusters(_tokens(spark, sf_dir), 32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
-        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns, crf_events, maxent_quality,
+        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
 
