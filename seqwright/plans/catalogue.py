@@ -240,7 +240,8 @@ def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.clusters(_tokens(spark, sf_dir), 32)
+    """Clusters of the words of all part names."""
+    return cluster.clusters(tokens(_read(spark, sf_dir, "part"), doc_id="p_partkey", text="p_name"), 8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
