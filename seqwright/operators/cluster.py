@@ -6,12 +6,15 @@ takes the cluster that keeps most mutual information, by the counts so far.
 Last, the clusters are merged pair by pair into one tree, whose branches are
 the words' bit strings. Spark counts and assigns; the driver holds a square
 matrix of the number of clusters, a parameter. A band's words join at the same
-time, where one-by-one insertion would let each see the ones before it.
+time, where one-by-one insertion would let each see the ones before it. Each
+bigram is read into counts once, in the band of its rarer word.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,39 @@ def _change(counts: np.ndarray, a_row: np.ndarray, a_column: np.ndarray, a_self:
     return gained - lost
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    """x log2(x), 0 at 0."""
+    return x * np.log2(x, out=np.zeros(np.shape(x)), where=x > 0)
+
+
+def _changes(counts: np.ndarray, n: int, item: np.ndarray, side: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``_change`` of ``n`` items outside the clusters with each cluster, times N: a row an item.
+
+    The items' counts come sparse and in the order of items: ``c`` with cluster ``k`` after (side 0) or before (1)
+    the item, or with itself (2). With N fixed, mutual information is the sum of x log2(x) over cells less that over
+    margins, so that only the cells of an item's neighbours and two margins change.
+    """
+    size = len(counts)
+    dense = np.zeros((3, n, size))
+    np.add.at(dense, (side, item, k), c)
+    ahead, behind, own = dense[0], dense[1], dense[2, :, 0]
+    gained = np.zeros((n, size))
+    cells = np.stack([counts.T, counts])  # by side and neighbour, a row of all clusters
+    near = np.flatnonzero(side < 2)
+    for low in range(0, len(near), 1 << 14):
+        at = near[low : low + (1 << 14)]
+        there, more = cells[side[at], k[at]], c[at][:, None]
+        new = _f(there + more) - _f(there) - _f(more)
+        new[np.arange(len(at)), k[at]] = 0  # the cell of the cluster with itself
+        first = np.flatnonzero(np.diff(item[at], prepend=-1))
+        gained[item[at][first]] += np.add.reduceat(new, first)
+    self_cells = counts.diagonal()
+    gained += _f(self_cells + ahead + behind + own[:, None]) - _f(self_cells) - _f(ahead) - _f(behind) - _f(own)[:, None]
+    for margin, out in ((counts.sum(axis=1) + behind, ahead.sum(axis=1) + own), (counts.sum(axis=0) + ahead, behind.sum(axis=1) + own)):
+        gained -= _f(margin + out[:, None]) - _f(margin) - _f(out)[:, None]
+    return gained
+
+
 def paths(counts: np.ndarray) -> list[str]:
     """The bit string of each cluster: greedy merges of the pair that loses least, each a branch (0 for the lower number)."""
     groups = [[i] for i in range(len(counts))]
@@ -77,46 +113,65 @@ def paths(counts: np.ndarray) -> list[str]:
 def clusters(toks: DataFrame, n: int) -> DataFrame:
     """tok, cluster and path of every token of the table (doc_id, pos, tok), in at most ``n`` clusters."""
     spark = toks.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder; one of our own only where it names none, as in tests
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='seqwright-')}")
+    # The cluster's shared folder; one of our own only where it names none, as in tests.
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='seqwright-')}"
+    folder = f"{folder.rstrip('/')}/seqwright-clusters-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     after = F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
-    ids = feature_numbers(toks.select(F.col("tok").alias("fname"))).checkpoint()
+    ids = written(feature_numbers(toks.select(F.col("tok").alias("fname"))), "ids")
     words = toks.select(F.col("tok").alias("a"), after.alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("c"))
-    words = words.join(ids.select(F.col("fname").alias("a"), F.col("fid").alias("x")), "a").join(ids.select(F.col("fname").alias("b"), F.col("fid").alias("y")), "b").select("x", "y", "c").checkpoint()
-    known = ids.where(F.col("fid") <= n).select("fid", (F.col("fid") - 1).cast("int").alias("cluster"))
+    words = words.join(ids.select(F.col("fname").alias("a"), F.col("fid").alias("x")), "a").join(ids.select(F.col("fname").alias("b"), F.col("fid").alias("y")), "b")
+    words = written(words.select("x", "y", "c", F.greatest("x", "y").alias("top")).sortWithinPartitions("top"), "words")  # sorted, so that a band reads its own pages
     size, done = ids.count(), min(n, ids.count())
+    counts = np.zeros((done, done))
+    joined = spark.range(1, done + 1).select(F.col("id").alias("fid"), (F.col("id") - 1).cast("int").alias("cluster"))
 
-    def matrix(known: DataFrame) -> np.ndarray:
-        first, second = known.toDF("x", "i"), known.toDF("y", "j")
-        cells = words.join(first, "x").join(second, "y").groupBy("i", "j").agg(F.sum("c").alias("c")).toPandas()  # n squared at most
-        found = np.zeros((min(n, size),) * 2)
-        found[cells["i"].to_numpy(int), cells["j"].to_numpy(int)] = cells["c"].to_numpy(float)
-        return found
+    def add(cells: DataFrame) -> None:
+        found = cells.groupBy("i", "j").agg(F.sum("c").alias("c")).toPandas()  # n squared at most
+        counts[found["i"].to_numpy(int), found["j"].to_numpy(int)] += found["c"].to_numpy(float)
 
+    add(words.where(F.col("top") <= done).select((F.col("x") - 1).alias("i"), (F.col("y") - 1).alias("j"), "c"))
+    schema = "fid long, cluster int, k int, c double"
+    joined.select("fid", "cluster", F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("c")).write.parquet(f"{folder}/known/band=0")
+    number = 0
     while done < size:
+        number += 1
+        known = spark.read.schema(schema).parquet(*[f"{folder}/known/band={b}" for b in range(number)]).where("fid IS NOT NULL").select("fid", "cluster")
         band = ids.where((F.col("fid") > done) & (F.col("fid") <= 2 * done)).select("fid")
-        counts = matrix(known)
-        ahead = words.join(band.withColumnRenamed("fid", "x"), "x").join(known.toDF("y", "k"), "y").groupBy(F.col("x").alias("fid"), "k").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
-        behind = words.join(band.withColumnRenamed("fid", "y"), "y").join(known.toDF("x", "k"), "x").groupBy(F.col("y").alias("fid"), "k").agg(F.sum("c").alias("c")).withColumn("side", F.lit(1))
-        own = words.where("x = y").join(band.withColumnRenamed("fid", "x"), "x").select(F.col("x").alias("fid"), F.lit(0).alias("k"), "c", F.lit(2).alias("side"))
-        seen = ahead.unionByName(behind).unionByName(own).groupBy("fid").agg(F.collect_list(F.struct("side", "k", "c")).alias("s"))
-        rows = band.join(seen, "fid", "left")
-        shared = spark.sparkContext.broadcast(counts)
-
-        def choose(batches, shared=shared):
-            own = shared.value
+        pairs = words.where((F.col("top") > done) & (F.col("top") <= 2 * done))
+        sides = pairs.where(F.least("x", "y") <= done).select(F.col("top").alias("to"), F.least("x", "y").alias("fid"), (F.col("y") > F.col("x")).cast("int").alias("side"), "c")
+        sides = sides.join(known, "fid").groupBy(F.col("to").alias("fid"), "side", F.col("cluster").alias("k")).agg(F.sum("c").alias("c"))
+        own = pairs.where("x = y").select(F.col("x").alias("fid"), F.lit(2).alias("side"), F.lit(0).alias("k"), "c")
+        seen = sides.unionByName(own).groupBy("fid").agg(F.collect_list(F.struct("side", "k", "c")).alias("s"))  # 2 n + 1 a word at most
+        shared = spark.sparkContext.broadcast(counts.copy())
+
+        def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """The band's words with their clusters, then what they add to the matrix: rows without a fid."""
+            names = ["fid", "cluster", "k", "c"]
+            added = np.zeros_like(shared.value)
             for batch in batches:
-                picked = []
-                for s in batch.column("s").to_pylist():
-                    side = np.zeros((3, len(own)))
-                    for e in s or []:
-                        side[e["side"], e["k"]] += e["c"]
-                    alone = side[2, 0]
-                    picked.append(int(_change(own, side[0], side[1], alone, side[0].sum() + alone, side[1].sum() + alone, max(own.sum() + side.sum(), 1.0)).argmax()))
-                yield pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(picked, pa.int32())], names=["fid", "cluster"])
-
-        known = known.unionByName(rows.mapInArrow(choose, "fid long, cluster int")).checkpoint()
+                column, rows = batch.column("s"), batch.num_rows
+                side, k, c = (e.to_numpy(zero_copy_only=False) for e in column.flatten().flatten())
+                c = c.astype(float)
+                item = np.repeat(np.arange(rows), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                picked = _changes(shared.value, rows, item, side, k, c).argmax(axis=1).astype(np.int32)
+                to = picked[item]
+                np.add.at(added, (np.where(side == 1, k, to), np.where(side == 0, k, to)), c)
+                yield pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(picked), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.float64())], names=names)
+            i, j = np.nonzero(added)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(added[i, j])], names=names)
+
+        found = written(band.join(seen, "fid", "left").mapInArrow(choose, schema), f"known/band={number}")
+        add(found.where("fid IS NULL").select(F.col("cluster").alias("i"), F.col("k").alias("j"), "c"))
+        new = found.where("fid IS NOT NULL").select("fid", "cluster")
+        add(pairs.where((F.least("x", "y") > done) & (F.col("x") != F.col("y"))).join(new.toDF("x", "i"), "x").join(new.toDF("y", "j"), "y").select("i", "j", "c"))
+        shared.unpersist()
         done *= 2
-    bits = paths(matrix(known)) if size else []
+    bits = paths(counts) if size else []
     names = spark.createDataFrame(list(enumerate(bits)), "cluster int, path string")  # a row a cluster
+    known = spark.read.schema(schema).parquet(*[f"{folder}/known/band={b}" for b in range(number + 1)]).where("fid IS NOT NULL").select("fid", "cluster")
     return known.join(ids, "fid").join(names, "cluster").select(F.col("fname").alias("tok"), "cluster", "path")

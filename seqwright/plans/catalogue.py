@@ -240,8 +240,9 @@ def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the words of all part names."""
-    return cluster.clusters(tokens(_read(spark, sf_dir, "part"), doc_id="p_partkey", text="p_name"), 8)
+    """Clusters of the words of all documents."""
+    docs = _read(spark, sf_dir, "documents").repartition("doc_id")  # texts are dealt by document, rather than their tokens
+    return cluster.clusters(tokens(docs), 32)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

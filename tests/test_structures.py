@@ -87,3 +87,29 @@ def test_clusters_keep_like_words_together(spark, tmp_path):
     assert len(found) == 8 and len({r.cluster for r in found.values()}) == 4
     assert {r.path[0] for w, r in found.items() if w[0] == "a"} != {r.path[0] for w, r in found.items() if w[0] == "b"}
     assert len({r.path[0] for w, r in found.items() if w[0] == "a"}) == 1
+
+
+def test_changes_equal_change():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 9, (5, 5)).astype(float)
+    side, item, k = np.nonzero(rng.integers(0, 3, (3, 7, 5)).clip(0, 1) * [[[1]], [[1]], [[0]]])
+    c = rng.integers(1, 9, len(k)).astype(float)
+    side, item, k, c = np.append(side, 2), np.append(item, 3), np.append(k, 0), np.append(c, 4.0)
+    order = np.argsort(item, kind="stable")
+    found = cluster._changes(counts, 8, item[order], side[order], k[order], c[order])
+    for i in range(8):  # the last has no neighbours
+        near = np.zeros((3, 5))
+        near[side[item == i], k[item == i]] = c[item == i]
+        own, total = near[2, 0], counts.sum() + near.sum()
+        assert np.allclose(found[i] / total, cluster._change(counts, near[0], near[1], own, near[0].sum() + own, near[1].sum() + own, total))
+
+
+def test_registered_clusters_hold_every_document_word(spark, tmp_path):
+    from seqwright.plans import catalogue
+
+    text = ["c0 " + " ".join(f"w{(d * 7 + i * i) % 90}" for i in range(40)) for d in range(30)] + [None, ""]
+    spark.createDataFrame([(d, t) for d, t in enumerate(text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "tiny part")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.word_clusters(spark, str(tmp_path)).collect()
+    assert sorted(r.tok for r in found) == sorted({w for t in text if t for w in t.split()})
+    assert len({r.cluster for r in found}) == len({r.path for r in found}) <= 32
