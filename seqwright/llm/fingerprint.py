@@ -3,8 +3,8 @@
 A sketch keeps the hash of every 5-word shingle that lies below a fixed fraction
 of the hash range, so its size follows the document's. Sketches of parts merge by
 union, and a small document's containment in a large one is the share of its kept
-hashes that the large one keeps too. Hashes are 32 bits of those below the
-threshold.
+hashes that the large one keeps too. Hashes are the upper 32 bits. A short text
+may keep none; where both texts are at hand, likeness is that of all hashes.
 
 Texts of fewer words are one shingle, texts without words have none. Null texts
 count as empty. Two empty sketches are alike only if the texts are equal, which
@@ -26,39 +26,40 @@ from seqwright.llm.common import chosen, table
 
 SHINGLE_WORDS = 5
 #: One hash in so many is kept: a power of two.
-SCALE = 8
+SCALE = 2
 #: Documents in a stretch of ids, about, when each document meets the next.
 ROWS_TOGETHER = 1 << 14
 _LEAST = -(1 << 63)
 
 
 class Sketches:
-    """The sketches of some texts: keys ``text << 32 | code`` in order, shingle counts and text hashes."""
+    """Some texts: all their keys ``text << 32 | code`` in order, those that sketches keep, shingle counts and text hashes."""
 
     def __init__(self, column: pa.Array):
         self.n = len(column)
         keys, counts, marks = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        shift = np.uint64(64 - 32 - (SCALE.bit_length() - 1))
         for low, high, data, offsets in kernels.chunks(column):
             hashes, at = kernels.shingles(data, offsets, SHINGLE_WORDS, lower=False)
             owner = np.repeat(np.arange(low, high, dtype=np.uint64), np.diff(at))
-            kept = hashes < np.uint64(1 << 64 - (SCALE.bit_length() - 1))
-            keys.append(np.unique(owner[kept] << np.uint64(32) | hashes[kept] >> shift))
+            keys.append(np.unique(owner << np.uint64(32) | hashes >> np.uint64(32)))
             counts.append(np.diff(at))
             marks.append(kernels.span_hashes(data, offsets[:-1], offsets[1:]))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         self.counts, self.marks = np.concatenate(counts), np.concatenate(marks)
-        self.ends = np.searchsorted(self.keys, np.arange(self.n + 1, dtype=np.uint64) << np.uint64(32))
+        starts = np.arange(self.n + 1, dtype=np.uint64) << np.uint64(32)
+        self.ends = np.searchsorted(self.keys, starts)
+        self.kept = self.keys[(self.keys & np.uint64(0xFFFFFFFF)) < np.uint64((1 << 32) // SCALE)]
+        self.kept_ends = np.searchsorted(self.kept, starts)
 
     def texts(self) -> list[str]:
         """The fingerprints as text: shingle count, hash of the text, then the codes, 8 hexadecimal digits each."""
-        raw = self.keys.astype(">u4").tobytes()
-        ends = self.ends.tolist()
+        raw = self.kept.astype(">u4").tobytes()
+        ends = self.kept_ends.tolist()
         return [f"{n:x}.{m:016x}.{raw[4 * i : 4 * j].hex()}" for n, m, i, j in zip(self.counts.tolist(), self.marks.tolist(), ends, ends[1:], strict=False)]
 
 
 def likeness(a: Sketches, rows_a: np.ndarray, b: Sketches, rows_b: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of text rows_a[i] of ``a`` and rows_b[i] of ``b``."""
+    """The Jaccard similarity, over all hashes, of text rows_a[i] of ``a`` and rows_b[i] of ``b``."""
     size_a, size_b = np.diff(a.ends)[rows_a], np.diff(b.ends)[rows_b]
 
     def picked(s: Sketches, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = Sketches(batch.column("text"))
-            codes = pa.LargeListArray.from_arrays(pa.array(s.ends), pa.array((s.keys & np.uint64(0xFFFFFFFF)).astype(np.int64))).cast(pa.list_(pa.int64()))
+            codes = pa.LargeListArray.from_arrays(pa.array(s.kept_ends), pa.array((s.kept & np.uint64(0xFFFFFFFF)).astype(np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.counts), codes, pa.array(s.texts(), pa.string())], names=["doc_id", "n_shingles", "codes", "fingerprint"])
 
     source = chosen(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))

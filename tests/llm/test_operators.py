@@ -243,6 +243,28 @@ def test_fingerprints(spark, texts, monkeypatch):
     assert np.mean([r.near_edited for r in got]) > 0.2 and np.mean([r.near_next for r in got]) < 0.05
 
 
+def test_fingerprint_likeness_equals_exact_jaccard(spark):
+    def shingled(text):
+        words = WORD.findall(text)
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    def jaccard_of(a, b):
+        x, y = shingled(a), shingled(b)
+        return len(x & y) / len(x | y) if x | y else float(a == b)
+
+    rng = random.Random(6)
+    own = {d: " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 5, 7, 9, 20, 60, 400]))) for d in range(150)}
+    for d in range(0, 150, 3):
+        own[d] = own[d + 1] + " x"  # the next row's text, nearly
+    after = dict(zip(range(149, -1, -1), [*range(148, -1, -1), 149], strict=True))
+    got = fingerprint.edit_digests(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    assert len(got) == 150
+    for r in got:
+        text, following = own[r.doc_id], own[after[r.doc_id]]
+        assert abs(r.near_edited - jaccard_of(text, fingerprint.halves(text, following))) < 1e-3
+        assert abs(r.near_next - jaccard_of(text, following)) < 1e-3
+
+
 def test_fingerprint_odd_rows_and_containment(spark):
     got = fingerprint.edit_digests(odd(spark).select("doc_id", "text")).collect()
     assert len(got) == len(ODD) and len({r.fingerprint for r in got if r.doc_id in (6, 7)}) == 1
