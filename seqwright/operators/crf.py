@@ -117,7 +117,7 @@ def term(labels: int):
     return one
 
 
-def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 50, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
+def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
     """Train by L-BFGS, or by ``method="sgd"`` (averaged over tasks, with an optional L1 penalty). Sequences without any label teach nothing."""
     rows = seqs.where(F.exists("y", lambda v: v.isNotNull())).select("y", "fids", "vals").persist(StorageLevel.MEMORY_AND_DISK)
     n = len(labels)

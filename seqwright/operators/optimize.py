@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
-def summed(rows: DataFrame, term: Callable[[dict, np.ndarray, np.ndarray], float], x: np.ndarray) -> tuple[float, np.ndarray]:
+def summed(rows: DataFrame, term: Callable[..., float], x: np.ndarray, *, whole: bool = False) -> tuple[float, np.ndarray]:
     """Loss and gradient at ``x`` summed over all rows.
 
-    ``term(row, x, grad)`` adds a row's gradient to ``grad`` and returns its loss.
+    ``term(row, x, grad)`` adds a row's gradient to ``grad`` and returns its loss; with ``whole``, that of a record batch.
     A task sums its own rows and yields what is not zero; Spark adds the tasks'
     sums by parameter, so the driver gets one number a parameter at most.
     """
@@ -25,18 +25,17 @@ def summed(rows: DataFrame, term: Callable[[dict, np.ndarray, np.ndarray], float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grad, loss = np.zeros(len(shared.value)), 0.0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in [batch] if whole else batch.to_pylist():
                 loss += term(row, shared.value, grad)
         at = np.flatnonzero(grad)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(grad[at], loss))], names=["at", "g"])
 
-    found = rows.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).toPandas()
+    found = rows.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).toArrow()
     shared.unpersist()
-    loss = float(found.loc[found["at"] < 0, "g"].sum())
+    at, g = found.column("at").to_numpy(), found.column("g").to_numpy()
     grad = np.zeros(len(x))
-    found = found[found["at"] >= 0]
-    grad[found["at"].to_numpy()] = found["g"].to_numpy()
-    return loss, grad
+    grad[at[at >= 0]] = g[at >= 0]
+    return float(g[at < 0].sum()), grad
 
 
 def with_prior(objective: Objective, deviation: float) -> Objective:

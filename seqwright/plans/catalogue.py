@@ -209,8 +209,8 @@ def _event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = _event_tokens(spark, sf_dir)
     labels = sorted(r[0] for r in toks.select("label").where("label IS NOT NULL").distinct().collect())
-    seqs = crf.sequences(toks, labels, buckets=256)
-    return crf.decode(seqs, crf.fit(seqs, labels, buckets=256, steps=5))
+    seqs = crf.sequences(toks, labels)
+    return crf.decode(seqs, crf.fit(seqs, labels))
 
 
 def maxent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def maxent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\S+"), F.lit(0)))
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    return maxent.predict(docs, maxent.fit(docs.join(labels, "id"), steps=10))
+    return maxent.predict(docs, maxent.fit(docs.join(labels, "id")))
 
 
 def plain_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,40 @@ def test_specification(spark):
     assert spec.edge_names(text) == ["e"]
     with pytest.raises(ValueError):
         spec.features(toks, "a as noFn;")
+
+
+def test_maxent_keeps_words_apart_and_ends_at_the_optimum(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "xy"[i % 2], {f"own{i}": 1.0, **{f"w{w}": 1.0 for w in rng.integers(0, 9, 3)}}) for i in range(40)] + [(40, None, {"unseen": 1.0})]
+    rows = spark.createDataFrame(rows, "id int, label string, feats map<string,double>")
+    model = maxent.fit(rows)
+    assert len(model.keys) == len({f for r in rows.where("label IS NOT NULL").collect() for f in r.feats}) + 1
+    want = np.zeros_like(model.weights)
+    at = {k: i for i, k in enumerate(model.keys.tolist())}
+    # At the optimum the weights equal the prior's variance times the residuals of their features.
+    for r in maxent._hashed(rows.where("label IS NOT NULL"), None).collect():
+        s = sum(model.weights[at[f]] for f in r.fids)
+        miss = np.eye(2)["xy".index(r.label)] - np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        for f in r.fids:
+            want[at[f]] += miss
+    assert np.allclose(model.weights, want, atol=0.02)
+    assert maxent.predict(rows, model).count() == 41
+
+
+def test_registered_models_train_until_convergence(spark, monkeypatch):
+    from seqwright.plans import catalogue
+
+    ends = []
+
+    def seen(objective, start, *, steps=200, **how):
+        x = lbfgs(objective, start, steps=steps, **how)
+        ends.append((steps, objective(x)[0], objective(lbfgs(objective, x, steps=3, **how))[0]))
+        return x
+
+    lbfgs = optimize.lbfgs
+    monkeypatch.setattr(optimize, "lbfgs", seen)
+    for name in ("crf_events", "maxent_quality"):
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(ends) == 2
+    for steps, value, further in ends:
+        assert steps == 200 and value - further <= 1e-3 * abs(value)
