@@ -3,7 +3,8 @@
 A row is a sequence: fids and vals (an array a position) and y (label numbers,
 null where unknown). Parameters are state weights (buckets, labels) and
 transitions (labels, labels), one bounded vector. One sequence is one row; the
-sources end sequences at sentences or 4,000 tokens, so a row stays small.
+sources end sequences at marks, lines or days only, so that a long text without
+any is one long row.
 """
 
 from __future__ import annotations
