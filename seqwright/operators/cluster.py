@@ -12,8 +12,6 @@ bigram is read into counts once, in the band of its rarer word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwright.operators.convert import feature_numbers
+from seqwright.scratch import new_path
 
 
 def _information(n: np.ndarray, left: np.ndarray, right: np.ndarray, total: float) -> np.ndarray:
@@ -113,9 +112,7 @@ def paths(counts: np.ndarray) -> list[str]:
 def clusters(toks: DataFrame, n: int) -> DataFrame:
     """tok, cluster and path of every token of the table (doc_id, pos, tok), in at most ``n`` clusters."""
     spark = toks.sparkSession
-    # The cluster's shared folder; one of our own only where it names none, as in tests.
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='seqwright-')}"
-    folder = f"{folder.rstrip('/')}/seqwright-clusters-{uuid.uuid4().hex}"
+    folder = new_path(spark, "clusters")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
