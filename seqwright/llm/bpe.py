@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from seqwright.llm import kernels
 from seqwright.llm.common import chosen, table
 
-#: Entries that a worker remembers of pre-tokens it has merged; it forgets all beyond, which changes no result.
-MEMO = 600_000
+#: Entries, and bytes of their keys, that a worker remembers of pre-tokens it has merged; it forgets all beyond, which changes no result.
+MEMO, MEMO_BYTES = 600_000, 1 << 25
 
 
 class PerfectHash:
@@ -153,12 +153,12 @@ class Codec:
 
     def forget(self) -> None:
         """Empty the memo: the ids of pre-tokens met so far, one after the other, and where each pre-token's are."""
-        self.memo: dict[int, int] = {}
+        self.memo: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.known = 0
+        self.known = self.held = 0
 
-    def learn(self, hashes: list[int], keys: list[bytes]) -> None:
+    def learn(self, keys: list[bytes]) -> None:
         """Put the ids of new pre-tokens into the memo: the perfect hash first, the heap for the rest."""
         ids = [[rank] if rank >= 0 else self.merged(key) for key, rank in zip(keys, self.table.find(keys), strict=True)]
         used = int(self.ends[self.known - 1]) if self.known else 0
@@ -169,8 +169,9 @@ class Codec:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[used : after[-1]] = list(itertools.chain.from_iterable(ids))
         self.ends[self.known : self.known + len(ids)] = after
-        self.memo.update(zip(hashes, range(self.known, self.known + len(ids)), strict=True))
+        self.memo.update(zip(keys, range(self.known, self.known + len(ids)), strict=True))
         self.known += len(ids)
+        self.held += sum(map(len, keys))
 
     def merged(self, key: bytes) -> list[int]:
         return merge(key, self.ranks)
@@ -178,28 +179,25 @@ class Codec:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in ``data`` as uint32, and where each text's begin and end.
 
-        Pre-tokens are told apart by 64-bit hashes, so only those that the memo
-        lacks are looked at one by one.
+        Only pre-tokens that the memo lacks are looked up in the two tiers.
         """
         starts, ends = kernels.pretokens(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes, first, place = np.unique(kernels.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if self.known + len(hashes) > MEMO:
+        raw = data.tobytes()
+        keys = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = [k for k in dict.fromkeys(keys) if k not in self.memo]
+        if new and (self.known + len(new) > MEMO or self.held > MEMO_BYTES):
             self.forget()
-        own = hashes.tolist()
-        at = np.fromiter(map(self.memo.get, own, itertools.repeat(-1)), np.int64, len(own))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            raw = data.tobytes()
-            keys = [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            at[new] = np.arange(self.known, self.known + len(new))
-            self.learn(hashes[new].tolist(), keys)
+            new = list(dict.fromkeys(keys))
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
         stop = self.ends[at]
         begin = np.where(at > 0, self.ends[at - 1], 0)
-        count = (stop - begin)[place]
+        count = stop - begin
         after = np.cumsum(count)
-        ids = self.flat[np.repeat(begin[place] - (after - count), count) + np.arange(after[-1])]
+        ids = self.flat[np.repeat(begin - (after - count), count) + np.arange(after[-1])]
         return ids, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> bytes:

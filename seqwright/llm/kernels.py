@@ -7,6 +7,7 @@ longest single text, not the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,16 @@ import regex
 #: Bytes of text that a kernel looks at together; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(20240601)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SLOT = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
+#: Which bytes of an 8-byte block belong to a span, if so many are left of it.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,17 +37,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the rolling-hash base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        out = []
-        for base in (_P, _P_INV):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The little-endian number that the 8 bytes from each place on make; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +83,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span: a polynomial modulo 2**64 over random byte values, then mixed."""
+    """A 64-bit hash of each byte span.
+
+    A bijection mixes one 8-byte block after the other into the length, so spans
+    of one length up to 8 bytes never collide and no sums or products are left
+    that a text's own pattern could cancel; long spans take BLAKE2b.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    table = _BYTE[_ASCII_LOWER] if lower else _BYTE
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _SLOT[63])
+    folded = _ASCII_LOWER[data] if lower else data
+    block, length = blocks(folded), ends - starts
+    found = mix(length.astype(np.uint64) * _SLOT[63] + _SLOT[62])
+    live = np.flatnonzero(length <= _LONG)
+    for done in range(0, _LONG, 8):
+        live = live[length[live] > done]
+        if not len(live):
+            break
+        own = block[starts[live] + done] & _MASKS[np.minimum(length[live] - done, 8)]
+        found[live] = mix(found[live] ^ own)
+    for i in np.flatnonzero(length > _LONG).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return found
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -129,40 +136,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True)
     return found, np.searchsorted(owner, np.arange(len(per_text) + 1))
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte n-grams inside each text, and the text that each belongs to."""
-    if len(data) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = _BYTE[data]
-    m = len(data) - n + 1
-    whole = np.zeros(m, np.uint64)
-    for j in range(n):
-        whole += value[j : j + m] * _SLOT[j + 8]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = text[:m] == text[n - 1 :]
-    return mix(whole[inside] + np.uint64(n)), text[:m][inside]
-
-
-def rebatch(schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
-    """A record batch from Python lists or numpy arrays."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+_TABULATION = _RNG.integers(0, 1 << 32, (8, 256), dtype=np.uint32)
 
 
-_TABULATION = _RNG.integers(0, 1 << 32, (8, 256), dtype=np.uint32)
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts, and each text's range among them."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.uint32)
+    points = first.copy()
+    wide = np.flatnonzero(first >= 0xC0)
+    if len(wide):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        n = 2 + (first[wide] >= 0xE0) + (first[wide] >= 0xF0)
+        value = first[wide] & (0x7F >> n).astype(np.uint32)
+        for j in range(1, 4):
+            more = n > j
+            value[more] = value[more] << np.uint32(6) | padded[lead[wide[more]] + j] & np.uint32(0x3F)
+        points[wide] = value
+    return points, np.searchsorted(lead, offsets)
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray, sizes: range, bits: int, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each gram length: (codes of ``bits`` bits, start positions) of the byte grams inside the texts.
+def gram_codes(data: np.ndarray, offsets: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each gram length: (codes of ``bits`` bits, start positions) of the grams of bytes (uint8) or code points (uint32) inside the texts.
 
-    Tabulation hashes: longer grams extend the sums of shorter ones.
+    Longer grams extend the sums of shorter ones; a byte's terms are from a
+    table, a code point's are multiples of its own hash.
     """
-    folded = _ASCII_LOWER[data] if lower else data
     total = np.zeros(len(data), np.uint32)
+    if data.dtype != np.uint8:
+        data = data * np.uint32(0x9E3779B1)
+        data ^= data >> np.uint32(15)
     for n in range(1, sizes.stop):
         m = len(data) - n + 1
         if m <= 0:
             return
-        total = total[:m] + _TABULATION[n - 1][folded[n - 1 :]]
+        total = total[:m] + (_TABULATION[n - 1][data[n - 1 :]] if data.dtype == np.uint8 else data[n - 1 :] * (_TABULATION[n - 1, 0] | np.uint32(1)))
         if n in sizes:
             inside = np.ones(m, bool)
             for back in range(1, n):  # a text's last n-1 positions start no gram
