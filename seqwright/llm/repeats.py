@@ -1,34 +1,48 @@
 """Removing long repeated byte strings by merged Burrows-Wheeler transforms.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
-else. Every such string is dealt to the place where all its copies meet by an
-anchor, the 32-byte gram of least hash in it, which depends on its bytes alone;
-neighbouring strings of one anchor travel together as a segment. Anchors that
-occur once are done with. Segments of equal bytes become one with a count.
-Where an anchor has different segments, their Burrows-Wheeler transforms are
-built shard by shard and merged: the interleave of the shards' suffixes is
-refined from one depth to about twice the depth by following the transforms'
-own next-suffix maps, so that suffixes are merged and never sorted again. A
-boundary that appears at a depth bounds the common prefix there, and what is
-still together at ``length`` is a repeated interval.
-
-Matches never cross texts. Null and empty texts have no bytes. Rows of equal text
-are copies of each other, so repeated rows lose all bytes from ``length`` on.
+else. Rows of equal text are made one first. Every string is dealt to the place
+where all its copies meet by an anchor, the 32-byte gram of least hash in it,
+which depends on its bytes alone; neighbouring strings of one anchor travel
+together as a segment. Anchors that occur once are done with. Segments of equal
+bytes become one with a count.
+
+An anchor with many different segments is split, exactly: its strings hold the
+anchor at an offset from 0 to length - 32, so those of either half of the
+offsets share a longer core around it, and the core's bytes and the half are
+their new key. A key that is still large is split by the next halves; at last
+the core is the whole string, of which there is one. So no task sees more than
+about HOT_BYTES of one key.
+
+Where a key has different segments, their Burrows-Wheeler transforms are built
+shard by shard and merged: the interleave of the shards' suffixes is refined
+from one depth to twice the depth by following the transforms' own next-suffix
+maps, so that suffixes are merged and never sorted anew. The ranks of each depth
+give the exact common prefix of neighbouring suffixes, and suffixes between
+common prefixes of ``length`` are a repeated interval.
+
+Matches never cross texts. Null and empty texts have no bytes. Repeated rows and
+rows of equal text are copies of each other, so they lose all bytes if they have
+``length`` or more. Texts are told apart by 96 bits of their SHA-256 digest,
+segments of a key by 64 bits of a BLAKE2b digest. Empty tables give empty
+results; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwright.llm import kernels
-from seqwright.llm.common import chosen, table, written
+from seqwright.llm.common import chosen, table
 from seqwright.llm.jaccard import runs
+from seqwright.scratch import discard, new_path, written
 
 LENGTH = 200
 GRAM = 32
@@ -36,7 +50,8 @@ GRAM = 32
 PIECE = 1 << 22
 #: Bytes of segments in a shard, and in the shards that are merged with each other.
 SHARD_BYTES, MERGE_BYTES = 1 << 17, 1 << 20
-_FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of different segments beyond which a key is split.
+HOT_BYTES = 1 << 20
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -49,15 +64,19 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
 
 
+def digest(data: bytes) -> int:
+    """A signed 64-bit number from a BLAKE2b digest."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """The segments of the texts: text, anchor hash, content hash, first window start (in ``data``) and number of windows."""
-    if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
-    up, down = kernels.powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(kernels._BYTE[data] * up, out=total[1:])
+    """The segments of the texts: text, hash of the anchor, content, first window start (in ``data``), number of windows, and the anchor's offset from the first window."""
     n = len(data) - GRAM + 1
-    grams = kernels.mix((total[GRAM:] - total[:-GRAM]) * down[:n])
+    if len(data) < length:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    block = kernels.blocks(data)
+    # Equal hashes of different grams change which windows meet, not which are equal.
+    grams = kernels.mix(sum(block[k * 8 : k * 8 + n] * kernels._SLOT[k] for k in range(GRAM // 8)) + kernels._SLOT[8])
     bits = np.uint64(24)
     keys = grams >> bits << bits | np.arange(n, dtype=np.uint64)
     least = sliding_least(keys, length - GRAM + 1)
@@ -74,32 +93,63 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     low = start[first]
-    high = low + count + length - 1
-    content = kernels.mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64) * kernels._SLOT[0] + (own[first] - low).astype(np.uint64) * kernels._SLOT[1])
-    return text[first], grams[own[first]].astype(np.int64), content.astype(np.int64), low, count
+    raw = data.tobytes()
+    content = np.fromiter((digest(raw[i:j]) for i, j in zip(low.tolist(), (low + count + length - 1).tolist(), strict=True)), np.int64, len(low))
+    return text[first], grams[own[first]].astype(np.int64), content, low, count, own[first] - low
+
+
+#: A segment: its key, content, text, first window, windows, the anchor's offset from the first window, and the offsets that the key is for.
+SEGMENT = "key long, content long, t binary, start long, windows int, at int, low int, high int"
+_NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 
 
 def segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, content, t (the text's hash), start and windows of every segment; ``docs`` has t and text."""
+    """Every segment of ``docs`` (t, text), keyed by its anchor."""
 
-    def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if len(offsets) > 2 or len(data) <= PIECE + length:
-            yield 0, 0, data, offsets
+            yield 0, data, offsets
             return
         for low in range(0, len(data) - length + 1, PIECE):
             part = data[low : low + PIECE + length - 1]
-            yield 0, low, part, np.array([0, len(part)])
+            yield low, part, np.array([0, len(part)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column("t").to_numpy()
+            t = batch.column("t")
             for first, _, data, offsets in kernels.chunks(batch.column("text")):
-                for _, shift, part, ends in pieces(data, offsets):
-                    text, anchor, content, low, count = segments(part, ends, length)
-                    own = low - ends[text] + shift
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(t[first + text]), pa.array(own), pa.array(count)], names=["anchor", "content", "t", "start", "windows"])
+                for shift, part, ends in pieces(data, offsets):
+                    text, key, content, low, count, at = segments(part, ends, length)
+                    n = len(key)
+                    arrays = [pa.array(key), pa.array(content), t.take(pa.array(first + text)), pa.array(low - ends[text] + shift)]
+                    arrays += [pa.array(x.astype(np.int32)) for x in (count, at, np.zeros(n), np.full(n, length - GRAM))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
-    return docs.select("t", "text").mapInArrow(run, "anchor long, content long, t long, start long, windows long")
+    return docs.select("t", "text").mapInArrow(run, SEGMENT)
+
+
+def split_rows(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The windows of ``rows`` as segments of one half of the offsets each, keyed by the half and the core that its windows share."""
+    own = rows.groupBy("t").agg(F.collect_list(F.struct("start", "windows", "at", "low", "high")).alias("own"))
+    texts = docs.join(own, "t").select("t", F.col("text").cast("binary").alias("raw"), "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                raw, found = batch.column("raw")[k].as_py(), []
+                for s in batch.column("own")[k].as_py():
+                    anchor, middle = s["start"] + s["at"], (s["low"] + s["high"]) // 2
+                    for low, high in ((s["low"], middle), (middle + 1, s["high"])):
+                        first, last = max(s["start"], anchor - high), min(s["start"] + s["windows"] - 1, anchor - low)
+                        if first <= last:
+                            key = digest(raw[anchor - low : anchor - high + length] + bytes((low, high)))
+                            found.append((key, digest(raw[first : last + length]), first, last - first + 1, anchor - first, low, high))
+                t = pa.array([batch.column("t")[k].as_py()] * len(found), pa.binary())
+                columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 7
+                longs = [pa.array(c, pa.int64()) for c in columns[:3]]
+                yield pa.RecordBatch.from_arrays([*longs[:2], t, longs[2], *(pa.array(c, pa.int32()) for c in columns[3:])], names=_NAMES)
+
+    return texts.mapInArrow(run, SEGMENT)
 
 
 class Shard:
@@ -146,10 +196,11 @@ class Shard:
 
 
 def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shards' suffixes in one order, as numbers of shard after shard; the depth to which each is known to agree with the one before; and the number of each one's interval of suffixes that agree on ``length`` symbols.
+    """The shards' suffixes in one order, as numbers of shard after shard; the symbols, up to ``length``, that each shares with the one before; and the number of each one's interval of suffixes that share ``length`` symbols.
 
-    Works on the transforms alone. ``following`` maps a suffix to the one that
-    starts one symbol later; composed with itself, to the one ``depth`` later.
+    Works on the transforms alone. ``step`` maps a suffix to the one that starts
+    ``depth`` symbols later; suffixes that have met their end mark by then differ
+    from all others.
     """
     first, following, base = [], [], 0
     for s in shards:
@@ -159,44 +210,44 @@ def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.nda
         base += len(to)
     symbol, one = np.concatenate(first), np.concatenate(following)
     n = len(symbol)
-    depth = 6
-    key, at, ended = np.zeros(n, np.int64), np.arange(n, dtype=np.int32), np.zeros(n, bool)
-    for _ in range(depth):
-        key = key << 9 | np.where(ended, 0, symbol[at])
-        ended |= symbol[at] == 0
-        at = one[at]
-    step = at  # depth symbols on
-    eight = one[one[step]]
-    # Suffixes that have met their end mark differ from all others.
+    key, step, ended = np.zeros(n, np.int64), np.arange(n, dtype=np.int32), np.zeros(n, bool)
+    levels = []  # (depth, a number for the first ``depth`` symbols, the suffix that many symbols later)
+    for depth in range(1, 5):
+        key = key << 9 | np.where(ended, 0, symbol[step])
+        ended |= symbol[step] == 0
+        step = one[step]
+        if depth < 4 and depth != 3:
+            levels.append((depth, np.where(ended, -1 - np.arange(n), key), step))
     order = np.lexsort((np.where(ended, np.arange(n), -1), key))
-    agree = np.zeros(n, np.int32)
-    rank = np.empty(n, np.int32)
-
-    def refined(order: np.ndarray, new: np.ndarray, known: int) -> None:
-        fresh = new & ~was
-        agree[fresh] = known
-        rank[order] = np.cumsum(new) - 1
-        was[:] = new
-
-    was = np.zeros(n, bool)
+    sorted_key, sorted_end = key[order], ended[order]
     new = np.ones(n, bool)
-    sorted_key = key[order]
-    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ended[order][1:] | ended[order][:-1]
-    refined(order, new, 0)
-    while depth < length:
+    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | sorted_end[1:] | sorted_end[:-1]
+    while True:
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new) - 1
+        if depth & (depth - 1) == 0:
+            levels.append((depth, rank, step))
+        if depth >= length:
+            break
         by = min(depth, length - depth)
-        jump = step if by == depth else eight if by == 8 else _jump(one, by)
+        jump = step if by == depth else _jump(one, by)
         pair = rank.astype(np.int64) * n + rank[jump]
         order = np.argsort(pair, kind="stable")  # merges the shards' runs, which are in order already
         sorted_key = pair[order]
         new = np.ones(n, bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
-        refined(order, new, depth)
         depth += by
-        if 2 * depth <= length:
-            step = step[step]
-    agree[~was] = length
-    return order, agree, rank
+        step = step[step] if depth & (depth - 1) == 0 else step
+    common = np.zeros(n, np.int32)
+    x, y = order[:-1], order[1:]
+    for width, code, to in reversed(levels):
+        same = code[x] == code[y]
+        common[1:] += same * np.int32(width)
+        x, y = np.where(same, to[x], x), np.where(same, to[y], y)
+    np.minimum(common, length, out=common)
+    interval = np.empty(n, np.int32)
+    interval[order] = np.cumsum(common < length) - 1
+    return order, common, interval
 
 
 def _jump(one: np.ndarray, by: int) -> np.ndarray:
@@ -239,20 +290,36 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, counts: np.ndarr
     return found
 
 
+def often(rows: DataFrame) -> DataFrame:
+    """The segments whose key occurs more than once."""
+    known = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(rows.join(known.select("key"), "key").select(*_NAMES), "repeats-met")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t, spans (array of start and end, of bytes to remove, in order and apart) of each text that has any; ``docs`` has t and text."""
+    """t, spans (array of start and end, of bytes to remove, in order and apart) of each text that has any; ``docs`` has t and text, no t twice."""
     rows = written(segment_rows(docs, length), "repeats-segments")
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(rows.join(often.select("anchor"), "anchor"), "repeats-met")
-    kinds = met.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.first("t").alias("t"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    kinds = written(kinds, "repeats-kinds")
-    various = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    told = kinds.join(various, "anchor")
-    alone = told.where("kinds = 1 AND copies > 1").select("anchor", "content", F.array(F.lit(0).cast("int"), F.col("windows").cast("int")).alias("runs"))
-    wanted = told.where("kinds > 1").groupBy("t").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "windows")).alias("own"))
-    texts = docs.select("t", "text").join(wanted, "t").dropDuplicates(["t"])
-    cut = F.transform("own", lambda x: F.struct(x["anchor"].alias("anchor"), x["content"].alias("content"), x["copies"].alias("copies"), x["windows"].alias("windows"), F.substring(F.col("text").cast("binary"), (x["start"] + 1).cast("int"), (x["windows"] + length - 1).cast("int")).alias("bytes")))
-    strings = texts.select(F.explode(cut).alias("x")).select("x.*").repartition("anchor").sortWithinPartitions("anchor", "content")
+    met = often(rows)
+    discard(rows)
+    places, alone, various = [], [], []
+    while True:
+        kinds = met.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min_by(F.struct("t", "start"), F.struct("t", "start")).alias("at"), F.first("windows").alias("windows"))
+        kinds = written(kinds.select("key", "content", "copies", "at.t", "at.start", "windows"), "repeats-kinds")
+        sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
+        hot = written(sizes.where((F.col("kinds") > 1) & (F.col("bytes") > HOT_BYTES)).select("key"), "repeats-hot")
+        told = kinds.join(sizes, "key")
+        alone.append(told.where("kinds = 1 AND copies > 1").select("key", "content", F.array(F.lit(0), F.col("windows")).alias("runs")))
+        various.append(told.where((F.col("kinds") > 1) & (F.col("bytes") <= HOT_BYTES)).select("key", "content", "copies", "t", "start", "windows"))
+        places.append(met)
+        if hot.isEmpty():
+            break
+        halves = written(split_rows(met.join(hot, "key", "left_semi"), docs, length), "repeats-split")
+        met = often(halves)
+        discard(halves)
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    wanted = union(various).groupBy("t").agg(F.collect_list(F.struct("key", "content", "copies", "start", "windows")).alias("own"))
+    cut = F.transform("own", lambda x: F.struct(x["key"].alias("key"), x["content"].alias("content"), x["copies"].alias("copies"), x["windows"].alias("windows"), F.substring(F.col("text").cast("binary"), (x["start"] + 1).cast("int"), (x["windows"] + length - 1).cast("int")).alias("bytes")))
+    strings = docs.join(wanted, "t").select(F.explode(cut).alias("x")).select("x.*").repartition("key").sortWithinPartitions("key", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -261,9 +328,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def done() -> pa.RecordBatch:
             whole = pa.concat_batches(held)
             found = repeated_windows(whole.column("bytes").to_pylist(), whole.column("windows").to_numpy(), whole.column("copies").to_numpy(), length)
-            return pa.RecordBatch.from_arrays([whole.column("anchor"), whole.column("content"), pa.array(found, pa.list_(pa.int32()))], names=["anchor", "content", "runs"])
+            return pa.RecordBatch.from_arrays([whole.column("key"), whole.column("content"), pa.array(found, pa.list_(pa.int32()))], names=["key", "content", "runs"])
 
-        for _, group in runs(batches, ["anchor"]):
+        for _, group in runs(batches, ["key"]):
             held.append(group)
             size += group.nbytes
             if size >= MERGE_BYTES:
@@ -272,18 +339,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield done()
 
-    merged = strings.mapInArrow(work, "anchor long, content long, runs array<int>").where(F.size("runs") > 0)
-    told = written(alone.unionByName(merged), "repeats-runs")
-    places = met.select("anchor", "content", "t", "start").distinct().join(told, ["anchor", "content"])
+    merged = strings.mapInArrow(work, "key long, content long, runs array<int>").where(F.size("runs") > 0)
+    told = written(union(alone).unionByName(merged), "repeats-runs")
+    found = union(places).select("key", "content", "t", "start").join(told, ["key", "content"])
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("runs", i)).alias("low"), (F.col("start") + F.get("runs", i + 1) + length - 1).alias("high")))
-    spans = places.select("t", F.explode(pairs).alias("span"))
+    spans = found.select("t", F.explode(pairs).alias("span"))
     return spans.groupBy("t").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def cut_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (with text and further columns), t and spans, which is null where nothing repeats."""
-    keyed = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(repeated_spans(keyed.select("t", "text"), length), "t", "left")
+def text_key(text: str = "text") -> Column:
+    """96 bits of the digest of a text; null is empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 12)
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """t, text and copies of the texts of ``docs``, each once, dealt by t into buckets, so that joins by t move no texts."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(text_key().alias("t"), F.coalesce("text", F.lit("")).alias("text")).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    path = new_path(spark, "repeats-texts")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    found.repartition(buckets, "t").write.bucketBy(buckets, "t").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t, text and spans (null where nothing repeats) of the different texts of ``docs``; all of a text that occurs twice repeats."""
+    own = different_texts(docs)
+    spans = repeated_spans(own.select("t", "text"), length)
+    size = F.octet_length("text")
+    whole = F.when((F.col("copies") > 1) & (size >= length), F.array(F.struct(F.lit(0).cast("long").alias("low"), size.cast("long").alias("high"))))
+    return own.join(spans, "t", "left").select("t", "text", F.coalesce(whole, "spans").alias("spans"))
 
 
 def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -299,15 +385,15 @@ def kept_bytes(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text)."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["t", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            raw = [x.encode() for x in batch.column("text").to_pylist()]
             left = [kept_bytes(x, s) for x, s in zip(raw, batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("t"),
                     pa.array([len(x) for x in raw], pa.int64()),
                     pa.array([len(x) - len(k) for x, (k, _) in zip(raw, left, strict=True)], pa.int64()),
                     pa.array([n for _, n in left], pa.int64()),
@@ -317,23 +403,23 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     own = chosen(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return cut_rows(own, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = cut_texts(own, length).mapInArrow(run, "t binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return own.select("doc_id", text_key().alias("t")).join(found, "t").drop("t")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``; a character that is cut goes whole. ``n_chars``, where there is one, follows the text; all rows and other columns stay."""
+    """``docs`` with the repeated bytes gone from ``text``; a character that is cut goes whole, a null text stays null. ``n_chars``, where there is one, follows the text; all rows and other columns stay."""
     names = docs.columns
     others = [c for c in names if c not in ("text", "n_chars")]
     whole = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
-    rows = docs.select(whole.alias("others"), F.col("text"))
+    rows = docs.select(whole.alias("others"), F.col("text").isNull().alias("none"), text_key().alias("t"))
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        return pd.Series([None if x is None else kept_bytes(x.encode(), s)[0].decode("utf-8", "ignore") for x, s in zip(text, spans, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [x if s is None else kept_bytes(x.encode(), s)[0].decode("utf-8", "ignore") for x, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(left, pa.string())], names=["t", "left"])
 
-    found = cut_rows(rows, length).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    found = rows.join(cut_texts(docs.select("text"), length).mapInArrow(run, "t binary, left string"), "t").withColumn("text", F.when(~F.col("none"), F.col("left")))
     made = {"text": F.col("text")}
     if "n_chars" in names:
         made["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
