@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from seqwright.llm import bpe, chat, fingerprint, jaccard, kernels, mixing, packing, quality, repeats
-from seqwright.llm.common import written
+from seqwright.scratch import written
 from seqwright.llm.language import op2_language_id
 from seqwright.llm.queries import ORACLES, QUERIES
 from seqwright.llm.toxicity import op9_toxicity
@@ -91,6 +91,18 @@ def test_jaccard_chains_and_blocks(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.near_duplicates(rows, words=4, percent=85).collect()} == jaccard_truth(texts, 4, 85)
 
 
+def test_jaccard_one_id_of_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, a + " x")]
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 56, 1): 2, (2, 57, 1): 1, (3, 57, 1): 1, (4, 57, 1): 1})
+
+
+def test_jaccard_codes_that_collide(spark, monkeypatch, docs, texts):
+    monkeypatch.setattr(jaccard, "CODE_BITS", 6)
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == jaccard_truth(texts, 5, 80)
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 7} == {6} and all(r.component_id is None for r in got if r.doc_id is None)
@@ -351,6 +363,24 @@ def test_repeats(spark, docs, texts):
     assert got == dict(zip(texts, repeat_truth(texts.values(), 200), strict=True))
 
 
+def doubling(n, swap=False):
+    """The string a, ab, abba, ... of n characters: sums with powers of odd numbers cannot tell it from its complement."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_doubling_strings_are_told_apart(spark):
+    sizes = (1024, 2048, 4096, 8192)
+    rows = [(2 * k + s, doubling(n, bool(s))) for k, n in enumerate(sizes) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = library()
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(dict(rows)[r.doc_id]) for r in bpe.encode(df).collect())
+    assert len({r.fingerprint for r in fingerprint.edit_digests(df).collect()}) == len(rows)
+    words = [(i, f"one two three {x} five six seven eight nine ten") for i, x in rows]
+    assert {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(words, "doc_id long, text string"), words=4, percent=85).collect()} == jaccard_truth(dict(words), 4, 85)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.removal_digests(df).collect()}
+    assert got == dict(zip([i for i, _ in rows], repeat_truth([t for _, t in rows], 200), strict=True))
+
+
 def test_repeats_small_pieces_and_shards(spark, monkeypatch):
     for name, value in (("PIECE", 700), ("SHARD_BYTES", 400), ("MERGE_BYTES", 2000)):
         monkeypatch.setattr(repeats, name, value)
@@ -372,11 +402,26 @@ def test_merged_order_is_the_suffix_order():
     random.seed(6)
     strings = [bytes(random.choice(b"ab") for _ in range(random.randint(1, 60))) for _ in range(12)]
     shards = [repeats.Shard(np.frombuffer(b"".join(strings[i : i + 4]), np.uint8), np.array([len(s) for s in strings[i : i + 4]])) for i in (0, 4, 8)]
-    order, agree, _ = repeats.merge(shards, 24)
+    order, common, interval = repeats.merge(shards, 24)
     own = np.concatenate([s.string + 4 * k for k, s in enumerate(shards)])[order]
     at = np.concatenate([s.offset for s in shards])[order]
     heads = [strings[s][o : o + 24] for s, o in zip(own, at, strict=True)]
     assert heads == sorted(heads)
+    for k in range(1, len(order)):
+        a, b = heads[k - 1], heads[k]
+        assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert (interval[order[k]] == interval[order[k - 1]]) == (a == b and len(a) == 24)
+
+
+def test_repeats_split_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_BYTES", 3000)
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    passages = [word(60), word(180), word(230)]  # shorter than a string, nearly as long, longer
+    rows = [(i, word(random.randint(0, 200)) + random.choice(passages) + word(random.randint(0, 200))) for i in range(120)]
+    rows += [(i, rows[i % 7][1][:150] + rows[i % 5][1]) for i in range(120, 160)] + [(200, rows[3][1]), (201, rows[3][1])]
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip([i for i, _ in rows], repeat_truth([t for _, t in rows], 200), strict=True))
 
 
 def test_pipeline(spark):
