@@ -7,61 +7,107 @@ documents of a source are shuffled by a hash and cut into blocks of equally many
 words, and slot k of a source is joined with its block k. A source whose target
 exceeds its size starts over; its blocks end at the target, and slots beyond
 stay unused.
+
+Points and interval ends are whole numbers of 62 bits, so that a source of one
+block among 2**40 has its interval. Points stray from even shares by less than
+the logarithm of their number, and each source gets as many slots to spare; a
+block that had none even so would follow all slots, so no words are ever lost.
+
+Null texts have no words, a null source is a source, equal rows are rows of
+their own, empty tables give empty results; further columns play no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqwright.llm.common import chosen, table, written
+from seqwright.llm.common import chosen, table
+from seqwright.scratch import written
 
 BLOCK_WORDS = 256
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-#: Slots that each source gets beyond its blocks: the points stray from even shares by less.
-SPARE_SLOTS = 8
-#: Golden ratio and modulus of the points: t * _STEP mod _CYCLE, without overflow of 64 bits.
-_CYCLE = 1 << 31
-_STEP = 1327217885
+#: Points are whole numbers below 2 ** POINT_BITS; _STEP is that times the golden ratio's inverse, an odd number.
+POINT_BITS = 62
+_STEP = 2850178704830799621
 SLOTS_TOGETHER = 1 << 16
-ROWS_TOGETHER = 1 << 13
+ROWS_TOGETHER = 1 << 10
+
+
+def sums_before(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows before in ``order``, which no two rows share.
+
+    Sums run within ranges of the order and over the ranges' totals, of which
+    there is one a partition.
+    """
+    dealt = written(rows.withColumn("__value", value).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "mixing-ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__range").agg(F.sum("__value").alias("own")).select("__range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("__first"))
+    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    found = dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(starts, "__range")
+    return found.withColumn(name, F.col("__first") + F.col("__inside")).drop("__value", "__range", "__first", "__inside")
 
 
 def targets(sizes: DataFrame, *, share: float = TOTAL_SHARE, repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``sizes`` (source, source_size; a row a source) with weight and target.
+    """``sizes`` (source, source_size; a row a source) with place, weight and target.
 
     Sources in the order of their code points, null last, have the weights in
     turn and share ``share`` times the words of all. A target stops at
-    ``repeats`` times its source's size, and the excess is shared anew: if
-    sources are taken by cap for weight, the level is the largest that remains
-    after any number of them is full.
+    ``repeats`` times its source's size, and the excess is shared anew: the
+    level of words a weight rises, by an aggregate over the sources a round,
+    until no more sources are full.
     """
-    place = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rows = sizes.withColumn("place", F.row_number().over(place) - 1)
+    rows = sums_before(sizes, [F.col("source").isNull(), F.col("source")], F.lit(1), "place")
     rows = rows.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("place"), F.lit(len(weights))))).withColumn("cap", F.col("source_size") * repeats)
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    rows = rows.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    return rows.select("source", "place", "weight", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
+    rows = written(rows, "mixing-sources")
+    total, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, n_full = share * (total or 0) / (weight or 1), 0
+    while True:
+        full = rows.where(F.col("cap") < F.col("weight") * F.lit(level))
+        n, words, heavy = full.agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == n_full or heavy == weight:
+            break
+        level, n_full = (share * total - words) / (weight - heavy), n
+    return rows.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))).drop("cap")
+
+
+def spare_slots(blocks: int) -> int:
+    """Slots beyond its blocks that each source gets: the points stray from even shares by less."""
+    return 8 + blocks.bit_length()
+
+
+def point(slot: Column) -> Column:
+    """slot * _STEP modulo 2 ** 62, for slots below 2 ** 42, without overflow of 64 bits."""
+    high, low = F.shiftright(slot, 21), slot.bitwiseAND((1 << 21) - 1)
+    upper, lower = _STEP >> 31, _STEP & (1 << 31) - 1
+    first = (high * upper % (1 << 31) * (1 << 21) + low * upper) % (1 << 31) * (1 << 31)
+    second = (high * lower % (1 << 41) * (1 << 21) + low * lower) % (1 << 62)
+    return (first + second) % (1 << 62)
+
+
+def intervals(shares: DataFrame, total: int) -> DataFrame:
+    """place, low, high: the points of each source, in proportion to its ``share`` of ``total``."""
+    placed = sums_before(shares, [F.col("place")], F.col("share"), "before")
+    scale = lambda c: F.expr(f"CAST({c} AS DECIMAL(19,0)) * CAST({1 << POINT_BITS} AS DECIMAL(19,0)) DIV CAST({total} AS DECIMAL(19,0))")
+    return placed.select("place", scale("before").alias("low"), scale("before + share").alias("high"))
 
 
-def schedule(spark: SparkSession, plan: DataFrame) -> DataFrame:
-    """slot, place, rank: which source each slot belongs to and the number of the slot within its source.
+def schedule(spark: SparkSession, plan: DataFrame) -> tuple[DataFrame, int]:
+    """slot, place, rank: which source each slot belongs to and the number of the slot within its source; and the number of slots.
 
     ``plan`` has place and blocks. Interval ends are found by an equi-join on
     grid cells, and ranks are counted within stretches of slots first, so no
     task sees all slots of a source.
     """
-    share = plan.where(F.col("blocks") > 0).withColumn("share", F.col("blocks") + SPARE_SLOTS)
-    total, n = share.agg(F.sum("share"), F.count("*")).first()
-    slots = spark.range(total or 0).select(F.col("id").alias("slot"), ((F.col("id") % _CYCLE) * _STEP % _CYCLE).alias("point"))
-    end = F.sum("share").over(Window.orderBy("place"))
-    shift = max(0, 31 - max(1, 4 * (n or 1)).bit_length())  # a grid of four to eight cells a source
-    scale = lambda c: F.floor(c / (total or 1) * _CYCLE).cast("long")
-    spans = share.select("place", scale(end - F.col("share")).alias("low"), scale(end).alias("high")).where("low < high")
+    own = plan.where(F.col("blocks") > 0)
+    blocks, n = own.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
+    spare = spare_slots(blocks)
+    total = blocks + n * spare
+    slots = spark.range(total).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
+    shift = POINT_BITS - max(1, (4 * n).bit_length())  # a grid of four to eight cells a source
+    spans = intervals(own.select("place", (F.col("blocks") + spare).alias("share")), max(total, 1))
     cells = spans.withColumn("cell", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))))
     placed = slots.withColumn("cell", F.shiftright("point", shift)).join(cells, "cell").where("point >= low AND point < high")
     placed = placed.select("slot", "place", F.expr(f"slot DIV {SLOTS_TOGETHER}").alias("stretch"))
@@ -69,18 +115,19 @@ def schedule(spark: SparkSession, plan: DataFrame) -> DataFrame:
     before = Window.partitionBy("place").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("place", "stretch", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("place", "stretch").orderBy("slot")) - 1
-    return placed.withColumn("inside", inside).join(starts, ["place", "stretch"]).select("slot", "place", (F.col("first") + F.col("inside")).alias("rank"))
+    found = placed.withColumn("inside", inside).join(starts, ["place", "stretch"]).select("slot", "place", (F.col("first") + F.col("inside")).alias("rank"))
+    return found, total
 
 
-def streams(docs: DataFrame, plan: DataFrame, n_rows: int) -> DataFrame:
+def streams(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` (source, key, size) with their source's columns and ``start``, the words before them in their source's shuffled stream.
 
-    Sums run within buckets of the shuffle hash and over the buckets' totals,
-    so a hot source is spread over many tasks.
+    Sums run within buckets of the shuffle hash, about ROWS_TOGETHER rows each,
+    and over the buckets' totals, so a hot source is spread over many tasks.
     """
-    n_buckets = max(1, n_rows // ROWS_TOGETHER)
     rows = docs.join(plan, docs["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 16), F.lit(n_buckets)))
+    buckets = F.greatest(F.lit(1), F.expr(f"source_rows DIV {ROWS_TOGETHER}"))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 16), buckets))
     order = Window.partitionBy("place", "bucket").orderBy("key")
     rows = rows.withColumn("number", F.row_number().over(order)).withColumn("inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     totals = rows.groupBy("place", "bucket").agg(F.sum("size").alias("words"))
@@ -104,11 +151,9 @@ def mix(sizes: DataFrame) -> DataFrame:
     word is taken have one row with null slot and words. Null sources are a
     source, null texts have no words; equal rows are rows of their own.
     """
-    spark = sizes.sparkSession
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = written(targets(totals).withColumn("quota", F.floor("target").cast("long")).withColumn("blocks", F.ceil(F.col("quota") / BLOCK_WORDS).cast("long")), "mixing-targets")
-    n_rows = sizes.count()
-    rows = streams(sizes, plan, n_rows)
+    rows = streams(sizes, plan)
     first, after = F.col("pass") * F.col("source_size") + F.col("start"), F.col("pass") * F.col("source_size") + F.col("start") + F.col("size")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumns({"low": first, "high": F.least(after, F.col("quota"))})
     own = F.when(F.col("low") < F.col("high"), F.sequence(F.expr(f"low DIV {BLOCK_WORDS}"), F.expr(f"(high - 1) DIV {BLOCK_WORDS}")))
@@ -116,7 +161,8 @@ def mix(sizes: DataFrame) -> DataFrame:
     low = F.greatest(F.col("low"), F.col("rank") * BLOCK_WORDS) - F.col("low")
     high = F.least(F.col("high"), (F.col("rank") + 1) * BLOCK_WORDS) - F.col("low")
     pieces = pieces.withColumns({"from_word": low, "to_word": high})
-    found = pieces.join(schedule(spark, plan), ["place", "rank"], "left")
+    slots, n_slots = schedule(sizes.sparkSession, plan)
+    found = pieces.join(slots, ["place", "rank"], "left").withColumn("slot", F.when(F.col("rank").isNotNull(), F.coalesce("slot", F.col("rank") + n_slots)))
     keep = F.col("slot").isNotNull()
     return found.select(
         "doc_id", "source", "key", "size", "source_size", "target", "place", "bucket", "number", "slot", F.when(keep, F.col("pass")).alias("pass"), F.when(keep, F.col("from_word")).alias("from_word"), F.when(keep, F.col("to_word")).alias("to_word")
