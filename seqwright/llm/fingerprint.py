@@ -8,12 +8,16 @@ may keep none; where both texts are at hand, likeness is that of all hashes.
 
 Texts of fewer words are one shingle, texts without words have none. Null texts
 count as empty. Two empty sketches are alike only if the texts are equal, which
-the text's own hash in the fingerprint tells.
+128 bits of the text's own digest in the fingerprint tell. Repeated rows and
+rows without an id are rows of their own; an only row is followed by itself.
+Empty tables give empty results; further columns, whatever their names, play no
+part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,35 +31,36 @@ from seqwright.llm.common import chosen, table
 SHINGLE_WORDS = 5
 #: One hash in so many is kept: a power of two.
 SCALE = 2
-#: Documents in a stretch of ids, about, when each document meets the next.
+#: Documents in a stretch of ids, about, when each document meets the next; there are as many stretches as shuffle partitions at least.
 ROWS_TOGETHER = 1 << 14
 _LEAST = -(1 << 63)
 
 
 class Sketches:
-    """Some texts: all their keys ``text << 32 | code`` in order, those that sketches keep, shingle counts and text hashes."""
+    """Some texts: all their keys ``text << 32 | code`` in order, those that sketches keep, shingle counts and digests of the texts."""
 
     def __init__(self, column: pa.Array):
         self.n = len(column)
-        keys, counts, marks = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        keys, counts, marks = [], [np.zeros(0, np.int64)], []
         for low, high, data, offsets in kernels.chunks(column):
             hashes, at = kernels.shingles(data, offsets, SHINGLE_WORDS, lower=False)
             owner = np.repeat(np.arange(low, high, dtype=np.uint64), np.diff(at))
             keys.append(np.unique(owner << np.uint64(32) | hashes >> np.uint64(32)))
             counts.append(np.diff(at))
-            marks.append(kernels.span_hashes(data, offsets[:-1], offsets[1:]))
+            raw, at = data.tobytes(), offsets.tolist()
+            marks += [hashlib.blake2b(raw[i:j], digest_size=16).hexdigest() for i, j in itertools.pairwise(at)]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.counts, self.marks = np.concatenate(counts), np.concatenate(marks)
+        self.counts, self.marks = np.concatenate(counts), np.array(marks, object)
         starts = np.arange(self.n + 1, dtype=np.uint64) << np.uint64(32)
         self.ends = np.searchsorted(self.keys, starts)
         self.kept = self.keys[(self.keys & np.uint64(0xFFFFFFFF)) < np.uint64((1 << 32) // SCALE)]
         self.kept_ends = np.searchsorted(self.kept, starts)
 
     def texts(self) -> list[str]:
-        """The fingerprints as text: shingle count, hash of the text, then the codes, 8 hexadecimal digits each."""
+        """The fingerprints as text: shingle count, digest of the text, then the codes, 8 hexadecimal digits each."""
         raw = self.kept.astype(">u4").tobytes()
         ends = self.kept_ends.tolist()
-        return [f"{n:x}.{m:016x}.{raw[4 * i : 4 * j].hex()}" for n, m, i, j in zip(self.counts.tolist(), self.marks.tolist(), ends, ends[1:], strict=False)]
+        return [f"{n:x}.{m}.{raw[4 * i : 4 * j].hex()}" for n, m, i, j in zip(self.counts.tolist(), self.marks.tolist(), ends, ends[1:], strict=False)]
 
 
 def likeness(a: Sketches, rows_a: np.ndarray, b: Sketches, rows_b: np.ndarray) -> np.ndarray:
@@ -96,44 +101,47 @@ def containment(part: Column, whole: Column) -> Column:
     return F.size(F.array_intersect(part, whole)) / F.when(F.size(part) > 0, F.size(part))
 
 
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """The place of each row (key, h) in the order of ids, as 16 bytes."""
+    found = np.zeros((len(batch), 2), ">u8")
+    for k, name in enumerate(("key", "h")):
+        found[:, k] = batch.column(name).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+    return found.view("S16").ravel()
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) in stretches of descending ids, each followed by the row that comes next.
 
-    Columns stretch, key, text and copy: 0 for rows of their own, 1 for the copy
-    of the next stretch's first row. Ids are cut at those whose hash is 0 modulo
-    ROWS_TOGETHER, one id in so many; null ids come last. Only these ids and a
-    stretch's largest id reach the driver.
+    Columns stretch, key, h, no_id, text and copy: 0 for rows of their own, 1
+    for the copy of the next stretch's first row. Rows of an equal id follow
+    each other by a hash of their texts, null ids come last. Stretches are the
+    ranges of a range partitioning of the ids, all of one size; only each
+    one's ends, a row a partition, reach the driver.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
-    cuts = keyed.select("key").where(F.pmod(F.xxhash64("key"), F.lit(ROWS_TOGETHER)) == 0).distinct().toArrow().column("key").to_numpy()
-    shared = spark.sparkContext.broadcast(np.sort(cuts))  # 8 bytes for each ROWS_TOGETHER ids
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stretch = np.searchsorted(shared.value, batch.column("key").to_numpy(), side="right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(stretch)], names=["key", "stretch"])
-
-    tops = keyed.select("key").mapInArrow(place, "key long, stretch long").groupBy("stretch").agg(F.max("key").alias("top")).orderBy("stretch").toArrow()
-    stretches, top = tops.column("stretch").to_numpy(), tops.column("top").to_numpy()
-    # The row after a stretch's last is the first of the stretch below, after the lowest the very first.
-    after = spark.sparkContext.broadcast({int(t): int(s) for t, s in zip(np.roll(top, 1), stretches, strict=True)})
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_TOGETHER)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key")
+    keyed = docs.select(key, F.xxhash64("text").alias("h"), F.col("doc_id").isNull().alias("no_id"), "text")
+    dealt = keyed.select("key", "h").repartitionByRange(n, "key", "h").groupBy(F.spark_partition_id())
+    ends = dealt.agg(F.min(F.struct("key", "h")).alias("low"), F.max(F.struct("key", "h")).alias("high")).select("low", "high").orderBy("low").toArrow()
+    low, high = (_places(pa.RecordBatch.from_struct_array(ends.column(c).combine_chunks())) if len(ends) else np.zeros(0, "S16") for c in ("low", "high"))
+    shared = spark.sparkContext.broadcast((low, high))  # 32 bytes a partition
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = np.array(sorted(after.value), np.int64)
+        low, high = shared.value
+        names = ["stretch", "key", "h", "no_id", "text", "copy"]
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            stretch = np.searchsorted(shared.value, key, side="right").astype(np.int64)
-            names = ["stretch", "key", "no_id", "text", "copy"]
-            yield pa.RecordBatch.from_arrays([pa.array(stretch), *batch.columns, pa.array(np.zeros(len(key), np.int32))], names=names)
-            again = np.flatnonzero(np.isin(key, heads))
+            place = _places(batch)
+            stretch = (np.searchsorted(low, place, side="right") - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(stretch), *batch.columns, pa.array(np.zeros(len(place), np.int32))], names=names)
+            # A stretch's first row also ends the stretch of the greater ids before it; the very first ends the last.
+            again = np.flatnonzero(place == high[stretch])
             if len(again):
-                own = batch.take(pa.array(again))
-                to = pa.array([after.value[k] for k in key[again].tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([to, *own.columns, pa.array(np.ones(len(again), np.int32))], names=names)
+                to = pa.array(((stretch[again] + 1) % len(low)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([to, *batch.take(pa.array(again)).columns, pa.array(np.ones(len(again), np.int32))], names=names)
 
-    rows = keyed.mapInArrow(spread, "stretch long, key long, no_id boolean, text string, copy int")
-    return rows.repartition("stretch").sortWithinPartitions("stretch", "copy", F.desc("key"), "text")
+    rows = keyed.mapInArrow(spread, "stretch int, key long, h long, no_id boolean, text string, copy int")
+    return rows.repartitionById(max(len(low), 1), F.col("stretch")).sortWithinPartitions("stretch", "copy", F.desc("key"), F.desc("h"), "text")
 
 
 def halves(text: str, following: str) -> str:
@@ -145,7 +153,7 @@ def halves(text: str, following: str) -> str:
 def edit_digests(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its fingerprint, that of its edited text, and their likeness to each other and to the next row's.
 
-    Rows of equal id follow each other by text.
+    Rows of equal id follow each other by a hash of the text.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
