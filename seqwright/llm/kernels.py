@@ -43,6 +43,11 @@ def blocks(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII letters in lower case."""
+    return _ASCII_LOWER[data]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its texts; null is empty."""
     if column.null_count:
@@ -91,8 +96,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    folded = _ASCII_LOWER[data] if lower else data
-    block, length = blocks(folded), ends - starts
+    data = folded(data) if lower else data
+    block, length = blocks(data), ends - starts
     found = mix(length.astype(np.uint64) * _SLOT[63] + _SLOT[62])
     live = np.flatnonzero(length <= _LONG)
     for done in range(0, _LONG, 8):
@@ -102,7 +107,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         own = block[starts[live] + done] & _MASKS[np.minimum(length[live] - done, 8)]
         found[live] = mix(found[live] ^ own)
     for i in np.flatnonzero(length > _LONG).tolist():
-        found[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        found[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return found
 
 

@@ -1,9 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of hashed byte n-grams of 3 to 5 bytes
-(ASCII letters folded). Each feature is scaled by the log ratio of its smoothed
-frequency in toxic and other texts, and a logistic regression with an L2 penalty
-is fitted on the scaled features by L-BFGS.
+A text's features are the presence of hashed n-grams of 3 to 5 characters (code
+points; ASCII letters folded). Each feature is scaled by the log ratio of its
+smoothed frequency in toxic and other texts, and a logistic regression with an
+L2 penalty is fitted on the scaled features by L-BFGS. Spark keeps the sample's
+features and sums counts and gradients; the driver holds vectors of one number a
+feature.
+
+Null and empty texts have no features and score the intercept. Rows without an
+id have no label. Repeated rows are scored, and learnt from, each by itself; an
+id with two labels is two examples. Empty tables give empty results; with no
+labels of either class every text scores the share of the classes. Columns
+called score or predicted are replaced, other further columns stay.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from pyspark.sql import functions as F
 
 from seqwright.llm import kernels
 from seqwright.llm.common import chosen, held_out, table
+from seqwright.scratch import discard, written
 
 GRAM_SIZES = range(3, 6)
 GRAM_BITS = 18
@@ -27,6 +36,10 @@ SAMPLE_OTHER = 2500
 SMOOTHING = 1.0
 PENALTY = 1.0
 ROUNDS = 40
+#: Tasks over the sample in an evaluation of the objective.
+FIT_TASKS = 8
+#: Bytes of one long text that are looked at together.
+PIECE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -37,12 +50,37 @@ class Model:
     bias: float
 
 
-def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, number of rows, text of each gram, code of each gram), a chunk and gram size at a time."""
+def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, the distinct gram codes in order) of each text."""
+    seen = np.zeros(1 << GRAM_BITS, bool)
+
+    def told() -> np.ndarray:
+        codes = np.flatnonzero(seen)
+        seen[codes] = False
+        return codes
+
     for low, high, data, offsets in kernels.chunks(column):
-        text = np.repeat(np.arange(high - low, dtype=np.int64), np.diff(offsets))
-        for codes, at in kernels.gram_codes(data, offsets, GRAM_SIZES, GRAM_BITS, lower=True):
-            yield low, high - low, text[at], codes
+        if high - low == 1 and len(data) > PIECE:
+            at = 0
+            while at < len(data):
+                after = min(at + PIECE, len(data))
+                while after < len(data) and data[after] & 0xC0 == 0x80:
+                    after += 1
+                stop = min(after + 4 * GRAM_SIZES.stop, len(data))  # the next characters too, so that no gram is missed
+                while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                    stop += 1
+                points, ends = kernels.code_points(kernels.folded(data[at:stop]), np.array([0, stop - at]))
+                for codes, _ in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS):
+                    seen[codes] = True
+                at = after
+            yield low, told()
+            continue
+        points, ends = kernels.code_points(kernels.folded(data), offsets)
+        found = [(codes, np.searchsorted(at, ends).tolist()) for codes, at in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS)]
+        for i in range(high - low):
+            for codes, at in found:
+                seen[codes[at[i] : at[i + 1]]] = True
+            yield low + i, told()
 
 
 def minimise(fn: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
@@ -99,43 +137,62 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic: int = SAMPLE_TOXIC, other:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in range(len(batch))]
-            for low, n, text, codes in text_codes(batch.column("text")):
-                for i, part in enumerate(np.split(codes, np.searchsorted(text, np.arange(1, n)))):
-                    found[low + i].append(part)
-            packed = [np.unique(np.concatenate(x)).astype("<u4").tobytes() if x else b"" for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "codes"])
-
-    got = picked.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(features, "doc_id long, toxic int, codes binary").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    y = got.column("toxic").to_numpy()[order].astype(np.float64)
-    codes = got.column("codes").to_pylist()
-    return fit_codes(y, [np.frombuffer(codes[i], "<u4") for i in order], prior)
-
-
-def fit_codes(y: np.ndarray, parts: list[np.ndarray], prior: float) -> Model:
-    """Fit on the distinct gram codes of each sampled text; ``prior`` is the log odds of a toxic text among all."""
-    dim = 1 << GRAM_BITS
-    if not len(y) or y.min() == y.max():
+            packed = [codes.astype("<u4").tobytes() for _, codes in text_codes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary())], names=["toxic", "codes"])
+
+    found = picked.select(F.col("toxic").cast("int"), "text").mapInArrow(features, "toxic int, codes binary")
+    sample = written(found.repartition(FIT_TASKS), "toxicity-sample")  # toxic + other rows: bounded by the parameters
+    model = fit_codes(sample, prior)
+    discard(sample)
+    return model
+
+
+def fit_codes(sample: DataFrame, prior: float) -> Model:
+    """Fit on ``sample`` (toxic, codes: the distinct gram codes as uint32); ``prior`` is the log odds of a toxic text among all."""
+    dim, context = 1 << GRAM_BITS, sample.sparkSession.sparkContext
+
+    def summed(of_rows: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over all rows of vectors that ``of_rows`` makes of labels, codes and the codes' row numbers; a vector a task reaches the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                y = batch.column("toxic").to_numpy().astype(np.float64)
+                parts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("codes")]
+                if len(y):
+                    own = of_rows(y, np.concatenate(parts), np.repeat(np.arange(len(y)), [len(x) for x in parts]))
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        got = [np.frombuffer(r["v"], np.float64) for r in sample.mapInArrow(run, "v binary").collect()]
+        return np.sum(got, axis=0) if got else np.zeros(2 * dim + 2)
+
+    def counts(y: np.ndarray, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(codes, weights=y[row], minlength=dim), np.bincount(codes, weights=1 - y[row], minlength=dim), [y.sum(), (1 - y).sum()]])
+
+    told = summed(counts)
+    n1, n0 = told[-2:]
+    if not n1 or not n0:
         return Model(np.zeros(dim, np.float32), prior)
-    column = np.concatenate(parts).astype(np.int64)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    p = np.bincount(column, weights=y[row], minlength=dim) + SMOOTHING
-    q = np.bincount(column, weights=1 - y[row], minlength=dim) + SMOOTHING
-    ratio = np.log(p / (y.sum() + 2 * SMOOTHING)) - np.log(q / ((1 - y).sum() + 2 * SMOOTHING))
-    scaled = ratio[column]
-    sign = 2 * y - 1
+    ratio = np.log((told[:dim] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((told[dim : 2 * dim] + SMOOTHING) / (n0 + 2 * SMOOTHING))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = sign * (np.bincount(row, weights=scaled * w[column], minlength=len(y)) + w[-1])
-        pull = -sign * np.exp(-np.logaddexp(0, margin))
-        slope = np.bincount(column, weights=scaled * pull[row], minlength=dim + 1)
-        slope[-1] = pull.sum()
-        slope[:-1] += PENALTY * w[:-1]
-        return float(np.logaddexp(0, -margin).sum() + PENALTY / 2 * w[:-1].dot(w[:-1])), slope
+        shared = context.broadcast((ratio * w[:-1], float(w[-1])))
+
+        def of_rows(y: np.ndarray, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+            weights, bias = shared.value
+            sign = 2 * y - 1
+            margin = sign * (np.bincount(row, weights=weights[codes], minlength=len(y)) + bias)
+            pull = -sign * np.exp(-np.logaddexp(0, margin))
+            return np.concatenate([np.bincount(codes, weights=pull[row], minlength=dim), [pull.sum(), np.logaddexp(0, -margin).sum()]])
+
+        found = summed(of_rows)
+        shared.destroy()
+        return float(found[-1] + PENALTY / 2 * w[:-1].dot(w[:-1])), np.append(found[:dim] * ratio + PENALTY * w[:-1], found[dim])
 
     w = minimise(loss, np.zeros(dim + 1), ROUNDS)
-    shift = prior - float(np.log(y.sum() / (1 - y).sum()))
+    shift = prior - float(np.log(n1 / n0))
     return Model((ratio * w[:-1]).astype(np.float32), float(w[-1]) + shift)
 
 
@@ -147,14 +204,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        used = own.weights != 0
         for batch in batches:
             total = np.full(len(batch), own.bias)
-            for low, _, text, codes in text_codes(batch.column("text")):
-                at = np.flatnonzero(used[codes])
-                pairs = np.unique(text[at] << GRAM_BITS | codes[at])  # presence, not counts
-                found = np.bincount(pairs >> GRAM_BITS, weights=own.weights[pairs & (1 << GRAM_BITS) - 1])
-                total[low : low + len(found)] += found
+            for row, codes in text_codes(batch.column("text")):
+                total[row] += own.weights[codes].sum(dtype=np.float64)
             chance = np.round(1 / (1 + np.exp(-np.clip(total, -500, 500))), 6)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
