@@ -1,21 +1,24 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-Every rule votes good (1), bad (-1) or abstains (0) on a text. Expectation
+Every rule votes good (1), bad (-1) or abstains (0) on a text. Each rule looks at
+a signal of its own, for votes count as independent given the class. Expectation
 maximisation over the counts of vote patterns (at most 3 ** number of rules
-rows, however large the corpus) estimates how often each rule gives each vote to
-good and to bad texts, and the share of good texts. The posterior probability of
-being good then decides, in place of asking that all rules pass.
+rows, however large the corpus) estimates how often each rule, where it speaks,
+gives each vote to good and to bad texts, and the share of good texts. The
+posterior probability of being good then decides, in place of asking that all
+rules pass.
 
 Null texts count as empty; a text without words gets votes from no rule but the
-length rule. Repeated rows are rows of their own.
+length rule. Repeated rows are rows of their own. An empty table gives an empty
+result; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +27,23 @@ from seqwright.scratch import written
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-PLAIN_WORD = "^[\\p{L}\\p{M}\\p{N}'’-]+[.,;:!?]*$"
+SENTENCE_END = "[.?!][\"'”»)]*$"
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
+FUNCTION_WORDS = (
+    "the of and to in is was that it for with on as by at from this be are or not he she they we you have has had but which "
+    "der die das und ist von mit zu den dem ein eine einen auf für nicht sich des im war auch es an wird als "
+    "le la les et de du un une que qui est dans pour en au aux par sur pas ne se il elle ce cette avec "
+    "el los las y por con para del al no su lo como más o pero "
+    "il di e che per non una sono da "
+    "os do da em um uma não com "
+    "het een en van voor niet op te zijn"
+).split()
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP = 0.5
 ROUNDS = 50
-#: Pseudo-counts of each vote in each class: a rule is thought better than chance until the data say otherwise.
-PRIOR_RIGHT, PRIOR_ABSTAIN, PRIOR_WRONG = 4.0, 2.0, 1.0
+#: Pseudo-counts of right and wrong votes in each class: a rule is thought better than chance until the data say otherwise.
+PRIOR_RIGHT, PRIOR_WRONG = 4.0, 1.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,12 +85,14 @@ def facts(text: Column) -> Column:
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
 
     def of_words(w: Column) -> Column:
-        plain = F.size(F.filter(w, lambda one: one.rlike(PLAIN_WORD)))
-        return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeat"), plain.alias("plain"))
+        function = F.size(F.filter(w, lambda one: F.lower(one).isin(FUNCTION_WORDS)))
+        runs = F.size(F.filter(w, lambda one, i: F.coalesce(one == F.get(w, i - 1), F.lit(False))))
+        ends = F.size(F.filter(w, lambda one: one.rlike(SENTENCE_END)))
+        letterless = F.size(F.filter(w, lambda one: ~one.rlike("\\p{L}")))
+        return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeat"), function.alias("function"), runs.alias("runs"), ends.alias("ends"), letterless.alias("letterless"))
 
     def of_lines(x: Column) -> Column:
-        ended = F.size(F.filter(x, lambda one: F.rtrim(one).rlike("[.?!:;\"'”»)]$")))
-        return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), ended.cast("long").alias("ended"))
+        return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
 
     def together(w: Column, x: Column) -> Column:
         return F.struct(
@@ -87,12 +102,13 @@ def facts(text: Column) -> Column:
             count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
             x["dup"].alias("n_dup_lines"),
             w["repeat"].alias("n_repeat_words"),
-            w["plain"].alias("n_plain_words"),
+            w["function"].alias("n_function_words"),
+            w["runs"].alias("n_runs"),
+            w["letterless"].alias("n_letterless"),
+            w["ends"].alias("n_ends"),
             x["n"].alias("n_lines"),
-            x["ended"].alias("n_ended"),
             (F.char_length(t) - F.char_length(F.regexp_replace(t, "\\p{Lu}", ""))).alias("n_upper"),
             count_of(t, "0123456789").alias("n_digits"),
-            count_of(t, "!").alias("n_shouts"),
         )
 
     return let(let(words(t), of_words), lambda w: let(let(lines, of_lines), lambda x: together(w, x)))
@@ -117,16 +133,16 @@ def _between(value: Callable[[Column], Column], bad_low: float, low: float, high
 
 RULES = (
     Rule("length", lambda q: q["n_words"] < MIN_WORDS, lambda q: q["n_words"] >= 2 * MIN_WORDS),
-    Rule("symbols", *_between(_ratio("n_symbols", "n_words"), -1, 0, 0.05, 0.3)),
-    Rule("symbol_share", *_between(_ratio("n_symbols", "n_chars"), -1, 0, 0.01, 0.04)),
-    Rule("plain_words", *_between(_ratio("n_plain_words", "n_words"), 0.6, 0.9, 1, 2)),
-    Rule("line_copies", *_between(_ratio("n_dup_lines", "n_lines"), -1, 0, 0.05, 0.3)),
-    Rule("window_copies", *_between(_ratio("n_repeat_words", "n_words"), -1, 0, 0.2, 0.4)),
-    Rule("word_length", *_between(lambda q: (q["n_chars"] - q["n_spaces"]) / F.when(q["n_words"] > 0, q["n_words"]), 2, 3, 10, 14)),
+    Rule("symbols", *_between(_ratio("n_symbols", "n_chars"), -1, 0, 0.01, 0.04)),
     Rule("capitals", *_between(_ratio("n_upper", "n_chars"), -1, 0, 0.1, 0.3)),
     Rule("digits", *_between(_ratio("n_digits", "n_chars"), -1, 0, 0.05, 0.25)),
-    Rule("shouting", *_between(_ratio("n_shouts", "n_words"), -1, 0, 0.05, 0.3)),
-    Rule("sentence_ends", *_between(_ratio("n_ended", "n_lines"), 0.02, 0.5, 1, 2)),
+    # No function word at all may be a language that the list lacks.
+    Rule("function_words", lambda q: (q["n_function_words"] > 0) & (_ratio("n_function_words", "n_words")(q) < 0.06), lambda q: _ratio("n_function_words", "n_words")(q) >= 0.12),
+    Rule("letterless_words", *_between(_ratio("n_letterless", "n_words"), -1, 0, 0.05, 0.2)),
+    Rule("word_runs", *_between(_ratio("n_runs", "n_words"), -1, 0, 0.03, 0.1)),
+    Rule("sentences", *_between(_ratio("n_ends", "n_words"), 0.004, 0.02, 0.25, 0.5)),
+    Rule("line_copies", *_between(_ratio("n_dup_lines", "n_lines"), -1, 0, 0.05, 0.3)),
+    Rule("word_length", *_between(lambda q: (q["n_chars"] - q["n_spaces"]) / F.when(q["n_words"] > 0, q["n_words"]), 2, 3, 10, 14)),
 )
 
 
@@ -151,31 +167,28 @@ def fit(voted: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS) -> Mo
 
 
 def maximise(counts: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> Model:
-    total = sum(n for _, n in counts)
+    """The model of the vote patterns and how often each occurs."""
+    vote = np.array([v for v, _ in counts], np.int8).reshape(-1, n_rules)
+    n = np.array([c for _, c in counts], float)
+    bad_votes, spoken = (vote < 0).astype(float), (vote != 0).astype(float)
     # At first a text is good as far as no rule calls it bad.
-    good = [0.95 if min(v, default=0) >= 0 else 0.5 ** (1 + sum(x < 0 for x in v)) for v, _ in counts]
-    model = Model(0.0, [(0.0, 0.0, 0.0)] * n_rules)
+    good = np.where(bad_votes.any(axis=1), 0.5 ** (1 + bad_votes.sum(axis=1)), 0.95)
     for _ in range(rounds):
-        n_good = sum(g * n for g, (_, n) in zip(good, counts, strict=True))
-        ratios, accuracies = [], []
-        for k in range(n_rules):
-            seen = {(y, v): {(1, 1): PRIOR_RIGHT, (0, -1): PRIOR_RIGHT}.get((y, v), PRIOR_ABSTAIN if v == 0 else PRIOR_WRONG) for y in (0, 1) for v in (-1, 0, 1)}
-            for g, (v, n) in zip(good, counts, strict=True):
-                seen[1, v[k]] += g * n
-                seen[0, v[k]] += (1 - g) * n
-            of = {y: sum(seen[y, v] for v in (-1, 0, 1)) for y in (0, 1)}
-            ratio = {v: math.log(seen[1, v] / of[1]) - math.log(seen[0, v] / of[0]) for v in (-1, 0, 1)}
-            # A bad vote never speaks for a text, a good one never against it, and silence is no evidence.
-            ratios.append((min(0.0, ratio[-1]), 0.0, max(0.0, ratio[1])))
-            spoken = sum(seen[y, v] for y in (0, 1) for v in (-1, 1))
-            accuracies.append((seen[1, 1] + seen[0, -1]) / spoken)
-        model = Model(math.log((n_good + 1) / (total - n_good + 1)), ratios, accuracies)
-        new = [1 / (1 + math.exp(-max(-500.0, min(500.0, model.bias + sum(r[x + 1] for r, x in zip(ratios, v, strict=True)))))) for v, _ in counts]
-        done = all(abs(a - b) < 1e-9 for a, b in zip(new, good, strict=True))
+        called_bad = np.stack([(1 - good) * n @ bad_votes, good * n @ bad_votes])  # of bad texts, of good texts
+        called_good = np.stack([(1 - good) * n @ (spoken - bad_votes), good * n @ (spoken - bad_votes)])
+        called_bad += np.array([[PRIOR_RIGHT], [PRIOR_WRONG]])
+        called_good += np.array([[PRIOR_WRONG], [PRIOR_RIGHT]])
+        share = called_bad / (called_bad + called_good)
+        against, speaking_for = np.log(share[1] / share[0]), np.log((1 - share[1]) / (1 - share[0]))
+        bias = float(np.log((good @ n + 1) / ((1 - good) @ n + 1)))
+        total = bias + bad_votes @ against + (spoken - bad_votes) @ speaking_for
+        new = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+        done = np.abs(new - good).max(initial=0) < 1e-9
         good = new
         if done:
             break
-    return model
+    accuracies = (called_bad[0] + called_good[1]) / (called_bad + called_good).sum(axis=0)
+    return Model(bias, [(float(a), 0.0, float(b)) for a, b in zip(against, speaking_for, strict=True)], accuracies.tolist())
 
 
 def posterior(own: Column, model: Model) -> Column:
@@ -197,12 +210,13 @@ def base_failed(q: Column) -> Column:
 def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are good with probability KEEP or more; their columns are unchanged.
 
-    The texts are read twice and never shuffled.
+    Votes are written with the rows, so that no text is looked at twice.
     """
     own = facts(F.col(f"`{text}`"))
-    model = fit(docs.select(let(own, lambda q: votes(q)).alias("votes")))
-    # One expression, so that the filter computes the facts once.
-    return docs.where(let(own, lambda q: ~base_failed(q) & (posterior(votes(q), model) >= KEEP)))
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), let(own, lambda q: F.struct(base_failed(q).alias("failed"), votes(q).alias("votes"))).alias("told"))
+    told = written(told, "quality")
+    model = fit(told.select("told.votes"))
+    return told.where(~F.col("told.failed") & (posterior(F.col("told.votes"), model) >= KEEP)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,4 +234,5 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed.alias("base_failed"),
         (~failed & (p_good >= KEEP)).alias("kept"),
         F.round(p_good, 6).alias("p_good"),
+        "votes",
     )
