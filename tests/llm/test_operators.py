@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -160,6 +161,30 @@ def test_quality(spark, texts):
             assert r.kept
 
 
+def test_quality_verdicts(spark):
+    """The verdicts against expectation maximisation text by text, and against labels that it never sees."""
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op4_quality_rules"](spark, sf).collect()
+    names = range(len(quality.RULES))
+    p = [0.5 ** (1 + r.votes.count(-1)) if -1 in r.votes else 0.95 for r in got]
+    for _ in range(quality.ROUNDS):
+        said = {(k, y, v): quality.PRIOR_RIGHT if v == 2 * y - 1 else quality.PRIOR_WRONG for k in names for y in (0, 1) for v in (-1, 1)}
+        for q, r in zip(p, got, strict=True):
+            for k, v in enumerate(r.votes):
+                if v:
+                    said[k, 1, v] += q
+                    said[k, 0, v] += 1 - q
+        rate = {(k, y, v): said[k, y, v] / (said[k, y, 1] + said[k, y, -1]) for k, y, v in said}
+        bias = math.log((sum(p) + 1) / (len(p) - sum(p) + 1))
+        odds = [bias + sum(math.log(rate[k, 1, v] / rate[k, 0, v]) for k, v in enumerate(r.votes) if v) for r in got]
+        p = [1 / (1 + math.exp(-x)) for x in odds]
+    assert all(abs(r.p_good - q) < 1e-4 and r.kept == (not r.base_failed and q >= quality.KEEP) for q, r in zip(p, got, strict=True))
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    told = [(label[r.doc_id], r.kept) for r in got if r.doc_id in label and not r.base_failed]
+    good, bad = [k for y, k in told if y == 1], [k for y, k in told if y == 0]
+    assert np.mean(good) > 0.98 and len(bad) > 10 and np.mean(bad) < 0.3
+
+
 def test_quality_odd_rows(spark):
     for (_, x), r in zip(ODD, odd(spark).select(quality.facts(F.col("text")).alias("q")).collect(), strict=True):
         assert (r.q.n_words, r.q.n_chars - r.q.n_spaces, r.q.n_symbols, r.q.n_dup_lines, r.q.n_repeat_words) == quality_truth(x or "")
