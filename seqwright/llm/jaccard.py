@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_i
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = linked.join(least, "component").select("n", "k1", "k2", "least")
     mapped = classes.join(linked, ["n", "k1", "k2"], "left").select("n", "k1", "k2", F.coalesce("least", "doc_id").alias("least"))
+    mapped = written(mapped, "jaccard-components")  # a table, so that the join can split the rows of a text with many copies
     result = sets.select("doc_id", "n", "k1", "k2").join(mapped, ["n", "k1", "k2"], "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 

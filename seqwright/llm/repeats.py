@@ -291,9 +291,11 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, counts: np.ndarr
 
 
 def often(rows: DataFrame) -> DataFrame:
-    """The segments whose key occurs more than once."""
-    known = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(rows.join(known.select("key"), "key").select(*_NAMES), "repeats-met")
+    """The segments whose key occurs more than once. The keys are a table, so that the join can split a hot one."""
+    known = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeats-often")
+    found = written(rows.join(known, "key").select(*_NAMES), "repeats-met")
+    discard(known)
+    return found
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
