@@ -153,13 +153,22 @@ class Codec:
 
     def forget(self) -> None:
         """Empty the memo: the ids of pre-tokens met so far, one after the other, and where each pre-token's are."""
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[int | bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
         self.known = self.held = 0
 
-    def learn(self, keys: list[bytes]) -> None:
-        """Put the ids of new pre-tokens into the memo: the perfect hash first, the heap for the rest."""
+    def places(self, names: list[int] | list[bytes]) -> np.ndarray:
+        """Where the ids of pre-tokens are in the memo; those it lacks are learnt: the perfect hash first, the heap for the rest.
+
+        A pre-token's name is its bytes, or a number that holds them and their count.
+        """
+        at = np.fromiter(map(self.memo.get, names, itertools.repeat(-1)), np.int64, len(names))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if not lacking:
+            return at
+        new = list(dict.fromkeys(names[i] for i in lacking))
+        keys = [k if isinstance(k, bytes) else k.to_bytes(8, "little")[: k >> 56] for k in new]
         ids = [[rank] if rank >= 0 else self.merged(key) for key, rank in zip(keys, self.table.find(keys), strict=True)]
         used = int(self.ends[self.known - 1]) if self.known else 0
         after = np.cumsum([len(i) for i in ids]) + used
@@ -169,9 +178,11 @@ class Codec:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[used : after[-1]] = list(itertools.chain.from_iterable(ids))
         self.ends[self.known : self.known + len(ids)] = after
-        self.memo.update(zip(keys, range(self.known, self.known + len(ids)), strict=True))
+        self.memo.update(zip(new, range(self.known, self.known + len(ids)), strict=True))
         self.known += len(ids)
         self.held += sum(map(len, keys))
+        at[lacking] = [self.memo[names[i]] for i in lacking]
+        return at
 
     def merged(self, key: bytes) -> list[int]:
         return merge(key, self.ranks)
@@ -179,20 +190,22 @@ class Codec:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in ``data`` as uint32, and where each text's begin and end.
 
-        Only pre-tokens that the memo lacks are looked up in the two tiers.
+        Pre-tokens of up to 7 bytes are told apart by numbers that hold them,
+        longer ones by their bytes.
         """
         starts, ends = kernels.pretokens(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        raw = data.tobytes()
-        keys = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new = [k for k in dict.fromkeys(keys) if k not in self.memo]
-        if new and (self.known + len(new) > MEMO or self.held > MEMO_BYTES):
+        if self.known > MEMO or self.held > MEMO_BYTES:
             self.forget()
-            new = list(dict.fromkeys(keys))
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        length = ends - starts
+        at = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(length <= 7)
+        numbers = kernels.blocks(data)[starts[short]] & kernels.MASKS[length[short]] | length[short].astype(np.uint64) << np.uint64(56)
+        different, place = np.unique(numbers, return_inverse=True)
+        at[short] = self.places(different.tolist())[place]
+        long, raw = np.flatnonzero(length > 7), data.tobytes()
+        at[long] = self.places([raw[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
         stop = self.ends[at]
         begin = np.where(at > 0, self.ends[at - 1], 0)
         count = stop - begin

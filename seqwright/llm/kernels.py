@@ -25,7 +25,7 @@ _ASCII_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Which bytes of an 8-byte block belong to a span, if so many are left of it.
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Spans of more bytes are hashed one by one.
 _LONG = 64
 
@@ -104,7 +104,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         live = live[length[live] > done]
         if not len(live):
             break
-        own = block[starts[live] + done] & _MASKS[np.minimum(length[live] - done, 8)]
+        own = block[starts[live] + done] & MASKS[np.minimum(length[live] - done, 8)]
         found[live] = mix(found[live] ^ own)
     for i in np.flatnonzero(length > _LONG).tolist():
         found[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
