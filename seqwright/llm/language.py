@@ -6,6 +6,11 @@ geometric mean of how many each holds. Grams are hashed to GRAM_BITS bits.
 Landmarks give a Nyström approximation, on which one ridge regression a language
 (one against the rest) is solved; texts are scored by matrix products, a batch
 of presence rows against all landmarks at once.
+
+Null texts and texts without a letter are of language ``und``, with score 0.
+Rows without a language are no examples; repeated rows are scored, and learnt
+from, each by itself. Empty tables give empty results, and nothing learned makes
+every text ``und``.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ GRAM_BITS = 14
 #: Labelled texts a language that the model is fitted on, about; and landmarks a language among them.
 SAMPLE_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 40
+#: Landmarks in all; with more languages each has fewer, one at least.
+MOST_LANDMARKS = 1600
 RIDGE = 1e-4
 #: Presence rows in one matrix product.
 ROWS = 64
@@ -72,12 +79,9 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, landmarks: in
     Rows without a language or a letter are no examples.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model(np.zeros((1 << GRAM_BITS, 0), np.float32), np.zeros((0, 0), np.float32), [])
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n))])
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = rows.where(point < share[F.col("lang")]).select(point.alias("point"), "lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language; joined by broadcast as far as its size allows
+    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = rows.join(counts, "lang").where(point < sample / F.col("n")).select(point.alias("point"), "lang", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,6 +98,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE_PER_LANGUAGE, landmarks: in
     x = normalised(np.unpackbits(np.array([np.frombuffer(r, np.uint8) for _, _, r in got]), axis=1).astype(np.float32))
     names = np.array([lang for lang, _, _ in got])
     languages = sorted(set(names.tolist()))
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
     marks = np.concatenate([np.flatnonzero(names == lang)[:landmarks] for lang in languages])
     to_marks = (x @ x[marks].T).astype(np.float64)
     among = to_marks[marks]
@@ -110,7 +115,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     ties go to the first language by name.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # landmarks and languages are bounded by the parameters
+    shared = spark.sparkContext.broadcast(model)  # 64 KB a landmark, of which there are MOST_LANDMARKS or one a language
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from seqwright.llm.bpe import op8_byte_bpe
 from seqwright.llm.chat import PLANTED, op3_chat_format
+from seqwright.llm.common import table
 from seqwright.llm.fingerprint import op6_fingerprints
 from seqwright.llm.jaccard import op1_ngram_jaccard
 from seqwright.llm.language import op2_language_id
-from seqwright.llm.mixing import op7_source_mix
+from seqwright.llm.mixing import op7_source_mix, sized, targets
 from seqwright.llm.packing import op5_packed_ids
-from seqwright.llm.quality import op4_quality_rules
+from seqwright.llm.quality import base_failed, facts, op4_quality_rules
 from seqwright.llm.repeats import op10_suffix_dedup
 from seqwright.llm.toxicity import op9_toxicity
 
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base verdict of operator 4, without the rules' votes."""
+    found = table(spark, sf_dir, "documents").select("doc_id", facts(F.col("text")).alias("q"))
+    names = ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", (F.col("q.n_chars") - F.col("q.n_spaces")).cast("long").alias("word_chars"), *[F.col(f"q.{c}") for c in names], base_failed(F.col("q")).alias("base_failed"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size, weight and target of each source in operator 7's mix."""
+    sizes = sized(table(spark, sf_dir, "documents")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    return targets(sizes).select("source", "source_size", F.col("weight").cast("long").alias("weight"), F.round("target", 3).alias("target"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
@@ -24,11 +43,71 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "quality_base": quality_base,
+    "mix_targets": mix_targets,
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+""",
+    "op10_suffix_dedup": """
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT r, h, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200),
+strings AS (SELECT r, i, md5_number(substring(h, 2 * i + 1, 400)) AS m FROM places),
+often AS (SELECT r, i FROM strings QUALIFY count(*) OVER (PARTITION BY m) > 1),
+cut AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM often),
+spans AS (SELECT r, min(i) AS low, max(i) + 200 AS high FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM cut) GROUP BY r, k),
+parts AS (
+  SELECT r, low, substring(h, 2 * b + 1, 2 * (low - b)) AS p, high - low AS gone
+  FROM (SELECT s.r, s.low, s.high, t.h, coalesce(lag(s.high) OVER (PARTITION BY s.r ORDER BY s.low), 0) AS b FROM spans s JOIN t ON t.r = s.r)
+), kept AS (SELECT r, string_agg(p, '' ORDER BY low) AS p, sum(gone) AS gone, count(*) AS spans FROM parts GROUP BY r),
+ends AS (SELECT r, max(high) AS high FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN high IS NULL THEN h ELSE p || substring(h, 2 * high + 1) END)) AS kept_sha256
+FROM t LEFT JOIN kept USING (r) LEFT JOIN ends USING (r)
+""",
+    "quality_base": f"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i:i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 3)
+), often AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
+), covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM often) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM worded d LEFT JOIN covered c USING (doc_id)
+""",
+    "mix_targets": f"""
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(len({_WORDS.format("coalesce(text, '')")})) AS BIGINT) AS source_size FROM documents GROUP BY source
+), placed AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM sizes
+), level AS (
+  SELECT 0 AS round, 1.5 * sum(source_size)::DOUBLE / sum(weight) AS x FROM placed
+  UNION ALL
+  SELECT round + 1, (SELECT (1.5 * sum(source_size) - sum(CASE WHEN 2 * source_size < weight * l.x THEN 2 * source_size ELSE 0 END))::DOUBLE
+    / nullif(sum(CASE WHEN 2 * source_size < weight * l.x THEN 0 ELSE weight END), 0) FROM placed) FROM level l WHERE round < 100 AND x IS NOT NULL
+)
+SELECT source, source_size, CAST(weight AS BIGINT) AS weight, round(least(2.0 * source_size, weight * (SELECT max(x) FROM level)), 3) AS target FROM placed
+""",
     "op3_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -16,7 +16,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from seqwright.llm import bpe, chat, fingerprint, jaccard, kernels, mixing, packing, quality, repeats, toxicity
+from seqwright.llm import bpe, chat, fingerprint, jaccard, kernels, language, mixing, packing, quality, repeats, toxicity
 from seqwright.scratch import written
 from seqwright.llm.language import op2_language_id
 from seqwright.llm.queries import ORACLES, QUERIES
@@ -119,6 +119,62 @@ def test_language_held_out(spark, texts):
     assert len(got) == len(texts) and np.mean([r.lang_pred == langs[r.doc_id] for r in held]) > 0.95
 
 
+def test_language_against_the_kernel(spark, docs):
+    """Scores are the ridge weights' sums over the kernel with each landmark, and weights solve the regression."""
+    few = docs.where("lang IS NOT NULL").limit(60).cache()
+    model = language.fit(few, sample=12, landmarks=3)
+    marks = [set(np.flatnonzero(c).tolist()) for c in model.landmarks.T]
+    assert len(marks) == 3 * len(model.languages)
+    rows = few.select("doc_id", "text").collect()
+    held = {r.doc_id: {g for _, m in language.presence(pa.array([r.text])) for g in np.flatnonzero(m[0]).tolist()} for r in rows}
+    got = {r.doc_id: r for r in language.predict(few.select("doc_id", "text"), model).collect()}
+    for r in rows:
+        own = held[r.doc_id]
+        kernel = np.array([len(own & m) / math.sqrt(len(own) * len(m)) if own else 0.0 for m in marks])
+        scores = kernel @ model.weights
+        if language.has_letter(pa.array([r.text]))[0]:
+            assert got[r.doc_id].lang_pred == model.languages[int(scores.argmax())] and abs(got[r.doc_id].score - min(1, max(0, scores.max()))) < 1e-3
+
+
+def test_language_odd_rows(spark, docs):
+    model = language.fit(odd(spark).unionByName(docs.withColumn("q", F.lit("q")), allowMissingColumns=True))
+    got = language.predict(odd(spark).withColumn("score", F.lit("x")), model)
+    assert got.count() == len(ODD) and "q" in got.columns and got.where("score BETWEEN 0 AND 1").count() == len(ODD)
+    assert {r.doc_id for r in got.where("lang_pred = 'und'").collect()} == {1, 2, 3}
+    none = language.fit(empty(spark))
+    assert language.predict(empty(spark), model).count() == 0 and {r.lang_pred for r in language.predict(odd(spark), none).collect()} == {"und"}
+
+
+def test_chat_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, q string")
+    assert chat.examples(none).count() == 0 and chat.digests(chat.examples(none)).count() == 0
+
+
+def test_packing_odd_rows(spark, tmp_path):
+    packing.write_packed(odd(spark), str(tmp_path / "packed"), context=64)
+    back = Counter()
+    for r in spark.read.parquet(str(tmp_path / "packed")).collect():
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            back[d] += b - a
+    own = library()
+    want = Counter()
+    for i, x in ODD:
+        want[i] += len(own.encode_ordinary(x or ""))
+    assert back == +want
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want.fetchall())
+
+
 def test_chat(spark):
     found = QUERIES["op3_chat_format"](spark, DATA)
     con = duckdb.connect()
