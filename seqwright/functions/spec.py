@@ -55,12 +55,17 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "prefixFn": lambda n: T.prefixes(_TOK("tok"), int(n)),
     "suffixFn": lambda n: T.suffixes(_TOK("tok"), int(n)),
     "antiPrefixFn": lambda n: T.without_prefixes(_TOK("tok"), int(n)),
+    "antiSuffixFn": lambda n: T.without_suffixes(_TOK("tok"), int(n)),
+    "wdShape": lambda: _one(T.shape(_TOK("tok"))),
     "prefNGrams": lambda n, r: T.leading_grams(_TOK("tok"), int(n), int(r)),
     "sufNGrams": lambda n, r: T.trailing_grams(_TOK("tok"), int(n), int(r)),
     "sentPos": lambda: F.concat(_scored("sntRecip", T.position_weight(F.col("pos"))), _one(F.when(F.col("pos") == 0, "-AtStart-"))),
     "wdLen": lambda: _scored("wdLen", F.char_length("tok")),
 }
 
+#: Abbreviations of companies.
+CORPORATE = ("Corp.", "Ltd.", "Co.", "Inc.", "Cos.", "CORP.", "LTD.", "CO.", "INC.", "Corp", "Ltd", "Co", "Inc", "CORP", "LTD", "CO", "INC")
+
 _LEX = re.compile(r"\s*(?:(?P<pattern>regexpFn\(\s*(?P<rname>[\w.:-]+)\s*,(?P<regex>(?:\\\)|[^)])+)\))|(?P<word>@-?|W-?\b|N-|-?\d+|[A-Za-z_][\w.:-]*)|(?P<mark>[(),]))")
 
 
@@ -142,10 +147,44 @@ class Builder:
         self.rows = self.rows.drop("earlier")
         return found
 
+    def _near_company(self) -> str:
+        """Whether the token starts with a capital and an abbreviation of companies is one of the next three."""
+        tok = F.col("tok")
+        near = F.array(*[context.at(tok, o) for o in (1, 2, 3)])
+        return self.column(F.when(tok.rlike("^\\p{Lu}") & F.exists(near, lambda t: F.coalesce(t.isin(*CORPORATE), F.lit(False))), F.array(F.lit("nearCorpAbbrev"))))
+
+    def _predicate(self) -> str:
+        """The given name where one of the functions gives two features or more."""
+        if not self._take("("):
+            raise ValueError("predicateFn needs a name and functions")
+        name, parts = self.items.pop(0), []
+        while self._take(","):
+            parts.append(self._cross())
+        if not self._take(")"):
+            raise ValueError("a closing parenthesis is missing")
+        several = F.greatest(*[F.size(p) for p in parts], F.lit(0), F.lit(0)) > 1
+        return self.column(F.when(several, F.array(F.lit(name))))
+
+    def _distance(self, word: str, name: str, value: str) -> str:
+        """The binned distance to the nearest other token whose attribute has the value."""
+        side = "left" if word == "distToLeft" else "right"
+        own = context.nearest(self.rows, F.coalesce(F.try_element_at("attrs", F.lit(name)) == value, F.lit(False)))
+        bin_of = F.when(F.col(side) > 12, F.lit("MoreThan-12")).otherwise(F.concat(F.lit("Within-"), F.col(side).cast("string")))
+        self.n += 1
+        column = f"__f{self.n}"
+        self.rows = own.withColumn(column, F.array(F.concat(F.lit(f"{name}:{value}{side.title()}"), bin_of))).drop("left", "right")
+        return column
+
     def _function(self) -> str:
         word = self.items.pop(0)
         if isinstance(word, tuple):
             return self.column(FUNCTIONS["regexpFn"](*word[1:]))
+        if word == "nearCorpAbbrev":
+            return self._near_company()
+        if word == "predicateFn":
+            return self._predicate()
+        if word in ("distToLeft", "distToRight"):
+            return self._distance(word, *self._list())
         if word not in FUNCTIONS:
             raise ValueError(f"unknown function {word!r}")
         args = self._list() if self.items and self.items[0] == "(" else []

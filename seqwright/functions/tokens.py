@@ -31,8 +31,8 @@ def _each(tok: Column, n: int, from_n: Column, body) -> Column:
 
 
 def prefixes(tok: Column, n: int) -> Column:
-    """``PREF:`` and the first n to 1 characters; nothing for a shorter token. A token of length n has no prefix of all of it."""
-    return F.filter(_each(tok, n, F.lit(n), lambda i: F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), i))), lambda p: F.char_length(p) > 5)
+    """``PREF:`` and the first n to 1 characters; nothing for a shorter token."""
+    return _each(tok, n, F.lit(n), lambda i: F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), i)))
 
 
 def suffixes(tok: Column, n: int) -> Column:
@@ -46,6 +46,12 @@ def without_prefixes(tok: Column, n: int) -> Column:
     return F.when(F.char_length(tok) > 1, _each(tok, n, most, lambda i: F.concat(F.lit("SUF:"), F.substring(tok, i + 1, F.char_length(tok))))).otherwise(F.array().cast("array<string>"))
 
 
+def without_suffixes(tok: Column, n: int) -> Column:
+    """``PREF:`` and what is left after dropping n to 1 trailing characters; for a token of length n the first is ``SUF:`` and all of it."""
+    left = lambda i: F.char_length(tok) - i
+    return _each(tok, n, F.lit(n), lambda i: F.when(left(i) == 0, F.concat(F.lit("SUF:"), tok)).otherwise(F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), left(i)))))
+
+
 def leading_grams(tok: Column, n: int, r: int) -> Column:
     """All character n-grams within the first r characters."""
     room = F.least(F.char_length(tok), F.lit(r)) - n + 1

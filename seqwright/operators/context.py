@@ -56,13 +56,13 @@ def displaced(toks: DataFrame, value: Column) -> DataFrame:
 
 
 def nearest(toks: DataFrame, is_mark: Column) -> DataFrame:
-    """``toks`` with left and right: binned distance to the nearest marked token on either side, or to the sequence's edge.
+    """``toks`` with left and right: binned distance to the nearest other marked token on either side, or to the sequence's edge.
 
     Bins: 0 to 5 as they are, then 7, 9, 12 and 13 for more.
     """
     whole = sequence().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.last(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(1, Window.unboundedFollowing))
     left = F.col("pos") - F.coalesce(before, F.min("pos").over(whole))
     right = F.coalesce(after, F.max("pos").over(whole)) - F.col("pos")
 

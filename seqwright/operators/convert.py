@@ -136,6 +136,70 @@ def standoff_json(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select("doc_id", F.regexp_replace(json, '\\["([0-9]+)","([0-9]+)"', "[$1,$2").alias("json"))
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``docs`` with p: the tags and runs of text, in order; all of a document stays in its row."""
+    return docs.withColumn("p", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)))
+
+
+def upper_in_tags(docs: DataFrame, tags: list[str]) -> DataFrame:
+    """doc_id and text: upper case for the text inside any of the tags, which stay."""
+    name = lambda x: F.regexp_extract(x, "^</?([^ \\r\\n\\t>]+)[^<]*>$", 1)
+
+    def step(state: Column, x: Column) -> Column:
+        is_tag = x.rlike("^<[^<>]+>$") & name(x).isin(*tags) & ~x.endswith("/>")
+        depth = F.when(is_tag & x.startswith("</"), F.greatest(state["depth"] - 1, F.lit(0))).when(is_tag, state["depth"] + 1).otherwise(state["depth"])
+        shown = F.when((depth > 0) & ~x.rlike("^<[^<>]+>$"), F.upper(x)).otherwise(x)
+        return F.struct(depth.alias("depth"), F.array_append(state["out"], shown).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    return _pieces(docs).select("doc_id", F.array_join(F.aggregate("p", start, step)["out"], "").alias("text"))
+
+
+def split_docs(docs: DataFrame, tag: str) -> DataFrame:
+    """doc_id, part (from 0) and text: the text without tags, cut before each start tag of the name."""
+    parts = F.split("text", f"(?=<{tag}[ >])")
+    return docs.select("doc_id", F.posexplode(parts).alias("part", "t")).select("doc_id", "part", strip_tags(F.col("t")).alias("text"))
+
+
+def mapped_values(rows: DataFrame, column: str, mapping: DataFrame, default: str | None = None) -> DataFrame:
+    """``rows`` with the column's values replaced by the mapping (source, target); others become ``default``, or stay."""
+    table = mapping.select(F.col("source").alias("__source"), F.col("target").alias("__target"))
+    other = F.lit(default) if default is not None else F.col(column)
+    return rows.join(table, F.col(column) == F.col("__source"), "left").withColumn(column, F.coalesce("__target", other)).drop("__source", "__target")
+
+
+def tagged_words(docs: DataFrame, mapping: DataFrame, default: str = "NOUN") -> DataFrame:
+    """doc_id, pos, tok and tag of texts of ``word_TAG`` items: the mapped tag (source, target), or ``default``."""
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\r\\n\\t]+"), F.lit(0))).alias("pos", "item"))
+    cut = F.regexp_extract("item", "^(.*)_([^_]*)$", 1), F.regexp_extract("item", "^(.*)_([^_]*)$", 2)
+    bare = ~F.col("item").contains("_")
+    return mapped_values(rows.select("doc_id", "pos", F.when(bare, F.col("item")).otherwise(cut[0]).alias("tok"), F.when(bare, "").otherwise(cut[1]).alias("tag")), "tag", mapping, default)
+
+
+def project_tags(toks: DataFrame, alignment: DataFrame, source: DataFrame, least: float = 0.5, unsure: str = "<U>") -> DataFrame:
+    """line, pos and tag of all target tokens (line, pos): that of the best aligned tagged source token, none if the best is untagged, ``unsure`` if nothing is aligned with ``least`` or more.
+
+    ``alignment`` has line, tgt, src and p, ``source`` line, pos and tag (null outside tags).
+    """
+    have = alignment.join(source.select("line", F.col("pos").alias("src"), "tag"), ["line", "src"])
+    best = F.min_by(F.struct("tag", "p"), F.struct((-F.col("p")).alias("p"), F.col("tag").isNull().alias("none"), "src"))
+    found = have.groupBy("line", F.col("tgt").alias("pos")).agg(best.alias("best"))
+    sure = F.coalesce(F.col("best.p") >= least, F.lit(False))
+    return toks.select("line", "pos").join(found, ["line", "pos"], "left").select("line", "pos", F.when(sure, F.col("best.tag")).otherwise(unsure).alias("tag"))
+
+
+def vector_lines(rows: DataFrame) -> DataFrame:
+    """id and line: the label, then ``i|value`` for each value of the i-th vector (vectors: arrays of strings); rows without a label have none."""
+    fields = F.flatten(F.transform("vectors", lambda v, i: F.transform(F.filter(v, lambda x: F.trim(x) != ""), lambda x: F.concat(i.cast("string"), F.lit("|"), x))))
+    label = F.replace("label", F.lit(" "), F.lit(""))
+    return rows.where("label <> ''").select("id", F.concat_ws(" ", label, F.array_join(fields, " ")).alias("line"))
+
+
+def dense_rows(rows: DataFrame, n: int) -> DataFrame:
+    """id and row: 0 or 1 for each of the feature numbers 1 to ``n`` that a row (id, fids) has."""
+    return rows.select("id", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_contains("fids", i.cast("long")).cast("int")).alias("row"))
+
+
 def column_lines(toks: DataFrame) -> DataFrame:
     """doc_id, seq_id and text: one label a line, with the comment if there is one."""
     line = F.concat_ws("\t", "label", "comment") if "comment" in toks.columns else F.col("label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,29 +27,26 @@ def scaled_table(table: DataFrame, value: str, least: float = 0.001) -> DataFram
 
 def bigrams(toks: DataFrame) -> DataFrame:
     """first, second and n of neighbours within documents: the histograms that word clustering starts from."""
-    from pyspark.sql import Window
-
     after = F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
     return toks.select(F.col("tok").alias("first"), after.alias("second")).where("second IS NOT NULL").groupBy("first", "second").agg(F.count("*").alias("n"))
 
 
 def mutual_information(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """feature, mi: mutual information in bits of a feature's presence in a document with its label.
-
-    ``features`` has doc_id and feature, ``labels`` doc_id and label. Absent
-    counts follow from the margins, so only documents that have the feature are read.
+    """feature, label, mi, n, n_label and npmi of each feature and label that occur together.
+
+    mi, in bits, sums p(x, y) log2(p(x, y) / p(x) p(y)) over the labels y of the
+    documents that have the feature x; n counts these. npmi is log2 p(x)p(y) /
+    log2 p(x, y) - 1, which is -1 for the labels without a row and null where
+    all documents have both. ``features`` has doc_id and feature, ``labels``
+    doc_id and label. Labels without the feature add nothing, so only documents
+    that have it are read.
     """
-    spread = labels.groupBy("label").agg(F.count("*").alias("n_label"))
     total = labels.count()
-    have = features.distinct().join(labels, "doc_id")
-    pairs = have.groupBy("feature", "label").agg(F.count("*").alias("both"))
-    margin = pairs.groupBy("feature").agg(F.sum("both").alias("n_feature"))
-    cells = margin.crossJoin(F.broadcast(spread)).join(pairs, ["feature", "label"], "left")  # a row a feature and label; labels are few
-    both, n = F.coalesce(F.col("both"), F.lit(0)), F.lit(float(total))
-
-    def part(joint, a, b):
-        return F.when(joint > 0, joint / n * F.log2(joint * n / (a * b))).otherwise(0.0)
-
-    present = part(both, F.col("n_feature"), F.col("n_label"))
-    absent = part(F.col("n_label") - both, n - F.col("n_feature"), F.col("n_label"))
-    return cells.groupBy("feature").agg(F.sum(present + absent).alias("mi"))
+    spread = labels.groupBy("label").agg(F.count("*").alias("n_y"))
+    pairs = features.distinct().join(labels, "doc_id").groupBy("feature", "label").agg(F.count("*").alias("n_label"))
+    n, joint, share = F.lit(float(total)), F.col("n_label") / total, F.col("n_y") / total
+    feature = Window.partitionBy("feature")
+    rows = pairs.join(spread, "label").withColumn("n", F.sum("n_label").over(feature))
+    part = joint * F.log2(joint / (F.col("n") / n * share))
+    npmi = F.try_divide(F.log2(F.col("n") / n * share), F.log2(joint)) - 1
+    return rows.withColumns({"mi": F.sum(part).over(feature), "npmi": npmi}).select("feature", "label", "mi", "n", "n_label", "npmi")

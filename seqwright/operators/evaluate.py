@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,25 @@ def folds(rows: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("fold", F.floor((F.col("__first") + F.col("__place")) / size).cast("int")).drop("__part", "__place", "__first")
 
 
+def token_accuracy(rows: DataFrame, system: str, gold: str) -> DataFrame:
+    """n, n_right and accuracy."""
+    right = F.sum(F.when(F.col(system).eqNullSafe(F.col(gold)), 1).otherwise(0))
+    return rows.agg(F.count("*").alias("n"), right.alias("n_right"), (right / F.when(F.count("*") > 0, F.count("*"))).alias("accuracy"))
+
+
+def cross_entropy(rows: DataFrame, gold: str, model: str) -> DataFrame:
+    """cross_entropy: -sum p ln q over all rows' arrays of probabilities of the classes; p counts as 1e-200 at least."""
+    one = F.aggregate(F.arrays_zip(F.col(gold).alias("p"), F.col(model).alias("q")), F.lit(0.0), lambda a, x: a - F.greatest(x["p"], F.lit(1e-200)) * F.ln(x["q"]))
+    return rows.agg(F.sum(one).alias("cross_entropy"))
+
+
+def validated(rows: DataFrame, key: str, k: int, train: Callable[[DataFrame], object], decode: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
+    """What ``decode`` gives for each of ``k`` folds under the model that ``train`` makes of the others, with the fold."""
+    dealt = folds(rows, key, k)
+    parts = [decode(dealt.where(F.col("fold") == i), train(dealt.where(F.col("fold") != i))).withColumn("fold", F.lit(i)) for i in range(k)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def entropy(p: Column) -> Column:
     """-sum p log2 p of an array of probabilities."""
     return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x)).otherwise(0.0))

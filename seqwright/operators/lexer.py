@@ -52,7 +52,7 @@ TAGGED: list[Rule] = [
     ("TAGEND", r"</[^<>]+>"),
     ("TAGSTART", r"<[^<>]+>"),
     ("URL", _URL),
-    ("ABBREV", _listed(f"{CLITICS} 't {ABBREVIATIONS}")),
+    ("ABBREV", _listed(f"{CLITICS} 't {ABBREVIATIONS}") + "|ST\\. "),
     ("PUNCT", r"[-.;(),!?`\"{}':*+=|\[\]&]+"),
     *[("TOK", r) for r in (_ENTITY, _TIME, _INITIAL, _NUMBER, r"[^ \-\r\n\t<.;(),!?`\"{}':*+\[\]&]+")],
     ("WHITE", _WHITE),

@@ -9,6 +9,11 @@ WHITE = "[^ \\r\\n\\t]+"
 #: Runs of punctuation and runs of everything else but blanks: disjoint classes, so first match is longest match.
 WHITE_PUNCT = "[\\p{Punct}]+|[^ \\r\\n\\t\\p{Punct}]+"
 
+#: Tags as one token, and runs of everything else but blanks.
+WHITE_TAG = "<[^<>]+>|[^ \\r\\n\\t<]+|<"
+#: Tokens after which a sequence ends in any case.
+MOST_TOKENS = 4000
+
 
 def tokens(docs: DataFrame, pattern: str = WHITE, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, pos (from 0) and tok of every match of the pattern; null and empty texts have no rows."""
@@ -16,6 +21,14 @@ def tokens(docs: DataFrame, pattern: str = WHITE, *, doc_id: str = "doc_id", tex
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("pos", "tok"))
 
 
+def bounded(toks: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """``toks`` (doc_id, seq_id, pos) in sequences of ``most`` tokens or fewer: seq_id is numbered anew, pos counts from 0 in each."""
+    order = Window.partitionBy("doc_id", "seq_id").orderBy("pos")
+    rows = toks.withColumn("__place", F.row_number().over(order) - 1).withColumn("__part", F.floor(F.col("__place") / most))
+    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq_id", "__part")) - 1
+    return rows.withColumns({"seq_id": number.cast("int"), "pos": (F.col("__place") % most).cast("int")}).drop("__place", "__part")
+
+
 def sentences(toks: DataFrame) -> DataFrame:
     """``toks`` with seq_id: a token of sentence-final marks, or one that ends in them, ends its sequence."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

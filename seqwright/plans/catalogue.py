@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
 from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse
-from seqwright.operators.tokenize import WHITE_PUNCT, tokens
+from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, tokens
+from seqwright.sources import columns, sinks
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def white_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def punct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(_read(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")), WHITE_PUNCT)
+    return tokens(_read(spark, sf_dir, "documents"), WHITE_PUNCT)
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     found = corpus.mutual_information(_tokens(spark, sf_dir).select("doc_id", F.lower("tok").alias("feature")), labels)
-    return found.select("feature", F.round("mi", 6).alias("mi"))
+    return found.select("feature", F.col("label").cast("long").alias("label"), F.round("mi", 6).alias("mi"), "n", "n_label", F.round("npmi", 6).alias("npmi"))
 
 
 def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,25 +68,24 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sequences: a position a turn, the role as its label."""
-    rows = _read(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("seq_id"), F.col("turn").alias("pos"), F.col("role").alias("tok"), F.when(F.col("role") == "assistant", "A").otherwise("lex").alias("label"))
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of documents, a sequence each; those that end a sentence are labelled."""
+    return _tokens(spark, sf_dir).select("doc_id", F.lit(0).alias("seq_id"), "pos", "tok", F.when(F.col("tok").rlike("[.?!]$"), "A").otherwise("lex").alias("label"))
 
 
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = F.col("tok")
-    rows = _turns(spark, sf_dir)
+    rows = _marked(spark, sf_dir)
     return rows.select("doc_id", "pos", F.array_join(context.over(tok, [-1, 0, 1]), " ").alias("over"), F.array_join(context.within(tok, [-2, -1]), " ").alias("within"), context.ngram(tok, [-1, 0]).alias("ngram"))
 
 
 def nearest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.nearest(_turns(spark, sf_dir), F.col("tok") == "assistant")
+    found = context.nearest(_marked(spark, sf_dir), F.col("label") == "A")
     return found.select("doc_id", "pos", F.col("left").alias("to_left"), F.col("right").alias("to_right"))
 
 
 def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.spans(_turns(spark, sf_dir)).select("doc_id", "label", "st", "en")
+    return evaluate.spans(_marked(spark, sf_dir)).select("doc_id", "label", "st", "en")
 
 
 def lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir)
+    rows = _marked(spark, sf_dir)
     state = rows.select("doc_id", "seq_id", "pos", F.col("tok").alias("fname"), "label", F.lit(False).alias("edge"))
     edge = rows.select("doc_id", "seq_id", "pos", F.lit(":E:").alias("fname"), "label", F.lit(True).alias("edge"))
     return features.supported(state.union(edge))
@@ -165,12 +165,12 @@ def post_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPEC = r"""
 word as wdNormFn over (-1 to 1);
 pair as (wdFn cross regexpFn(MARK,^[su])) within (-1,0);
-gram as caselessWdFn ngram (-1,0,1);
+gram as wdFn ngram (-1,0,1);
 """
 
 
 def spec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spec.features(_turns(spark, sf_dir).drop("label"), _SPEC)
+    found = spec.features(_marked(spark, sf_dir).drop("label"), _SPEC)
     return found.select("doc_id", "pos", *[F.array_join(c, " ").alias(c) for c in ("word", "pair", "gram")])
 
 
@@ -245,17 +245,190 @@ def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(tokens(docs), 32)
 
 
+def white_tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(_read(spark, sf_dir, "pages"), WHITE_TAG, doc_id="page_id", text="html")
+
+
+def bounded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(_tokens(spark, sf_dir).withColumn("seq_id", F.lit(0)), 100).select("doc_id", "seq_id", "pos", "tok")
+
+
+def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluate.token_accuracy(_read(spark, sf_dir, "labels"), "toxic", "quality")
+    return found.select("n", "n_right", F.round("accuracy", 9).alias("accuracy"))
+
+
+def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of sentence ends against spans of tokens with a full stop."""
+    rows = _marked(spark, sf_dir)
+    system = rows.withColumn("label", F.when(F.col("tok").contains("."), "A").otherwise("lex"))
+    return evaluate.span_scores(evaluate.spans(rows), evaluate.spans(system)).select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def label_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy of the languages of each source."""
+    n = _read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    rows = n.groupBy("source").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list("n")).alias("n"))
+    return rows.select("source", F.round(evaluate.entropy(F.transform("n", lambda x: x / F.col("all"))), 6).alias("entropy"))
+
+
+def part_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distribution over three classes from each part's size, against the class of its key."""
+    gold = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(F.col("p_partkey") % 3 == k, 0.9).otherwise(0.05))
+    model = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: ((F.col("p_size") + k) % 3 + 1) / 6)
+    found = evaluate.cross_entropy(_read(spark, sf_dir, "part").select(gold.alias("gold"), model.alias("model")), "gold", "model")
+    return found.select(F.round("cross_entropy", 4).alias("cross_entropy"))
+
+
+def shouted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.upper_in_tags(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.translate("html", "ßŉǰ", "").alias("text")), ["h1", "h2", "title", "p"])
+
+
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.split_docs(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "p")
+
+
+def mapped_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+    table = rows.select(F.col("flag").alias("source")).distinct().where("source <> 'A'").withColumn("target", F.concat(F.lower("source"), F.lit("-")))
+    return convert.mapped_values(rows, "flag", table, "X")
+
+
+def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.array_join(F.transform(F.split("p_name", " "), lambda w, i: F.concat(w, F.when(F.char_length(w) % 3 > 0, F.concat(F.lit("_T"), (F.char_length(w) % 3).cast("string"))).otherwise(""))), " ")
+    docs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    table = docs.sparkSession.createDataFrame([("T1", "VERB")], "source string, target string")
+    return convert.tagged_words(docs, table)
+
+
+def projected_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("pos")).agg(F.max("l_tax").alias("tax"), F.min("l_returnflag").alias("flag"))
+    alignment = items.where("pos <> 2").select("line", F.col("pos").alias("tgt"), (1 + F.col("pos") % 3).alias("src"), (F.col("tax") * 12.5).alias("p"))
+    source = items.select("line", "pos", F.when(F.col("flag") != "N", F.col("flag")).alias("tag"))
+    return convert.project_tags(items, alignment, source)
+
+
+def posterior_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two classes' probabilities, in quarters, with the part's type as comment."""
+    p = (F.col("p_size") % 5) / 4
+    parts = _read(spark, sf_dir, "part")
+    return parts.select("p_partkey", sinks.posterior_line(F.create_map(F.lit("small"), p, F.lit("large"), 1 - p), F.col("p_type")).alias("line"))
+
+
+def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = F.array(F.split("p_name", " "), F.array(F.col("p_size").cast("string"), F.lit(" ")))
+    return convert.vector_lines(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), vectors.alias("vectors")))
+
+
+def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent words of part names as dense rows."""
+    words = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("fname"))
+    numbers = convert.feature_numbers(words.select("fname"))
+    rows = words.join(numbers, "fname").groupBy("id").agg(F.collect_list("fid").alias("fids"))
+    return convert.dense_rows(rows, 10).select("id", F.array_join("row", "").alias("row"))
+
+
+def lex_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", sinks.lex_text(F.col("text")).alias("text"))
+
+
+def iob_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and begins of IOB tags made of the tokens' first letters."""
+    kind = F.when(F.col("tok").rlike("^[a-m]"), "I-AM").when(F.col("tok").rlike("^[n-z]"), F.concat(F.when(F.col("pos") % 2 == 0, "B").otherwise("I"), F.lit("-NZ"))).otherwise("O")
+    rows = _tokens(spark, sf_dir).select("doc_id", F.lit(0).alias("seq_id"), "pos", kind.alias("iob"))
+    return convert.iob_labels(rows).select("doc_id", "pos", "label", "begin")
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.column_lines(_marked(spark, sf_dir).withColumn("comment", F.concat(F.lit("#"), "tok"))).select("doc_id", "text")
+
+
+def _order_files(spark: SparkSession, sf_dir: str, line: Column, separator: str = "") -> DataFrame:
+    """A text of lines an order: its items in order."""
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("l"))
+    return rows.select(F.col("l_orderkey").cast("string").alias("path"), F.array_join("l.line", "\n" + separator).alias("text"))
+
+
+def soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = (F.col("l_linenumber") % 5) / 4
+    soft = F.concat(F.lit("A="), p.cast("string"), F.lit(" B="), (1 - p).cast("string"))
+    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, soft).otherwise("C"), F.lit(" flag"), F.col("l_returnflag"), F.lit(":2.5 x #"), F.col("l_linestatus"))
+    found = columns.soft_values(_order_files(spark, sf_dir, line))
+    return found.select("path", "pos", "label", F.coalesce(F.try_element_at("label_dist", F.lit("B")), F.lit(-1.0)).alias("b"), F.array_join(F.array_sort(F.map_keys("feats")), " ").alias("feats"), "comment")
+
+
+def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("alt"), F.col("l_linenumber").cast("string"), F.lit(" "), (F.col("l_linenumber") / 8).cast("string"), F.lit(" f:"), F.col("l_linenumber").cast("string"), F.lit(".5 g # "), F.col("l_returnflag"))
+    found = columns.ranked(_order_files(spark, sf_dir, line, "----\n"))
+    return found.select("path", "group_id", "pos", "label", "prob", F.element_at("feats", "f").alias("f"), "comment")
+
+
+def ranking_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_returnflag").alias("comment"))
+    rows = rows.withColumns({"label": F.concat(F.lit("alt"), F.col("pos").cast("string")), "prob": F.col("pos") / 8, "comment": F.when(F.col("comment") != "N", F.col("comment"))})
+    return sinks.ranking_text(rows)
+
+
+def class_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in folders of their languages; each file's features, counted."""
+    path = F.concat(F.lit("/in/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"))
+    found = columns.class_folders(_read(spark, sf_dir, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")))
+    return found.select("path", "label", F.size("feats").alias("n_feats"))
+
+
+def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affixes without the last characters, capitals before company marks, and distances to sentence ends."""
+    rows = _marked(spark, sf_dir).withColumn("attrs", F.create_map(F.lit("end"), F.when(F.col("label") == "A", "yes").otherwise("no"))).drop("label")
+    found = spec.features(rows, "cut as antiSuffixFn(2);\nshape as wdShape;\nleft as distToLeft(end,yes);\nright as distToRight(end,yes);\ncompany as nearCorpAbbrev;\nmany as predicateFn(Long, prefixFn(4));")
+    return found.select("doc_id", "pos", *[F.array_join(c, " ").alias(c) for c in ("cut", "shape", "left", "right", "company", "many")])
+
+
+def induced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summed weights of three classes of each document's tokens under a map from words to classes."""
+    toks = _tokens(spark, sf_dir).select("doc_id", "pos", F.lower("tok").alias("fname"))
+    words = _read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\S+"), F.lit(0))).alias("fname")).distinct()
+    induced = words.select("fname", (F.char_length("fname") % 3).alias("cls"), (F.char_length("fname") / 4).alias("w"))
+    return features.weighted(toks, induced).groupBy("doc_id", "cls").agg(F.sum("w").alias("w"))
+
+
+def adjusted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of supported features as weights, with the sentence ends' node feature raised."""
+    rows = _marked(spark, sf_dir)
+    every = rows.select("doc_id", "seq_id", "pos", F.explode(F.array("tok", F.lit(":U:"))).alias("fname"), "label", F.lit(False).alias("edge"))
+    params = features.supported(every).select("fname", "prv", "cur", F.col("n").cast("double").alias("w"))
+    return features.adjusted(params, spark.createDataFrame([("A", 2.5)], "cur string, by double")).select("fname", "cur", "w")
+
+
+def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the names of two vocabularies together."""
+    one = _read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("fname"))
+    two = _tokens(spark, sf_dir).select(F.col("tok").alias("fname"))
+    return convert.feature_numbers(features.composed(one, two))
+
+
+def tag_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as tags of their return flag, matched with a set of three."""
+    attrs = F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("number"), F.col("l_linenumber").cast("string"))
+    items = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").distinct()
+    tags = items.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").alias("id"), F.col("l_returnflag").alias("tag"), attrs.alias("attrs"))
+    tagset = spark.createDataFrame([("N", {}), ("R", {"status": "F", "number": "1"}), ("A", {"number": "*"})], "tag string, want map<string,string>")
+    found = features.tag_matches(tags, tagset)
+    return found.select("id", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("kept"), lambda e: F.concat_ws("=", e["key"], e["value"]))), " ").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
-        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
+        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns,
+        white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
+        soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
 
 _TOKENS = r"toks AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \r\n\t]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[^ \r\n\t]+'), 1) - 1 AS pos FROM documents)"
 _IDF = "(SELECT tok, sum(n) AS tf, count(*) AS df FROM (SELECT doc_id, tok, count(*) AS n FROM toks GROUP BY ALL) GROUP BY tok)"
-_TURNS = "turns AS (SELECT conv_id AS doc_id, turn AS pos, role AS tok, CASE WHEN role = 'assistant' THEN 'A' ELSE 'lex' END AS label FROM conversations)"
+_MARKED = _TOKENS + r""", turns AS (SELECT doc_id, CAST(pos AS INT) AS pos, tok, CASE WHEN regexp_matches(tok, '[.?!]$') THEN 'A' ELSE 'lex' END AS label FROM toks)"""
 _OFFSETS = r"""pieces AS (
   SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[ \r\n\t]*[^ \r\n\t]+') AS x FROM documents)),
 offs AS (
@@ -268,8 +441,8 @@ _RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / d
 ORACLES: dict[str, str] = {
     "white_tokens": f"WITH {_TOKENS} SELECT doc_id, CAST(pos AS INT) AS pos, tok FROM toks",
     "punct_tokens": r"""
-SELECT conv_id * 1000 + turn AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok
-FROM (SELECT conv_id, turn, regexp_extract_all(text, '[!-/:-@\[-`{-~]+|[^ \r\n\t!-/:-@\[-`{-~]+') AS x FROM conversations)""",
+SELECT doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok
+FROM (SELECT doc_id, regexp_extract_all(text, '[!-/:-@\[-`{-~]+|[^ \r\n\t!-/:-@\[-`{-~]+') AS x FROM documents)""",
     "term_counts": f"WITH {_TOKENS} SELECT tok, CAST(tf AS BIGINT) AS tf, df FROM {_IDF}",
     "ridf_table": f"WITH {_TOKENS}, {_RIDF} SELECT tok, CAST(tf AS BIGINT) AS tf, df, round(idf, 6) AS idf, round(ridf, 6) AS ridf FROM ridf",
     "ridf_weights": f"""
@@ -280,16 +453,11 @@ WITH {_TOKENS} SELECT first, second, count(*) AS n
 FROM (SELECT tok AS first, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM toks) WHERE second IS NOT NULL GROUP BY ALL""",
     "feature_mi": f"""
 WITH {_TOKENS}, have AS (SELECT DISTINCT doc_id, lower(tok) AS feature FROM toks),
-lab AS (SELECT doc_id, quality AS label FROM labels), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lab),
-cells AS (
-  SELECT f.feature, n_feature, n_label, n, coalesce("both", 0) AS "both"
-  FROM (SELECT feature, count(*) AS n_feature FROM have JOIN lab USING (doc_id) GROUP BY feature) f
-  CROSS JOIN (SELECT label, count(*) AS n_label FROM lab GROUP BY label) l CROSS JOIN total
-  LEFT JOIN (SELECT feature, label, count(*) AS "both" FROM have JOIN lab USING (doc_id) GROUP BY ALL) b ON b.feature = f.feature AND b.label = l.label)
-SELECT feature, round(sum(
-  CASE WHEN "both" > 0 THEN "both" / n * log2("both" * n / (n_feature * n_label)) ELSE 0 END +
-  CASE WHEN n_label > "both" THEN (n_label - "both") / n * log2((n_label - "both") * n / ((n - n_feature) * n_label)) ELSE 0 END), 6) AS mi
-FROM cells GROUP BY feature""",
+lab AS (SELECT doc_id, quality AS label FROM labels), total AS (SELECT CAST(count(*) AS DOUBLE) AS dim FROM lab),
+xs AS (SELECT feature, count(*) AS n FROM have JOIN lab USING (doc_id) GROUP BY feature), ys AS (SELECT label, count(*) AS m FROM lab GROUP BY label),
+cells AS (SELECT feature, label, count(*) AS n_label FROM have JOIN lab USING (doc_id) GROUP BY ALL),
+p AS (SELECT feature, label, n, n_label, n_label / dim AS pxy, n / dim AS px, m / dim AS py FROM cells JOIN xs USING (feature) JOIN ys USING (label), total)
+SELECT feature, CAST(label AS BIGINT) AS label, round(sum(pxy * log2(pxy / (px * py))) OVER (PARTITION BY feature), 6) AS mi, n, n_label, round(log2(px * py) / nullif(log2(pxy), 0) - 1, 6) AS npmi FROM p""",
     "part_features": r"""
 SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\p{Nd}', 'd', 'g') AS shape,
   CASE WHEN regexp_matches(p_name, '[0-9,.]*[0-9]+$') THEN '-NUMBER-' ELSE p_name END AS normalised,
@@ -299,18 +467,18 @@ SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name, '\p{Lu}',
   array_to_string([p_name[i:i + 1] FOR i IN range(1, least(length(p_name), 4))], '|') AS leading
 FROM part""",
     "context_features": f"""
-WITH {_TURNS}, near AS (SELECT *, lag(tok, 1) OVER s AS a, lag(tok, 2) OVER s AS b, lead(tok, 1) OVER s AS z FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
+WITH {_MARKED}, near AS (SELECT *, lag(tok, 1) OVER s AS a, lag(tok, 2) OVER s AS b, lead(tok, 1) OVER s AS z FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos, concat_ws(' ', '-1@' || a, '0@' || tok, '1@' || z) AS over,
   CASE WHEN a IS NULL THEN '' WHEN b IS NULL OR a = b THEN a ELSE least(a, b) || ' ' || greatest(a, b) END AS within,
   coalesce(a, 'START') || '^' || tok AS ngram FROM near""",
     "nearest_marks": f"""
-WITH {_TURNS}, d AS (
-  SELECT doc_id, pos, pos - coalesce(max(CASE WHEN tok = 'assistant' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos), min(pos) OVER (PARTITION BY doc_id)) AS l,
-    coalesce(min(CASE WHEN tok = 'assistant' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos DESC), max(pos) OVER (PARTITION BY doc_id)) - pos AS r FROM turns)
+WITH {_MARKED}, d AS (
+  SELECT doc_id, pos, pos - coalesce(max(CASE WHEN label = 'A' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(pos) OVER (PARTITION BY doc_id)) AS l,
+    coalesce(min(CASE WHEN label = 'A' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(pos) OVER (PARTITION BY doc_id)) - pos AS r FROM turns)
 SELECT doc_id, pos, CASE WHEN l <= 5 THEN l WHEN l <= 7 THEN 7 WHEN l <= 9 THEN 9 WHEN l <= 12 THEN 12 ELSE 13 END AS to_left,
   CASE WHEN r <= 5 THEN r WHEN r <= 7 THEN 7 WHEN r <= 9 THEN 9 WHEN r <= 12 THEN 12 ELSE 13 END AS to_right FROM d""",
     "label_spans": f"""
-WITH {_TURNS}, m AS (SELECT *, CASE WHEN lag(label) OVER s = label THEN 0 ELSE 1 END AS start FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
+WITH {_MARKED}, m AS (SELECT *, CASE WHEN lag(label) OVER s = label THEN 0 ELSE 1 END AS start FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
 runs AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m)
 SELECT doc_id, label, min(pos) AS st, max(pos) AS en FROM runs WHERE label <> 'lex' GROUP BY doc_id, run, label""",
     "lexicon_tags": f"""
@@ -324,7 +492,7 @@ FROM (SELECT toxic AS label, avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0 END)
 FULL JOIN (SELECT quality AS label, avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0 END) AS recall FROM labels GROUP BY quality) r ON p.label = r.label""",
     "event_folds": "SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / ceil((SELECT count(*) FROM events) / 5.0)) AS INT) AS fold FROM events",
     "supported_features": f"""
-WITH {_TURNS}, all_rows AS (
+WITH {_MARKED}, all_rows AS (
   SELECT tok AS fname, CAST(NULL AS VARCHAR) AS prv, label AS cur FROM turns
   UNION ALL SELECT ':E:', lag(label) OVER (PARTITION BY doc_id ORDER BY pos), label FROM turns)
 SELECT fname, prv, cur, count(*) AS n FROM all_rows WHERE fname <> ':E:' OR prv IS NOT NULL GROUP BY ALL""",
@@ -361,11 +529,11 @@ WITH {_POSTS} SELECT a.doc_id, a.pos, a.place - b.place AS back,
   CASE WHEN len(b.toks) > 0 THEN round(len(a.toks) / len(b.toks), 6) END AS ratio
 FROM posts a JOIN posts b ON a.doc_id = b.doc_id AND a.place - b.place IN (1, 2)""",
     "spec_features": f"""
-WITH {_TURNS}, n AS (
-  SELECT doc_id, pos, tok, lag(tok) OVER s AS a, lead(tok) OVER s AS z FROM turns WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos, concat_ws(' ', '-1@' || a, '0@' || tok, '1@' || z) AS word,
-  array_to_string(list_sort(list_distinct(list_filter([a, tok], lambda t: regexp_matches(t, '^[su]')))).list_transform(lambda t: t || '&MARK'), ' ') AS pair,
-  coalesce(upper(a), 'START') || '^' || upper(tok) || '^' || coalesce(upper(z), 'END') AS gram FROM n""",
+WITH {_MARKED}, w AS (SELECT *, CASE WHEN regexp_matches(tok, '[0-9,.]*[0-9]+$') THEN '-NUMBER-' ELSE tok END AS nrm FROM turns),
+n AS (SELECT doc_id, pos, tok, nrm, lag(tok) OVER s AS a, lead(tok) OVER s AS z, lag(nrm) OVER s AS na, lead(nrm) OVER s AS nz FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, concat_ws(' ', '-1@' || na, '0@' || nrm, '1@' || nz) AS word,
+  array_to_string(list_sort(list_distinct(list_transform(list_filter([a, tok], lambda t: regexp_matches(t, '^[su]')), lambda t: t || '&MARK'))), ' ') AS pair,
+  coalesce(a, 'START') || '^' || tok || '^' || coalesce(z, 'END') AS gram FROM n""",
     "class_scores": """
 WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS w FROM part),
 s AS (SELECT id, sum(length(w) % 5 / 4) AS a, sum(length(w) * 2 % 5 / 4) AS b, sum(length(w) * 3 % 5 / 4) AS c FROM w GROUP BY id),
@@ -387,4 +555,92 @@ r AS (
     list_append(CASE WHEN r.b > r.a + 2 THEN r.pb ELSE r.pa END, 0), list_append(CASE WHEN r.b + 2 > r.a THEN r.pb ELSE r.pa END, 1)
   FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1)
 SELECT t.doc_id, t.pos, (CASE WHEN r.b > r.a THEN r.pb ELSE r.pa END)[t.i] AS y FROM t JOIN r ON r.doc_id = t.doc_id AND r.i = r.n""",
+    "white_tag_tokens": r"""
+SELECT page_id AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok
+FROM (SELECT page_id, regexp_extract_all(html, '<[^<>]+>|[^ \r\n\t<]+|<') AS x FROM pages)""",
+    "bounded_sequences": f"WITH {_TOKENS} SELECT doc_id, CAST(pos // 100 AS INT) AS seq_id, CAST(pos % 100 AS INT) AS pos, tok FROM toks",
+    "token_accuracy": """
+SELECT count(*) AS n, CAST(sum(CASE WHEN toxic IS NOT DISTINCT FROM quality THEN 1 ELSE 0 END) AS BIGINT) AS n_right,
+  round(avg(CASE WHEN toxic IS NOT DISTINCT FROM quality THEN 1.0 ELSE 0 END), 9) AS accuracy FROM labels""",
+    "span_scores": f"""
+WITH {_MARKED}, both_labels AS (SELECT doc_id, pos, 'g' AS side, label FROM turns UNION ALL SELECT doc_id, pos, 's', CASE WHEN contains(tok, '.') THEN 'A' ELSE 'lex' END FROM turns),
+m AS (SELECT *, CASE WHEN lag(label) OVER s = label THEN 0 ELSE 1 END AS start FROM both_labels WINDOW s AS (PARTITION BY side, doc_id ORDER BY pos)),
+runs AS (SELECT *, sum(start) OVER (PARTITION BY side, doc_id ORDER BY pos) AS run FROM m),
+spans AS (SELECT side, doc_id, min(pos) AS st, max(pos) AS en FROM runs WHERE label = 'A' GROUP BY side, doc_id, run),
+c AS (SELECT (SELECT count(*) FROM spans WHERE side = 'g') AS g, (SELECT count(*) FROM spans WHERE side = 's') AS s,
+  (SELECT count(*) FROM spans a JOIN spans b USING (doc_id, st, en) WHERE a.side = 'g' AND b.side = 's') AS hit)
+SELECT unnest(['A', 'TOTAL']) AS label, round(hit / s, 9) AS precision, round(hit / g, 9) AS recall, round(2.0 * hit / (g + s), 9) AS f1 FROM c""",
+    "label_entropy": """
+WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT source, n / sum(n) OVER (PARTITION BY source) AS p FROM n)
+SELECT source, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY source""",
+    "part_cross_entropy": """
+SELECT round(-sum((CASE WHEN p_partkey % 3 = k THEN 0.9 ELSE 0.05 END)::DOUBLE * ln(((p_size + k) % 3 + 1) / 6)), 4) AS cross_entropy FROM part, range(3) r(k)""",
+    "shouted_pages": r"""
+WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(translate(html, 'ßŉǰ', ''), '<[^<>]+>|[^<]+|<') AS x FROM pages)),
+t AS (SELECT *, CASE WHEN NOT regexp_matches(p, '^<[^<>]+>$') OR ends_with(p, '/>') OR regexp_extract(p, '^</?([^ \r\n\t>]+)[^<]*>$', 1) NOT IN ('h1', 'h2', 'title', 'p') THEN 0
+  WHEN starts_with(p, '</') THEN -1 ELSE 1 END AS step FROM p),
+d AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY n) AS total FROM t),
+f AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY n)) AS depth FROM d)
+SELECT page_id AS doc_id, string_agg(CASE WHEN depth > 0 AND NOT regexp_matches(p, '^<[^<>]+>$') THEN upper(p) ELSE p END, '' ORDER BY n) AS text FROM f GROUP BY page_id""",
+    "page_parts": r"""
+WITH p AS (SELECT page_id, string_split(regexp_replace(html, '<p([ >])', chr(1) || '<p\1', 'g'), chr(1)) AS x FROM pages),
+q AS (SELECT page_id, CASE WHEN len(x) > 1 AND x[1] = '' THEN x[2:] ELSE x END AS x FROM p)
+SELECT page_id AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS part, regexp_replace(unnest(x), '<[^<>]+>', '', 'g') AS text FROM q""",
+    "mapped_modes": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'X' ELSE lower(l_returnflag) || '-' END AS flag FROM lineitem",
+    "tagged_words": """
+SELECT p_partkey AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok, CASE WHEN length(unnest(x)) % 3 = 1 THEN 'VERB' ELSE 'NOUN' END AS tag
+FROM (SELECT p_partkey, string_split(p_name, ' ') AS x FROM part)""",
+    "projected_tags": """
+WITH i AS (SELECT l_orderkey AS line, l_linenumber AS pos, max(l_tax) AS tax, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL)
+SELECT a.line, a.pos, CASE WHEN a.pos <> 2 AND b.pos IS NOT NULL AND a.tax * 12.5 >= 0.5 THEN nullif(b.flag, 'N') ELSE '<U>' END AS tag
+FROM i a LEFT JOIN i b ON b.line = a.line AND b.pos = 1 + a.pos % 3""",
+    "posterior_lines": """
+SELECT p_partkey, 'large:' || CAST(1 - p_size % 5 / 4 AS VARCHAR) || chr(9) || 'small:' || CAST(p_size % 5 / 4 AS VARCHAR) || chr(9) || '#' || p_type AS line FROM part""",
+    "vector_lines": "SELECT p_partkey AS id, replace(p_type, ' ', '') || ' ' || array_to_string([w FOR w IN ['0|' || x FOR x IN string_split(p_name, ' ')]], ' ') || ' 1|' || p_size AS line FROM part",
+    "dense_rows": """
+WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS w FROM part),
+f AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS fid FROM w GROUP BY w),
+h AS (SELECT id, list(fid) AS fids FROM w JOIN f USING (w) GROUP BY id)
+SELECT id, array_to_string([CASE WHEN list_contains(fids, k) THEN 1 ELSE 0 END FOR k IN range(1, 11)], '') AS row FROM h""",
+    "lex_texts": r"SELECT doc_id, regexp_replace(text, '([^ \r\n\t]+)', '<lex>\1</lex>', 'g') AS text FROM documents",
+    "iob_spans": f"""
+WITH {_TOKENS}, k AS (
+  SELECT doc_id, pos, CASE WHEN regexp_matches(tok, '^[a-m]') THEN 'AM' WHEN regexp_matches(tok, '^[n-z]') THEN 'NZ' ELSE 'lex' END AS label, pos % 2 = 0 AS even FROM toks)
+SELECT doc_id, CAST(pos AS INT) AS pos, label, label = 'lex' OR (label = 'NZ' AND even) OR coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY pos) <> label, true) AS begin FROM k""",
+    "label_lines": f"WITH {_MARKED} SELECT doc_id, string_agg(label || chr(9) || '#' || tok, chr(10) ORDER BY pos) AS text FROM turns GROUP BY doc_id",
+    "soft_labels": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS INT) AS pos,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'C' END AS label, CASE WHEN l_linenumber % 2 = 0 THEN 1 - l_linenumber % 5 / 4 ELSE -1.0 END AS b,
+  'flag' || l_returnflag || ' x' AS feats, l_linestatus AS comment FROM lineitem""",
+    "ranking_rows": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS INT) AS group_id, 0 AS pos,
+  'alt' || l_linenumber AS label, l_linenumber / 8 AS prob, l_linenumber + 0.5::DOUBLE AS f, ' ' || l_returnflag AS comment FROM lineitem""",
+    "ranking_texts": """
+WITH i AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, nullif(min(l_returnflag), 'N') AS c FROM lineitem GROUP BY ALL)
+SELECT group_id, '----' || chr(10) || string_agg(concat_ws(chr(9), 'alt' || pos, CAST(pos / 8 AS VARCHAR), '# ' || c), chr(10) ORDER BY pos) AS text FROM i GROUP BY group_id""",
+    "class_folders": r"""
+SELECT '/in/' || coalesce(lang, 'none') || '/' || doc_id AS path, coalesce(lang, 'none') AS label, CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'))) AS INT) AS n_feats FROM documents""",
+    "shape_features": f"""
+WITH {_MARKED}, near AS (
+  SELECT *, pos - coalesce(max(CASE WHEN label = 'A' THEN pos END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
+    coalesce(min(CASE WHEN label = 'A' THEN pos END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(pos) OVER (PARTITION BY doc_id)) - pos AS r,
+    bool_or(regexp_full_match(tok, '(Corp|Ltd|Co|Inc|CORP|LTD|CO|INC)\\.?|Cos\\.')) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS co
+  FROM turns WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, CASE length(tok) WHEN 1 THEN '' WHEN 2 THEN 'SUF:' || tok || ' PREF:' || left(tok, 1) ELSE 'PREF:' || left(tok, length(tok) - 2) || ' PREF:' || left(tok, length(tok) - 1) END AS cut,
+  regexp_replace(regexp_replace(regexp_replace(tok, '\\p{{Lu}}', 'X', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Nd}}', 'd', 'g') AS shape,
+  'end:yesLeft' || CASE WHEN l <= 5 THEN 'Within-' || l WHEN l <= 7 THEN 'Within-7' WHEN l <= 9 THEN 'Within-9' WHEN l <= 12 THEN 'Within-12' ELSE 'MoreThan-12' END AS left,
+  'end:yesRight' || CASE WHEN r <= 5 THEN 'Within-' || r WHEN r <= 7 THEN 'Within-7' WHEN r <= 9 THEN 'Within-9' WHEN r <= 12 THEN 'Within-12' ELSE 'MoreThan-12' END AS right,
+  CASE WHEN regexp_matches(tok, '^\\p{{Lu}}') AND coalesce(co, false) THEN 'nearCorpAbbrev' ELSE '' END AS company, CASE WHEN length(tok) >= 4 THEN 'Long' ELSE '' END AS many FROM near""",
+    "induced_weights": f"""
+WITH {_TOKENS}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\S+')) AS fname FROM benchmark)
+SELECT doc_id, CAST(length(fname) % 3 AS INT) AS cls, sum(length(fname) / 4) AS w FROM toks JOIN words ON fname = lower(tok) GROUP BY ALL""",
+    "adjusted_weights": f"""
+WITH {_MARKED}, f AS (SELECT tok AS fname, label AS cur FROM turns UNION ALL SELECT ':U:', label FROM turns)
+SELECT fname, cur, n + CASE WHEN fname = ':U:' AND cur = 'A' THEN 2.5::DOUBLE ELSE 0 END AS w FROM (SELECT fname, cur, count(*)::DOUBLE AS n FROM f GROUP BY ALL)""",
+    "composed_names": f"""
+WITH {_TOKENS} SELECT fname, row_number() OVER (ORDER BY fname) AS fid FROM (SELECT tok AS fname FROM toks UNION SELECT unnest(string_split(p_name, ' ')) FROM part)""",
+    "tag_matches": """
+SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_linestatus AS id, l_returnflag AS tag,
+  CASE l_returnflag WHEN 'N' THEN '' WHEN 'A' THEN 'number=' || l_linenumber ELSE 'number=1 status=F' END AS kept
+FROM lineitem WHERE l_returnflag <> 'R' OR (l_linestatus = 'F' AND l_linenumber = 1)""",
 }

@@ -72,6 +72,59 @@ def attribute_values(docs: DataFrame) -> DataFrame:
     )
 
 
+def soft_values(docs: DataFrame) -> DataFrame:
+    """path, pos, label, label_dist, feats and comment of lines that start with two or more ``label=probability`` fields; others are read as :func:`attribute_values` without a weight."""
+    rows = lines(docs, r"^.{0,2}$")
+    cells = F.filter(F.split(F.regexp_extract("line", "^([^#]*)", 1), " "), lambda c: c != "")
+    soft = r"^[A-z]+=[0-9][0-9.E-]+$"
+    first_other = F.array_position(F.transform(cells, lambda c: c.rlike(soft)), False)
+    n_soft = F.when(first_other > 0, first_other - 1).otherwise(F.size(cells)).cast("int")
+    is_soft = n_soft > 1
+    pairs = F.transform(F.slice(cells, F.lit(1), n_soft), lambda c: F.struct(F.substring_index(c, "=", 1).alias("k"), F.substring_index(c, "=", -1).cast("double").alias("v")))
+    used = F.when(is_soft, n_soft).otherwise(1)
+    return rows.select(
+        "path",
+        "pos",
+        F.when(is_soft, F.get(pairs, F.lit(0))["k"]).otherwise(F.get(cells, F.lit(0))).alias("label"),
+        F.when(is_soft, F.map_from_entries(pairs)).alias("label_dist"),
+        _values(F.slice(cells, used + 1, F.size(cells))).alias("feats"),
+        F.when(F.instr("line", "#") > 0, F.regexp_extract("line", "#(.*)$", 1)).alias("comment"),
+    )
+
+
+def ranked(docs: DataFrame) -> DataFrame:
+    """path, group_id, pos, label, prob, feats and comment of ``label probability f[:v] …`` lines; a line with four dashes ends a group."""
+    rows = lines(docs, "----")
+    cells = F.filter(F.split(F.regexp_extract("line", "^([^#]*)", 1), " "), lambda c: c != "")
+    rows = rows.where(F.size(cells) >= 2)
+    return rows.select("path", F.col("seq_id").alias("group_id"), "pos", F.get(cells, F.lit(0)).alias("label"), F.get(cells, F.lit(1)).cast("double").alias("prob"), _values(F.slice(cells, F.lit(3), F.size(cells))).alias("feats"), F.when(F.instr("line", "#") > 0, F.regexp_replace(F.regexp_extract("line", "#(.*)$", 1), "#", "")).alias("comment"))
+
+
+def class_folders(docs: DataFrame) -> DataFrame:
+    """path, label and feats: the name of a file's folder, and the tokens of its text with value 1."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\r\\n\\t]+"), F.lit(0)))
+    return docs.select("path", F.regexp_extract("path", "([^/]+)/[^/]*$", 1).alias("label"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
+
+
+def lexicons(docs: DataFrame) -> DataFrame:
+    """lex_name and term: a file is a lexicon of its name, each whitespace-separated word a term."""
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    return docs.select(name.alias("lex_name"), F.explode(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0))).alias("term")).distinct()
+
+
+def word_properties(docs: DataFrame) -> DataFrame:
+    """word and properties of ``word property …`` lines; a word's lines add up."""
+    cells = F.regexp_extract_all("line", F.lit("\\S+"), F.lit(0))
+    rows = lines(docs, r"^\s*$").select(F.get(cells, F.lit(0)).alias("word"), F.explode(F.slice(cells, F.lit(2), F.size(cells))).alias("p"))
+    return rows.groupBy("word").agg(F.array_sort(F.collect_set("p")).alias("properties"))
+
+
+def word_scores(docs: DataFrame) -> DataFrame:
+    """word and score of ``word score`` lines; of several the greatest."""
+    cells = F.regexp_extract_all("line", F.lit("\\S+"), F.lit(0))
+    return lines(docs, r"^\s*$").groupBy(F.get(cells, F.lit(0)).alias("word")).agg(F.max(F.get(cells, F.lit(1)).try_cast("double")).alias("score"))
+
+
 def dependencies(docs: DataFrame) -> DataFrame:
     """path, seq_id, id, form, pos_tag, gov and rel of tab-separated dependency columns; the root's head is itself."""
     rows = lines(docs, r"^\s*$")
