@@ -44,6 +44,28 @@ def label_tokens(toks: DataFrame, spans: DataFrame, outside: str = "lex") -> Dat
     return both.withColumns({"begin": new, "label": F.coalesce("s.s_label", F.lit(outside))}).drop("s")
 
 
+def zoned(toks: DataFrame, zones: DataFrame, ends: str = "[.?!]+[\"']*$") -> DataFrame:
+    """The tokens (doc_id, pos, tok, st, en) that lie in a zone (doc_id, st, en; zones of a document are apart), with seq_id and place: a sequence ends with its zone or a sentence-final token."""
+    z = zones.select(F.col("doc_id").alias("z_doc"), F.col("st").alias("z_st"), F.col("en").alias("z_en")).withColumn("z_bin", F.explode(F.sequence(F.floor(F.col("z_st") / BIN), F.floor(F.col("z_en") / BIN))))
+    t = toks.withColumn("bin", F.floor(F.col("st") / BIN))
+    inside = t.join(z, (t.doc_id == z.z_doc) & (t.bin == z.z_bin) & (t.st >= z.z_st) & (t.en <= z.z_en))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    new = F.lag("z_st").over(order).isNull() | (F.lag("z_st").over(order) != F.col("z_st")) | F.lag("tok").over(order).rlike(ends)
+    rows = inside.withColumn("new", new.cast("int")).withColumn("seq_id", (F.sum("new").over(order) - 1).cast("int"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "seq_id").orderBy("pos")) - 1
+    return rows.withColumn("place", place).select(*toks.columns, "seq_id", "place")
+
+
+def outward(spans: DataFrame, toks: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, st, en, …) with ends inside a token (doc_id, st, en) moved outward to the token's borders."""
+    t = toks.select(F.col("doc_id").alias("t_doc"), F.col("st").alias("t_st"), F.col("en").alias("t_en")).withColumn("t_bin", F.explode(F.sequence(F.floor(F.col("t_st") / BIN), F.floor(F.col("t_en") / BIN))))
+    found = spans
+    for end, border in (("st", "t_st"), ("en", "t_en")):
+        on = (found["doc_id"] == t["t_doc"]) & (F.floor(found[end] / BIN) == t["t_bin"]) & (found[end] > t["t_st"]) & (found[end] < t["t_en"])
+        found = found.join(t, on, "left").withColumn(end, F.coalesce(border, end)).select(*spans.columns)
+    return found
+
+
 def inline_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tag, attrs, st and en (offsets in the text without tags) of every pair of an opening and a closing tag.
 

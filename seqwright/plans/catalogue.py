@@ -236,7 +236,8 @@ def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("seq_id"), (F.col("n") + 1).alias("id"), F.char_length("w").alias("l"))
     heads = words.select("doc_id", F.col("id").alias("gov"), F.col("l").alias("g")).union(words.where("id = 1").select("doc_id", F.lit(0), F.lit(0)))
     pairs = words.join(heads, "doc_id").where("id <> gov")  # a name has a handful of words
-    return parse.trees(pairs.select("doc_id", "seq_id", "gov", "id", (F.col("g") / 2 - F.abs(F.col("id") - F.col("gov")) + F.col("l") % 3 / 4).alias("score")))
+    found = parse.trees(pairs.select("doc_id", "seq_id", "gov", "id", (F.col("g") / 2 - F.abs(F.col("id") - F.col("gov")) + F.col("l") % 3 / 4).alias("score")))
+    return found.select("doc_id", "id", "gov", F.round("prob", 6).alias("prob"))
 
 
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,12 +417,125 @@ def tag_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("kept"), lambda e: F.concat_ws("=", e["key"], e["value"]))), " ").alias("kept"))
 
 
+def _two_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of 200 characters or more, and two spans of each."""
+    docs = _read(spark, sf_dir, "documents").where(F.char_length("text") >= 200).select("doc_id", "text")
+    ends = F.inline(F.array(*[F.struct(F.lit(a).alias("st"), F.lit(b).alias("en"), F.lit(t).alias("tag")) for a, b, t in ((13, 57, "A"), (100, 190, "B"))]))
+    return docs, docs.select("doc_id", ends)
+
+
+def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.inline_text(*_two_spans(spark, sf_dir))
+
+
+def moved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spans = _two_spans(spark, sf_dir)
+    return convert.outward(spans, convert.offsets(docs))
+
+
+def zoned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, zones = _two_spans(spark, sf_dir)
+    return convert.zoned(convert.offsets(docs), zones).select("doc_id", "pos", "tok", "seq_id", "place")
+
+
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of capitalised tokens merged with the sentence ends of documents."""
+    toks = convert.offsets(_read(spark, sf_dir, "documents"))
+    first = toks.where(F.col("tok").rlike("^[A-Z]")).select("doc_id", "st", (F.col("en") + 12).alias("en"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")).alias("attrs"))
+    second = toks.where(F.col("tok").rlike("[.?!]$")).select("doc_id", "st", "en", F.create_map(F.lit("b"), F.lit("2")).alias("attrs"))
+    found = convert.merged(first, second)
+    return found.select("doc_id", "st", "en", F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))), " ").alias("attrs"))
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the tokens of pages from their inline tags of two names."""
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    spans = convert.inline_spans(pages).where(F.col("tag").isin("p", "li")).select("doc_id", "st", "en", F.col("tag").alias("label"))
+    toks = convert.offsets(pages.withColumn("text", convert.strip_tags(F.col("text"))))
+    return convert.label_tokens(toks, spans).select("doc_id", "pos", "tok", "label", "begin")
+
+
+def standoff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spans of each document, written as standoff JSON and read back."""
+    docs, spans = _two_spans(spark, sf_dir)
+    json = convert.standoff_json(docs, spans.select("doc_id", F.col("tag").alias("type"), "st", "en", F.create_map(F.lit("k"), F.col("en").cast("string")).alias("attrs")))
+    found = columns.standoff(json.select(F.col("doc_id").cast("string").alias("path"), F.col("json").alias("text")))
+    return found.select("path", "type", "st", "en", "text", F.element_at("attrs", "k").alias("k"))
+
+
+def standoff_v2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "part")
+    annots = F.concat(F.lit('[[0,4,"i'), F.col("p_partkey").cast("string"), F.lit('","x"],[2,6,"j",""]]'))
+    json = F.concat(F.lit('{"signal":"'), F.col("p_name"), F.lit('","asets":[{"type":"ENTITY","hasID":true,"hasSpan":true,"attrs":[{"name":"kind","type":"string","aggregation":null}],"annots":'), annots, F.lit('},{"type":"lex","hasID":false,"hasSpan":true,"attrs":[],"annots":[[0,2]]}]}'))
+    found = columns.standoff_v2(parts.select(F.col("p_partkey").cast("string").alias("path"), json.alias("text")))
+    return found.select("path", "type", "id", "st", "en", "text", F.element_at("attrs", "kind").alias("kind"))
+
+
+def dependency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of orders as sentences, each governed by the one before it, written and read back."""
+    toks = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("int").alias("id")).agg(F.min("l_returnflag").alias("form"))
+    toks = toks.withColumns({"seq_id": F.lit(0), "pos_tag": F.lit("F"), "rel": F.concat(F.lit("r"), F.col("id").cast("string")), "gov": F.when(F.col("id") > 1, F.col("id") - 1).otherwise(F.col("id"))})
+    return columns.dependencies(sinks.dependency_text(toks).select("path", "text")).drop("seq_id")
+
+
+def attribute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "2.5 ").otherwise(""), F.col("l_returnflag"), F.lit("lab n:"), F.col("l_linenumber").cast("string"), F.lit(".5 x #"), F.col("l_linestatus"))
+    found = columns.attribute_values(_order_files(spark, sf_dir, line))
+    return found.select("path", "pos", "label", "weight", F.element_at("feats", "n").alias("n"), F.element_at("feats", "x").alias("x"), "comment")
+
+
+def column_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws("\t", F.concat(F.lit("L"), F.col("l_returnflag")), F.lit("w=a"), F.concat(F.lit("n:"), F.col("l_linenumber").cast("string"), F.lit(".5")), F.concat(F.lit("#"), "l_linestatus"))
+    found = columns.basic_columns(_order_files(spark, sf_dir, line, "\n"))
+    return found.select("path", "seq_id", "pos", "label", F.element_at("feats", "n").alias("n"), F.element_at("feats", "w=a").alias("w"), "comment")
+
+
+def _word_files(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """A file of lines a manufacturer, one a part."""
+    rows = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(line).alias("l"))
+    return rows.select(F.concat(F.lit("/lex/"), "p_brand").alias("path"), F.array_join("l", "\n").alias("text"))
+
+
+def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.lexicons(_word_files(spark, sf_dir, F.col("p_name")))
+
+
+def word_property_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = columns.word_properties(_word_files(spark, sf_dir, F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))))
+    return found.select("word", F.array_join("properties", " ").alias("properties"))
+
+
+def word_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of words, looked up for the tokens of part names."""
+    table = columns.word_scores(_word_files(spark, sf_dir, F.concat_ws("\t", F.substring_index("p_name", " ", 1), (F.col("p_size") / 4).cast("string"))))
+    toks = tokens(_read(spark, sf_dir, "part"), doc_id="p_partkey", text="p_name")
+    return lookup.scores(toks, table).select("doc_id", "pos", "tok", "score")
+
+
+def markup_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as posts with the role and the distance to the turn before as attributes, written and read back."""
+    rows = _posts(spark, sf_dir).withColumn("toks", F.filter("toks", lambda t: ~t.contains("<") & ~t.contains(">")))
+    post = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int")
+    rows = rows.withColumn("post", post).select(F.col("doc_id").cast("string").alias("path"), "post", F.create_map(F.lit("user"), F.coalesce("user", F.lit("Unk")), F.lit("antecedent-distance"), F.least("post", F.lit(1)).cast("string")).alias("attrs"), "toks")
+    found = columns.posts(sinks.post_markup(rows))
+    return found.select("path", "post", F.element_at("attrs", "user").alias("user"), F.element_at("attrs", "antecedent-distance").cast("int").alias("distance"), F.array_join("toks", " ").alias("toks"))
+
+
+def known_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of documents that part names have, and the number of their compact parameters."""
+    toks = _tokens(spark, sf_dir).select("doc_id", F.lower("tok").alias("fname"))
+    vocabulary = _read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("fname"))
+    params = features.compact(features.known(toks, vocabulary).groupBy("fname").agg((F.count("*") % 3).cast("double").alias("w")))
+    return params.select("fname", "w")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
         stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
+        tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
@@ -643,4 +757,73 @@ WITH {_TOKENS} SELECT fname, row_number() OVER (ORDER BY fname) AS fid FROM (SEL
 SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_linestatus AS id, l_returnflag AS tag,
   CASE l_returnflag WHEN 'N' THEN '' WHEN 'A' THEN 'number=' || l_linenumber ELSE 'number=1 status=F' END AS kept
 FROM lineitem WHERE l_returnflag <> 'R' OR (l_linestatus = 'F' AND l_linenumber = 1)""",
+    "part_trees": """
+WITH p AS (SELECT p_partkey, length(split_part(p_name, ' ', 1)) AS a, length(split_part(p_name, ' ', 2)) AS b FROM part),
+s AS (SELECT p_partkey, -1 + a % 3 / 4 AS s01, -2 + b % 3 / 4 AS s02, a / 2 - 1 + b % 3 / 4 AS s12, b / 2 - 1 + a % 3 / 4 AS s21 FROM p),
+t AS (SELECT p_partkey, unnest([exp(s01 + s12), exp(s02 + s21), exp(s01 + s02)]) AS w, unnest([0, 2, 0]) AS g1, unnest([1, 0, 0]) AS g2, unnest([1, 2, 3]) AS k FROM s),
+best AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(w, 12) DESC, k) AS place, sum(w) OVER (PARTITION BY p_partkey) AS z,
+  sum(w) OVER (PARTITION BY p_partkey, g1) AS w1, sum(w) OVER (PARTITION BY p_partkey, g2) AS w2 FROM t)
+SELECT p_partkey AS doc_id, unnest([1, 2]) AS id, unnest([g1, g2]) AS gov, unnest([round(w1 / z, 6), round(w2 / z, 6)]) AS prob FROM best WHERE place = 1""",
+    "tagged_documents": """
+SELECT doc_id, left(text, 13) || '<A>' || substring(text, 14, 44) || '</A>' || substring(text, 58, 43) || '<B>' || substring(text, 101, 90) || '</B>' || substring(text, 191) AS text FROM documents WHERE length(text) >= 200""",
+    "moved_spans": f"""
+WITH {_OFFSETS}, s AS (SELECT doc_id, unnest([13, 100]) AS st, unnest([57, 190]) AS en, unnest(['A', 'B']) AS tag FROM documents WHERE length(text) >= 200)
+SELECT s.doc_id, coalesce(a.en - length(a.tok), s.st) AS st, coalesce(b.en, s.en) AS en, tag FROM s
+LEFT JOIN offs a ON a.doc_id = s.doc_id AND a.en - length(a.tok) < s.st AND a.en > s.st LEFT JOIN offs b ON b.doc_id = s.doc_id AND b.en - length(b.tok) < s.en AND b.en > s.en""",
+    "zoned_tokens": f"""
+WITH {_OFFSETS}, z AS (
+  SELECT doc_id, pos, tok, CASE WHEN en - length(tok) >= 13 AND en <= 57 THEN 1 WHEN en - length(tok) >= 100 AND en <= 190 THEN 2 END AS zone
+  FROM offs WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) >= 200)),
+n AS (SELECT *, CASE WHEN lag(zone) OVER w = zone AND NOT regexp_matches(lag(tok) OVER w, '[.?!]+["'']*$') THEN 0 ELSE 1 END AS fresh FROM z WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+q AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS seq_id FROM n)
+SELECT doc_id, pos, tok, seq_id, CAST(row_number() OVER (PARTITION BY doc_id, seq_id ORDER BY pos) - 1 AS INT) AS place FROM q""",
+    "merged_spans": f"""
+WITH {_OFFSETS}, b AS (
+  SELECT doc_id, en - length(tok) AS st, regexp_matches(tok, '^[A-Z]') AS x, regexp_matches(tok, '[.?!]$') AS y, en FROM offs),
+m AS (SELECT doc_id, st, CASE WHEN y THEN en ELSE en + 12 END AS en, CASE WHEN x AND y THEN 'a=1 b=2' WHEN x THEN 'a=1 b=1' ELSE 'b=2' END AS attrs FROM b WHERE x OR y),
+r AS (SELECT *, max(en) OVER (PARTITION BY doc_id ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m)
+SELECT doc_id, st, en, attrs FROM r WHERE reach IS NULL OR st >= reach""",
+    "page_labels": r"""
+WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<[^<>]+>|[^<]+|<') AS x FROM pages)),
+a AS (SELECT *, CAST(sum(CASE WHEN regexp_full_match(p, '<[^<>]+>') THEN 0 ELSE length(p) END) OVER (PARTITION BY page_id ORDER BY n) AS BIGINT) AS pos FROM p),
+t AS (SELECT *, regexp_extract(p, '^</?([^ \r\n\t>]+)', 1) AS tag, NOT starts_with(p, '</') AS opens FROM a
+  WHERE regexp_full_match(p, '<[^<>]+>') AND NOT regexp_matches(p, '/>$|^<[!?]')),
+d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY n) + CASE WHEN opens THEN 0 ELSE 1 END AS depth FROM t),
+l AS (SELECT *, lead(pos) OVER w AS en, NOT lead(opens) OVER w AS ends FROM d WINDOW w AS (PARTITION BY page_id, tag, depth ORDER BY n)),
+spans AS (SELECT page_id, tag, pos AS st, en FROM l WHERE opens AND ends AND tag IN ('p', 'li') AND en > pos),
+pieces AS (SELECT page_id, unnest(x) AS p, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '<[^<>]+>', '', 'g'), '[ \r\n\t]*[^ \r\n\t]+') AS x FROM pages)),
+offs AS (SELECT page_id, pos, ltrim(p, E' \r\n\t') AS tok, sum(length(p)) OVER (PARTITION BY page_id ORDER BY pos) AS en FROM pieces),
+f AS (SELECT o.page_id, o.pos, any_value(o.tok) AS tok, min(CASE WHEN s.st IS NOT NULL THEN struct_pack(st := s.st, en := s.en, tag := s.tag) END) AS s
+  FROM offs o LEFT JOIN spans s ON s.page_id = o.page_id AND o.en <= s.en AND o.en > s.st GROUP BY o.page_id, o.pos)
+SELECT page_id AS doc_id, pos, tok, coalesce(s.tag, 'lex') AS label, s IS NULL OR lag(s) OVER (PARTITION BY page_id ORDER BY pos) IS DISTINCT FROM s AS begin FROM f""",
+    "standoff_rows": """
+SELECT CAST(doc_id AS VARCHAR) AS path, unnest(['A', 'B']) AS type, unnest([13, 100]) AS st, unnest([57, 190]) AS en,
+  unnest([substring(text, 14, 44), substring(text, 101, 90)]) AS text, unnest(['57', '190']) AS k FROM documents WHERE length(text) >= 200""",
+    "standoff_v2_rows": """
+SELECT CAST(p_partkey AS VARCHAR) AS path, 'ENTITY' AS type, unnest(['i' || p_partkey, 'j']) AS id, unnest([0, 2]) AS st, unnest([4, 6]) AS en,
+  unnest([left(p_name, 4), substring(p_name, 3, 4)]) AS text, unnest(['x', '']) AS kind FROM part""",
+    "dependency_rows": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_linenumber AS INT) AS id, min(l_returnflag) AS form, 'F' AS pos_tag, CAST(greatest(l_linenumber - 1, 1) AS INT) AS gov, 'r' || l_linenumber AS rel
+FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "attribute_rows": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS INT) AS pos,
+  l_returnflag || 'lab' AS label, CASE WHEN l_linenumber % 2 = 0 THEN 2.5::DOUBLE ELSE 1 END AS weight, l_linenumber + 0.5::DOUBLE AS n, 1.0::DOUBLE AS x, l_linestatus AS comment FROM lineitem""",
+    "column_rows": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS INT) AS seq_id, 0 AS pos,
+  'L' || l_returnflag AS label, l_linenumber + 0.5::DOUBLE AS n, 1.0::DOUBLE AS w, '#' || l_linestatus AS comment FROM lineitem""",
+    "lexicon_terms": "SELECT DISTINCT p_brand AS lex_name, unnest(string_split(p_name, ' ')) AS term FROM part",
+    "word_property_rows": """
+WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word, unnest([split_part(p_name, ' ', 2), CAST(p_size AS VARCHAR)]) AS p FROM part)
+SELECT word, string_agg(p, ' ' ORDER BY p) AS properties FROM w GROUP BY word""",
+    "word_score_rows": """
+WITH s AS (SELECT split_part(p_name, ' ', 1) AS word, max(p_size / 4) AS score FROM part GROUP BY 1),
+t AS (SELECT p_partkey AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, unnest(x) AS tok FROM (SELECT p_partkey, string_split(p_name, ' ') AS x FROM part))
+SELECT doc_id, pos, tok, score FROM t LEFT JOIN s ON word = tok""",
+    "markup_posts": r"""
+SELECT CAST(conv_id AS VARCHAR) AS path, CAST(place AS INT) AS post, coalesce(role, 'Unk') AS "user", CAST(least(place, 1) AS INT) AS distance,
+  array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'), lambda t: NOT contains(t, '<') AND NOT contains(t, '>')), ' ') AS toks
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)""",
+    "known_features": f"""
+WITH {_TOKENS}, v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS fname FROM benchmark)
+SELECT fname, (count(*) % 3)::DOUBLE AS w FROM toks JOIN v ON fname = lower(tok) GROUP BY fname HAVING count(*) % 3 > 0""",
 }

@@ -136,6 +136,29 @@ def dependencies(docs: DataFrame) -> DataFrame:
 _STANDOFF = "signal string, asets array<struct<type: string, hasID: boolean, hasSpan: boolean, attrs: array<string>, annots: array<array<string>>>>"
 
 
+_STANDOFF_V2 = "signal string, asets array<struct<type: string, hasID: boolean, hasSpan: boolean, attrs: array<struct<name: string, type: string, aggregation: string>>, annots: array<array<string>>>>"
+
+
+def standoff_v2(docs: DataFrame, types: tuple[str, ...] = ("ENTITY",)) -> DataFrame:
+    """path, type, id, st, en, text and attrs of the annotations of some types in standoff JSON whose attributes are objects; ids, where there are any, follow the offsets."""
+    rows = docs.select("path", F.from_json("text", _STANDOFF_V2).alias("d")).select("path", "d.signal", F.explode("d.asets").alias("a")).where(F.col("a.type").isin(*types))
+    rows = rows.select("path", "signal", "a.type", F.coalesce("a.hasID", F.lit(False)).alias("has_id"), F.transform("a.attrs", lambda x: x["name"]).alias("names"), F.explode("a.annots").alias("x"))
+    st, en = F.get("x", F.lit(0)).cast("int"), F.get("x", F.lit(1)).cast("int")
+    first = F.when(F.col("has_id"), 4).otherwise(3)
+    attrs = F.map_from_arrays("names", F.slice("x", first, F.size("names")))
+    return rows.select("path", "type", F.when(F.col("has_id"), F.get("x", F.lit(2))).alias("id"), st.alias("st"), en.alias("en"), F.substring(F.col("signal"), st + 1, en - st).alias("text"), attrs.alias("attrs"))
+
+
+def posts(docs: DataFrame) -> DataFrame:
+    """path, post, attrs and toks of each ``<Post …>`` element; the tags inside are dropped."""
+    whole = F.regexp_extract_all("text", F.lit("(?s)<Post\\b[^<>]*>.*?</Post>"), F.lit(0))
+    rows = docs.select("path", F.posexplode(whole).alias("post", "p"))
+    head = F.regexp_extract("p", "^<Post\\b([^<>]*)>", 1)
+    keys, values = (F.regexp_extract_all(head, F.lit('([A-Za-z_:-]+)="([^"]*)"'), F.lit(i)) for i in (1, 2))
+    body = F.regexp_replace("p", "<[^<>]+>", " ")
+    return rows.select("path", "post", F.map_from_arrays(keys, values).alias("attrs"), F.regexp_extract_all(body, F.lit("[^ \\r\\n\\t]+"), F.lit(0)).alias("toks"))
+
+
 def standoff(docs: DataFrame) -> DataFrame:
     """path, type, st, en, text and attrs of each annotation of standoff JSON with string attributes."""
     row = F.from_json("text", _STANDOFF)

@@ -27,6 +27,15 @@ def dependency_text(toks: DataFrame) -> DataFrame:
     return rows.select("path", "seq_id", F.array_join("l.line", "\n").alias("text"))
 
 
+def post_markup(posts: DataFrame) -> DataFrame:
+    """path and text: a ``<Post …>`` element for each post (path, post, attrs, toks), its attributes in order; predicted ones are attributes like others."""
+    entries = F.array_sort(F.map_entries("attrs"))
+    head = F.array_join(F.transform(entries, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), e["value"], F.lit('"'))), "")
+    one = F.concat(F.lit("<Post"), head, F.lit(">"), F.array_join("toks", " "), F.lit("</Post>"))
+    rows = posts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("post", one.alias("p")))).alias("l"))
+    return rows.select("path", F.array_join("l.p", "\n").alias("text"))
+
+
 def lex_text(text: Column) -> Column:
     """The text with each whitespace token in ``<lex>`` tags; blanks stay."""
     return F.regexp_replace(text, "([^ \\r\\n\\t]+)", "<lex>$1</lex>")

@@ -50,3 +50,41 @@ def test_readers(spark, tmp_path):
     assert [(r.type, r.text, r.attrs) for r in got] == [("ENAMEX", "Ada", {"type": "PER"}), ("ENAMEX", "Bob", {"type": "PER"})]
     (tmp_path / "a.txt").write_text("x")
     assert [r.text for r in columns.files(spark, str(tmp_path), "a[.]txt$").collect()] == ["x"]
+
+
+def test_more_features(spark):
+    from seqwright.functions import spec
+
+    assert one(spark, "abcd", lambda w: T.without_suffixes(w, 2)) == ["PREF:ab", "PREF:abc"]
+    assert one(spark, "ab", lambda w: T.without_suffixes(w, 2)) == ["SUF:ab", "PREF:a"]
+    rows = [(1, 0, i, t, {"pos": p}) for i, (t, p) in enumerate([("Acme", "N"), ("Steel", "N"), ("Co.", "X"), ("said", "V")])]
+    toks = spark.createDataFrame(rows, "doc_id int, seq_id int, pos int, tok string, attrs map<string,string>")
+    got = spec.features(toks, "near as nearCorpAbbrev;\nleft as distToLeft(pos,N);\nright as distToRight(pos,V);\ntwo as predicateFn(Two, prefixFn(2), wdFn);").orderBy("pos").collect()
+    assert [r.near for r in got] == [["nearCorpAbbrev"], ["nearCorpAbbrev"], [], []]
+    assert [r.left for r in got] == [["pos:NLeftWithin-0"], ["pos:NLeftWithin-1"], ["pos:NLeftWithin-1"], ["pos:NLeftWithin-2"]]
+    assert [r.right for r in got] == [["pos:VRightWithin-3"], ["pos:VRightWithin-2"], ["pos:VRightWithin-1"], ["pos:VRightWithin-0"]]
+    assert [r.two for r in got] == [["Two"]] * 4
+
+
+def test_dictionary_files_and_folders(spark, tmp_path):
+    (tmp_path / "names").write_text("Ada Lovelace\nBob")
+    assert {(r.lex_name, r.term) for r in columns.lexicons(columns.files(spark, str(tmp_path))).collect()} == {("names", "Ada"), ("names", "Lovelace"), ("names", "Bob")}
+    (tmp_path / "spam").mkdir()
+    (tmp_path / "spam" / "1.txt").write_text("buy buy now")
+    got = columns.class_folders(columns.files(spark, str(tmp_path / "spam"))).collect()
+    assert [(r.label, r.feats) for r in got] == [("spam", {"buy": 1.0, "now": 1.0})]
+    body = spark.createDataFrame([("p", "run V X\nrun N\n\nbad 1.5x\nbad 2\n")], "path string, text string")
+    assert {r.word: r.properties for r in columns.word_properties(body).collect()} == {"run": ["N", "V", "X"], "bad": ["1.5x", "2"]}
+    assert {r.word: r.score for r in columns.word_scores(body).collect()} == {"run": None, "bad": 2.0}
+
+
+def test_validated_folds(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "id int, label int")
+    found = evaluate.validated(rows, "id", 3, lambda d: d.count(), lambda d, m: d.withColumn("learnt", F.lit(m)))
+    assert sorted((r.id, r.fold, r.learnt) for r in found.collect()) == [(i, i // 10, 20) for i in range(30)]
+
+
+def test_posts_of_markup(spark):
+    text = '<Post user="a" dialog-act="ask">What <b>is</b>\nthis?</Post> x <Post>y</Post>'
+    got = columns.posts(spark.createDataFrame([("f", text)], "path string, text string")).orderBy("post").collect()
+    assert [(r.post, r.attrs, r.toks) for r in got] == [(0, {"user": "a", "dialog-act": "ask"}, ["What", "is", "this?"]), (1, {}, ["y"])]
