@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from seqwright.llm import kernels
 from seqwright.llm.common import chosen, table
-from seqwright.scratch import discard, written
+from seqwright.scratch import collected, discard, remove, written
 
 #: Prefix tokens are the leading bits of the hashes, and equal ones of a document are numbered above these bits, so that
 #: two documents share as many tokens as shingles, or more: a collision can only add a candidate.
@@ -334,8 +334,10 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
 
     Columns are unchanged. Rows without an id stay.
     """
-    found = near_duplicates(docs, **parameters)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    with collected() as made:
+        found = near_duplicates(docs, **parameters)
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    remove(docs.sparkSession, made)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

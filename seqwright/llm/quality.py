@@ -210,13 +210,14 @@ def base_failed(q: Column) -> Column:
 def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are good with probability KEEP or more; their columns are unchanged.
 
-    Votes are written with the rows, so that no text is looked at twice.
+    The texts are looked at twice, once for the model and once for the verdict:
+    rows with their votes, written in between, would stay on disk until the
+    result is read.
     """
     own = facts(F.col(f"`{text}`"))
-    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), let(own, lambda q: F.struct(base_failed(q).alias("failed"), votes(q).alias("votes"))).alias("told"))
-    told = written(told, "quality")
-    model = fit(told.select("told.votes"))
-    return told.where(~F.col("told.failed") & (posterior(F.col("told.votes"), model) >= KEEP)).select("row.*")
+    model = fit(docs.select(let(own, lambda q: votes(q)).alias("votes")))
+    # One expression, so that the filter computes the facts once.
+    return docs.where(let(own, lambda q: ~base_failed(q) & (posterior(votes(q), model) >= KEEP)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

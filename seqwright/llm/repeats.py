@@ -38,11 +38,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqwright.llm import kernels
 from seqwright.llm.common import chosen, table
 from seqwright.llm.jaccard import runs
-from seqwright.scratch import discard, new_path, written
+from seqwright.scratch import collected, discard, new_path, remove, written
 
 LENGTH = 200
 GRAM = 32
@@ -365,6 +366,15 @@ def different_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def text_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t and spans of the texts of ``docs`` that have any to remove: a table, beside which nothing is left."""
+    with collected() as made:
+        found = cut_texts(docs, length).where("spans IS NOT NULL").select("t", "spans")
+    kept = written(found, "repeats-spans")
+    remove(docs.sparkSession, made)
+    return kept
+
+
 def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t, text and spans (null where nothing repeats) of the different texts of ``docs``; all of a text that occurs twice repeats."""
     own = different_texts(docs)
@@ -414,14 +424,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = docs.columns
     others = [c for c in names if c not in ("text", "n_chars")]
     whole = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
-    rows = docs.select(whole.alias("others"), F.col("text").isNull().alias("none"), text_key().alias("t"))
+    rows = docs.select(whole.alias("others"), "text", text_key().alias("t")).join(text_spans(docs.select("text"), length), "t", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [x if s is None else kept_bytes(x.encode(), s)[0].decode("utf-8", "ignore") for x, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(left, pa.string())], names=["t", "left"])
+            left = [x if x is None or s is None else kept_bytes(x.encode(), s)[0].decode("utf-8", "ignore") for x, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("others"), pa.array(left, pa.string())], names=["others", "text"])
 
-    found = rows.join(cut_texts(docs.select("text"), length).mapInArrow(run, "t binary, left string"), "t").withColumn("text", F.when(~F.col("none"), F.col("left")))
+    found = rows.select("others", "text", "spans").mapInArrow(run, StructType([rows.schema["others"], rows.schema["text"]]))
     made = {"text": F.col("text")}
     if "n_chars" in names:
         made["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
