@@ -21,6 +21,18 @@ def hashed(features: DataFrame, n: int) -> DataFrame:
     return features.withColumn("fid", F.pmod(F.xxhash64("fname"), F.lit(n)))
 
 
+def type_count(features: DataFrame) -> DataFrame:
+    """n_types: how many names the features have, the size that hashed ids need."""
+    return features.agg(F.count_distinct("fname").alias("n_types"))
+
+
+def expanded(features: DataFrame, labels: list[str]) -> DataFrame:
+    """fname, prv and cur of each feature (fname, edge) with all labels, edge features with all pairs, as soft labels support them all."""
+    names = F.array(*map(F.lit, labels))  # labels are few and given
+    rows = features.select("fname", "edge").distinct().withColumn("cur", F.explode(names))
+    return rows.withColumn("prv", F.explode(F.when(F.col("edge"), names).otherwise(F.array(F.lit(None).cast("string"))))).select("fname", "prv", "cur")
+
+
 def known(features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The features whose name the vocabulary has."""
     return features.join(vocabulary.select("fname").distinct(), "fname", "left_semi")

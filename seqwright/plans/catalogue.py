@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse
+from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments
 from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, tokens
 from seqwright.sources import columns, sinks
 
@@ -529,6 +529,91 @@ def known_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return params.select("fname", "w")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of documents in sequences of up to 100; those of six letters starting with a capital, n or o are cues."""
+    toks = bounded(_tokens(spark, sf_dir).withColumn("seq_id", F.lit(0)), 100)
+    kind = F.when(F.col("tok").rlike("^[A-Z].{5}$"), "neg").when(F.col("tok").rlike("^[no].{5}$"), "unc")
+    empty = F.create_map().cast("map<string,string>")
+    return toks.withColumn("attrs", F.when(kind.isNotNull(), F.create_map(F.lit("type"), kind, F.lit("x"), F.substring("tok", 1, 1))).otherwise(empty))
+
+
+def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every segment of up to three tokens."""
+    toks = _tokens(spark, sf_dir).select("doc_id", F.lit(0).alias("seq_id"), "pos", "tok", F.create_map(F.lit("p1"), F.substring("tok", 1, 1), F.lit("q"), F.lit("no")).alias("attrs"))
+    found = segments.candidates(toks, 3)
+    return found.select("doc_id", "pos", "s", segments.size_name(F.col("s")).alias("node"), segments.size_name(F.col("s"), edge=True).alias("edge"), segments.phrase(F.col("words")).alias("phrase"), F.element_at("words", 1).alias("first"), segments.attribute_phrase(F.col("attrs"), "p").alias("attrs"))
+
+
+def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that labels of documents show, up to three tokens."""
+    label = F.when(F.col("tok").rlike("^[a-m]"), "AM").when(F.col("tok").rlike("^[n-z]"), "NZ").otherwise("lex")
+    toks = _tokens(spark, sf_dir).select("doc_id", F.lit(0).alias("seq_id"), "pos", "tok", label.alias("label"))
+    before = context.at(F.col("label"), -1)
+    sized = segments.label_sizes(toks.withColumn("begin", (F.col("label") == "lex") | before.isNull() | (before != F.col("label"))))
+    found = segments.supported(segments.candidates(toks, 3), sized)
+    return found.select("doc_id", "pos", "s", "label", segments.phrase(F.col("words")).alias("phrase"))
+
+
+def phrase_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicons of pairs of words of the benchmark, for the pairs of words of documents."""
+    pairs = segments.candidates(tokens(_read(spark, sf_dir, "benchmark"), doc_id="item_id").withColumn("seq_id", F.lit(0)), 2).where("s = 1")
+    lex = pairs.select(F.concat(F.lit("#"), (F.col("doc_id") % 3).cast("string")).alias("lex_name"), segments.phrase(F.col("words")).alias("entry")).distinct()
+    own = segments.candidates(_tokens(spark, sf_dir).withColumn("seq_id", F.lit(0)), 2).where("s = 1")
+    return segments.phrase_lexicon(own, lex).select("doc_id", "pos", F.array_join("names", " ").alias("names"))
+
+
+def cue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.cues(_typed(spark, sf_dir)).select("doc_id", "seq_id", "pos", "cue_type", "cue_start")
+
+
+def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cues of documents and their default scopes as lines."""
+    scopes = scope.default_scopes(_typed(spark, sf_dir))
+    both = scopes.withColumn("cue_type", F.lit(None).cast("string")).unionByName(scopes.withColumn("en", F.col("st")))
+    return scope.index_lines(both)
+
+
+def cue_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of the sequences of conversations, one a cue."""
+    toks = tokens(_read(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), doc_id="turn_id").withColumn("seq_id", F.lit(0))
+    kind = F.when(F.col("tok").rlike("^[A-Z]"), "neg").when(F.length("tok") == 7, "unc")
+    empty = F.create_map().cast("map<string,string>")
+    toks = toks.withColumn("attrs", F.when(kind.isNotNull(), F.create_map(F.lit("type"), kind)).otherwise(empty))
+    return scope.per_cue(toks).select("doc_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
+
+
+def xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of orders as sentences of XML, each governed by the one before it, written and read back."""
+    toks = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_returnflag").alias("form"))
+    toks = toks.select("path", F.lit(0).alias("seq_id"), "pos", F.concat("form", F.lit("<&>")).alias("tok"), (F.col("pos") - 1).alias("gov"), F.create_map(F.lit("pos"), F.concat(F.lit('"&'), "form")).alias("attrs"))
+    found = columns.xml_sentences(sinks.xml_text(toks))
+    return found.select("path", "seq_id", "pos", "tok", "gov", F.element_at("attrs", "pos").alias("tag"))
+
+
+def instance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fids, vals = F.array("l_partkey", F.col("l_linenumber").cast("long")), F.array(F.lit(1.0), F.col("l_linenumber") + 0.5)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", sinks.instance_line(F.col("l_returnflag"), fids, vals).alias("line"))
+
+
+def feature_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masses of two classes in the words of part names."""
+    parts = _read(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    instances = parts.select("id", F.map_from_entries(F.transform(F.array_distinct(F.split("p_name", " ")), lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
+    probs = F.create_map(F.lit("a"), F.col("p_size") / 64, F.lit("b"), 1 - F.col("p_size") / 64)
+    found = maxent.feature_masses(instances, parts.select("id", probs.alias("probs")))
+    return found.select("fname", "cls", F.round("mass", 6).alias("mass"), F.round("share", 6).alias("share"))
+
+
+def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.type_count(_tokens(spark, sf_dir).withColumnRenamed("tok", "fname"))
+
+
+def expanded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents with both labels, those that end a sentence with all pairs."""
+    toks = _tokens(spark, sf_dir).select(F.col("tok").alias("fname"), F.col("tok").rlike("[.?!]$").alias("edge"))
+    return features.expanded(toks, ["A", "B"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -536,6 +621,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
+        segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
@@ -552,6 +638,9 @@ _POSTS = r"""posts AS (
     count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)"""
 _RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / df) + log2(1 - exp(-tf / n_docs)) AS ridf FROM {_IDF}, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents))"
 
+_TYPED = _TOKENS + r""", typed AS (
+  SELECT doc_id, CAST(pos // 100 AS INT) AS seq_id, CAST(pos % 100 AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[A-Z].{5}$') THEN 'neg' WHEN regexp_matches(tok, '^[no].{5}$') THEN 'unc' END AS type FROM toks)"""
+
 ORACLES: dict[str, str] = {
     "white_tokens": f"WITH {_TOKENS} SELECT doc_id, CAST(pos AS INT) AS pos, tok FROM toks",
     "punct_tokens": r"""
@@ -823,6 +912,44 @@ SELECT doc_id, pos, tok, score FROM t LEFT JOIN s ON word = tok""",
 SELECT CAST(conv_id AS VARCHAR) AS path, CAST(place AS INT) AS post, coalesce(role, 'Unk') AS "user", CAST(least(place, 1) AS INT) AS distance,
   array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'), lambda t: NOT contains(t, '<') AND NOT contains(t, '>')), ' ') AS toks
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)""",
+    "segment_features": f"""
+WITH {_TOKENS}, l AS (SELECT doc_id, pos, tok, lag(tok) OVER w AS t1, lag(tok, 2) OVER w AS t2 FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT doc_id, pos, 0 AS s, [tok] AS x FROM l UNION ALL SELECT doc_id, pos, 1, [t1, tok] FROM l WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, pos, 2, [t2, t1, tok] FROM l WHERE t2 IS NOT NULL)
+SELECT doc_id, CAST(pos AS INT) AS pos, s, ':U::' || s AS node, ':E::' || s AS edge, array_to_string(x, ' ') AS phrase, x[1] AS first, 'attrs=_' || array_to_string([t[1] FOR t IN list_reverse(x)], '_') AS attrs FROM s""",
+    "label_segments": f"""
+WITH {_TOKENS}, k AS (SELECT doc_id, pos, tok, CASE WHEN regexp_matches(tok, '^[a-m]') THEN 'AM' WHEN regexp_matches(tok, '^[n-z]') THEN 'NZ' ELSE 'lex' END AS label FROM toks),
+r AS (SELECT *, CASE WHEN label <> 'lex' AND lag(label) OVER (PARTITION BY doc_id ORDER BY pos) = label THEN 0 ELSE 1 END AS fresh FROM k),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r)
+SELECT doc_id, CAST(max(pos) AS INT) AS pos, CAST(count(*) - 1 AS INT) AS s, any_value(label) AS label, string_agg(tok, ' ' ORDER BY pos) AS phrase FROM g GROUP BY doc_id, run HAVING count(*) <= 3""",
+    "phrase_lexicons": rf"""
+WITH {_TOKENS}, b AS (SELECT item_id, unnest(x) AS tok, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM benchmark)),
+p AS (SELECT item_id, lag(tok) OVER (PARTITION BY item_id ORDER BY pos) || ' ' || tok AS entry FROM b),
+lex AS (SELECT entry, string_agg(DISTINCT '#' || item_id % 3, ' ' ORDER BY '#' || item_id % 3) AS names FROM p WHERE entry IS NOT NULL GROUP BY entry),
+d AS (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) || ' ' || tok AS phrase FROM toks)
+SELECT doc_id, CAST(pos AS INT) AS pos, coalesce(names, phrase) AS names FROM d LEFT JOIN lex ON entry = phrase WHERE phrase IS NOT NULL""",
+    "cue_tokens": f"""
+WITH {_TYPED} SELECT doc_id, seq_id, pos, arg_max(type, pos) FILTER (WHERE type IS NOT NULL) OVER w AS cue_type, max(pos) FILTER (WHERE type IS NOT NULL) OVER w AS cue_start FROM typed WINDOW w AS (PARTITION BY doc_id, seq_id)""",
+    "cue_lines": f"""
+WITH {_TYPED}, s AS (SELECT *, max(pos) OVER (PARTITION BY doc_id, seq_id) AS en FROM typed)
+SELECT doc_id, seq_id, pos AS cue, unnest(['xcope', 'cue']) AS kind,
+  unnest(['c="" ' || seq_id || ':' || pos || ' ' || seq_id || ':' || en || '||t="xcope"||id="' || pos || '"', 'c="" ' || seq_id || ':' || pos || ' ' || seq_id || ':' || pos || '||t="cue"||sub_t="' || type || '" ref="' || pos || '"']) AS line
+FROM s WHERE type IS NOT NULL""",
+    "cue_copies": r"""
+WITH t AS (SELECT conv_id || '-' || turn AS doc_id, unnest(x) AS tok, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM conversations)),
+k AS (SELECT *, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM t)
+SELECT k.doc_id, c.pos AS cue, k.pos, CASE WHEN k.pos = c.pos THEN k.type END AS type FROM k JOIN k c ON c.doc_id = k.doc_id AND c.type IS NOT NULL""",
+    "xml_rows": """
+SELECT CAST(l_orderkey AS VARCHAR) AS path, 0 AS seq_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS pos, min(l_returnflag) || '<&>' AS tok, CAST(l_linenumber - 1 AS INT) AS gov, '"&' || min(l_returnflag) AS tag
+FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "instance_lines": "SELECT l_orderkey, l_returnflag || ' ' || l_partkey || ' ' || l_linenumber || ':' || l_linenumber || '.5' AS line FROM lineitem",
+    "feature_masses": """
+WITH w AS (SELECT DISTINCT p_partkey, p_size / 64 AS p, unnest(string_split(p_name, ' ')) AS fname FROM part),
+m AS (SELECT fname, sum(p) AS a, sum(1 - p) AS b FROM w GROUP BY fname)
+SELECT fname, unnest(['a', 'b']) AS cls, unnest([round(a, 6), round(b, 6)]) AS mass, unnest([round(a / (a + b), 6), round(b / (a + b), 6)]) AS share FROM m""",
+    "feature_types": f"WITH {_TOKENS} SELECT count(DISTINCT tok) AS n_types FROM toks",
+    "expanded_features": f"""
+WITH {_TOKENS}, d AS (SELECT DISTINCT tok AS fname, regexp_matches(tok, '[.?!]$') AS edge FROM toks)
+SELECT fname, unnest(CASE WHEN edge THEN ['A', 'A', 'B', 'B'] ELSE [NULL, NULL] END) AS prv, unnest(CASE WHEN edge THEN ['A', 'B', 'A', 'B'] ELSE ['A', 'B'] END) AS cur FROM d""",
     "known_features": f"""
 WITH {_TOKENS}, v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS fname FROM benchmark)
 SELECT fname, (count(*) % 3)::DOUBLE AS w FROM toks JOIN v ON fname = lower(tok) GROUP BY fname HAVING count(*) % 3 > 0""",

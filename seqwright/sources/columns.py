@@ -167,3 +167,22 @@ def standoff(docs: DataFrame) -> DataFrame:
     st, en = F.get("x", F.lit(0)).cast("int"), F.get("x", F.lit(1)).cast("int")
     values = F.slice("x", F.lit(3), F.size("attrs"))
     return rows.select("path", "type", st.alias("st"), en.alias("en"), F.substring(F.col("signal"), st + 1, en - st).alias("text"), F.map_from_arrays("attrs", values).alias("attrs"))
+
+
+def _plain(text: Column) -> Column:
+    """Text of XML with its five named entities resolved."""
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    return text
+
+
+def xml_sentences(docs: DataFrame) -> DataFrame:
+    """path, seq_id, pos, tok, gov and attrs of the ``<lex …>`` elements in each ``<s>`` element; gov is 0 where the attribute lacks."""
+    found = F.regexp_extract_all("text", F.lit("(?s)<s(?:\\s[^<>]*)?>(.*?)</s>"), F.lit(1))
+    sents = docs.select("path", F.posexplode(found).alias("seq_id", "s"))
+    toks = sents.select("path", "seq_id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s)<lex(?:\\s[^<>]*)?>.*?</lex>"), F.lit(0))).alias("pos", "e"))
+    tag = F.regexp_extract("e", "^<[^<>]+>", 0)
+    name, value = (F.regexp_extract_all(tag, F.lit("([\\w:.-]+)=\"([^\"]*)\""), F.lit(i)) for i in (1, 2))
+    toks = toks.withColumn("attrs", F.map_from_arrays(name, F.transform(value, _plain)))
+    gov = F.coalesce(F.try_element_at("attrs", F.lit("gov")).try_cast("int"), F.lit(0))
+    return toks.select("path", "seq_id", "pos", _plain(F.regexp_replace("e", "<[^<>]*>", "")).alias("tok"), gov.alias("gov"), "attrs")

@@ -39,3 +39,26 @@ def post_markup(posts: DataFrame) -> DataFrame:
 def lex_text(text: Column) -> Column:
     """The text with each whitespace token in ``<lex>`` tags; blanks stay."""
     return F.regexp_replace(text, "([^ \\r\\n\\t]+)", "<lex>$1</lex>")
+
+
+def _escaped(text: Column) -> Column:
+    for name, mark in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
+        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
+    return text
+
+
+def xml_text(toks: DataFrame) -> DataFrame:
+    """path and text: an ``<s>`` element a sequence, a ``<lex>`` element a token (path, seq_id, pos, tok, gov, attrs) whose gov is the predicted one."""
+    attrs = F.map_concat(F.map_filter("attrs", lambda k, _: k != "gov"), F.create_map(F.lit("gov"), F.col("gov").cast("string")))
+    fields = F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"')))
+    one = F.concat(F.lit("<lex"), F.array_join(fields, ""), F.lit(">"), _escaped(F.col("tok")), F.lit("</lex>"))
+    sents = toks.groupBy("path", "seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("e")))).alias("s"))
+    sents = sents.withColumn("s", F.concat(F.lit("<s>"), F.array_join("s.e", " "), F.lit("</s>")))
+    files = sents.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq_id", "s"))).alias("s"))
+    return files.select("path", F.concat(F.lit("<doc>"), F.array_join("s.s", "\n"), F.lit("</doc>")).alias("text"))
+
+
+def instance_line(label: Column, fids: Column, vals: Column) -> Column:
+    """The label, then ``fid`` or ``fid:value`` for each feature; values within 0.001 of 1 are left out."""
+    one = lambda e: F.when(F.abs(e["v"] - 1) <= 0.001, e["f"].cast("string")).otherwise(F.concat_ws(":", e["f"].cast("string"), e["v"].cast("string")))
+    return F.concat_ws(" ", label.cast("string"), F.transform(F.arrays_zip(fids.alias("f"), vals.alias("v")), one))
