@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqwright.operators import optimize
@@ -95,6 +95,80 @@ def best_segments(scores: np.ndarray, transitions: np.ndarray, longest: int) ->
     return found[::-1]
 
 
+def segment_marginals(scores: np.ndarray, transitions: np.ndarray, longest: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partition over segmentations, each position's expected label and expected transitions between segments, scored as in :func:`best_segments`."""
+    n, labels = scores.shape
+    total = np.vstack([np.zeros(labels), scores.cumsum(axis=0)])
+    spans = [(first, end, total[end + 1] - total[first]) for end in range(n) for first in range(max(0, end - longest + 1), end + 1)]
+    ahead, back = np.full((n, labels), -np.inf), np.full((n, labels), -np.inf)
+    back[-1] = 0
+
+    def before(first: int) -> np.ndarray:
+        return _lse(ahead[first - 1][:, None] + transitions, 0) if first else np.zeros(labels)
+
+    for first, end, own in spans:
+        ahead[end] = np.logaddexp(ahead[end], before(first) + own)
+    for first, end, own in sorted(spans, key=lambda s: -s[1]):
+        if first:
+            back[first - 1] = np.logaddexp(back[first - 1], _lse(transitions + own + back[end], 1))
+    z, node, edge = float(_lse(ahead[-1], 0)), np.zeros((n + 1, labels)), np.zeros((labels, labels))
+    for first, end, own in spans:
+        p = np.exp(before(first) + own + back[end] - z)
+        node[first] += p
+        node[end + 1] -= p
+        if first:
+            edge += np.exp(ahead[first - 1][:, None] + transitions + own + back[end] - z)
+    return z, node.cumsum(axis=0)[:-1], edge
+
+
+def _given(row: dict, x: np.ndarray, labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sequence's scores and the transitions under the parameters."""
+    cut = len(x) - labels * labels
+    return _scores(row, x[:cut].reshape(-1, labels)), x[cut:].reshape(labels, labels)
+
+
+def _add(row: dict, grad: np.ndarray, node: np.ndarray, edge: np.ndarray) -> None:
+    """Adds the gradient of a sequence from that of its labels and transitions."""
+    labels = len(edge)
+    cut = len(grad) - labels * labels
+    own = grad[:cut].reshape(-1, labels)
+    for f, v, d in zip(row["fids"], row["vals"], node):
+        np.add.at(own, np.array(f, int), np.array(v)[:, None] * d)
+    grad[cut:] += edge.ravel()
+
+
+def segment_term(labels: int, longest: int):
+    """Loss and gradient of one labelled sequence (y, begin) over all segmentations; a gold segment starts at a begin or another label."""
+
+    def one(row: dict, x: np.ndarray, grad: np.ndarray) -> float:
+        scores, transitions = _given(row, x, labels)
+        z, node, edge = segment_marginals(scores, transitions, longest)
+        y, begin = np.array(row["y"]), np.array(row["begin"], bool)
+        starts = np.flatnonzero((np.arange(len(y)) == 0) | begin | (y != np.roll(y, 1)))
+        pairs = y[starts[:-1]], y[starts[1:]]
+        z -= scores[np.arange(len(y)), y].sum() + transitions[pairs].sum()
+        node[np.arange(len(y)), y] -= 1
+        np.add.at(edge, pairs, -1)
+        _add(row, grad, node, edge)
+        return float(z)
+
+    return one
+
+
+def soft_term(labels: int):
+    """Loss and gradient of one sequence whose positions have distributions ``p`` of labels; neighbours count as independent."""
+
+    def one(row: dict, x: np.ndarray, grad: np.ndarray) -> float:
+        scores, transitions = _given(row, x, labels)
+        z, node, edge = marginals(scores, transitions)
+        p = np.array(row["p"], float)
+        pairs = p[:-1].T @ p[1:]
+        _add(row, grad, node - p, edge - pairs)
+        return float(z - (p * scores).sum() - (pairs * transitions).sum())
+
+    return one
+
+
 def term(labels: int):
     """Loss and gradient of one sequence: all labelled, or, where y is null, over every label that could stand there."""
 
@@ -120,9 +194,37 @@ def term(labels: int):
 
 def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
     """Train by L-BFGS, or by ``method="sgd"`` (averaged over tasks, with an optional L1 penalty). Sequences without any label teach nothing."""
-    rows = seqs.where(F.exists("y", lambda v: v.isNotNull())).select("y", "fids", "vals").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = seqs.where(F.exists("y", lambda v: v.isNotNull())).select("y", "fids", "vals")
+    return _trained(rows, term(len(labels)), labels, buckets=buckets, deviation=deviation, steps=steps, method=method, rate=rate, l1=l1)
+
+
+def fit_soft(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, **how) -> Model:
+    """Train on distributions of labels (p: an array of arrays); sequences that lack one at a place teach nothing."""
+    rows = seqs.where(F.forall("p", lambda d: d.isNotNull() & (F.size(d) == len(labels))) & (F.size("p") > 0)).select("p", "fids", "vals")
+    return _trained(rows, soft_term(len(labels)), labels, buckets=buckets, **how)
+
+
+def fit_segments(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, **how) -> tuple[Model, int]:
+    """Train over segmentations of labelled sequences (y, begin: arrays); also the longest segment they show, for :func:`best_segments`.
+
+    Sequences with an unknown label at any place teach nothing.
+    """
+    rows = seqs.where(F.forall("y", lambda v: v.isNotNull()) & (F.size("y") > 0)).select("y", "begin", "fids", "vals")
+    places = F.transform("y", lambda y, i: F.struct(y.alias("y"), F.get("begin", i).alias("b"), (F.get("y", i - 1) == y).alias("same")))
+    run = F.aggregate(places, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: _longer(a, x))
+    longest = rows.agg(F.max(run["most"])).first()[0] or 1
+    return _trained(rows, segment_term(len(labels), longest), labels, buckets=buckets, **how), longest
+
+
+def _longer(a: Column, x: Column) -> Column:
+    now = F.when(F.coalesce(x["same"], F.lit(False)) & ~F.coalesce(x["b"], F.lit(False)), a["now"] + 1).otherwise(1)
+    return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+
+def _trained(rows: DataFrame, one, labels: list[str], *, buckets: int, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = len(labels)
-    start, one = np.zeros(buckets * n + n * n), term(n)
+    start = np.zeros(buckets * n + n * n)
     if method == "sgd":
         x = optimize.averaged_sgd(rows, one, start, epochs=steps, rate=rate, l1=l1)
     else:
@@ -152,6 +254,23 @@ def decode(seqs: DataFrame, model: Model) -> DataFrame:
     return found.select(*keys, F.inline(F.arrays_zip("pos", "label_pred", "confidence")))
 
 
+def posteriors(seqs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, seq_id, pos and probs (label -> probability) of every token; :func:`maxent.feature_masses` sums them by feature for self-training."""
+    shared = seqs.sparkSession.sparkContext.broadcast(model)  # buckets and labels are bounded parameters
+    keys = ["doc_id", "seq_id", "pos"]
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            found = [marginals(_scores(row, own.state), own.transitions)[1].tolist() for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(found, pa.list_(pa.list_(pa.float64())))], names=[*keys, "p"])
+
+    types = ", ".join(f"{c} {seqs.schema[c].dataType.simpleString()}" for c in keys)
+    found = seqs.where(F.size("pos") > 0).select(*keys, "fids", "vals").mapInArrow(run, f"{types}, p array<array<double>>")
+    found = found.select("doc_id", "seq_id", F.inline(F.arrays_zip("pos", "p")))
+    return found.select(*keys, F.map_from_arrays(F.array(*map(F.lit, model.labels)), "p").alias("probs"))
+
+
 def viterbi(seqs: DataFrame, transitions: list[list[float]]) -> DataFrame:
     """doc_id, seq_id, pos and y of the best label sequence, from rows with pos and scores (an array of label scores a position).
 

@@ -240,6 +240,15 @@ def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "id", "gov", F.round("prob", 6).alias("prob"))
 
 
+def best_part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best trees over the first two words of each part's name."""
+    l1, l2 = (F.char_length(F.split_part("p_name", F.lit(" "), F.lit(i))) for i in (1, 2))
+    score = {(0, 1): l1 % 7 / 4, (0, 2): l2 % 5 / 8, (1, 2): l1 / 2 - l2 / 16, (2, 1): l2 / 4 + F.col("p_size") / 1024}
+    arcs = F.array(*[F.struct(F.lit(g).alias("gov"), F.lit(i).alias("id"), s.cast("double").alias("score")) for (g, i), s in score.items()])
+    found = parse.best_trees(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("seq_id"), F.inline(arcs)), 2)
+    return found.groupBy("doc_id", "place").agg(F.round(F.max("score"), 6).alias("score"))
+
+
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the words of all documents."""
     docs = _read(spark, sf_dir, "documents").repartition("doc_id")  # texts are dealt by document, rather than their tokens
@@ -621,7 +630,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
-        segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
+        best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
@@ -912,6 +921,10 @@ SELECT doc_id, pos, tok, score FROM t LEFT JOIN s ON word = tok""",
 SELECT CAST(conv_id AS VARCHAR) AS path, CAST(place AS INT) AS post, coalesce(role, 'Unk') AS "user", CAST(least(place, 1) AS INT) AS distance,
   array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'), lambda t: NOT contains(t, '<') AND NOT contains(t, '>')), ' ') AS toks
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)""",
+    "best_part_trees": """
+WITH p AS (SELECT p_partkey, p_size, length(split_part(p_name, ' ', 1)) AS a, length(split_part(p_name, ' ', 2)) AS b FROM part),
+t AS (SELECT p_partkey, unnest([a % 7 / 4 + b % 5 / 8, a % 7 / 4 + a / 2 - b / 16, b % 5 / 8 + b / 4 + p_size / 1024]) AS score FROM p)
+SELECT p_partkey AS doc_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC) AS place FROM t) WHERE place <= 2""",
     "segment_features": f"""
 WITH {_TOKENS}, l AS (SELECT doc_id, pos, tok, lag(tok) OVER w AS t1, lag(tok, 2) OVER w AS t2 FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 s AS (SELECT doc_id, pos, 0 AS s, [tok] AS x FROM l UNION ALL SELECT doc_id, pos, 1, [t1, tok] FROM l WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, pos, 2, [t2, t1, tok] FROM l WHERE t2 IS NOT NULL)
