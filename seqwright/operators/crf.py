@@ -192,10 +192,10 @@ def term(labels: int):
     return one
 
 
-def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
-    """Train by L-BFGS, or by ``method="sgd"`` (averaged over tasks, with an optional L1 penalty). Sequences without any label teach nothing."""
+def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0, **how) -> Model:
+    """Train by L-BFGS, or by ``method="sgd"`` (averaged over tasks; L1 penalty, momentum, batches and step-size adaptation as in :func:`optimize.averaged_sgd`). Sequences without any label teach nothing."""
     rows = seqs.where(F.exists("y", lambda v: v.isNotNull())).select("y", "fids", "vals")
-    return _trained(rows, term(len(labels)), labels, buckets=buckets, deviation=deviation, steps=steps, method=method, rate=rate, l1=l1)
+    return _trained(rows, term(len(labels)), labels, buckets=buckets, deviation=deviation, steps=steps, method=method, rate=rate, l1=l1, **how)
 
 
 def fit_soft(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, **how) -> Model:
@@ -221,12 +221,12 @@ def _longer(a: Column, x: Column) -> Column:
     return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
 
-def _trained(rows: DataFrame, one, labels: list[str], *, buckets: int, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0) -> Model:
+def _trained(rows: DataFrame, one, labels: list[str], *, buckets: int, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0, **how) -> Model:
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = len(labels)
     start = np.zeros(buckets * n + n * n)
     if method == "sgd":
-        x = optimize.averaged_sgd(rows, one, start, epochs=steps, rate=rate, l1=l1)
+        x = optimize.averaged_sgd(rows, one, start, epochs=steps, rate=rate, l1=l1, **how)
     else:
         x = optimize.lbfgs(optimize.with_prior(lambda x: optimize.summed(rows, one, x), deviation), start, steps=steps)
     rows.unpersist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -87,37 +88,65 @@ def lbfgs(objective: Objective, start: np.ndarray, *, memory: int = 6, tolerance
     return x
 
 
-def averaged_sgd(rows: DataFrame, term: Callable[[dict, np.ndarray, np.ndarray], float], start: np.ndarray, *, epochs: int = 10, rate: float = 0.1, l1: float = 0.0) -> np.ndarray:
+#: Fixed values of the step-size adaptation: the largest and the smallest factor of a step, and the bound of the ratio of moves.
+MOST, LEAST, BOUND = 0.9999, 0.99, 0.95
+
+
+def step_factors(start: np.ndarray, middle: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Factors of the step sizes from the parameters before, between and after two periods: near ``MOST`` where the two moves agree, near ``LEAST`` where they turn back."""
+    first, second = middle - start, now - middle
+    high, low = (MOST + LEAST) * BOUND / (MOST - LEAST), 2 * (1 - MOST) * BOUND / (MOST - LEAST)
+    ratio = np.divide(second, first, out=np.zeros_like(first), where=first != 0)
+    found = (high + np.clip(ratio, -BOUND, BOUND)) / (high + BOUND + low)
+    return np.where(first == 0, np.where(second < 0, LEAST, MOST), found)
+
+
+def averaged_sgd(rows: DataFrame, term: Callable[[dict, np.ndarray, np.ndarray], float], start: np.ndarray, *, epochs: int = 10, rate: float = 0.1, l1: float = 0.0, momentum: float = 0.0, batch: int = 1, period: int = 0) -> np.ndarray:
     """Stochastic descent: in each epoch every task descends over its own rows from the shared parameters, then tasks are averaged by their rows.
 
-    With ``l1``, parameters move toward zero by ``rate * l1`` a row and stop there (cumulative penalty).
+    A step takes the gradients of ``batch`` rows. With ``l1``, parameters move toward
+    zero by their step times ``l1`` a step and stop there (cumulative penalty). With
+    ``momentum``, that share of a parameter's last move is added. With ``period``, each
+    parameter has a step size of its own, adapted every two periods by :func:`step_factors`.
     """
-    x = start.astype(float)
+    x, etas = start.astype(float), np.full(len(start), float(rate))
     for _ in range(epochs):
-        shared = rows.sparkSession.sparkContext.broadcast(x)
+        shared = rows.sparkSession.sparkContext.broadcast((x, etas))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, grad, paid, due, n = shared.value.copy(), np.zeros(len(shared.value)), np.zeros(len(shared.value)), 0.0, 0
-            for batch in batches:
-                for row in batch.to_pylist():
-                    grad[:] = 0
+            own, steps = (a.copy() for a in shared.value)
+            grad, paid, due, moved = (np.zeros(len(own)) for _ in range(4))
+            before, middle, n, t = own.copy(), own.copy(), 0, 0
+            todo = (row for b in batches for row in b.to_pylist())
+            while part := list(itertools.islice(todo, batch)):
+                grad[:] = 0
+                for row in part:
                     term(row, own, grad)
-                    own -= rate * grad
-                    n += 1
-                    if l1:
-                        due += rate * l1
-                        before = own.copy()
-                        own = np.where(own > 0, np.maximum(0, own - (due + paid)), np.where(own < 0, np.minimum(0, own + (due - paid)), own))
-                        paid += own - before
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(own[at] * n, n))], names=["at", "g"])
-
-        found = rows.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).toPandas()
+                n, t = n + len(part), t + 1
+                at = np.flatnonzero(grad)
+                moved[at] = steps[at] * grad[at] + momentum * moved[at]
+                own[at] -= moved[at]
+                if l1:
+                    due += steps * l1
+                    was = own.copy()
+                    own = np.where(own > 0, np.maximum(0, own - (due + paid)), np.where(own < 0, np.minimum(0, own + (due - paid)), own))
+                    paid += own - was
+                if period and t % (2 * period) == 0:
+                    steps *= step_factors(before, middle, own)
+                    before = own.copy()
+                elif period and t % period == 0:
+                    middle = own.copy()
+            changed = steps - shared.value[1]
+            at = np.flatnonzero((own != 0) | (changed != 0)) if n else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(own[at] * n, n)), pa.array(np.append(changed[at] * n, 0.0))], names=["at", "g", "e"])
+
+        found = rows.mapInArrow(run, "at long, g double, e double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("e").alias("e")).toPandas()
         n = float(found.loc[found["at"] < 0, "g"].sum())
         shared.unpersist()
         if not n:
             return x
-        x = np.zeros(len(x))
         found = found[found["at"] >= 0]
-        x[found["at"].to_numpy()] = found["g"].to_numpy() / n
+        x, at = np.zeros(len(x)), found["at"].to_numpy()
+        x[at] = found["g"].to_numpy() / n
+        etas[at] += found["e"].to_numpy() / n
     return x

@@ -162,6 +162,15 @@ def post_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pos", F.col("back").cast("long").alias("back"), F.round(dialog.overlap(toks, ref), 6).alias("overlap"), F.round(dialog.length_ratio(toks, ref), 6).alias("ratio"))
 
 
+def antecedent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each turn with itself and up to two turns before; assistants count as announcers."""
+    found = dialog.antecedent_features(dialog.candidates(_posts(spark, sf_dir), 2, own=True), "assistant")
+    toks, ref = F.col("toks"), F.col("ref_toks")
+    content = F.round(dialog.content_overlap(ref, toks, ["the", "a", "to", "of", "and"]), 6)
+    pair = dialog.act_pair(F.when(F.size(toks) > 9, "long"), F.when(F.size(ref) > 9, "long"))
+    return found.select("doc_id", "pos", F.col("back").cast("long").alias("back"), F.array_join("features", " ").alias("features"), F.array_join(dialog.shared_words(toks, ref), " ").alias("shared"), F.array_join(dialog.named_words(ref, "hypLex"), " ").alias("words"), content.alias("content"), pair.alias("pair"))
+
+
 _SPEC = r"""
 word as wdNormFn over (-1 to 1);
 pair as (wdFn cross regexpFn(MARK,^[su])) within (-1,0);
@@ -627,7 +636,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         white_tokens, punct_tokens, term_counts, ridf_table, ridf_weights, word_bigrams, feature_mi, part_features, context_features, nearest_marks, label_spans, lexicon_tags, label_confusion, label_scores, event_folds, supported_features,
-        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, spec_features, class_scores, ranked_items, viterbi_turns,
+        stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, antecedent_features, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
         best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
@@ -740,6 +749,23 @@ WITH {_POSTS} SELECT a.doc_id, a.pos, a.place - b.place AS back,
   CASE WHEN len(a.toks) > 0 THEN round(len(list_filter(a.toks, lambda t: list_contains(b.toks, t))) / len(a.toks), 6) ELSE 0 END AS overlap,
   CASE WHEN len(b.toks) > 0 THEN round(len(a.toks) / len(b.toks), 6) END AS ratio
 FROM posts a JOIN posts b ON a.doc_id = b.doc_id AND a.place - b.place IN (1, 2)""",
+    "antecedent_features": f"""
+WITH {_POSTS}, c AS (
+  SELECT a.doc_id, a.pos, a.place - b.place AS back, a."user" AS u, b."user" AS v, a.toks AS x, b.toks AS y, len(a.toks) AS n, len(b.toks) AS m, list_filter(b.toks, lambda t: t NOT IN ('the', 'a', 'to', 'of', 'and')) AS k
+  FROM posts a JOIN posts b ON a.doc_id = b.doc_id AND a.place - b.place IN (0, 1, 2))
+SELECT doc_id, pos, back, array_to_string(['dist=' || back, CASE back WHEN 0 THEN '-SAME-' ELSE '-DIFF-' END, CASE WHEN u IS NOT DISTINCT FROM v THEN 'sameUser' ELSE 'diffUser' END,
+    CASE WHEN m < 5 THEN 'CandidateLength<5' WHEN m < 10 THEN '5<CandidateLength<10' WHEN m < 20 THEN '10<CandidateLength<20' WHEN m < 35 THEN '20<CandidateLength<35' WHEN m < 50 THEN '35<CandidateLength<50' ELSE '50<CandidateLength' END,
+    CASE WHEN n < 5 THEN 'CurrentLength<5' WHEN n < 10 THEN '5<CurrentLength<10' WHEN n < 20 THEN '10<CurrentLength<20' WHEN n < 35 THEN '20<CurrentLength<35' WHEN n < 50 THEN '35<CurrentLength<50' ELSE '50<CurrentLength' END,
+    'Overlap=' || CASE WHEN m > 0 THEN round(len(list_filter(y, lambda t: list_contains(x, t))) / m, 2) ELSE 0.0::DOUBLE END, 'CandidateLength=' || m, 'curLen=' || n,
+    CASE WHEN n = 0 OR m / n >= 3 THEN 'hypLen/refLen>3.00' WHEN m / n < 0.333 THEN 'hypLen/refLen<0.333' WHEN m / n < 0.666 THEN '0.333<hypLen/refLen<0.666' WHEN m / n < 1.5 THEN '0.666<hypLen/refLen<1.50' ELSE '1.50<hypLen/refLen<3.00' END,
+    CASE WHEN m = 0 THEN 'HypLenIsZero' WHEN y[-1] IN ('.', '!') THEN 'HypEndingPunct' WHEN y[-1] = '?' THEN 'HypEndingQuestionMark' ELSE 'HypNoInteresingPunct' END,
+    CASE WHEN u = 'assistant' THEN 'isAnnounce' ELSE 'noAnnounce' END, CASE WHEN v = 'assistant' THEN 'prevIsAnnounce' ELSE 'prevIsNotAnnounce' END,
+    CASE WHEN len(list_filter(x, lambda t: starts_with(lower(t), lower(v)))) > 0 THEN 'MENTION' END,
+    CASE WHEN n > 0 THEN CASE WHEN u = 'assistant' THEN 'assistant&&' WHEN u IS NOT NULL THEN 'Nonassistant&&' ELSE '' END || 'dist=' || back END,
+    CASE WHEN n > 0 AND back > 0 AND u IS NOT DISTINCT FROM v THEN 'sameUser&&dist=' || back END], ' ') AS features,
+  array_to_string(['overlap=' || t FOR t IN list_filter(y, lambda t, i: list_contains(x, t) AND list_position(y, t) = i)], ' ') AS shared,
+  array_to_string(['hypLex=' || t FOR t IN y], ' ') AS words, CASE WHEN len(k) > 0 THEN round(len(list_filter(k, lambda t: list_contains(x, t))) / len(k), 6) ELSE -1 END AS content,
+  'DApair=' || CASE WHEN n > 9 THEN 'long' ELSE 'None' END || CASE WHEN m > 9 THEN 'long' ELSE 'None' END AS pair FROM c""",
     "spec_features": f"""
 WITH {_MARKED}, w AS (SELECT *, CASE WHEN regexp_matches(tok, '[0-9,.]*[0-9]+$') THEN '-NUMBER-' ELSE tok END AS nrm FROM turns),
 n AS (SELECT doc_id, pos, tok, nrm, lag(tok) OVER s AS a, lead(tok) OVER s AS z, lag(nrm) OVER s AS na, lead(nrm) OVER s AS nz FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY pos))

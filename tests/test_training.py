@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqwright.operators import crf, maxent, parse, scope, segments
+from seqwright.operators import crf, maxent, optimize, parse, scope, segments
 
 SCORES = np.array([[0.5, -1.0], [1.5, 0.3], [0.0, 0.7], [-0.4, 0.6]])
 TRANSITIONS = np.array([[0.3, -0.2], [0.1, 0.5]])
@@ -115,3 +115,33 @@ def test_odd_rows(spark):
     assert found[1, 1, 1].words == ["", "b"] and found[1, 1, 1].a == "attrs=_x_" and len(found) == 4
     assert [(r.cue, r.en) for r in scope.default_scopes(odd).collect()] == [(1, 1)]
     assert {r.cue_start for r in scope.cues(odd).where("doc_id = 1").collect()} == {1}
+
+
+def test_adapted_steps_equal_a_plain_loop(spark):
+    values = [3.0, -1.0, 2.0, 5.0, 0.5, -2.0, 1.0, 4.0, 4.0, 1.0, 0.0, 2.0]
+
+    def term(row, x, grad):
+        grad[0] += x[0] - row["v"]
+        grad[1] += 2 * (x[1] + row["v"])
+        return 0.0
+
+    x, etas, moved = [0.0] * 3, [0.1] * 3, [0.0] * 3
+    for _ in range(2):
+        start, middle = x[:], x[:]
+        moved = [0.0] * 3
+        for t in range(6):
+            pair = values[2 * t : 2 * t + 2]
+            for i, g in enumerate([sum(x[0] - v for v in pair), sum(2 * (x[1] + v) for v in pair)]):
+                moved[i] = etas[i] * g + 0.5 * moved[i]
+                x[i] -= moved[i]
+            if t % 4 == 3:
+                high, low = 1.9899 * 0.95 / 0.0099, 0.0002 * 0.95 / 0.0099
+                for i in range(3):
+                    first, second = middle[i] - start[i], x[i] - middle[i]
+                    etas[i] *= 0.9999 if first == 0 else (high + max(-0.95, min(0.95, second / first))) / (high + 0.95 + low)
+                start = x[:]
+            elif t % 2 == 1:
+                middle = x[:]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    found = optimize.averaged_sgd(rows, term, np.zeros(3), epochs=2, momentum=0.5, batch=2, period=2)
+    assert np.allclose(found, x, rtol=1e-6)
