@@ -86,10 +86,16 @@ def inline_spans(docs: DataFrame) -> DataFrame:
 
 
 def inline_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id and text with each span (doc_id, tag, st, en) as a pair of tags; closing tags go before opening ones, outer spans around inner ones."""
-    opening = spans.select("doc_id", F.col("st").alias("at"), F.lit(1).alias("kind"), (-F.col("en")).alias("rank"), F.concat(F.lit("<"), "tag", F.lit(">")).alias("mark"))
-    closing = spans.select("doc_id", F.col("en").alias("at"), F.lit(0).alias("kind"), (-F.col("st")).alias("rank"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("mark"))
-    marks = opening.union(closing).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "rank", "mark"))).alias("m"))
+    """doc_id and text with each span (doc_id, tag, st, en) as a pair of tags; closing tags go before opening ones, outer spans around inner ones.
+
+    Spans may have ``fields``, text behind the tag's name, and ``level``: of spans with
+    the same ends the lower one is outside.
+    """
+    level = F.col("level") if "level" in spans.columns else F.lit(0)
+    start = F.concat("tag", F.coalesce("fields", F.lit(""))) if "fields" in spans.columns else F.col("tag")
+    opening = spans.select("doc_id", F.col("st").alias("at"), F.lit(1).alias("kind"), (-F.col("en")).alias("rank"), level.alias("level"), F.concat(F.lit("<"), start, F.lit(">")).alias("mark"))
+    closing = spans.select("doc_id", F.col("en").alias("at"), F.lit(0).alias("kind"), (-F.col("st")).alias("rank"), (-level).alias("level"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("mark"))
+    marks = opening.union(closing).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "rank", "level", "mark"))).alias("m"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id", "left")
 
     def with_text(m, i):

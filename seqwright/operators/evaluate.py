@@ -49,22 +49,28 @@ def label_scores(cells: DataFrame) -> DataFrame:
     return p.join(r, "label", "full")
 
 
-def folds(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``rows`` with fold: contiguous runs of ceil(n / k) rows by ``key``.
+def placed(rows: DataFrame, key: str, *ties: str, descending: bool = False) -> DataFrame:
+    """``rows`` with place, from 0, in the order of a number ``key``, then ``ties``; null keys come first, or last if descending.
 
     Ranks are counted in ranges of the key and added up over the ranges, so no
-    task orders all rows.
+    task orders all rows unless they share a key.
     """
-    n = rows.count()
-    cuts = rows.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.01) if n > 64_000 else []
-    part = sum((F.when(F.col(key) >= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    marked = rows.withColumn("__part", part)
+    marked = rows.withColumn("__key", -F.col(key) if descending else F.col(key))
+    cuts = marked.approxQuantile("__key", [i / 64 for i in range(1, 64)], 0.01) if rows.count() > 64_000 else []
+    part = sum((F.when(F.col("__key") >= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    part = F.when(F.col("__key").isNull(), 64 if descending else -1).otherwise(part)
+    marked = marked.withColumn("__part", part)
     sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))  # 64 rows at most
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    found = marked.withColumn("__place", place).join(F.broadcast(starts), "__part")  # 64 rows at most
-    size = max(1, -(-n // k))
-    return found.withColumn("fold", F.floor((F.col("__first") + F.col("__place")) / size).cast("int")).drop("__part", "__place", "__first")
+    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__first"))  # 65 rows at most
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__key", *ties)) - 1
+    found = marked.withColumn("__place", inside).join(F.broadcast(starts), "__part")  # 65 rows at most
+    return found.withColumn("place", F.col("__first") + F.col("__place")).drop("__part", "__place", "__first", "__key")
+
+
+def folds(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``rows`` with fold: contiguous runs of ceil(n / k) rows by ``key``."""
+    size = max(1, -(-rows.count() // k))
+    return placed(rows, key).withColumn("fold", F.floor(F.col("place") / size).cast("int")).drop("place")
 
 
 def token_accuracy(rows: DataFrame, system: str, gold: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqwright.operators import convert
+
 
 def cues(toks: DataFrame) -> DataFrame:
     """``toks`` with cue_type and cue_start of the sequence: those of its last token with a type; null without any."""
@@ -36,3 +38,12 @@ def index_lines(annots: DataFrame) -> DataFrame:
     cue = F.concat(place, F.lit('||t="cue"||sub_t="'), F.col("cue_type"), F.lit('" ref="'), own, F.lit('"'))
     scope = F.concat(place, F.lit('||t="xcope"||id="'), own, F.lit('"'))
     return annots.select("doc_id", "seq_id", "cue", F.when(F.col("cue_type").isNull(), "xcope").otherwise("cue").alias("kind"), F.coalesce(cue, scope).alias("line"))
+
+
+def inline_scopes(docs: DataFrame, annots: DataFrame) -> DataFrame:
+    """doc_id and text with annotations (doc_id, cue, st, en, cue_type; en outside, a null type is a scope) as ``<cue>`` and ``<xcope>`` elements; a scope is outside a cue of the same ends."""
+    own, scoped = F.col("cue").cast("string"), F.col("cue_type").isNull()
+    quoted = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    fields = F.when(scoped, quoted("id", own)).otherwise(F.concat(quoted("type", F.col("cue_type")), quoted("ref", own)))
+    tag, level = F.when(scoped, "xcope").otherwise("cue"), F.when(scoped, 0).otherwise(1)
+    return convert.inline_text(docs, annots.select("doc_id", tag.alias("tag"), "st", "en", fields.alias("fields"), level.alias("level")))

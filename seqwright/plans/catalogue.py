@@ -600,6 +600,20 @@ def cue_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.per_cue(toks).select("doc_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
 
 
+def inline_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first token of each document as a cue, all its tokens as the scope."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    toks = convert.offsets(docs)
+    whole = toks.groupBy("doc_id").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.lit(None).cast("string").alias("cue_type"))
+    both = whole.unionByName(toks.where("pos = 0").select("doc_id", "st", "en", F.lit("neg").alias("cue_type")))
+    return scope.inline_scopes(docs, both.withColumn("cue", F.lit(0)))
+
+
+def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by descending price, as sequences are ranked by confidence."""
+    return evaluate.placed(_read(spark, sf_dir, "part"), "p_retailprice", "p_partkey", descending=True).select("p_partkey", "place")
+
+
 def xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of orders as sentences of XML, each governed by the one before it, written and read back."""
     toks = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_returnflag").alias("form"))
@@ -639,7 +653,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, antecedent_features, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
-        best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
+        best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
     )
 }
@@ -977,6 +991,9 @@ FROM s WHERE type IS NOT NULL""",
 WITH t AS (SELECT conv_id || '-' || turn AS doc_id, unnest(x) AS tok, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM conversations)),
 k AS (SELECT *, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM t)
 SELECT k.doc_id, c.pos AS cue, k.pos, CASE WHEN k.pos = c.pos THEN k.type END AS type FROM k JOIN k c ON c.doc_id = k.doc_id AND c.type IS NOT NULL""",
+    "inline_scopes": r"""
+SELECT doc_id, regexp_replace(coalesce(text, ''), '^([ \r\n\t]*)([^ \r\n\t]+)((?:.*[^ \r\n\t])?)([ \r\n\t]*)$', '\1<xcope id="0"><cue type="neg" ref="0">\2</cue>\3</xcope>\4', 's') AS text FROM documents""",
+    "ranked_parts": "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part",
     "xml_rows": """
 SELECT CAST(l_orderkey AS VARCHAR) AS path, 0 AS seq_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS pos, min(l_returnflag) || '<&>' AS tok, CAST(l_linenumber - 1 AS INT) AS gov, '"&' || min(l_returnflag) AS tag
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
