@@ -592,12 +592,12 @@ def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cue_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of the sequences of conversations, one a cue."""
+    """Copies of the sequences of conversations, one a cue; sequences have 100 tokens at most, as copies grow with their square."""
     toks = tokens(_read(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), doc_id="turn_id").withColumn("seq_id", F.lit(0))
     kind = F.when(F.col("tok").rlike("^[A-Z]"), "neg").when(F.length("tok") == 7, "unc")
     empty = F.create_map().cast("map<string,string>")
     toks = toks.withColumn("attrs", F.when(kind.isNotNull(), F.create_map(F.lit("type"), kind)).otherwise(empty))
-    return scope.per_cue(toks).select("doc_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
+    return scope.per_cue(bounded(toks, 100)).select("doc_id", "seq_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
 
 
 def inline_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -989,8 +989,8 @@ SELECT doc_id, seq_id, pos AS cue, unnest(['xcope', 'cue']) AS kind,
 FROM s WHERE type IS NOT NULL""",
     "cue_copies": r"""
 WITH t AS (SELECT conv_id || '-' || turn AS doc_id, unnest(x) AS tok, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM conversations)),
-k AS (SELECT *, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM t)
-SELECT k.doc_id, c.pos AS cue, k.pos, CASE WHEN k.pos = c.pos THEN k.type END AS type FROM k JOIN k c ON c.doc_id = k.doc_id AND c.type IS NOT NULL""",
+k AS (SELECT doc_id, tok, CAST(pos // 100 AS INT) AS seq_id, CAST(pos % 100 AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM t)
+SELECT k.doc_id, k.seq_id, c.pos AS cue, k.pos, CASE WHEN k.pos = c.pos THEN k.type END AS type FROM k JOIN k c ON c.doc_id = k.doc_id AND c.seq_id = k.seq_id AND c.type IS NOT NULL""",
     "inline_scopes": r"""
 SELECT doc_id, regexp_replace(coalesce(text, ''), '^([ \r\n\t]*)([^ \r\n\t]+)((?:.*[^ \r\n\t])?)([ \r\n\t]*)$', '\1<xcope id="0"><cue type="neg" ref="0">\2</cue>\3</xcope>\4', 's') AS text FROM documents""",
     "ranked_parts": "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part",
