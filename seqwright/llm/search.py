@@ -45,7 +45,7 @@ from seqwright.scratch import written
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Postings of a block, and bytes of text of a shard.
 BLOCK = 128
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: One shard in so many is searched before the others.
 FIRST_SHARDS = 16
 #: Items searched together in one task's shard.
