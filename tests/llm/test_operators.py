@@ -336,26 +336,50 @@ def test_fingerprints(spark, texts, monkeypatch):
     assert np.mean([r.near_edited for r in got]) > 0.2 and np.mean([r.near_next for r in got]) < 0.05
 
 
-def test_fingerprint_likeness_equals_exact_jaccard(spark):
+def test_fingerprint_likeness_is_that_of_the_strings(spark):
+    """near_* can be reproduced from the returned strings, and stay within five standard errors of the exact Jaccard similarity."""
+
     def shingled(text):
         words = WORD.findall(text)
         return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
-    def jaccard_of(a, b):
-        x, y = shingled(a), shingled(b)
-        return len(x & y) / len(x | y) if x | y else float(a == b)
+    def of_strings(a, b):
+        (_, mark, x), (_, other, y) = fingerprint.read(a), fingerprint.read(b)
+        return len(x & y) / len(x | y) if x | y else float(mark == other)
 
     rng = random.Random(6)
     own = {d: " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 5, 7, 9, 20, 60, 400]))) for d in range(150)}
     for d in range(0, 150, 3):
         own[d] = own[d + 1] + " x"  # the next row's text, nearly
     after = dict(zip(range(149, -1, -1), [*range(148, -1, -1), 149], strict=True))
-    got = fingerprint.edit_digests(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in fingerprint.edit_digests(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
     assert len(got) == 150
+    for d, r in got.items():
+        assert abs(r.near_edited - of_strings(r.fingerprint, r.edited_fingerprint)) < 1e-5
+        assert abs(r.near_next - of_strings(r.fingerprint, got[after[d]].fingerprint)) < 1e-5
+        for near, text in ((r.near_edited, fingerprint.halves(own[d], own[after[d]])), (r.near_next, own[after[d]])):
+            x, y = shingled(own[d]), shingled(text)
+            n, exact = len(x | y), len(x & y) / len(x | y) if x | y else float(own[d] == text)
+            if n >= 100:
+                assert abs(near - exact) < 5 * math.sqrt(fingerprint.SCALE * max(exact * (1 - exact), 1 / n) / n)
+            elif own[d] == text:
+                assert near == 1
+        count, _, codes = fingerprint.read(r.fingerprint)
+        assert len(codes) <= len(shingled(own[d])) <= max(count, 1)
+
+
+def test_fingerprint_error_and_size_on_documents(spark, texts):
+    """Over the table: mean error against exact Jaccard, and fingerprints well below half of the texts."""
+    ids = sorted(texts, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    got = QUERIES["op6_fingerprints"](spark, DATA).collect()
+    errors = []
     for r in got:
-        text, following = own[r.doc_id], own[after[r.doc_id]]
-        assert abs(r.near_edited - jaccard_of(text, fingerprint.halves(text, following))) < 1e-3
-        assert abs(r.near_next - jaccard_of(text, following)) < 1e-3
+        words = [WORD.findall(t) for t in (texts[r.doc_id], fingerprint.halves(texts[r.doc_id], texts[after[r.doc_id]]))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words)
+        errors.append(abs(r.near_edited - (len(x & y) / len(x | y) if x | y else 1)))
+    assert np.mean(errors) < 0.04 and np.percentile(errors, 95) < 0.13
+    assert sum(len(r.fingerprint) for r in got) < 0.3 * sum(len(t.encode()) for t in texts.values())
 
 
 def test_fingerprint_rows_of_one_id(spark, monkeypatch):
