@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
 from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments
-from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, tokens
+from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, sentences, tokens
 from seqwright.sources import columns, sinks
 
 
@@ -300,7 +300,7 @@ def part_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shouted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert.upper_in_tags(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.translate("html", "ßŉǰ", "").alias("text")), ["h1", "h2", "title", "p"])
+    return convert.upper_in_tags(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), ["h1", "h2", "title", "p"])
 
 
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,10 +436,11 @@ def tag_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of 200 characters or more, and two spans of each."""
-    docs = _read(spark, sf_dir, "documents").where(F.char_length("text") >= 200).select("doc_id", "text")
+    """All documents, and two spans of each as far as its text goes."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     ends = F.inline(F.array(*[F.struct(F.lit(a).alias("st"), F.lit(b).alias("en"), F.lit(t).alias("tag")) for a, b, t in ((13, 57, "A"), (100, 190, "B"))]))
-    return docs, docs.select("doc_id", ends)
+    spans = docs.select("doc_id", F.char_length("text").alias("n"), ends)
+    return docs, spans.where("st < n").select("doc_id", "st", F.least("en", "n").alias("en"), "tag")
 
 
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -532,7 +533,7 @@ def word_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markup_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as posts with the role and the distance to the turn before as attributes, written and read back."""
-    rows = _posts(spark, sf_dir).withColumn("toks", F.filter("toks", lambda t: ~t.contains("<") & ~t.contains(">")))
+    rows = _posts(spark, sf_dir)
     post = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int")
     rows = rows.withColumn("post", post).select(F.col("doc_id").cast("string").alias("path"), "post", F.create_map(F.lit("user"), F.coalesce("user", F.lit("Unk")), F.lit("antecedent-distance"), F.least("post", F.lit(1)).cast("string")).alias("attrs"), "toks")
     found = columns.posts(sinks.post_markup(rows))
@@ -548,8 +549,8 @@ def known_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens of documents in sequences of up to 100; those of six letters starting with a capital, n or o are cues."""
-    toks = bounded(_tokens(spark, sf_dir).withColumn("seq_id", F.lit(0)), 100)
+    """The tokens of documents by sentence; those of six letters starting with a capital, n or o are cues."""
+    toks = bounded(sentences(_tokens(spark, sf_dir)))
     kind = F.when(F.col("tok").rlike("^[A-Z].{5}$"), "neg").when(F.col("tok").rlike("^[no].{5}$"), "unc")
     empty = F.create_map().cast("map<string,string>")
     return toks.withColumn("attrs", F.when(kind.isNotNull(), F.create_map(F.lit("type"), kind, F.lit("x"), F.substring("tok", 1, 1))).otherwise(empty))
@@ -592,12 +593,12 @@ def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cue_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of the sequences of conversations, one a cue; sequences have 100 tokens at most, as copies grow with their square."""
-    toks = tokens(_read(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), doc_id="turn_id").withColumn("seq_id", F.lit(0))
+    """Copies of the sentences of conversations, one a cue."""
+    toks = tokens(_read(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), doc_id="turn_id")
     kind = F.when(F.col("tok").rlike("^[A-Z]"), "neg").when(F.length("tok") == 7, "unc")
     empty = F.create_map().cast("map<string,string>")
     toks = toks.withColumn("attrs", F.when(kind.isNotNull(), F.create_map(F.lit("type"), kind)).otherwise(empty))
-    return scope.per_cue(bounded(toks, 100)).select("doc_id", "seq_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
+    return scope.per_cue(bounded(sentences(toks))).select("doc_id", "seq_id", "cue", "pos", F.element_at("attrs", "type").alias("type"))
 
 
 def inline_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -668,10 +669,19 @@ offs AS (
 _POSTS = r"""posts AS (
   SELECT conv_id AS doc_id, turn AS pos, role AS "user", regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+') AS toks,
     count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)"""
+_SPANS = "s AS (SELECT doc_id, st, least(en, n) AS en, tag FROM (SELECT doc_id, length(text) AS n, unnest([13, 100]) AS st, unnest([57, 190]) AS en, unnest(['A', 'B']) AS tag FROM documents) WHERE st < n)"
 _RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / df) + log2(1 - exp(-tf / n_docs)) AS ridf FROM {_IDF}, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents))"
 
-_TYPED = _TOKENS + r""", typed AS (
-  SELECT doc_id, CAST(pos // 100 AS INT) AS seq_id, CAST(pos % 100 AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[A-Z].{5}$') THEN 'neg' WHEN regexp_matches(tok, '^[no].{5}$') THEN 'unc' END AS type FROM toks)"""
+def _by_sentence(source: str) -> str:
+    """Tokens (doc_id, tok, pos) of ``source`` by sentence, as ``seqs``: seq_id and pos within it, 4,000 tokens at most."""
+    return rf"""ended AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(tok, '[.?!]+["'']*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {source}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY pos) - 1 AS place FROM ended),
+seqs AS (SELECT doc_id, tok, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY s, place // 4000) - 1 AS INT) AS seq_id, CAST(place % 4000 AS INT) AS pos FROM placed)"""
+
+
+_TYPED = _TOKENS + ", " + _by_sentence("toks") + r""", typed AS (
+  SELECT doc_id, seq_id, pos, CASE WHEN regexp_matches(tok, '^[A-Z].{5}$') THEN 'neg' WHEN regexp_matches(tok, '^[no].{5}$') THEN 'unc' END AS type FROM seqs)"""
+
 
 ORACLES: dict[str, str] = {
     "white_tokens": f"WITH {_TOKENS} SELECT doc_id, CAST(pos AS INT) AS pos, tok FROM toks",
@@ -828,12 +838,12 @@ SELECT source, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY source""",
     "part_cross_entropy": """
 SELECT round(-sum((CASE WHEN p_partkey % 3 = k THEN 0.9 ELSE 0.05 END)::DOUBLE * ln(((p_size + k) % 3 + 1) / 6)), 4) AS cross_entropy FROM part, range(3) r(k)""",
     "shouted_pages": r"""
-WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(translate(html, 'ßŉǰ', ''), '<[^<>]+>|[^<]+|<') AS x FROM pages)),
+WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<[^<>]+>|[^<]+|<') AS x FROM pages)),
 t AS (SELECT *, CASE WHEN NOT regexp_matches(p, '^<[^<>]+>$') OR ends_with(p, '/>') OR regexp_extract(p, '^</?([^ \r\n\t>]+)[^<]*>$', 1) NOT IN ('h1', 'h2', 'title', 'p') THEN 0
   WHEN starts_with(p, '</') THEN -1 ELSE 1 END AS step FROM p),
 d AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY n) AS total FROM t),
 f AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY n)) AS depth FROM d)
-SELECT page_id AS doc_id, string_agg(CASE WHEN depth > 0 AND NOT regexp_matches(p, '^<[^<>]+>$') THEN upper(p) ELSE p END, '' ORDER BY n) AS text FROM f GROUP BY page_id""",
+SELECT page_id AS doc_id, string_agg(CASE WHEN depth > 0 AND NOT regexp_matches(p, '^<[^<>]+>$') THEN upper(replace(replace(replace(p, 'ß', 'SS'), 'ŉ', 'ʼN'), 'ǰ', 'J̌')) ELSE p END, '' ORDER BY n) AS text FROM f GROUP BY page_id""",
     "page_parts": r"""
 WITH p AS (SELECT page_id, string_split(regexp_replace(html, '<p([ >])', chr(1) || '<p\1', 'g'), chr(1)) AS x FROM pages),
 q AS (SELECT page_id, CASE WHEN len(x) > 1 AND x[1] = '' THEN x[2:] ELSE x END AS x FROM p)
@@ -903,15 +913,17 @@ best AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(w, 1
   sum(w) OVER (PARTITION BY p_partkey, g1) AS w1, sum(w) OVER (PARTITION BY p_partkey, g2) AS w2 FROM t)
 SELECT p_partkey AS doc_id, unnest([1, 2]) AS id, unnest([g1, g2]) AS gov, unnest([round(w1 / z, 6), round(w2 / z, 6)]) AS prob FROM best WHERE place = 1""",
     "tagged_documents": """
-SELECT doc_id, left(text, 13) || '<A>' || substring(text, 14, 44) || '</A>' || substring(text, 58, 43) || '<B>' || substring(text, 101, 90) || '</B>' || substring(text, 191) AS text FROM documents WHERE length(text) >= 200""",
+SELECT doc_id, CASE WHEN length(t) <= 13 THEN t WHEN length(t) <= 100 THEN left(t, 13) || '<A>' || substring(t, 14, 44) || '</A>' || substring(t, 58)
+  ELSE left(t, 13) || '<A>' || substring(t, 14, 44) || '</A>' || substring(t, 58, 43) || '<B>' || substring(t, 101, 90) || '</B>' || substring(t, 191) END AS text
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "moved_spans": f"""
-WITH {_OFFSETS}, s AS (SELECT doc_id, unnest([13, 100]) AS st, unnest([57, 190]) AS en, unnest(['A', 'B']) AS tag FROM documents WHERE length(text) >= 200)
-SELECT s.doc_id, coalesce(a.en - length(a.tok), s.st) AS st, coalesce(b.en, s.en) AS en, tag FROM s
-LEFT JOIN offs a ON a.doc_id = s.doc_id AND a.en - length(a.tok) < s.st AND a.en > s.st LEFT JOIN offs b ON b.doc_id = s.doc_id AND b.en - length(b.tok) < s.en AND b.en > s.en""",
+WITH {_OFFSETS}, toks AS (SELECT doc_id, en - length(tok) AS t_st, en AS t_en FROM offs), {_SPANS}
+SELECT s.doc_id, CASE WHEN a.t_en > s.st THEN a.t_st ELSE s.st END AS st, CASE WHEN b.t_en > s.en THEN b.t_en ELSE s.en END AS en, tag FROM s
+ASOF LEFT JOIN toks a ON a.doc_id = s.doc_id AND a.t_st < s.st ASOF LEFT JOIN toks b ON b.doc_id = s.doc_id AND b.t_st < s.en""",
     "zoned_tokens": f"""
 WITH {_OFFSETS}, z AS (
   SELECT doc_id, pos, tok, CASE WHEN en - length(tok) >= 13 AND en <= 57 THEN 1 WHEN en - length(tok) >= 100 AND en <= 190 THEN 2 END AS zone
-  FROM offs WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) >= 200)),
+  FROM offs),
 n AS (SELECT *, CASE WHEN lag(zone) OVER w = zone AND NOT regexp_matches(lag(tok) OVER w, '[.?!]+["'']*$') THEN 0 ELSE 1 END AS fresh FROM z WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 q AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS seq_id FROM n)
 SELECT doc_id, pos, tok, seq_id, CAST(row_number() OVER (PARTITION BY doc_id, seq_id ORDER BY pos) - 1 AS INT) AS place FROM q""",
@@ -934,9 +946,9 @@ offs AS (SELECT page_id, pos, ltrim(p, E' \r\n\t') AS tok, sum(length(p)) OVER (
 f AS (SELECT o.page_id, o.pos, any_value(o.tok) AS tok, min(CASE WHEN s.st IS NOT NULL THEN struct_pack(st := s.st, en := s.en, tag := s.tag) END) AS s
   FROM offs o LEFT JOIN spans s ON s.page_id = o.page_id AND o.en <= s.en AND o.en > s.st GROUP BY o.page_id, o.pos)
 SELECT page_id AS doc_id, pos, tok, coalesce(s.tag, 'lex') AS label, s IS NULL OR lag(s) OVER (PARTITION BY page_id ORDER BY pos) IS DISTINCT FROM s AS begin FROM f""",
-    "standoff_rows": """
-SELECT CAST(doc_id AS VARCHAR) AS path, unnest(['A', 'B']) AS type, unnest([13, 100]) AS st, unnest([57, 190]) AS en,
-  unnest([substring(text, 14, 44), substring(text, 101, 90)]) AS text, unnest(['57', '190']) AS k FROM documents WHERE length(text) >= 200""",
+    "standoff_rows": f"""
+WITH {_SPANS}
+SELECT CAST(s.doc_id AS VARCHAR) AS path, tag AS type, st, en, substring(d.text, st + 1, en - st) AS text, CAST(en AS VARCHAR) AS k FROM s JOIN documents d ON d.doc_id = s.doc_id""",
     "standoff_v2_rows": """
 SELECT CAST(p_partkey AS VARCHAR) AS path, 'ENTITY' AS type, unnest(['i' || p_partkey, 'j']) AS id, unnest([0, 2]) AS st, unnest([4, 6]) AS en,
   unnest([left(p_name, 4), substring(p_name, 3, 4)]) AS text, unnest(['x', '']) AS kind FROM part""",
@@ -959,7 +971,7 @@ t AS (SELECT p_partkey AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS
 SELECT doc_id, pos, tok, score FROM t LEFT JOIN s ON word = tok""",
     "markup_posts": r"""
 SELECT CAST(conv_id AS VARCHAR) AS path, CAST(place AS INT) AS post, coalesce(role, 'Unk') AS "user", CAST(least(place, 1) AS INT) AS distance,
-  array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'), lambda t: NOT contains(t, '<') AND NOT contains(t, '>')), ' ') AS toks
+  array_to_string(regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+'), ' ') AS toks
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)""",
     "best_part_trees": """
 WITH p AS (SELECT p_partkey, p_size, length(split_part(p_name, ' ', 1)) AS a, length(split_part(p_name, ' ', 2)) AS b FROM part),
@@ -987,9 +999,10 @@ WITH {_TYPED}, s AS (SELECT *, max(pos) OVER (PARTITION BY doc_id, seq_id) AS en
 SELECT doc_id, seq_id, pos AS cue, unnest(['xcope', 'cue']) AS kind,
   unnest(['c="" ' || seq_id || ':' || pos || ' ' || seq_id || ':' || en || '||t="xcope"||id="' || pos || '"', 'c="" ' || seq_id || ':' || pos || ' ' || seq_id || ':' || pos || '||t="cue"||sub_t="' || type || '" ref="' || pos || '"']) AS line
 FROM s WHERE type IS NOT NULL""",
-    "cue_copies": r"""
+    "cue_copies": rf"""
 WITH t AS (SELECT conv_id || '-' || turn AS doc_id, unnest(x) AS tok, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM conversations)),
-k AS (SELECT doc_id, tok, CAST(pos // 100 AS INT) AS seq_id, CAST(pos % 100 AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM t)
+{_by_sentence('t')},
+k AS (SELECT doc_id, tok, seq_id, pos, CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'neg' WHEN length(tok) = 7 THEN 'unc' END AS type FROM seqs)
 SELECT k.doc_id, k.seq_id, c.pos AS cue, k.pos, CASE WHEN k.pos = c.pos THEN k.type END AS type FROM k JOIN k c ON c.doc_id = k.doc_id AND c.seq_id = k.seq_id AND c.type IS NOT NULL""",
     "inline_scopes": r"""
 SELECT doc_id, regexp_replace(coalesce(text, ''), '^([ \r\n\t]*)([^ \r\n\t]+)((?:.*[^ \r\n\t])?)([ \r\n\t]*)$', '\1<xcope id="0"><cue type="neg" ref="0">\2</cue>\3</xcope>\4', 's') AS text FROM documents""",

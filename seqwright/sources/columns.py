@@ -149,14 +149,21 @@ def standoff_v2(docs: DataFrame, types: tuple[str, ...] = ("ENTITY",)) -> DataFr
     return rows.select("path", "type", F.when(F.col("has_id"), F.get("x", F.lit(2))).alias("id"), st.alias("st"), en.alias("en"), F.substring(F.col("signal"), st + 1, en - st).alias("text"), attrs.alias("attrs"))
 
 
+def _plain(text: Column) -> Column:
+    """Text of XML with its five named entities resolved."""
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    return text
+
+
 def posts(docs: DataFrame) -> DataFrame:
-    """path, post, attrs and toks of each ``<Post …>`` element; the tags inside are dropped."""
+    """path, post, attrs and toks of each ``<Post …>`` element; the tags inside are dropped, named entities of XML resolved."""
     whole = F.regexp_extract_all("text", F.lit("(?s)<Post\\b[^<>]*>.*?</Post>"), F.lit(0))
     rows = docs.select("path", F.posexplode(whole).alias("post", "p"))
     head = F.regexp_extract("p", "^<Post\\b([^<>]*)>", 1)
     keys, values = (F.regexp_extract_all(head, F.lit('([A-Za-z_:-]+)="([^"]*)"'), F.lit(i)) for i in (1, 2))
     body = F.regexp_replace("p", "<[^<>]+>", " ")
-    return rows.select("path", "post", F.map_from_arrays(keys, values).alias("attrs"), F.regexp_extract_all(body, F.lit("[^ \\r\\n\\t]+"), F.lit(0)).alias("toks"))
+    return rows.select("path", "post", F.map_from_arrays(keys, F.transform(values, _plain)).alias("attrs"), F.transform(F.regexp_extract_all(body, F.lit("[^ \\r\\n\\t]+"), F.lit(0)), _plain).alias("toks"))
 
 
 def standoff(docs: DataFrame) -> DataFrame:
@@ -169,13 +176,6 @@ def standoff(docs: DataFrame) -> DataFrame:
     return rows.select("path", "type", st.alias("st"), en.alias("en"), F.substring(F.col("signal"), st + 1, en - st).alias("text"), F.map_from_arrays("attrs", values).alias("attrs"))
 
 
-def _plain(text: Column) -> Column:
-    """Text of XML with its five named entities resolved."""
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
-    return text
-
-
 def xml_sentences(docs: DataFrame) -> DataFrame:
     """path, seq_id, pos, tok, gov and attrs of the ``<lex …>`` elements in each ``<s>`` element; gov is 0 where the attribute lacks."""
     found = F.regexp_extract_all("text", F.lit("(?s)<s(?:\\s[^<>]*)?>(.*?)</s>"), F.lit(1))

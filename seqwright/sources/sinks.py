@@ -27,11 +27,17 @@ def dependency_text(toks: DataFrame) -> DataFrame:
     return rows.select("path", "seq_id", F.array_join("l.line", "\n").alias("text"))
 
 
+def _escaped(text: Column) -> Column:
+    for name, mark in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
+        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
+    return text
+
+
 def post_markup(posts: DataFrame) -> DataFrame:
-    """path and text: a ``<Post …>`` element for each post (path, post, attrs, toks), its attributes in order; predicted ones are attributes like others."""
+    """path and text: a ``<Post …>`` element for each post (path, post, attrs, toks), its attributes in order; predicted ones are attributes like others. Marks of XML in values and tokens are escaped."""
     entries = F.array_sort(F.map_entries("attrs"))
-    head = F.array_join(F.transform(entries, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), e["value"], F.lit('"'))), "")
-    one = F.concat(F.lit("<Post"), head, F.lit(">"), F.array_join("toks", " "), F.lit("</Post>"))
+    head = F.array_join(F.transform(entries, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"'))), "")
+    one = F.concat(F.lit("<Post"), head, F.lit(">"), _escaped(F.array_join("toks", " ")), F.lit("</Post>"))
     rows = posts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("post", one.alias("p")))).alias("l"))
     return rows.select("path", F.array_join("l.p", "\n").alias("text"))
 
@@ -41,12 +47,6 @@ def lex_text(text: Column) -> Column:
     return F.regexp_replace(text, "([^ \\r\\n\\t]+)", "<lex>$1</lex>")
 
 
-def _escaped(text: Column) -> Column:
-    for name, mark in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
-        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
-    return text
-
-
 def xml_text(toks: DataFrame) -> DataFrame:
     """path and text: an ``<s>`` element a sequence, a ``<lex>`` element a token (path, seq_id, pos, tok, gov, attrs) whose gov is the predicted one."""
     attrs = F.map_concat(F.map_filter("attrs", lambda k, _: k != "gov"), F.create_map(F.lit("gov"), F.col("gov").cast("string")))

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
-from seqwright.operators import evaluate
-from seqwright.sources import columns
+from seqwright.operators import evaluate, tokenize
+from seqwright.sources import columns, sinks
 
 
 def one(spark, value, column):
@@ -88,3 +88,15 @@ def test_posts_of_markup(spark):
     text = '<Post user="a" dialog-act="ask">What <b>is</b>\nthis?</Post> x <Post>y</Post>'
     got = columns.posts(spark.createDataFrame([("f", text)], "path string, text string")).orderBy("post").collect()
     assert [(r.post, r.attrs, r.toks) for r in got] == [(0, {"user": "a", "dialog-act": "ask"}, ["What", "is", "this?"]), (1, {}, ["y"])]
+
+
+def test_posts_round_trip_with_marks(spark):
+    rows = spark.createDataFrame([("f", 0, {"user": 'a"<b>&amp;'}, ["x<y", "</Post>", "&lt;", '"q"', "a>b"]), ("f", 1, {"user": "u"}, [])], "path string, post int, attrs map<string,string>, toks array<string>")
+    back = columns.posts(sinks.post_markup(rows)).orderBy("post").collect()
+    assert [(r.attrs, r.toks) for r in back] == [({"user": 'a"<b>&amp;'}, ["x<y", "</Post>", "&lt;", '"q"', "a>b"]), ({"user": "u"}, [])]
+
+
+def test_sentences_then_bound(spark):
+    toks = spark.createDataFrame([(1, i, t) for i, t in enumerate("a b. c d! e f g h".split())] + [(2, 0, "x")], "doc_id int, pos int, tok string")
+    found = tokenize.bounded(tokenize.sentences(toks), 3).orderBy("doc_id", "seq_id", "pos").collect()
+    assert [(r.doc_id, r.seq_id, r.pos, r.tok) for r in found] == [(1, 0, 0, "a"), (1, 0, 1, "b."), (1, 1, 0, "c"), (1, 1, 1, "d!"), (1, 2, 0, "e"), (1, 2, 1, "f"), (1, 2, 2, "g"), (1, 3, 0, "h"), (2, 0, 0, "x")]
