@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of hashed n-grams of 3 to 5 characters (code
-points; ASCII letters folded). Each feature is scaled by the log ratio of its
+A text's features are whether it holds a hashed n-gram of 3 to 5 characters
+(code points; ASCII letters folded) at least once, twice and three times, for a
+stem that is harmless once may mark a text that dwells on it. Each feature is scaled by the log ratio of its
 smoothed frequency in toxic and other texts, and a logistic regression with an
 L2 penalty is fitted on the scaled features by L-BFGS. Spark keeps the sample's
 features and sums counts and gradients; the driver holds vectors of one number a
@@ -30,11 +31,14 @@ from seqwright.scratch import discard, written
 
 GRAM_SIZES = range(3, 6)
 GRAM_BITS = 18
+#: A gram has a feature for each of these counts that a text reaches.
+LEVELS = (1, 2, 3)
+_LEVEL_STEP = 0x9E37
 #: Labelled texts of each class that the model is fitted on, about.
 SAMPLE_TOXIC = 1500
 SAMPLE_OTHER = 2500
-SMOOTHING = 1.0
-PENALTY = 1.0
+SMOOTHING = 4.0
+PENALTY = 3.0
 ROUNDS = 40
 #: Tasks over the sample in an evaluation of the objective.
 FIT_TASKS = 8
@@ -51,13 +55,22 @@ class Model:
 
 
 def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, the distinct gram codes in order) of each text."""
-    seen = np.zeros(1 << GRAM_BITS, bool)
+    """(row, the distinct feature codes in order) of each text."""
+    size = 1 << GRAM_BITS
+    times, seen = np.zeros(size, np.int32), np.zeros(size, bool)
+
+    def count(codes: np.ndarray) -> None:
+        np.add.at(times, codes, 1)
 
     def told() -> np.ndarray:
-        codes = np.flatnonzero(seen)
-        seen[codes] = False
-        return codes
+        codes = np.flatnonzero(times)
+        own = times[codes]
+        times[codes] = 0
+        for k, level in enumerate(LEVELS):
+            seen[codes[own >= level] ^ (k * _LEVEL_STEP & size - 1)] = True
+        found = np.flatnonzero(seen)
+        seen[found] = False
+        return found
 
     for low, high, data, offsets in kernels.chunks(column):
         if high - low == 1 and len(data) > PIECE:
@@ -70,8 +83,9 @@ def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 while stop < len(data) and data[stop] & 0xC0 == 0x80:
                     stop += 1
                 points, ends = kernels.code_points(kernels.folded(data[at:stop]), np.array([0, stop - at]))
-                for codes, _ in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS):
-                    seen[codes] = True
+                own = np.count_nonzero(data[at:after] & 0xC0 != 0x80)  # grams that start behind these are the next piece's
+                for codes, first in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS):
+                    count(codes[first < own])
                 at = after
             yield low, told()
             continue
@@ -79,7 +93,7 @@ def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         found = [(codes, np.searchsorted(at, ends).tolist()) for codes, at in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS)]
         for i in range(high - low):
             for codes, at in found:
-                seen[codes[at[i] : at[i + 1]]] = True
+                count(codes[at[i] : at[i + 1]])
             yield low + i, told()
 
 
