@@ -1,16 +1,20 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
 Every rule votes good (1), bad (-1) or abstains (0) on a text. Each rule looks at
-a signal of its own, for votes count as independent given the class. Expectation
-maximisation over the counts of vote patterns (at most 3 ** number of rules
-rows, however large the corpus) estimates how often each rule, where it speaks,
-gives each vote to good and to bad texts, and the share of good texts. The
-posterior probability of being good then decides, in place of asking that all
-rules pass.
-
-Null texts count as empty; a text without words gets votes from no rule but the
-length rule. Repeated rows are rows of their own. An empty table gives an empty
-result; further columns, whatever their names, play no part.
+a signal of its own, for votes count as independent given the class, and takes
+its limits from the corpus: good is what lies within one interquartile range of
+the signal's median, bad what lies more than FENCE of them away. The quartiles
+are exact over the signals' bins, of which there are at most BINS a rule.
+Expectation maximisation over the counts of vote patterns (at most 3 ** number
+of rules rows, however large the corpus) estimates how often each rule, where it
+speaks, gives each vote to good and to bad texts, and the share of good texts.
+The posterior probability of being good then decides, in place of asking that
+all rules pass; no vote counts for more than MOST_SAID, so no rule decides alone.
+
+Null texts count as empty; a text of fewer than MIN_WORDS words gets no votes and
+fails the base rules. Repeated rows are rows of their own. Texts are looked at
+whole, one at a time, however long. An empty table gives an empty result; further
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwright.llm.common import chosen, table
-from seqwright.scratch import written
+from seqwright.scratch import discard, written
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -44,6 +48,12 @@ KEEP = 0.5
 ROUNDS = 50
 #: Pseudo-counts of right and wrong votes in each class: a rule is thought better than chance until the data say otherwise.
 PRIOR_RIGHT, PRIOR_WRONG = 4.0, 1.0
+#: Interquartile ranges from the median beyond which a signal is bad.
+FENCE = 3
+#: Bins of a signal; the last holds all that lies beyond.
+BINS = 2000
+#: The largest log-likelihood ratio of one vote.
+MOST_SAID = 2.5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,7 +99,7 @@ def facts(text: Column) -> Column:
         runs = F.size(F.filter(w, lambda one, i: F.coalesce(one == F.get(w, i - 1), F.lit(False))))
         ends = F.size(F.filter(w, lambda one: one.rlike(SENTENCE_END)))
         letterless = F.size(F.filter(w, lambda one: ~one.rlike("\\p{L}")))
-        return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeat"), function.alias("function"), runs.alias("runs"), ends.alias("ends"), letterless.alias("letterless"))
+        return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeat"), function.alias("function"), runs.alias("runs"), ends.alias("ends"), letterless.alias("letterless"), F.size(F.array_distinct(w)).alias("distinct"))
 
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
@@ -106,9 +116,9 @@ def facts(text: Column) -> Column:
             w["runs"].alias("n_runs"),
             w["letterless"].alias("n_letterless"),
             w["ends"].alias("n_ends"),
+            w["distinct"].alias("n_distinct"),
             x["n"].alias("n_lines"),
             (F.char_length(t) - F.char_length(F.regexp_replace(t, "\\p{Lu}", ""))).alias("n_upper"),
-            count_of(t, "0123456789").alias("n_digits"),
         )
 
     return let(let(words(t), of_words), lambda w: let(let(lines, of_lines), lambda x: together(w, x)))
@@ -116,39 +126,67 @@ def facts(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A vote: bad where ``bad`` holds, else good where ``good`` holds, else none."""
+    """A signal of a text, in bins of 1 / scale, and the least number of bins that counts as its interquartile range."""
 
     name: str
-    bad: Callable[[Column], Column]
-    good: Callable[[Column], Column]
+    signal: Callable[[Column], Column]
+    scale: int
+    least: int
 
 
 def _ratio(a: str, b: str) -> Callable[[Column], Column]:
     return lambda q: q[a] / F.when(q[b] > 0, q[b])
 
 
-def _between(value: Callable[[Column], Column], bad_low: float, low: float, high: float, bad_high: float) -> tuple:
-    return lambda q: (value(q) < bad_low) | (value(q) > bad_high), lambda q: value(q).between(low, high)
-
-
 RULES = (
-    Rule("length", lambda q: q["n_words"] < MIN_WORDS, lambda q: q["n_words"] >= 2 * MIN_WORDS),
-    Rule("symbols", *_between(_ratio("n_symbols", "n_chars"), -1, 0, 0.01, 0.04)),
-    Rule("capitals", *_between(_ratio("n_upper", "n_chars"), -1, 0, 0.1, 0.3)),
-    Rule("digits", *_between(_ratio("n_digits", "n_chars"), -1, 0, 0.05, 0.25)),
-    # No function word at all may be a language that the list lacks.
-    Rule("function_words", lambda q: (q["n_function_words"] > 0) & (_ratio("n_function_words", "n_words")(q) < 0.06), lambda q: _ratio("n_function_words", "n_words")(q) >= 0.12),
-    Rule("letterless_words", *_between(_ratio("n_letterless", "n_words"), -1, 0, 0.05, 0.2)),
-    Rule("word_runs", *_between(_ratio("n_runs", "n_words"), -1, 0, 0.03, 0.1)),
-    Rule("sentences", *_between(_ratio("n_ends", "n_words"), 0.004, 0.02, 0.25, 0.5)),
-    Rule("line_copies", *_between(_ratio("n_dup_lines", "n_lines"), -1, 0, 0.05, 0.3)),
-    Rule("word_length", *_between(lambda q: (q["n_chars"] - q["n_spaces"]) / F.when(q["n_words"] > 0, q["n_words"]), 2, 3, 10, 14)),
+    Rule("symbols", _ratio("n_symbols", "n_chars"), 2000, 20),
+    Rule("capitals", _ratio("n_upper", "n_chars"), 2000, 10),
+    Rule("function_words", _ratio("n_function_words", "n_words"), 2000, 20),
+    Rule("letterless_words", _ratio("n_letterless", "n_words"), 2000, 40),
+    Rule("word_runs", _ratio("n_runs", "n_words"), 2000, 10),
+    Rule("sentences", _ratio("n_ends", "n_words"), 2000, 20),
+    Rule("line_copies", _ratio("n_dup_lines", "n_lines"), 2000, 100),
+    Rule("word_length", lambda q: (q["n_chars"] - q["n_spaces"]) / F.when(q["n_words"] > 0, q["n_words"]), 100, 20),
+    Rule("repeats", _ratio("n_repeat_words", "n_words"), 2000, 60),
+    Rule("distinct_words", _ratio("n_distinct", "n_words"), 2000, 60),
+    Rule("line_words", lambda q: F.log(q["n_words"] / F.when(q["n_lines"] > 0, q["n_lines"])), 200, 40),
 )
 
 
-def votes(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """An array of one of -1, 0, 1 a rule, in their order."""
-    return F.array(*[F.when(F.coalesce(r.bad(q), F.lit(False)), -1).when(F.coalesce(r.good(q), F.lit(False)), 1).otherwise(0) for r in rules])
+def bins(q: Column) -> Column:
+    """The bin of each rule's signal, in their order; null for a text that is too short."""
+    own = [F.least(F.floor(F.greatest(r.signal(q), F.lit(0.0)) * r.scale), F.lit(BINS - 1)).cast("int") for r in RULES]
+    return F.when(q["n_words"] >= MIN_WORDS, F.array(*own))
+
+
+#: Bins below and above which a rule votes bad, and between which it votes good.
+Limits = tuple[float, float, float, float]
+
+
+def limits(binned: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Limits]:
+    """Each rule's limits, from the exact quartiles of its bins; ``binned`` has bins."""
+    counted = binned.where("bins IS NOT NULL").select(F.posexplode("bins").alias("rule", "bin")).groupBy("rule", "bin").agg(F.count("*").alias("n"))
+    times = np.zeros((len(rules), BINS), np.int64)
+    for r in counted.collect():  # BINS a rule at most
+        times[r["rule"], r["bin"]] = r["n"]
+    found = []
+    for r, own in zip(rules, times, strict=True):
+        total = own.sum()
+        low, middle, high = (int(np.searchsorted(np.cumsum(own), max(1, -(-total * k // 4)))) for k in (1, 2, 3))
+        spread = max(high - low, r.least)
+        found.append((middle - FENCE * spread, middle - spread, middle + spread, middle + FENCE * spread))
+    return found
+
+
+def votes(own: Column, found: list[Limits]) -> Column:
+    """An array of one of -1, 0, 1 a rule, in their order, from the bins; all 0 without bins."""
+
+    def of(k: int, limit: Limits) -> Column:
+        bad_low, low, high, bad_high = limit
+        x = F.get(own, F.lit(k))
+        return F.when((x < bad_low) | (x > bad_high), -1).when(x.between(low, high), 1).otherwise(0)
+
+    return F.array(*[of(k, x) for k, x in enumerate(found)])
 
 
 @dataclass(frozen=True)
@@ -188,6 +226,7 @@ def maximise(counts: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: in
         if done:
             break
     accuracies = (called_bad[0] + called_good[1]) / (called_bad + called_good).sum(axis=0)
+    against, speaking_for = (np.clip(x, -MOST_SAID, MOST_SAID) for x in (against, speaking_for))
     return Model(bias, [(float(a), 0.0, float(b)) for a, b in zip(against, speaking_for, strict=True)], accuracies.tolist())
 
 
@@ -210,19 +249,26 @@ def base_failed(q: Column) -> Column:
 def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are good with probability KEEP or more; their columns are unchanged.
 
-    The texts are looked at twice, once for the model and once for the verdict:
-    rows with their votes, written in between, would stay on disk until the
-    result is read.
+    The texts are looked at twice, once for the signals and once for the verdict;
+    between the two only the signals' bins are written.
     """
     own = facts(F.col(f"`{text}`"))
-    model = fit(docs.select(let(own, lambda q: votes(q)).alias("votes")))
+    binned = written(docs.select(let(own, bins).alias("bins")), "quality-bins")
+    found = limits(binned)
+    model = fit(binned.select(votes(F.col("bins"), found).alias("votes")))
+    discard(binned)
+
     # One expression, so that the filter computes the facts once.
-    return docs.where(let(own, lambda q: ~base_failed(q) & (posterior(votes(q), model) >= KEEP)))
+    def verdict(q: Column) -> Column:
+        return ~base_failed(q) & let(bins(q), lambda x: posterior(votes(x, found), model) >= KEEP)
+
+    return docs.where(let(own, verdict))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chosen(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    found = written(docs.select("doc_id", facts(F.col("text")).alias("q")), "quality").withColumn("votes", votes(F.col("q")))
+    found = written(docs.select("doc_id", facts(F.col("text")).alias("q")).withColumn("bins", bins(F.col("q"))), "quality")
+    found = found.withColumn("votes", votes(F.col("bins"), limits(found)))
     q, model = F.col("q"), fit(found)
     failed, p_good = base_failed(q), posterior(F.col("votes"), model)
     return found.select(
