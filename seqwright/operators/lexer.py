@@ -11,9 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from seqwright.operators.automaton import compiled
+from seqwright.operators.patterns import Grammar, merge, parse, split
 
 # Abbreviations and clitics that are one token.
 CLITICS = "'s 'd 'm 're 'll 've"
@@ -38,6 +43,11 @@ _QUOTED = "[.?!](?:''|\")"
 _URL = r"[a-z]+:(?:/{1,3}|[a-z0-9%])(?:www[0-9]{0,3}\.|[a-z0-9.\-]+\.[a-z]{2,4}/)[^ \t\n\r()<>]+[^ \t\n\r`'\[\]!(){};:\".,<>?]+"
 
 Rule = tuple[str, str]
+#: Distinct tokens whose splits a task remembers.
+MOST_SPLITS = 1 << 16
+_LEX = re.compile(r"<lex(?:\s[^<>]*)?>")
+# Tokens that end a sentence.
+_SOFT_ENDS = (".", "?", "!", "''")
 
 
 def _listed(words: str) -> str:
@@ -71,50 +81,108 @@ PLAIN: list[Rule] = [
 
 def scanner(rules: list[Rule]) -> Callable[[str], list[tuple[str, int, int]]]:
     """A function from a text to (kind, start, end) of its pieces."""
-    compiled = [(kind, re.compile(r)) for kind, r in rules]
+    own = compiled(tuple(r for _, r in rules))
+    kinds = [*(kind for kind, _ in rules), "PUNCT"]  # the last is that of no rule, -1
 
     def scan(text: str) -> list[tuple[str, int, int]]:
-        found, at = [], 0
-        while at < len(text):
-            kind, end = "PUNCT", at + 1
-            best = 0
-            for name, rule in compiled:
-                m = rule.match(text, at)
-                if m and m.end() - at > best:
-                    kind, end, best = name, m.end(), m.end() - at
-            found.append((kind, at, end))
-            at = end
-        return found
+        found, ends = own.scan(text)
+        return list(zip([kinds[k] for k in found], [0, *ends], ends, strict=False))
 
     return scan
 
 
-def pieces(docs: DataFrame, rules: list[Rule] = PLAIN, *, split: list[list[str]] | None = None) -> DataFrame:
+def _retold(text: str, found: list[tuple[str, int, int]], grammar: Grammar, splits: dict[str, list[str]]) -> list[tuple[str, int, int]]:
+    """The pieces with TOKs split and neighbours merged; ``splits`` remembers tokens."""
+    if grammar.splits:
+        rows = []
+        for kind, st, en in found:
+            tok = text[st:en]
+            if kind != "TOK":
+                rows.append((kind, st, en))
+                continue
+            if tok not in splits:
+                if len(splits) >= MOST_SPLITS:
+                    splits.clear()
+                splits[tok] = split(tok, grammar.splits)
+            for part in splits[tok]:
+                rows.append((kind, st, st + len(part)))
+                st += len(part)
+        found = rows
+    if grammar.merges:
+        own = [i for i, (kind, _, _) in enumerate(found) if kind not in ("WHITE", "WHITEEND", "TAGSTART", "TAGEND")]
+        toks = [text[found[i][1] : found[i][2]] for i in own]
+        touching = [k > 0 and own[k - 1] == i - 1 for k, i in enumerate(own)]
+        joined = {own[a]: own[b - 1] for a, b in merge(toks, touching, grammar.merges)}
+        rows, skip = [], -1
+        for i, (kind, st, en) in enumerate(found):
+            if i > skip:
+                last = joined.get(i, i)
+                rows.append((kind if last == i else "TOK", st, found[last][2]))
+                skip = last
+        found = rows
+    return found
+
+
+def _ready(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The pieces between ``<lex …>`` and ``</lex>`` as one: ENDPUNCT if it is a sentence-final mark, else TOK."""
+    rows, at = [], 0
+    while at < len(found):
+        kind, _, en = found[at]
+        rows.append(found[at])
+        at += 1
+        if kind == "TAGSTART" and _LEX.fullmatch(text[found[at - 1][1] : en]):
+            end = next((k for k in range(at, len(found)) if found[k][0] == "TAGEND" and text[found[k][1] : found[k][2]] == "</lex>"), at)
+            if end > at:
+                own = text[en : found[end][1]]
+                rows.append(("ENDPUNCT" if own in _SOFT_ENDS else "TOK", en, found[end][1]))
+                at = end
+    return rows
+
+
+def pieces(docs: DataFrame, rules: list[Rule] = PLAIN, *, grammar: str | None = None, keep_lex: bool = False) -> DataFrame:
     """doc_id, n, kind, tok, st and en of the pieces of every text.
 
-    ``split`` has sequences of patterns: a TOK that a sequence matches as a
-    whole becomes a token a pattern; the first such sequence wins.
+    ``grammar`` splits and merges tokens, in the language of :mod:`patterns`;
+    with ``keep_lex`` the content of ``<lex>`` elements is one token each.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = [re.compile("".join(f"({p})" for p in parts)) for parts in split or []]
 
     def run(batches):
-        scan = scanner(rules)
+        scan, own, splits = scanner(rules), parse(grammar) if grammar else None, {}
         for batch in batches:
-            out = []
+            counts, kinds, toks, starts, ends = [0], [], [], [], []
             for text in batch.column("text").to_pylist():
-                own = []
-                for kind, st, en in scan(text):
-                    m = next((m for c in cuts if kind == "TOK" and (m := c.fullmatch(text, st, en))), None)
-                    spans = [m.span(i) for i in range(1, m.re.groups + 1)] if m else [(st, en)]
-                    own += [{"kind": kind, "tok": text[a:b], "st": a, "en": b} for a, b in spans if b > a]
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("tok", pa.string()), ("st", pa.int32()), ("en", pa.int32())])))], names=["doc_id", "p"])
+                found = scan(text)
+                if keep_lex:
+                    found = _ready(text, found)
+                if own:
+                    found = _retold(text, found, own, splits)
+                counts.append(counts[-1] + len(found))
+                kinds += [k for k, _, _ in found]
+                toks += [text[a:b] for _, a, b in found]
+                starts += [a for _, a, _ in found]
+                ends += [b for _, _, b in found]
+            columns = [pa.array(kinds, pa.string()), pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            p = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(columns, ["kind", "tok", "st", "en"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), p], names=["doc_id", "p"])
 
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, p array<struct<kind:string,tok:string,st:int,en:int>>")
     return found.select("doc_id", F.posexplode("p").alias("n", "p")).select("doc_id", "n", "p.*")
 
 
+def split_tokens(toks: DataFrame, grammar: str) -> DataFrame:
+    """``toks`` (with tok) with a row a piece that the grammar's patterns split a token into, and part, its number from 0."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(own: pd.Series) -> pd.Series:
+        patterns = parse(grammar).splits
+        known = {tok: split(tok, patterns) for tok in set(own.dropna())}
+        return own.map(known, na_action="ignore")
+
+    others = [c for c in toks.columns if c != "tok"]
+    return toks.withColumn("tok", cut("tok")).select(*others, F.posexplode("tok").alias("part", "tok"))
+
+
 def tokens(found: DataFrame) -> DataFrame:
     """doc_id, seq_id, pos, tok, st and en of the pieces that are neither white space nor tags.
 
@@ -127,15 +195,3 @@ def tokens(found: DataFrame) -> DataFrame:
     ends = (F.col("kind") == "WHITEEND") | (white & (F.lag("kind").over(order) == "ENDPUNCT"))
     rows = found.withColumn("seq_id", F.sum(F.when(ends, 1).otherwise(0)).over(order).cast("int")).where(~F.col("kind").isin("WHITE", "WHITEEND", "TAGSTART", "TAGEND"))
     return rows.select("doc_id", "seq_id", (F.row_number().over(Window.partitionBy("doc_id", "seq_id").orderBy("n")) - 1).alias("pos"), "tok", "st", "en")
-
-
-def merge(toks: DataFrame, first: str, second: str) -> DataFrame:
-    """``toks`` with each token that ``second`` matches joined to the one before, where that ends in ``first`` and touches it; runs join to one."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id", "seq_id").orderBy("pos")
-    joins = F.col("tok").rlike(f"^(?:{second})$") & F.lag("tok").over(order).rlike(f"(?:{first})$") & (F.lag("en").over(order) == F.col("st"))
-    runs = toks.withColumn("run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
-    own = F.array_sort(F.collect_list(F.struct("pos", "tok")))
-    rows = runs.groupBy("doc_id", "seq_id", "run").agg(F.array_join(own["tok"], "").alias("tok"), F.min("st").alias("st"), F.max("en").alias("en"))
-    return rows.select("doc_id", "seq_id", (F.col("run") - 1).cast("int").alias("pos"), "tok", "st", "en")

@@ -234,6 +234,21 @@ def plain_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexer.pieces(_read(spark, sf_dir, "documents"))
 
 
+def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of documents with their final marks split off, and e-mail addresses at the at sign."""
+    return lexer.split_tokens(_tokens(spark, sf_dir), 'SPLIT: R([^.,@]+) R([.,]+)\nSPLIT: R([^.,@]+) "@" R([^@]+)\n')
+
+
+def retold_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of documents with digits split from letters, and numbers joined with the marks between and behind them."""
+    grammar = r'''SPLIT: R([0-9]+) R([A-z]+)
+SPLIT: R([A-z]+) R([0-9]+)
+MERGE: R([0-9]) "-" R([0-9])
+MERGE: R([$]) R([0-9])
+'''
+    return lexer.pieces(_read(spark, sf_dir, "documents"), grammar=grammar)
+
+
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return lexer.tokens(lexer.pieces(pages, lexer.TAGGED))
@@ -655,7 +670,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
         best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
-        soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, page_tokens, part_trees, word_clusters,
+        soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, split_words, retold_pieces, page_tokens, part_trees, word_clusters,
     )
 }
 
@@ -837,6 +852,11 @@ WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), p AS
 SELECT source, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY source""",
     "part_cross_entropy": """
 SELECT round(-sum((CASE WHEN p_partkey % 3 = k THEN 0.9 ELSE 0.05 END)::DOUBLE * ln(((p_size + k) % 3 + 1) / 6)), 4) AS cross_entropy FROM part, range(3) r(k)""",
+    "split_words": rf"""
+WITH {_TOKENS}, cut AS (
+  SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[^.,@]+@[^@]+$') THEN [regexp_extract(tok, '^[^@]+'), '@', regexp_extract(tok, '[^@]+$')]
+    WHEN regexp_matches(tok, '^[^.,@]+[.,]+$') THEN [regexp_extract(tok, '^[^.,]+'), regexp_extract(tok, '[.,]+$')] ELSE [tok] END AS x FROM toks)
+SELECT doc_id, pos, CAST(generate_subscripts(x, 1) - 1 AS INT) AS part, unnest(x) AS tok FROM cut""",
     "shouted_pages": r"""
 WITH p AS (SELECT page_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<[^<>]+>|[^<]+|<') AS x FROM pages)),
 t AS (SELECT *, CASE WHEN NOT regexp_matches(p, '^<[^<>]+>$') OR ends_with(p, '/>') OR regexp_extract(p, '^</?([^ \r\n\t>]+)[^<]*>$', 1) NOT IN ('h1', 'h2', 'title', 'p') THEN 0
