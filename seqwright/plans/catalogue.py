@@ -236,7 +236,7 @@ def plain_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of documents with their final marks split off, and e-mail addresses at the at sign."""
-    return lexer.split_tokens(_tokens(spark, sf_dir), 'SPLIT: R([^.,@]+) R([.,]+)\nSPLIT: R([^.,@]+) "@" R([^@]+)\n')
+    return lexer.split_tokens(_tokens(spark, sf_dir), 'SPLIT: R([^.,@]+) R([.,]+)\nSPLIT: R([^@]+) "@" R([^@]+)\n')
 
 
 def retold_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -854,7 +854,7 @@ SELECT source, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY source""",
 SELECT round(-sum((CASE WHEN p_partkey % 3 = k THEN 0.9 ELSE 0.05 END)::DOUBLE * ln(((p_size + k) % 3 + 1) / 6)), 4) AS cross_entropy FROM part, range(3) r(k)""",
     "split_words": rf"""
 WITH {_TOKENS}, cut AS (
-  SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[^.,@]+@[^@]+$') THEN [regexp_extract(tok, '^[^@]+'), '@', regexp_extract(tok, '[^@]+$')]
+  SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(tok, '^[^@]+@[^@]+$') THEN [regexp_extract(tok, '^[^@]+'), '@', regexp_extract(tok, '[^@]+$')]
     WHEN regexp_matches(tok, '^[^.,@]+[.,]+$') THEN [regexp_extract(tok, '^[^.,]+'), regexp_extract(tok, '[.,]+$')] ELSE [tok] END AS x FROM toks)
 SELECT doc_id, pos, CAST(generate_subscripts(x, 1) - 1 AS INT) AS part, unnest(x) AS tok FROM cut""",
     "shouted_pages": r"""
