@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments
+from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, sharded
 from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, sentences, tokens
 from seqwright.sources import columns, sinks
 
@@ -223,11 +223,13 @@ def crf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of documents by their lower-case words."""
+    """Quality of documents by their lower-case words, learnt with parameters in tables."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\S+"), F.lit(0)))
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"))
     labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    return maxent.predict(docs, maxent.fit(docs.join(labels, "id")))
+    classes, params = sharded.fit(docs.join(labels, "id"))
+    found = maxent.class_scores(docs, params, classes)
+    return found.select("id", "label_pred", F.array_max(F.map_values("probs")).alias("prob"))
 
 
 def plain_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
