@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqwright.functions import spec
-from seqwright.operators import convert, crf, maxent, optimize
+from seqwright.operators import convert, crf, maxent, optimize, sharded
 from seqwright.sources import columns
 
 SCORES = np.array([[0.5, -1.0, 0.2], [1.5, 0.3, -0.2], [0.0, 0.7, 0.1], [-0.4, 0.6, 0.9]])
@@ -146,8 +146,20 @@ def test_registered_models_train_until_convergence(spark, monkeypatch):
 
     lbfgs = optimize.lbfgs
     monkeypatch.setattr(optimize, "lbfgs", seen)
+    met = []
+    minimise = sharded.minimise
+
+    def sharded_end(problem, **how):
+        state, values = minimise(problem, **how)
+        met.append(values[-1])
+        return state, values
+
+    monkeypatch.setattr(sharded, "minimise", sharded_end)
+    fitted = []
+    monkeypatch.setattr(sharded, "fit", lambda rows, fit=sharded.fit: fitted.append(rows) or fit(rows))
     for name in ("crf_events", "maxent_quality"):
         assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
-    assert len(ends) == 2
+    maxent.fit(fitted[0])  # the same objective with a vector on the driver
+    assert len(ends) == 2 and len(met) == 1 and met[0] - ends[1][2] <= 1e-3 * abs(met[0])
     for steps, value, further in ends:
         assert steps == 200 and value - further <= 1e-3 * abs(value)
