@@ -57,24 +57,26 @@ class Model:
 def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, the distinct feature codes in order) of each text."""
     size = 1 << GRAM_BITS
-    times, seen = np.zeros(size, np.int32), np.zeros(size, bool)
+    seen, rank = np.zeros(size, bool), np.zeros(size, np.int64)
 
-    def count(codes: np.ndarray) -> None:
-        np.add.at(times, codes, 1)
-
-    def told() -> np.ndarray:
-        codes = np.flatnonzero(times)
-        own = times[codes]
-        times[codes] = 0
+    def leveled(codes: np.ndarray, times: np.ndarray) -> np.ndarray:
         for k, level in enumerate(LEVELS):
-            seen[codes[own >= level] ^ (k * _LEVEL_STEP & size - 1)] = True
+            seen[codes[times >= level] ^ (k * _LEVEL_STEP & size - 1)] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         return found
 
+    def told(parts: list[np.ndarray]) -> np.ndarray:
+        for codes in parts:
+            seen[codes] = True
+        own = np.flatnonzero(seen)
+        seen[own] = False
+        rank[own] = np.arange(len(own))  # so that only the text's own codes are counted
+        return leveled(own, sum((np.bincount(rank[codes], minlength=len(own)) for codes in parts), np.zeros(len(own), np.int64)))
+
     for low, high, data, offsets in kernels.chunks(column):
         if high - low == 1 and len(data) > PIECE:
-            at = 0
+            at, times = 0, np.zeros(size, np.int64)
             while at < len(data):
                 after = min(at + PIECE, len(data))
                 while after < len(data) and data[after] & 0xC0 == 0x80:
@@ -85,16 +87,14 @@ def text_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 points, ends = kernels.code_points(kernels.folded(data[at:stop]), np.array([0, stop - at]))
                 own = np.count_nonzero(data[at:after] & 0xC0 != 0x80)  # grams that start behind these are the next piece's
                 for codes, first in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS):
-                    count(codes[first < own])
+                    times += np.bincount(codes[first < own], minlength=size)
                 at = after
-            yield low, told()
+            yield low, leveled(np.flatnonzero(times), times[times > 0])
             continue
         points, ends = kernels.code_points(kernels.folded(data), offsets)
         found = [(codes, np.searchsorted(at, ends).tolist()) for codes, at in kernels.gram_codes(points, ends, GRAM_SIZES, GRAM_BITS)]
         for i in range(high - low):
-            for codes, at in found:
-                count(codes[at[i] : at[i + 1]])
-            yield low + i, told()
+            yield low + i, told([codes[at[i] : at[i + 1]] for codes, at in found])
 
 
 def minimise(fn: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
