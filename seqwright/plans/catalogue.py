@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, sharded
+from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, semifield, sharded
 from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, sentences, tokens
 from seqwright.sources import columns, sinks
 
@@ -590,6 +590,45 @@ def label_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pos", "s", "label", segments.phrase(F.col("words")).alias("phrase"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as tokens: doc_id, seq_id, pos, label (the role), n (code points) and tok, the kind of length and end."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", n, "role")) - 1
+    kind = F.concat(F.lit("n"), F.floor(F.log2(n + 1)).cast("string"), F.coalesce(F.regexp_extract("text", "[.?!]$", 0), F.lit("")))
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("seq_id"), at.alias("pos"), F.col("role").alias("label"), n.alias("n"), kind.alias("tok"))
+
+
+_SEGMENT_STATE = {":U::0": [0.5, 0.25], ":U::1": [1.0, 0.75], "chars": [0.125, 0.25]}
+_SEGMENT_EDGES = {":E::0": [[-1.0, 0.5], [0.25, -0.75]], ":E::1": [[0.75, -0.25], [0.5, 0.0]]}
+
+
+def best_turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segmentation of each conversation into labelled segments of one or two turns, under fixed weights."""
+    toks = _turns(spark, sf_dir).withColumn("attrs", F.create_map(F.lit("n"), F.col("n").cast("string"))).drop("label")
+    chars = F.aggregate(F.transform("attrs", lambda a: a["n"].cast("double") / 64), F.lit(0.0), lambda a, x: a + x)
+    feats = F.create_map(segments.size_name(F.col("s")), F.lit(1.0), F.lit("chars"), chars)
+    rows = segments.candidates(toks, 2).withColumns({"feats": feats, "edges": F.create_map(segments.size_name(F.col("s"), edge=True), F.lit(1.0))})
+    model = semifield.weighted(spark, ["A", "B"], 2, _SEGMENT_STATE, _SEGMENT_EDGES)
+    return semifield.decode(semifield.sequences(rows, model.labels, 2), model).select("doc_id", "pos", "s", "label_pred")
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of an event type in a user's day, learnt from features of whole runs (size, first, last and all kinds of value) and found again."""
+    toks = _event_tokens(spark, sf_dir).select("doc_id", "seq_id", "pos", "label", F.array_join(F.array_sort(F.filter(F.map_keys("feats"), lambda k: k.startswith("value"))), " ").alias("tok"))
+    before = context.at(F.col("label"), -1)
+    sized = segments.label_sizes(toks.withColumn("begin", F.col("pos").eqNullSafe(F.lit(0)) | ~F.col("label").eqNullSafe(before)))
+    gold = sized.where("s >= 0 AND label IS NOT NULL").select("doc_id", "seq_id", "pos", "s", "label").persist()
+    labels = sorted(r[0] for r in gold.select("label").distinct().collect())
+    longest = semifield.longest_label(gold)
+    words = F.transform("words", lambda w: F.concat(F.lit("w="), w))
+    ends = [F.concat(F.lit(name), F.element_at("words", at)) for name, at in (("first=", 1), ("last=", -1))]
+    names = F.array_distinct(F.concat(F.array(segments.size_name(F.col("s")), *ends), words))
+    feats = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.lit(1.0))))
+    rows = segments.candidates(toks, longest).withColumns({"feats": feats, "edges": F.create_map(segments.size_name(F.col("s"), edge=True), F.lit(1.0))})
+    seqs = semifield.sequences(rows.join(gold, ["doc_id", "seq_id", "pos", "s"], "left"), labels, longest)
+    return semifield.decode(seqs, semifield.fit(seqs, labels, longest))
+
+
 def phrase_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicons of pairs of words of the benchmark, for the pairs of words of documents."""
     pairs = segments.candidates(tokens(_read(spark, sf_dir, "benchmark"), doc_id="item_id").withColumn("seq_id", F.lit(0)), 2).where("s = 1")
@@ -671,7 +710,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stripped_pages, page_spans, token_offsets, token_labels, projected_flags, feature_numbers, post_features, post_candidates, antecedent_features, spec_features, class_scores, ranked_items, viterbi_turns,
         white_tag_tokens, bounded_sequences, token_accuracy, span_scores, label_entropy, part_cross_entropy, shouted_pages, page_parts, mapped_modes, tagged_words, projected_tags, posterior_lines, vector_lines, dense_rows, lex_texts, iob_spans, label_lines,
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
-        best_part_trees, segment_features, label_segments, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
+        best_part_trees, segment_features, label_segments, best_turn_segments, event_runs, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, split_words, retold_pieces, page_tokens, part_trees, word_clusters,
     )
 }
@@ -1008,6 +1047,17 @@ WITH {_TOKENS}, k AS (SELECT doc_id, pos, tok, CASE WHEN regexp_matches(tok, '^[
 r AS (SELECT *, CASE WHEN label <> 'lex' AND lag(label) OVER (PARTITION BY doc_id ORDER BY pos) = label THEN 0 ELSE 1 END AS fresh FROM k),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r)
 SELECT doc_id, CAST(max(pos) AS INT) AS pos, CAST(count(*) - 1 AS INT) AS s, any_value(label) AS label, string_agg(tok, ' ' ORDER BY pos) AS phrase FROM g GROUP BY doc_id, run HAVING count(*) <= 3""",
+    "best_turn_segments": f"""
+WITH RECURSIVE n AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations),
+t AS (SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, n, role NULLS FIRST) - 1 AS pos FROM n),
+r AS (
+  SELECT conv_id, pos, n, {", ".join(f"{u} + n / 64 * {c} AS a{y}, NULL::DOUBLE AS b{y}, [{{'pos': pos, 's': 0, 'y': {y}}}] AS p{y}, NULL::STRUCT(pos BIGINT, s INTEGER, y INTEGER)[] AS q{y}" for y, (u, c) in enumerate(zip(_SEGMENT_STATE[":U::0"], _SEGMENT_STATE["chars"])))} FROM t WHERE pos = 0
+  UNION ALL
+  SELECT conv_id, pos, n, {", ".join(f"greatest(one{y}, two{y}) AS a{y}, was{y} AS b{y}, list_append(CASE WHEN one{y} >= two{y} THEN onep{y} ELSE twop{y} END, {{'pos': pos, 's': CASE WHEN one{y} >= two{y} THEN 0 ELSE 1 END, 'y': {y}}}) AS p{y}, wasp{y} AS q{y}" for y in (0, 1))}
+  FROM (SELECT r.conv_id, t.pos, t.n, {", ".join(f"r.a{y} AS was{y}, r.p{y} AS wasp{y}, {_SEGMENT_STATE[':U::0'][y]} + t.n / 64 * {_SEGMENT_STATE['chars'][y]} + greatest(r.a0 + {_SEGMENT_EDGES[':E::0'][0][y]}, r.a1 + {_SEGMENT_EDGES[':E::0'][1][y]}) AS one{y}, CASE WHEN r.a0 + {_SEGMENT_EDGES[':E::0'][0][y]} >= r.a1 + {_SEGMENT_EDGES[':E::0'][1][y]} THEN r.p0 ELSE r.p1 END AS onep{y}, {_SEGMENT_STATE[':U::1'][y]} + (t.n + r.n) / 64 * {_SEGMENT_STATE['chars'][y]} + coalesce(greatest(r.b0 + {_SEGMENT_EDGES[':E::1'][0][y]}, r.b1 + {_SEGMENT_EDGES[':E::1'][1][y]}), 0) AS two{y}, CASE WHEN r.pos = 0 THEN [] WHEN r.b0 + {_SEGMENT_EDGES[':E::1'][0][y]} >= r.b1 + {_SEGMENT_EDGES[':E::1'][1][y]} THEN r.q0 ELSE r.q1 END AS twop{y}" for y in (0, 1))}
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.pos = r.pos + 1)),
+f AS (SELECT conv_id, unnest(CASE WHEN a0 >= a1 THEN p0 ELSE p1 END) AS g FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1))
+SELECT conv_id AS doc_id, CAST(g.pos AS INT) AS pos, CAST(g.s AS INT) AS s, CASE WHEN g.y = 0 THEN 'A' ELSE 'B' END AS label_pred FROM f""",
     "phrase_lexicons": rf"""
 WITH {_TOKENS}, b AS (SELECT item_id, unnest(x) AS tok, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM benchmark)),
 p AS (SELECT item_id, lag(tok) OVER (PARTITION BY item_id ORDER BY pos) || ' ' || tok AS entry FROM b),
