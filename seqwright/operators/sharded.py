@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwright.scratch import discard, written
@@ -41,6 +41,15 @@ def _packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, np.float64).tobytes()
 
 
+def added(parts, rows: int, n: int) -> np.ndarray:
+    """The sum of packed scores (rows, n), whose last rows may lack."""
+    s = np.zeros((rows, n))
+    for part in parts:
+        part = np.frombuffer(part).reshape(-1, n)
+        s[: len(part)] += part
+    return s
+
+
 class Problem:
     """The cells, vocabulary and labels of instances (id, label, weight, feats: name -> value) as tables."""
 
@@ -52,14 +61,19 @@ class Problem:
         rows = labelled.select(F.col("label"), weight.cast("double").alias("weight"), F.coalesce("feats", no_feats).alias("feats"))
         counted = rows.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row a class
         self.classes = sorted(r["label"] for r in counted)
-        blocks = max(1, -(-sum(r["n"] for r in counted) // block_rows))
+        y = (F.array_position(F.array(*map(F.lit, self.classes)), F.col("label")) - 1).cast("int") if self.classes else F.lit(0)
+        biased = rows.withColumn("feats", F.map_concat("feats", F.create_map(F.lit(BIAS), F.lit(1.0))))
+        self._tables(biased, sum(r["n"] for r in counted), {"y": y, "weight": F.col("weight")}, shard_features, block_rows)
+
+    def _tables(self, rows: DataFrame, count: int, told: dict[str, Column], shard_features: int, block_rows: int) -> None:
+        """Writes the cells of ``rows`` (feats and other columns), the vocabulary, and what ``told`` says of each block's rows."""
+        blocks = max(1, -(-count // block_rows))
         # a block's rows are numbered in it; equal rows may come in any order
-        digest = F.xxhash64("label", "weight", F.array_sort(F.map_entries("feats")))
+        digest = F.xxhash64(*[c for c in rows.columns if c != "feats"], F.array_sort(F.map_entries("feats")))
         kept = rows.withColumn("block", F.pmod(F.xxhash64(digest, F.monotonically_increasing_id()), F.lit(blocks)))
         kept = written(kept, "training-rows").withColumn("row", (F.row_number().over(Window.partitionBy("block").orderBy(digest)) - 1).cast("int"))
         kept = written(kept, "numbered-rows")
-        one = F.explode(F.map_concat("feats", F.create_map(F.lit(BIAS), F.lit(1.0))))
-        entries = kept.select("block", "row", one.alias("fname", "v"))
+        entries = kept.select("block", "row", F.explode("feats").alias("fname", "v"))
         names = written(entries.select("fname").distinct(), "feature-names")
         shards = max(1, -(-names.count() // shard_features))
         place = Window.partitionBy("shard").orderBy("fname")
@@ -68,11 +82,25 @@ class Problem:
         lead = F.min("shard").over(Window.partitionBy("block"))
         found = entries.join(self.vocabulary, "fname").groupBy("block", "shard").agg(F.collect_list("row").alias("row"), F.collect_list("f").alias("f"), F.collect_list("v").alias("v"))
         self.cells = written(found.withColumn("lead", F.col("shard") == lead), "cells")
-        y = (F.array_position(F.array(*map(F.lit, self.classes)), F.col("label")) - 1).cast("int") if self.classes else F.lit(0)
-        told = kept.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", y.alias("y"), "weight"))).alias("r"))
-        self.labels = written(told.select("block", F.col("r.y").alias("y"), F.col("r.weight").alias("weight")), "block-labels")
+        rows_told = kept.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", *[c.alias(n) for n, c in told.items()]))).alias("r"))
+        self.labels = written(rows_told.select("block", *[F.col(f"r.{n}").alias(n) for n in told]), "block-labels")
         discard(names)
 
+    def missed(self, scores: DataFrame) -> DataFrame:
+        """block, miss (packed residuals of its rows by class) and loss, from parts of the blocks' scores (block, s)."""
+        n = len(self.classes)
+
+        def residuals(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            y, weight = np.asarray(told["y"].iloc[0]), np.asarray(told["weight"].iloc[0], float)
+            s = added(own["s"], len(y), n)
+            s -= s.max(axis=1, keepdims=True)
+            log_p = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+            miss = np.exp(log_p)
+            miss[np.arange(len(y)), y] -= 1
+            return pd.DataFrame({"block": [told["block"].iloc[0]], "miss": [_packed(weight[:, None] * miss)], "loss": [-float((weight * log_p[np.arange(len(y)), y]).sum())]})
+
+        return scores.groupBy("block").cogroup(self.labels.groupBy("block")).applyInPandas(residuals, "block long, miss binary, loss double")
+
     def start(self) -> DataFrame:
         """The state before any step: shard, size and no vectors; all parameters are 0."""
         return self.vocabulary.groupBy("shard").agg(F.count("*").cast("int").alias("size")).withColumn("vectors", F.array().cast("array<binary>"))
@@ -106,18 +134,6 @@ class Problem:
                     out.append(_packed(np.stack([np.bincount(row, own[:, c], minlength=int(row.max()) + 1) for c in range(n)], axis=1)))
                 yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], names=["block", "s"])
 
-        def residuals(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-            y, weight = np.asarray(told["y"].iloc[0]), np.asarray(told["weight"].iloc[0], float)
-            s = np.zeros((len(y), n))
-            for part in own["s"]:
-                part = np.frombuffer(part).reshape(-1, n)
-                s[: len(part)] += part
-            s -= s.max(axis=1, keepdims=True)
-            log_p = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
-            miss = np.exp(log_p)
-            miss[np.arange(len(y)), y] -= 1
-            return pd.DataFrame({"block": [told["block"].iloc[0]], "miss": [_packed(weight[:, None] * miss)], "loss": [-float((weight * log_p[np.arange(len(y)), y]).sum())]})
-
         def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a task adds up what it has of each shard, as far as that stays small
             sums: dict[int, list] = {}
@@ -157,7 +173,7 @@ class Problem:
 
         x = state.mapInArrow(parameters, "shard int, x binary")
         scores = self.cells.join(x, "shard").select("block", "row", "f", "v", "x").mapInArrow(products, "block long, s binary")
-        missed = scores.groupBy("block").cogroup(self.labels.groupBy("block")).applyInPandas(residuals, "block long, miss binary, loss double")
+        missed = self.missed(scores)
         sized = self.cells.join(state.select("shard", "size"), "shard").join(missed, "block")
         gradient = sized.select("shard", "size", "row", "f", "v", "lead", "miss", "loss").mapInArrow(slopes, "shard int, g binary, loss double")
         return gradient.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(further, "shard int, size int, vectors array<binary>, sums array<double>")
@@ -226,7 +242,11 @@ def fit(instances: DataFrame, *, deviation: float = 1.0, steps: int = 200, shard
     spark = instances.sparkSession
     if not problem.classes:
         return [], spark.createDataFrame([], "fname string, cls string, w double")
-    state, _ = minimise(problem, steps=steps)
+    return problem.classes, parameters(problem, minimise(problem, steps=steps)[0])
+
+
+def parameters(problem: Problem, state: DataFrame) -> DataFrame:
+    """fname, cls and w of a state, as a table."""
     n = len(problem.classes)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +258,4 @@ def fit(instances: DataFrame, *, deviation: float = 1.0, steps: int = 200, shard
 
     rows = state.select("shard", "vectors").mapInArrow(told, "shard int, f int, c int, w double")
     named = rows.join(problem.vocabulary, ["shard", "f"])
-    return problem.classes, written(named.select("fname", F.get(F.array(*map(F.lit, problem.classes)), F.col("c")).alias("cls"), "w"), "parameters")
+    return written(named.select("fname", F.get(F.array(*map(F.lit, problem.classes)), F.col("c")).alias("cls"), "w"), "parameters")
