@@ -363,7 +363,9 @@ def different_texts(docs: DataFrame) -> DataFrame:
     path = new_path(spark, "repeats-texts")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     found.repartition(buckets, "t").write.bucketBy(buckets, "t").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and the plan above knows their buckets
+    return kept
 
 
 def text_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -624,6 +624,16 @@ def test_doubling_strings_are_told_apart(spark):
     assert got == dict(zip([i for i, _ in rows], repeat_truth([t for _, t in rows], 200), strict=True))
 
 
+def test_different_texts_leave_no_name(spark):
+    """The table of texts is in buckets, so that joins by t move nothing, and its name is gone from the catalog."""
+    own = repeats.different_texts(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id long, text string"))
+    assert not [t.name for t in spark.catalog.listTables() if "repeats" in t.name]
+    assert sorted((r.text, r.copies) for r in own.collect()) == [("", 1), ("a", 2), ("b", 1)]
+    kept = own.hint("merge").join(own.select("t", F.length("text").alias("n")), "t")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and kept.count() == 3
+
+
 def test_repeats_small_pieces_and_shards(spark, monkeypatch):
     for name, value in (("PIECE", 700), ("SHARD_BYTES", 400), ("MERGE_BYTES", 2000)):
         monkeypatch.setattr(repeats, name, value)
