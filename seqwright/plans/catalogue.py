@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, semifield, sharded
+from seqwright.operators import arcs, cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, semifield, sharded
 from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, sentences, tokens
 from seqwright.sources import columns, sinks
 
@@ -275,6 +275,40 @@ def best_part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "place").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def _turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the sentences of all turns; after 40 words a sentence ends in any case. The tag is the length up to 4, the coarse tag the kind of the first character."""
+    turns = _read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    rows = bounded(sentences(tokens(turns)), 40)
+    kind = F.when(F.col("tok").rlike("^[A-Z]"), "U").when(F.col("tok").rlike("^[0-9]"), "d").otherwise("l")
+    return rows.select("doc_id", "seq_id", (F.col("pos") + 1).alias("id"), "tok", F.least(F.char_length("tok"), F.lit(4)).cast("string").alias("pos"), kind.alias("cpos"))
+
+
+def turn_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all arcs in the sentences of turns, without words: a word is its last letter, or * if that is none of eight, and its prefix that letter if it is a vowel."""
+    last = F.right("tok", F.lit(1))
+    end = F.when(last.isin(*"aeiourst"), last).otherwise("*")
+    words = _turn_words(spark, sf_dir).withColumn("tok", end).withColumn("pref", F.when(F.col("tok").isin(*"aeiou"), F.col("tok")).otherwise("*"))
+    found = arcs.features(words).select(F.explode("feats").alias("fname", "v"))
+    return found.groupBy("fname").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"))
+
+
+def _turn_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees whose heads stand before their words: a pair of tags or words weighs as often as it stands side by side."""
+    found = arcs.features(_turn_words(spark, sf_dir), ("basic",)).where("gov < id")
+    weights = found.where("gov = id - 1").select(F.explode(F.map_keys("feats")).alias("fname")).groupBy("fname").agg(F.count("*").cast("double").alias("w"))
+    return parse.trees(arcs.weighed(found, weights), projective=False)
+
+
+def turn_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turn_heads(spark, sf_dir).select("doc_id", "seq_id", "id", "gov")
+
+
+def turn_arc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that labels of the arcs of these trees are learnt from."""
+    words = _turn_words(spark, sf_dir).join(_turn_heads(spark, sf_dir).select("doc_id", "seq_id", "id", "gov"), ["doc_id", "seq_id", "id"])
+    return arcs.label_features(words).select(F.explode(F.map_keys("feats")).alias("fname")).groupBy("fname").agg(F.count("*").alias("n"))
+
+
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the words of all documents."""
     docs = _read(spark, sf_dir, "documents").repartition("doc_id")  # texts are dealt by document, rather than their tokens
@@ -712,6 +746,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
         best_part_trees, segment_features, label_segments, best_turn_segments, event_runs, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, split_words, retold_pieces, page_tokens, part_trees, word_clusters,
+        turn_arcs, turn_trees, turn_arc_labels,
     )
 }
 
@@ -726,6 +761,68 @@ _POSTS = r"""posts AS (
   SELECT conv_id AS doc_id, turn AS pos, role AS "user", regexp_extract_all(coalesce(text, ''), '[^ \r\n\t]+') AS toks,
     count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)"""
 _SPANS = "s AS (SELECT doc_id, st, least(en, n) AS en, tag FROM (SELECT doc_id, length(text) AS n, unnest([13, 100]) AS st, unnest([57, 190]) AS en, unnest(['A', 'B']) AS tag FROM documents) WHERE st < n)"
+_TURN_WORDS = r"""toks AS (
+  SELECT conv_id || ':' || turn AS doc_id, unnest(x) AS tok, generate_subscripts(x, 1) AS place FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \r\n\t]+') AS x FROM conversations)),
+sent AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(tok, '[.?!]+["'']*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM toks),
+cut AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY place) - 1 AS k FROM sent),
+words AS (
+  SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY s, k // 40) - 1 AS INT) AS seq_id, CAST(k % 40 + 1 AS INT) AS id, tok, CAST(least(length(tok), 4) AS VARCHAR) AS pos,
+    CASE WHEN regexp_matches(tok, '^[A-Z]') THEN 'U' WHEN regexp_matches(tok, '^[0-9]') THEN 'd' ELSE 'l' END AS cpos FROM cut)"""
+_TURN_HEADS = _TURN_WORDS + """,
+heads AS (SELECT doc_id, seq_id, id, tok, pos FROM words UNION ALL SELECT DISTINCT doc_id, seq_id, 0, '<root>', '<root>' FROM words),
+pairs AS (
+  SELECT c.doc_id, c.seq_id, h.id AS gov, c.id, h.pos || '|' || c.pos AS tags, h.tok || '|' || c.tok AS forms FROM words c JOIN heads h ON c.doc_id = h.doc_id AND c.seq_id = h.seq_id AND h.id < c.id),
+t AS (SELECT tags, count(*) AS w FROM pairs WHERE gov = id - 1 GROUP BY tags), f AS (SELECT forms, count(*) AS w FROM pairs WHERE gov = id - 1 GROUP BY forms),
+scored AS (SELECT doc_id, seq_id, gov, id, coalesce(t.w, 0) + coalesce(f.w, 0) AS score FROM pairs LEFT JOIN t USING (tags) LEFT JOIN f USING (forms)),
+trees AS (SELECT doc_id, seq_id, id, gov FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq_id, id ORDER BY score DESC, gov) AS r FROM scored) WHERE r = 1)"""
+
+
+def _turn_arcs_sql() -> str:
+    """SQL of turn_arcs: the templates by name, each a list of columns of one row an arc."""
+    names = ["'tags|' || hpos || '|' || cpos", "'words|' || htok || '|' || ctok"]
+
+    def lines(parts: str, more: tuple[str, ...], prefix: str = "") -> list[str]:
+        own = " || '|' || ".join('"' + p + '"' for p in parts.split(","))
+        return [f"'{prefix}{parts}{'~' + m if m else ''}|' || {own}" + (f" || '|' || {m}" if m else "") for m in ("", *more)]
+
+    for parts in ("hpos", "htok", "cpos", "ctok", "htok,hpos", "ctok,cpos"):
+        names += lines(parts, ("far", "side"))
+    for parts in ("hpos,cpos", "htok,ctok", "htok,hpos,cpos", "hpos,ctok,cpos", "hpos,ctok", "htok,cpos", "htok,hpos,ctok,cpos"):
+        names += lines(parts, ("far",), "both:")
+    for name, c, h in (("surround:", "cpos", "hpos"), ("coarse_surround:", "ccpos", "hcpos")):
+        for shape in ("c-,c,h,h+", "c-,c,h", "c-,c,h+", "c-,h,h+", "c,h,h+", "c+,c,h,h-", "c+,c,h", "c+,c,h-", "c+,h,h-", "c,h,h-", "c-,c,h-,h", "c+,c,h+,h"):
+            names += lines(",".join((c if p[0] == "c" else h) + p[1:] for p in shape.split(",")), ("side",), name)
+    both = [x for p in ("hpref,cpref", "hpref,hpos,cpref,cpos") for x in lines(p, ("far",))]
+    child = [x for p in ("hpos,cpref,cpos", "hpos,cpref", "cpref,cpos", "cpref") for x in lines(p, ("far",))]
+    head = [x for p in ("hpref,hpos,cpos", "hpref,cpos", "hpref,hpos", "hpref") for x in lines(p, ("far",))]
+    around = ", ".join(f"coalesce({s}{sign}.{level}, '{end}') AS \"{s}{level}{mark}\"" for s in "hc" for level in ("pos", "cpos") for sign, mark, end in (("m", "-", "<start>"), ("p", "+", "<end>")))
+    joins = " ".join(f"LEFT JOIN w {s}{sign} ON {s}{sign}.doc_id = c.doc_id AND {s}{sign}.seq_id = c.seq_id AND {s}{sign}.id = {s}.id {by}" for s in "hc" for sign, by in (("m", "- 1"), ("p", "+ 1")))
+    between = []
+    for level in ("pos", "cpos"):
+        three = f"CASE WHEN a.gov < a.id THEN a.h{level} ELSE a.c{level} END || '|' || m.{level} || '|' || CASE WHEN a.gov < a.id THEN a.c{level} ELSE a.h{level} END"
+        between += [f"'between {level}|' || {three}", f"'between {level}~far|' || {three} || '|' || far", f"'between {level}~side|' || {three} || '|' || side"]
+    return f"""
+WITH {_TURN_WORDS},
+ends AS (SELECT * REPLACE (CASE WHEN contains('aeiourst', right(tok, 1)) THEN right(tok, 1) ELSE '*' END AS tok) FROM words),
+w AS (SELECT *, CASE WHEN contains('aeiou', tok) THEN tok ELSE '*' END AS pref FROM ends),
+h AS (SELECT doc_id, seq_id, id, tok, pos, cpos, pref FROM w UNION ALL SELECT DISTINCT doc_id, seq_id, 0, '<root>', '<root>', '<root>', '<root>' FROM w),
+arcs AS (
+  SELECT c.doc_id, c.seq_id, h.id AS gov, c.id, h.tok AS htok, h.pos AS hpos, h.cpos AS hcpos, h.pref AS hpref, c.tok AS ctok, c.pos AS cpos, c.cpos AS ccpos, c.pref AS cpref, {around},
+    CASE WHEN h.id < c.id THEN -1 ELSE 1 END AS side, cm.tok AS wb, cm.pos AS tb,
+    CASE WHEN abs(h.id - c.id) > 10 THEN 11 WHEN abs(h.id - c.id) > 5 THEN 6 ELSE abs(h.id - c.id) END * CASE WHEN h.id < c.id THEN -1 ELSE 1 END AS far
+  FROM w c JOIN h ON c.doc_id = h.doc_id AND c.seq_id = h.seq_id AND c.id <> h.id {joins}),
+once AS (
+  SELECT unnest([{", ".join(names)}]) AS fname FROM arcs UNION ALL SELECT unnest(['tag before|' || tb, 'word before|' || wb]) FROM arcs WHERE id > 1
+  UNION ALL SELECT unnest([{", ".join(both)}]) FROM arcs WHERE hpref <> htok OR cpref <> ctok UNION ALL SELECT unnest([{", ".join(child)}]) FROM arcs WHERE cpref <> ctok
+  UNION ALL SELECT unnest([{", ".join(head)}]) FROM arcs WHERE hpref <> htok),
+inside AS (
+  SELECT unnest([{", ".join(between)}]) AS fname, a.doc_id, a.seq_id, a.gov, a.id
+  FROM arcs a JOIN w m ON m.doc_id = a.doc_id AND m.seq_id = a.seq_id AND m.id > least(a.gov, a.id) AND m.id < greatest(a.gov, a.id)),
+counted AS (SELECT fname, count(*) AS n, count(*) AS total FROM once GROUP BY fname
+  UNION ALL SELECT fname, count(DISTINCT (doc_id, seq_id, gov, id)), count(*) FROM inside GROUP BY fname)
+SELECT fname, n, CAST(total AS BIGINT) AS total FROM counted"""
+
+
 _RIDF = f"ridf AS (SELECT tok, tf, df, log2(n_docs / df) AS idf, log2(n_docs / df) + log2(1 - exp(-tf / n_docs)) AS ridf FROM {_IDF}, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM documents))"
 
 def _by_sentence(source: str) -> str:
@@ -1094,4 +1191,10 @@ SELECT fname, unnest(CASE WHEN edge THEN ['A', 'A', 'B', 'B'] ELSE [NULL, NULL]
     "known_features": f"""
 WITH {_TOKENS}, v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS fname FROM benchmark)
 SELECT fname, (count(*) % 3)::DOUBLE AS w FROM toks JOIN v ON fname = lower(tok) GROUP BY fname HAVING count(*) % 3 > 0""",
+    "turn_arcs": _turn_arcs_sql(),
+    "turn_trees": f"WITH {_TURN_HEADS} SELECT * FROM trees",
+    "turn_arc_labels": f"""
+WITH {_TURN_HEADS}
+SELECT unnest(['word|' || w.tok, 'tag|' || w.pos, 'head tag|' || h.pos, CASE WHEN gov > 0 THEN 'word and head|' || w.tok || '|' || h.tok END]) AS fname, count(*) AS n
+FROM words w JOIN trees t USING (doc_id, seq_id, id) JOIN heads h ON h.doc_id = w.doc_id AND h.seq_id = w.seq_id AND h.id = t.gov GROUP BY fname HAVING fname IS NOT NULL""",
 }
