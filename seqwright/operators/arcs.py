@@ -34,7 +34,9 @@ def _sentences(words: DataFrame) -> DataFrame:
     label = (F.col("label") if "label" in words.columns else F.lit(None)).cast("string").alias("label")
     word = F.struct(F.col("id").cast("int").alias("id"), text("tok", "tok"), text("pos", "pos"), text("cpos", "pos"), text("pref", "tok"), head, label)
     root = F.struct(F.lit(0).alias("id"), *[F.lit(ROOT).alias(n) for n in ("tok", "pos", "cpos", "pref")], F.lit(None).cast("int").alias("gov"), F.lit(None).cast("string").alias("label"))
-    rows = words.groupBy("doc_id", "seq_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    # a stated number of partitions stays as it is: small sentences unfold to many pairs
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = words.repartition(parts, "doc_id", "seq_id").groupBy("doc_id", "seq_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
     return rows.select("doc_id", "seq_id", F.concat(F.array(root), "w").alias("w"))
 
 
@@ -45,22 +47,26 @@ def _running(level: str) -> Column:
     return F.transform(tags, lambda t: F.struct(t.alias("tag"), counts(t).alias("n")))
 
 
-def pairs(words: DataFrame, *, reach: int | None = None) -> DataFrame:
-    """A row a pair of a word and what may govern it: doc_id, seq_id, gov, id, gold and what features are made of.
+def pairs(words: DataFrame, sets: tuple[str, ...] = SETS, *, reach: int | None = None) -> DataFrame:
+    """A row a pair of a word and what may govern it: doc_id, seq_id, gov, id, gold and what the features of ``sets`` are made of.
 
     gold tells whether the word's given head is this one, null where none is given. With ``reach``
     no arc is longer than so many words, but for those from the root.
     """
-    rows = _sentences(words).withColumns({"fine": _running("pos"), "coarse": _running("cpos")})
+    rows = _sentences(words)
+    levels = [level for name, level in (("surround", "pos"), ("coarse_surround", "cpos"), ("before", "pos")) if name in sets]
+    runs = ("fine", "coarse") if "between" in sets else ()
+    if runs:
+        rows = rows.withColumns({"fine": _running("pos"), "coarse": _running("cpos")})
     at = lambda i, level: F.when(i < 1, START).otherwise(F.coalesce(F.get("w", i)[level], F.lit(END)))
 
     def one(h: Column, c: Column) -> Column:
         low, high = F.least(h["id"], c["id"]), F.greatest(h["id"], c["id"])
         inside = lambda runs: F.filter(F.transform(runs, lambda r: F.struct(r["tag"].alias("tag"), (F.get(r["n"], high) - F.get(r["n"], low + 1)).alias("n"))), lambda r: r["n"] > 0)
-        around = [at(x["id"] + by, level).alias(f"{side}{level}{sign}") for side, x in (("h", h), ("c", c)) for level in ("pos", "cpos") for sign, by in (("-", -1), ("+", 1))]
+        around = [at(x["id"] + by, level).alias(f"{side}{level}{sign}") for side, x in (("h", h), ("c", c)) for level in dict.fromkeys(levels) for sign, by in (("-", -1), ("+", 1))]
         own = [x[n].alias(f"{side}{n}") for side, x in (("h", h), ("c", c)) for n in ("tok", "pos", "cpos", "pref")]
         before = F.when(c["id"] > 1, F.get("w", c["id"] - 1)["tok"]).alias("before")
-        return F.struct(h["id"].alias("gov"), c["id"].alias("id"), (c["gov"] == h["id"]).alias("gold"), *own, *around, before, inside(F.col("fine")).alias("fine"), inside(F.col("coarse")).alias("coarse"))
+        return F.struct(h["id"].alias("gov"), c["id"].alias("id"), (c["gov"] == h["id"]).alias("gold"), *own, *around, before, *[inside(F.col(r)).alias(r) for r in runs])
 
     near = lambda h, c: (h["id"] == 0) | (F.abs(h["id"] - c["id"]) <= reach)
     heads = lambda c: F.filter("w", lambda h: (h["id"] != c["id"]) & (near(h, c) if reach else F.lit(True)))
@@ -90,40 +96,40 @@ def _counted(runs: str, level: str, mark: str, tail: list[str]) -> Column:
     return F.transform(runs, lambda r: F.struct(name(r).alias("n"), r["n"].cast("double").alias("v")))
 
 
-def feature_map(sets: tuple[str, ...] = SETS) -> Column:
-    """The features (name -> value) of rows of :func:`pairs`: a name is its parts, how it is split (``~far``, ``~side``), and the parts' values."""
+def entries(sets: tuple[str, ...] = SETS) -> Column:
+    """The features of rows of :func:`pairs`, an array of names n, each once, and values v: a name is its parts, how it is split (``~far``, ``~side``), and the parts' values."""
 
     def named(parts: tuple[str, ...], *more: str) -> list[Column]:
         """The template plain and split by each of ``more``."""
         values = [F.col(f"`{p}`") for p in parts]
         return [F.concat_ws("|", F.lit(",".join(parts) + (f"~{m}" if m else "")), *values, *([m] if m else [])) for m in ("", *more)]
 
+    once = lambda *own: F.array(*[F.struct(n.alias("n"), F.lit(1.0).alias("v")) for n in own])
+    none = F.array().cast("array<struct<n:string,v:double>>")
     names: list[Column] = []
     arrays: list[Column] = []
     several = lambda templates, *more: [n for t in templates for n in named(t, *more)]
     if "basic" in sets:
         names += [F.concat_ws("|", F.lit("tags"), "hpos", "cpos"), F.concat_ws("|", F.lit("words"), "htok", "ctok")]
     if "before" in sets:
-        own = F.array(F.concat_ws("|", F.lit("tag before"), F.col("`cpos-`")), F.concat_ws("|", F.lit("word before"), "before"))
-        arrays.append(F.when(F.col("before").isNotNull(), own).otherwise(F.array().cast("array<string>")))
+        own = once(F.concat_ws("|", F.lit("tag before"), F.col("`cpos-`")), F.concat_ws("|", F.lit("word before"), "before"))
+        arrays.append(F.when(F.col("before").isNotNull(), own).otherwise(none))
     if "unigram" in sets:
         names += several(_UNIGRAM, "far", "side")
     if "bigram" in sets:
         names += [F.concat(F.lit("both:"), n) for n in several(_BIGRAM, "far")]
     if "prefix" in sets:
-        none = F.array().cast("array<string>")
         c, h = F.col("cpref") != F.col("ctok"), F.col("hpref") != F.col("htok")
         for templates, when in ((_PREFIX, c | h), (_PREFIX_C, c), (_PREFIX_H, h)):
-            arrays.append(F.when(when, F.array(*several(templates, "far"))).otherwise(none))
+            arrays.append(F.when(when, once(*several(templates, "far"))).otherwise(none))
     for name, level in (("surround", "pos"), ("coarse_surround", "cpos")):
         if name in sets:
             names += [F.concat(F.lit(f"{name}:"), n) for n in several(_around(level), "side")]
-    entries = [F.transform(F.array(*names), lambda n: F.struct(n.alias("n"), F.lit(1.0).alias("v")))] if names else []
-    entries += [F.transform(a, lambda n: F.struct(n.alias("n"), F.lit(1.0).alias("v"))) for a in arrays]
+    found = [*([once(*names)] if names else []), *arrays]
     if "between" in sets:
         for runs, level in (("fine", "pos"), ("coarse", "cpos")):
-            entries += [_counted(runs, level, mark, tail) for mark, tail in (("", []), ("~far", ["far"]), ("~side", ["side"]))]
-    return F.map_from_entries(F.concat(*entries))
+            found += [_counted(runs, level, mark, tail) for mark, tail in (("", []), ("~far", ["far"]), ("~side", ["side"]))]
+    return F.concat(*found)
 
 
 def features(words: DataFrame, sets: tuple[str, ...] = SETS, *, reach: int | None = None) -> DataFrame:
@@ -131,7 +137,7 @@ def features(words: DataFrame, sets: tuple[str, ...] = SETS, *, reach: int | Non
     unknown = set(sets) - set(SETS)
     if unknown or not sets:
         raise ValueError(f"no such feature sets: {sorted(unknown)}; there are {SETS}")
-    return pairs(words, reach=reach).select("doc_id", "seq_id", "gov", "id", "gold", feature_map(tuple(sets)).alias("feats"))
+    return pairs(words, tuple(sets), reach=reach).select("doc_id", "seq_id", "gov", "id", "gold", F.map_from_entries(entries(tuple(sets))).alias("feats"))
 
 
 def weighed(arcs: DataFrame, weights: DataFrame) -> DataFrame:
