@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions import tokens as T
 from seqwright.functions import spec
-from seqwright.operators import arcs, cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, semifield, sharded
+from seqwright.operators import arcs, cluster, context, convert, corpus, crf, dialog, evaluate, features, lexer, lookup, maxent, parse, scope, segments, selftrain, semifield, sharded
 from seqwright.operators.tokenize import WHITE_PUNCT, WHITE_TAG, bounded, sentences, tokens
 from seqwright.sources import columns, sinks
 
@@ -727,6 +727,15 @@ def feature_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fname", "cls", F.round("mass", 6).alias("mass"), F.round("share", 6).alias("share"))
 
 
+def induced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two classes, of a given probability in each document, make of the lower and other words of all documents: the share of the first among those of each kind."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\r\\n\\t]+"), F.lit(0)))
+    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"), (F.char_length("text") % 17 / 16).alias("p"))
+    masses = maxent.feature_masses(docs, docs.select("id", F.create_map(F.lit("a"), F.col("p"), F.lit("b"), 1 - F.col("p")).alias("probs")))
+    found = selftrain.shares(docs, masses, ["a", "b"], lambda f: F.when(f.rlike("^[a-z]"), "lower").otherwise("other"))
+    return found.select("id", "kind", F.round(F.col("shares")[0], 6).alias("share"))
+
+
 def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.type_count(_tokens(spark, sf_dir).withColumnRenamed("tok", "fname"))
 
@@ -746,7 +755,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tagged_documents, moved_spans, zoned_tokens, merged_spans, page_labels, standoff_rows, standoff_v2_rows, dependency_rows, attribute_rows, column_rows, lexicon_terms, word_property_rows, word_score_rows, markup_posts, known_features,
         best_part_trees, segment_features, label_segments, best_turn_segments, event_runs, phrase_lexicons, cue_tokens, cue_lines, cue_copies, inline_scopes, ranked_parts, xml_rows, instance_lines, feature_masses, feature_types, expanded_features,
         soft_labels, ranking_rows, ranking_texts, class_folders, shape_features, induced_weights, adjusted_weights, composed_names, tag_matches, crf_events, maxent_quality, plain_pieces, split_words, retold_pieces, page_tokens, part_trees, word_clusters,
-        turn_arcs, turn_trees, turn_arc_labels,
+        turn_arcs, turn_trees, turn_arc_labels, induced_words,
     )
 }
 
@@ -1191,6 +1200,10 @@ SELECT fname, unnest(CASE WHEN edge THEN ['A', 'A', 'B', 'B'] ELSE [NULL, NULL]
     "known_features": f"""
 WITH {_TOKENS}, v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS fname FROM benchmark)
 SELECT fname, (count(*) % 3)::DOUBLE AS w FROM toks JOIN v ON fname = lower(tok) GROUP BY fname HAVING count(*) % 3 > 0""",
+    "induced_words": r"""
+WITH w AS (SELECT DISTINCT doc_id AS id, length(text) % 17 / 16 AS p, unnest(regexp_extract_all(text, '[^ \r\n\t]+')) AS fname FROM documents),
+m AS (SELECT fname, sum(p) AS a, sum(1 - p) AS b FROM w GROUP BY fname)
+SELECT id, CASE WHEN regexp_matches(fname, '^[a-z]') THEN 'lower' ELSE 'other' END AS kind, round((sum(a) + 1) / (sum(a + b) + 2), 6) AS share FROM w JOIN m USING (fname) GROUP BY ALL""",
     "turn_arcs": _turn_arcs_sql(),
     "turn_trees": f"WITH {_TURN_HEADS} SELECT * FROM trees",
     "turn_arc_labels": f"""
