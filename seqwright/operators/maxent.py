@@ -134,12 +134,14 @@ def predict(instances: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label_pred string, prob double")
 
 
-def feature_masses(instances: DataFrame, scores: DataFrame) -> DataFrame:
+def feature_masses(instances: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """fname, cls, mass and share: the classes' probabilities (id, probs: class -> probability) summed over the instances (id, feats) that have a feature, and their share in it.
 
-    For self-training; a feature whose masses are all 0 keeps shares of 0.
+    For self-training; a feature whose masses are all 0 keeps shares of 0. Instances that have probs
+    of their own need no scores.
     """
-    rows = instances.select("id", F.map_keys("feats").alias("f")).join(scores.select("id", "probs"), "id")
+    rows = instances.select("id", F.map_keys("feats").alias("f"), *(["probs"] if scores is None else []))
+    rows = rows if scores is None else rows.join(scores.select("id", "probs"), "id")
     rows = rows.select(F.explode("f").alias("fname"), "probs").select("fname", F.explode("probs").alias("cls", "p"))
     found = rows.groupBy("fname", "cls").agg(F.sum("p").alias("mass"))
     total = F.sum("mass").over(Window.partitionBy("fname"))  # a row a class

@@ -731,7 +731,7 @@ def induced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two classes, of a given probability in each document, make of the lower and other words of all documents: the share of the first among those of each kind."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[^ \\r\\n\\t]+"), F.lit(0)))
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.map_from_entries(F.transform(words, lambda w: F.struct(w, F.lit(1.0)))).alias("feats"), (F.char_length("text") % 17 / 16).alias("p"))
-    masses = maxent.feature_masses(docs, docs.select("id", F.create_map(F.lit("a"), F.col("p"), F.lit("b"), 1 - F.col("p")).alias("probs")))
+    masses = maxent.feature_masses(docs.withColumn("probs", F.create_map(F.lit("a"), F.col("p"), F.lit("b"), 1 - F.col("p"))))
     found = selftrain.shares(docs, masses, ["a", "b"], lambda f: F.when(f.rlike("^[a-z]"), "lower").otherwise("other"))
     return found.select("id", "kind", F.round(F.col("shares")[0], 6).alias("share"))
 
