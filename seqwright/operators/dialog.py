@@ -51,6 +51,11 @@ def overlap(toks: Column, other: Column) -> Column:
     return F.when(F.size(toks) > 0, F.size(shared) / F.size(toks)).otherwise(0.0)
 
 
+def hundredths(share: Column) -> Column:
+    """``share`` to two places, by the double that a hundred times it is: 23 of 40 tokens give 0.57, as in the SQL, where rounding its decimals gives 0.58."""
+    return F.round(share * 100) / 100
+
+
 def length_ratio(toks: Column, other: Column) -> Column:
     """The number of tokens over the other's; null without others."""
     return F.when(F.size(other) > 0, F.size(toks) / F.size(other))
@@ -106,7 +111,7 @@ def antecedent_features(found: DataFrame, announcer: str = "ANNOUNCEMENT") -> Da
         F.when(same, "sameUser").otherwise("diffUser"),
         _binned(F.size(ref), "CandidateLength"),
         _binned(F.size(toks), "CurrentLength"),
-        F.concat(F.lit("Overlap="), F.round(overlap(ref, toks), 2).cast("string")),
+        F.concat(F.lit("Overlap="), hundredths(overlap(ref, toks)).cast("string")),
         F.concat(F.lit("CandidateLength="), F.size(ref).cast("string")),
         F.concat(F.lit("curLen="), F.size(toks).cast("string")),
         _ratio_bin(toks, ref),
