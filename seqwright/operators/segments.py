@@ -58,6 +58,16 @@ def label_sizes(toks: DataFrame) -> DataFrame:
     return toks.withColumn("s", F.when(goes_on, -1).otherwise(F.col("pos") - came).cast("int"))
 
 
+def shown(toks: DataFrame, longest: int) -> DataFrame:
+    """What :func:`supported` keeps of :func:`candidates`, with the label, from tokens with label and begin: each token ends one segment at most, so one window finds it and nothing is joined."""
+    attrs = F.col("attrs") if "attrs" in toks.columns else F.create_map().cast("map<string,string>")
+    one = F.struct(F.coalesce("tok", F.lit("")).alias("w"), attrs.alias("a"))
+    rows = label_sizes(toks).withColumn("__t", F.collect_list(one).over(sequence().rowsBetween(1 - longest, 0)))
+    rows = rows.where((F.col("s") >= 0) & (F.col("s") < F.size("__t")))
+    tail = F.slice("__t", F.size("__t") - F.col("s"), F.col("s") + 1)
+    return rows.select("doc_id", "seq_id", "pos", "s", tail["w"].alias("words"), tail["a"].alias("attrs"), "label")
+
+
 def supported(segments: DataFrame, sized: DataFrame) -> DataFrame:
     """``segments`` that the labels of :func:`label_sizes` show, with the label."""
     return segments.join(sized.where("s >= 0").select("doc_id", "seq_id", "pos", "s", "label"), ["doc_id", "seq_id", "pos", "s"])

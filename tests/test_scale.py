@@ -22,3 +22,17 @@ def test_shares_round_as_in_sql(spark):
     posts = spark.createDataFrame([(1, 0, "a", [f"w{i}" for i in range(40)]), (1, 1, "b", [f"w{i}" for i in range(23)])], "doc_id long, pos int, user string, toks array<string>")
     found = dialog.antecedent_features(dialog.candidates(posts, 1)).select("features").first().features
     assert "Overlap=0.57" in found
+
+
+def test_label_segments_join_nothing(spark):
+    assert "Join" not in plan(QUERIES["label_segments"](spark, DATA))
+    toks = spark.createDataFrame([(1, 0, p, t, lab, b) for p, t, lab, b in ((0, "a", "X", True), (1, "b", "X", False), (2, "c", "lex", True), (5, "d", "Y", True), (7, "e", "Y", False))], "doc_id long, seq_id int, pos int, tok string, label string, begin boolean")
+    key = ["doc_id", "seq_id", "pos", "s", "words", "label"]
+    old = segments.supported(segments.candidates(toks, 2), segments.label_sizes(toks))
+    assert sorted(map(tuple, segments.shown(toks, 2).select(key).collect())) == sorted(map(tuple, old.select(key).collect()))
+
+
+def test_windows_over_tokens_shuffle_texts(spark):
+    for name in ("label_segments", "nearest_marks", "shape_features", "segment_features", "spec_features", "cue_lines", "label_lines", "context_features"):
+        assert "tok" not in "".join(line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange" in line)
+        assert physical(QUERIES[name](spark, DATA)).count("Exchange hashpartitioning(doc_id") == physical(QUERIES[name](spark, DATA)).count("REPARTITION_BY_NUM"), name
