@@ -62,7 +62,9 @@ def nearest(toks: DataFrame, is_mark: Column) -> DataFrame:
     """
     whole = sequence().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.last(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(is_mark, F.col("pos")), True).over(sequence().rowsBetween(1, Window.unboundedFollowing))
+    # backward, as a frame that ends with the sequence is read anew for every token
+    backward = Window.partitionBy("doc_id", "seq_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(is_mark, F.col("pos")), True).over(backward)
     left = F.col("pos") - F.coalesce(before, F.min("pos").over(whole))
     right = F.coalesce(after, F.max("pos").over(whole)) - F.col("pos")
 

@@ -36,3 +36,13 @@ def test_windows_over_tokens_shuffle_texts(spark):
     for name in ("label_segments", "nearest_marks", "shape_features", "segment_features", "spec_features", "cue_lines", "label_lines", "context_features"):
         assert "tok" not in "".join(line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange" in line)
         assert physical(QUERIES[name](spark, DATA)).count("Exchange hashpartitioning(doc_id") == physical(QUERIES[name](spark, DATA)).count("REPARTITION_BY_NUM"), name
+
+
+def test_nearest_reads_no_frame_anew(spark):
+    toks = spark.createDataFrame([(1, 0, i, i in (3, 20)) for i in range(25)], "doc_id long, seq_id int, pos int, mark boolean")
+    found = context.nearest(toks, F.col("mark"))
+    assert "1, unboundedfollowing" not in plan(found)
+    rows = {r.pos: (r.left, r.right) for r in found.collect()}
+    assert rows[0] == (0, 3) and rows[3] == (3, 13) and rows[4] == (1, 13) and rows[20] == (13, 4) and rows[24] == (4, 0)
+    for name in ("nearest_marks", "shape_features"):
+        assert "1, unboundedfollowing" not in plan(QUERIES[name](spark, DATA))
