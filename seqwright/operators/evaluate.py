@@ -27,9 +27,10 @@ def spans(toks: DataFrame, label: str = "label") -> DataFrame:
 def span_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
     """label (``TOTAL`` for all), precision, recall and f1 of system spans; labels that gold lacks don't count."""
     key = ["doc_id", "seq_id", "label", "st", "en"]
-    g, s = gold.select(*key).distinct().withColumn("g", F.lit(1)), system.select(*key).distinct().withColumn("s", F.lit(1))
-    both = g.join(s, key, "full").join(gold.select("label").distinct(), "label", "left_semi")
-    counts = both.rollup("label").agg(F.sum("g").alias("gold"), F.sum("s").alias("system"), F.sum(F.col("g") * F.col("s")).alias("shared"))
+    g, s = (own.select(*key, F.lit(n).alias("g"), F.lit(1 - n).alias("s")) for own, n in ((gold, 1), (system, 0)))
+    both = g.union(s).groupBy(*key).agg(F.max("g").alias("g"), F.max("s").alias("s"))
+    known = both.groupBy("label").agg(F.sum("g").alias("g"), F.sum("s").alias("s"), F.sum(F.col("g") * F.col("s")).alias("both")).where("label IS NOT NULL AND g > 0")
+    counts = known.rollup("label").agg(F.sum("g").alias("gold"), F.sum("s").alias("system"), F.sum("both").alias("shared"))
     shared = F.coalesce("shared", F.lit(0))
     p, r = shared / F.when(F.col("system") > 0, F.col("system")), shared / F.when(F.col("gold") > 0, F.col("gold"))
     p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))

@@ -46,3 +46,12 @@ def test_nearest_reads_no_frame_anew(spark):
     assert rows[0] == (0, 3) and rows[3] == (3, 13) and rows[4] == (1, 13) and rows[20] == (13, 4) and rows[24] == (4, 0)
     for name in ("nearest_marks", "shape_features"):
         assert "1, unboundedfollowing" not in plan(QUERIES[name](spark, DATA))
+
+
+def test_span_scores_join_nothing(spark):
+    kind = "doc_id long, seq_id int, label string, st int, en int"
+    gold = spark.createDataFrame([(1, 0, "A", 0, 1), (1, 0, "A", 3, 3), (2, 0, "A", 0, 0), (2, 0, None, 1, 1)], kind)
+    system = spark.createDataFrame([(1, 0, "A", 0, 1), (1, 0, "B", 3, 3), (2, 0, "A", 0, 0), (2, 0, "A", 4, 5)], kind)
+    found = evaluate.span_scores(gold, system)
+    assert "Join" not in plan(found)
+    assert {r.label: (round(r.precision, 6), round(r.recall, 6)) for r in found.collect()} == {"A": (0.666667, 0.666667), "TOTAL": (0.666667, 0.666667)}
