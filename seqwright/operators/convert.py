@@ -34,21 +34,24 @@ def label_tokens(toks: DataFrame, spans: DataFrame, outside: str = "lex") -> Dat
     """
     s = spans.select(F.col("doc_id").alias("s_doc"), F.col("st").alias("s_st"), F.col("en").alias("s_en"), F.col("label").alias("s_label"))
     s = s.where("s_en > s_st").withColumn("s_bin", F.explode(F.sequence(F.floor(F.col("s_st") / BIN), F.floor(F.col("s_en") / BIN))))
-    t = toks.withColumn("bin", F.floor(F.col("en") / BIN))
-    on = (t.doc_id == s.s_doc) & (t.bin == s.s_bin) & (t.en <= s.s_en) & (t.en > s.s_st)
-    first = F.min(F.struct("s_st", "s_en", "s_label"))
-    found = t.join(s, on).groupBy("doc_id", "pos").agg(first.alias("s"))
+    # a bin's spans are one row, so that a token meets them at once and is neither multiplied nor joined again
+    s = s.groupBy("s_doc", "s_bin").agg(F.collect_list(F.struct("s_st", "s_en", "s_label")).alias("__spans"))
+    t = toks.withColumn("__bin", F.floor(F.col("en") / BIN))
+    found = t.join(s, (t["doc_id"] == s["s_doc"]) & (t["__bin"] == s["s_bin"]), "left")
+    own = F.filter("__spans", lambda x: (F.col("en") <= x["s_en"]) & (F.col("en") > x["s_st"]))
+    both = found.withColumn("s", F.array_min(own)).select(*toks.columns, "s")
     order = Window.partitionBy("doc_id").orderBy("pos")
-    both = toks.join(found, ["doc_id", "pos"], "left")
     new = F.col("s").isNull() | ~F.lag("s").over(order).eqNullSafe(F.col("s"))
     return both.withColumns({"begin": new, "label": F.coalesce("s.s_label", F.lit(outside))}).drop("s")
 
 
 def zoned(toks: DataFrame, zones: DataFrame, ends: str = "[.?!]+[\"']*$") -> DataFrame:
     """The tokens (doc_id, pos, tok, st, en) that lie in a zone (doc_id, st, en; zones of a document are apart), with seq_id and place: a sequence ends with its zone or a sentence-final token."""
-    z = zones.select(F.col("doc_id").alias("z_doc"), F.col("st").alias("z_st"), F.col("en").alias("z_en")).withColumn("z_bin", F.explode(F.sequence(F.floor(F.col("z_st") / BIN), F.floor(F.col("z_en") / BIN))))
-    t = toks.withColumn("bin", F.floor(F.col("st") / BIN))
-    inside = t.join(z, (t.doc_id == z.z_doc) & (t.bin == z.z_bin) & (t.st >= z.z_st) & (t.en <= z.z_en))
+    # zones are apart, so a token can only lie in the last one that starts before it: one window, no bins
+    z = zones.where("doc_id IS NOT NULL").select("doc_id", F.col("st").alias("__at"), F.struct(F.col("st").alias("st"), F.col("en").alias("en")).alias("__zone"))
+    both = toks.withColumn("__at", F.col("st")).unionByName(z, allowMissingColumns=True)
+    sweep = Window.partitionBy("doc_id").orderBy("__at", F.col("__zone").isNull(), F.col("__zone.en")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__last", F.last("__zone", True).over(sweep)).where((F.col("__zone").isNull()) & (F.col("en") <= F.col("__last.en"))).withColumn("z_st", F.col("__last.st"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     new = F.lag("z_st").over(order).isNull() | (F.lag("z_st").over(order) != F.col("z_st")) | F.lag("tok").over(order).rlike(ends)
     rows = inside.withColumn("new", new.cast("int")).withColumn("seq_id", (F.sum("new").over(order) - 1).cast("int"))

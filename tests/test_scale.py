@@ -55,3 +55,15 @@ def test_span_scores_join_nothing(spark):
     found = evaluate.span_scores(gold, system)
     assert "Join" not in plan(found)
     assert {r.label: (round(r.precision, 6), round(r.recall, 6)) for r in found.collect()} == {"A": (0.666667, 0.666667), "TOTAL": (0.666667, 0.666667)}
+
+
+def test_zones_and_labels_join_tokens_once(spark):
+    toks = spark.createDataFrame([(1, i, "x." if i == 2 else "x", 2 * i, 2 * i + 2) for i in range(9)], "doc_id long, pos int, tok string, st long, en long")
+    zones = spark.createDataFrame([(1, 2, 9), (1, 10, 14), (2, 0, 5)], "doc_id long, st int, en int")
+    found = convert.zoned(toks, zones)
+    assert "Join" not in plan(found)
+    assert sorted((r.pos, r.seq_id, r.place) for r in found.collect()) == [(1, 0, 0), (2, 0, 1), (3, 1, 0), (5, 2, 0), (6, 2, 1)]
+    spans = spark.createDataFrame([(1, 0, 6, "A"), (1, 4, 3000, "B"), (1, 0, 4, "C")], "doc_id long, st int, en int, label string")
+    labels = convert.label_tokens(toks, spans)
+    assert plan(labels).count("Join") == 1
+    assert [(r.label, r.begin) for r in labels.orderBy("pos").collect()][:5] == [("C", True), ("C", False), ("A", True), ("B", True), ("B", False)]
