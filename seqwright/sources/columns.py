@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,11 @@ def files(spark: SparkSession, path: str, keep: str | None = None) -> DataFrame:
 
 def lines(docs: DataFrame, ends: str) -> DataFrame:
     """path, seq_id, pos and line of each text line; a line that matches ``ends`` ends a sequence and has no row."""
-    rows = docs.select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
-    cut = F.when(F.col("line").rlike(ends), 1).otherwise(0)
-    rows = rows.withColumn("seq_id", F.sum(cut).over(Window.partitionBy("path").orderBy("n")).cast("int")).where(~F.col("line").rlike(ends))
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("path", "seq_id").orderBy("n")) - 1).cast("int")).drop("n")
+    # a text is cut where it lies, so that its lines are neither shuffled nor sorted
+    rows = docs.select("path", F.split("text", "\r?\n").alias("l")).withColumn("cuts", F.concat(F.array(F.lit(-1)), F.filter(F.transform("l", lambda x, i: F.when(x.rlike(ends), i)), lambda i: i.isNotNull()), F.array(F.size("l"))))
+    rows = rows.select("path", "l", F.posexplode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b"))).alias("seq_id", "c"))
+    own = F.slice("l", F.col("c.a") + 2, F.col("c.b") - F.col("c.a") - 1)
+    return rows.select("path", "seq_id", F.posexplode(own).alias("pos", "line")).select("path", "line", "seq_id", "pos")
 
 
 def _values(fields: Column) -> Column:

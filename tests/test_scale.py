@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from seqwright.operators import context, convert, dialog, evaluate, lexer, segments
+from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, segments
 from seqwright.plans.catalogue import QUERIES
 from seqwright.sources import columns
 
@@ -67,3 +67,10 @@ def test_zones_and_labels_join_tokens_once(spark):
     labels = convert.label_tokens(toks, spans)
     assert plan(labels).count("Join") == 1
     assert [(r.label, r.begin) for r in labels.orderBy("pos").collect()][:5] == [("C", True), ("C", False), ("A", True), ("B", True), ("B", False)]
+
+
+def test_lines_are_cut_in_place(spark):
+    docs = spark.createDataFrame([("f", "\n\na\nb\n\n\nc\n"), ("g", "a"), ("h", ""), ("i", None)], "path string, text string")
+    found = columns.lines(docs, r"^\s*$")
+    assert "Window" not in plan(found)
+    assert sorted(map(tuple, found.select("path", "seq_id", "pos", "line").collect())) == [("f", 2, 0, "a"), ("f", 2, 1, "b"), ("f", 4, 0, "c"), ("g", 0, 0, "a")]
