@@ -64,7 +64,7 @@ def tag_matches(tags: DataFrame, tagset: DataFrame) -> DataFrame:
     attributes it keeps these; a set tag without wants matches every tag of its
     name. Of several set tags the one with most wants counts.
     """
-    rows = tags.join(tagset.select("tag", "want"), "tag")
+    rows = tags.join(F.broadcast(tagset.select("tag", "want")), "tag")  # a set is written by hand, and its few names would gather all tags in as many tasks
     entries = lambda m: F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))
     whole = F.forall(entries(F.col("want")), lambda e: F.coalesce(F.try_element_at("attrs", e["key"]) == e["value"], F.lit(False)))
     free = F.map_filter("attrs", lambda k, _: F.coalesce(F.try_element_at("want", k) == "*", F.lit(False)))

@@ -74,3 +74,12 @@ def test_lines_are_cut_in_place(spark):
     found = columns.lines(docs, r"^\s*$")
     assert "Window" not in plan(found)
     assert sorted(map(tuple, found.select("path", "seq_id", "pos", "line").collect())) == [("f", 2, 0, "a"), ("f", 2, 1, "b"), ("f", 4, 0, "c"), ("g", 0, 0, "a")]
+
+
+def test_a_tag_set_is_not_joined_by_its_few_names(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = physical(QUERIES["tag_matches"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
