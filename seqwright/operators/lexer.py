@@ -9,10 +9,11 @@ text a task's step.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,8 @@ _URL = r"[a-z]+:(?:/{1,3}|[a-z0-9%])(?:www[0-9]{0,3}\.|[a-z0-9.\-]+\.[a-z]{2,4}/
 Rule = tuple[str, str]
 #: Distinct tokens whose splits a task remembers.
 MOST_SPLITS = 1 << 16
+#: Bytes of text whose pieces a Python worker holds at a time.
+PART = 1 << 20
 _LEX = re.compile(r"<lex(?:\s[^<>]*)?>")
 # Tokens that end a sentence.
 _SOFT_ENDS = (".", "?", "!", "''")
@@ -139,6 +142,18 @@ def _ready(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return rows
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts that end after :data:`PART` bytes of text: pieces take many times the memory of their texts."""
+    first, size = 0, 0
+    for i, own in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        size += own
+        if size >= PART:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def pieces(docs: DataFrame, rules: list[Rule] = PLAIN, *, grammar: str | None = None, keep_lex: bool = False) -> DataFrame:
     """doc_id, n, kind, tok, st and en of the pieces of every text.
 
@@ -149,7 +164,7 @@ def pieces(docs: DataFrame, rules: list[Rule] = PLAIN, *, grammar: str | None =
 
     def run(batches):
         scan, own, splits = scanner(rules), parse(grammar) if grammar else None, {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _small(whole)):
             counts, kinds, toks, starts, ends = [0], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = scan(text)
@@ -174,10 +189,14 @@ def split_tokens(toks: DataFrame, grammar: str) -> DataFrame:
     """``toks`` (with tok) with a row a piece that the grammar's patterns split a token into, and part, its number from 0."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(own: pd.Series) -> pd.Series:
-        patterns = parse(grammar).splits
-        known = {tok: split(tok, patterns) for tok in set(own.dropna())}
-        return own.map(known, na_action="ignore")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patterns, known = parse(grammar).splits, {}
+        for own in batches:
+            if len(known) >= MOST_SPLITS:
+                known.clear()
+            for tok in set(own.dropna()) - known.keys():
+                known[tok] = split(tok, patterns)
+            yield own.map(known.get, na_action="ignore")
 
     others = [c for c in toks.columns if c != "tok"]
     return toks.withColumn("tok", cut("tok")).select(*others, F.posexplode("tok").alias("part", "tok"))

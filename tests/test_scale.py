@@ -83,3 +83,10 @@ def test_a_tag_set_is_not_joined_by_its_few_names(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+
+
+def test_texts_reach_the_scanner_in_small_parts(spark):
+    texts = ["x" * 700_000, "", "y" * 700_000, "z", "w" * (2 << 20), "v"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p.column("doc_id").to_pylist() for p in lexer._small(batch)]
+    assert parts == [[0, 1, 2], [3, 4], [5]]
