@@ -24,6 +24,16 @@ def test_shares_round_as_in_sql(spark):
     assert "Overlap=0.57" in found
 
 
+def test_nearest_reads_no_frame_anew(spark):
+    toks = spark.createDataFrame([(1, 0, i, i in (3, 20)) for i in range(25)], "doc_id long, seq_id int, pos int, mark boolean")
+    found = context.nearest(toks, F.col("mark"))
+    assert "1, unboundedfollowing" not in plan(found)
+    rows = {r.pos: (r.left, r.right) for r in found.collect()}
+    assert rows[0] == (0, 3) and rows[3] == (3, 13) and rows[4] == (1, 13) and rows[20] == (13, 4) and rows[24] == (4, 0)
+    for name in ("nearest_marks", "shape_features"):
+        assert "1, unboundedfollowing" not in plan(QUERIES[name](spark, DATA))
+
+
 def test_label_segments_join_nothing(spark):
     assert "Join" not in plan(QUERIES["label_segments"](spark, DATA))
     toks = spark.createDataFrame([(1, 0, p, t, lab, b) for p, t, lab, b in ((0, "a", "X", True), (1, "b", "X", False), (2, "c", "lex", True), (5, "d", "Y", True), (7, "e", "Y", False))], "doc_id long, seq_id int, pos int, tok string, label string, begin boolean")
@@ -38,16 +48,6 @@ def test_windows_over_tokens_shuffle_texts(spark):
         assert physical(QUERIES[name](spark, DATA)).count("Exchange hashpartitioning(doc_id") == physical(QUERIES[name](spark, DATA)).count("REPARTITION_BY_NUM"), name
 
 
-def test_nearest_reads_no_frame_anew(spark):
-    toks = spark.createDataFrame([(1, 0, i, i in (3, 20)) for i in range(25)], "doc_id long, seq_id int, pos int, mark boolean")
-    found = context.nearest(toks, F.col("mark"))
-    assert "1, unboundedfollowing" not in plan(found)
-    rows = {r.pos: (r.left, r.right) for r in found.collect()}
-    assert rows[0] == (0, 3) and rows[3] == (3, 13) and rows[4] == (1, 13) and rows[20] == (13, 4) and rows[24] == (4, 0)
-    for name in ("nearest_marks", "shape_features"):
-        assert "1, unboundedfollowing" not in plan(QUERIES[name](spark, DATA))
-
-
 def test_span_scores_join_nothing(spark):
     kind = "doc_id long, seq_id int, label string, st int, en int"
     gold = spark.createDataFrame([(1, 0, "A", 0, 1), (1, 0, "A", 3, 3), (2, 0, "A", 0, 0), (2, 0, None, 1, 1)], kind)
@@ -76,6 +76,13 @@ def test_lines_are_cut_in_place(spark):
     assert sorted(map(tuple, found.select("path", "seq_id", "pos", "line").collect())) == [("f", 2, 0, "a"), ("f", 2, 1, "b"), ("f", 4, 0, "c"), ("g", 0, 0, "a")]
 
 
+def test_texts_reach_the_scanner_in_small_parts(spark):
+    texts = ["x" * 700_000, "", "y" * 700_000, "z", "w" * (2 << 20), "v"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p.column("doc_id").to_pylist() for p in lexer._small(batch)]
+    assert parts == [[0, 1, 2], [3, 4], [5]]
+
+
 def test_a_tag_set_is_not_joined_by_its_few_names(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -85,8 +92,9 @@ def test_a_tag_set_is_not_joined_by_its_few_names(spark):
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
 
 
-def test_texts_reach_the_scanner_in_small_parts(spark):
-    texts = ["x" * 700_000, "", "y" * 700_000, "z", "w" * (2 << 20), "v"]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
-    parts = [p.column("doc_id").to_pylist() for p in lexer._small(batch)]
-    assert parts == [[0, 1, 2], [3, 4], [5]]
+def test_totals_of_arcs_equal_features_counted_one_by_one(spark):
+    words = spark.createDataFrame([(1, 0, i + 1, t, p, c, f) for i, (t, p, c, f) in enumerate([("a", "X", "x", "a"), ("bb", "Y", "y", "b"), ("|", "X", "y", ""), ("a", "Y", "x", "a"), ("c", "X", "x", "c")])] + [(2, 0, 1, "a", "X", "x", "q")], "doc_id long, seq_id int, id int, tok string, pos string, cpos string, pref string")
+    for sets, reach in ((arcs.SETS, None), (("before", "between"), 2)):
+        one = arcs.pairs(words, sets, reach=reach).select(F.inline(arcs.entries(sets))).groupBy("n").agg(F.count("*").alias("m"), F.sum("v").cast("long"))
+        found = arcs.totals(words, sets, reach=reach)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.collect()))
