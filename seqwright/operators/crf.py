@@ -9,6 +9,7 @@ any is one long row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from seqwright.operators import optimize
 
 BUCKETS = 1 << 12
+#: Numbers in the largest table of a piece of sequences; a longer sequence is a piece of its own.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,141 @@ def best_path(scores: np.ndarray, transitions: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+@dataclass(frozen=True)
+class Chains:
+    """Sequences by falling length, their positions by place: those of place i are ``off[i]`` to ``off[i + 1]``, in the sequences' order.
+
+    ``to`` is where each position of the source lies, ``rank`` a position's sequence, ``last`` a sequence's
+    last position, and ``of`` the position of a feature; y is -1 where a label is unknown.
+    """
+
+    off: np.ndarray
+    to: np.ndarray
+    rank: np.ndarray
+    last: np.ndarray
+    y: np.ndarray
+    of: np.ndarray
+    fids: np.ndarray
+    vals: np.ndarray
+    weight: np.ndarray
+
+    def scores(self, state: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.of, self.vals * w[self.fids], minlength=len(self.to)) for w in state.T], axis=1)
+
+    def blocks(self) -> list[tuple[int, int, int]]:
+        """(start of the place before, start, end) of every place but the first."""
+        return list(zip(self.off[:-2].tolist(), self.off[1:-1].tolist(), self.off[2:].tolist()))
+
+    def later(self) -> tuple[np.ndarray, np.ndarray]:
+        """The positions behind the first of their sequence, and those before them."""
+        here = np.arange(self.off[1], self.off[-1])
+        return np.concatenate([np.arange(a, a + c - b) for a, b, c in self.blocks()] or [here]), here
+
+    def marginals(self, scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log partitions of the sequences, label probabilities of the positions, and expected transitions summed by the sequences' weights."""
+        ahead, back, most = scores.copy(), np.zeros_like(scores), transitions.max()
+        near = most - transitions.min() < 300  # then sums of shifted exponentials lose nothing, as one of each is above exp(-300)
+        w = np.exp(transitions - most)
+
+        def shifted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = x.max(axis=1, keepdims=True)
+            return top, np.exp(x - top)
+
+        def through(x: np.ndarray, along: np.ndarray, e: np.ndarray) -> np.ndarray:
+            """Log sums over the labels of ``x`` on one side of the transitions."""
+            if not near:
+                return _lse(x[:, :, None] + along, 1)
+            top, own = shifted(x)
+            return top + most + np.log(own @ e)
+
+        for a, b, c in self.blocks():
+            ahead[b:c] += through(ahead[a : a + c - b], transitions, w)
+        for a, b, c in reversed(self.blocks()):
+            back[a : a + c - b] = through(scores[b:c] + back[b:c], transitions.T, w.T)
+        z = _lse(ahead[self.last], 1)
+        before, here = self.later()
+        left, right, weight = ahead[before], scores[here] + back[here] - z[self.rank[here], None], self.weight[self.rank[here]]
+        if near:
+            (low, left), (high, right) = shifted(left), shifted(right)
+            edge = (left * np.exp(low + high + most) * weight[:, None]).T @ right * w
+        else:
+            edge = np.tensordot(weight, np.exp(left[:, :, None] + transitions + right[:, None, :]), 1)
+        return z, np.exp(ahead + back - z[self.rank, None]), edge
+
+    def best(self, scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+        """Labels of the positions in the best sequences; the first label wins ties."""
+        top, came = scores.copy(), np.zeros(scores.shape, int)
+        for a, b, c in self.blocks():
+            ways = top[a : a + c - b, :, None] + transitions
+            came[b:c] = ways.argmax(axis=1)
+            top[b:c] += ways.max(axis=1)
+        path = top.argmax(axis=1)
+        for a, b, c in reversed(self.blocks()):
+            path[a : a + c - b] = came[np.arange(b, c), path[b:c]]
+        return path
+
+
+def chains(batch: pa.RecordBatch, labels: int) -> Iterator[tuple[int, int, Chains]]:
+    """(first, end, chains) of the batch's rows, as many together as ``CELLS`` numbers hold; y and weight may lack."""
+    lens = batch.column("fids").value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    first = 0
+    while first < batch.num_rows:
+        held = np.cumsum(lens[first:]) * labels * labels <= CELLS
+        end = first + max(1, int(held.sum()))
+        yield first, end, _chains(batch.slice(first, end - first), lens[first:end])
+        first = end
+
+
+def _chains(batch: pa.RecordBatch, lens: np.ndarray) -> Chains:
+    order = np.argsort(-lens, kind="stable")
+    places = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    ranks = np.empty(len(lens), int)
+    ranks[order] = np.arange(len(lens))
+    rank = np.repeat(ranks, lens)
+    off = np.append(0, np.cumsum(np.bincount(places)))
+    to = off[places] + rank
+    by_place = np.empty(len(to), int)
+    by_place[to] = rank
+    fids, vals = (batch.column(c).flatten() for c in ("fids", "vals"))
+    of = np.repeat(to, fids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    y = np.full(len(to), -1)
+    if "y" in batch.schema.names:
+        y[to] = batch.column("y").flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    weight = batch.column("weight").to_numpy()[order] if "weight" in batch.schema.names else np.ones(len(lens))
+    sized = lens[order]
+    return Chains(off, to, by_place, off[sized - 1] + np.arange(len(sized)), y, of, fids.flatten().to_numpy(zero_copy_only=False), vals.flatten().fill_null(0.0).to_numpy(zero_copy_only=False), weight)
+
+
+def piece_term(labels: int):
+    """Loss and gradient of :class:`Chains`, as those of :func:`term` for each sequence."""
+
+    def one(piece: Chains, x: np.ndarray, grad: np.ndarray) -> float:
+        cut = len(x) - labels * labels
+        state, transitions = x[:cut].reshape(-1, labels), x[cut:].reshape(labels, labels)
+        scores, y = piece.scores(state), piece.y
+        z, node, edge = piece.marginals(scores, transitions)
+        known = np.flatnonzero(y >= 0)
+        if len(known) == len(y):
+            before, here = piece.later()
+            loss = z @ piece.weight - scores[known, y] @ piece.weight[piece.rank] - transitions[y[before], y[here]] @ piece.weight[piece.rank[here]]
+            node[known, y] -= 1
+            edge -= np.bincount(y[before] * labels + y[here], piece.weight[piece.rank[here]], minlength=labels * labels).reshape(labels, labels)
+        else:
+            held = scores.copy()
+            held[known] -= 1e9
+            held[known, y[known]] = scores[known, y[known]]
+            z_held, node_held, edge_held = piece.marginals(held, transitions)
+            loss, node, edge = (z - z_held) @ piece.weight, node - node_held, edge - edge_held
+        node *= piece.weight[piece.rank, None]
+        own = grad[:cut].reshape(-1, labels)
+        for c in range(labels):
+            own[:, c] += np.bincount(piece.fids, piece.vals * node[piece.of, c], minlength=len(own))
+        grad[cut:] += edge.ravel()
+        return float(loss)
+
+    return one
+
+
 def best_segments(scores: np.ndarray, transitions: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
     """(first, last, label) of the best segmentation into segments of up to ``longest`` positions.
 
@@ -195,7 +333,11 @@ def term(labels: int):
 def fit(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0, **how) -> Model:
     """Train by L-BFGS, or by ``method="sgd"`` (averaged over tasks; L1 penalty, momentum, batches and step-size adaptation as in :func:`optimize.averaged_sgd`). Sequences without any label teach nothing."""
     rows = seqs.where(F.exists("y", lambda v: v.isNotNull())).select("y", "fids", "vals")
-    return _trained(rows, term(len(labels)), labels, buckets=buckets, deviation=deviation, steps=steps, method=method, rate=rate, l1=l1, **how)
+    n = len(labels)
+    if method == "lbfgs":
+        pieces = optimize.packed(rows, F.size("y"), lambda batch: (piece for _, _, piece in chains(batch, n)))
+        return _trained(pieces, optimize.unpacked(piece_term(n)), labels, buckets=buckets, deviation=deviation, steps=steps, whole=True)
+    return _trained(rows, term(n), labels, buckets=buckets, deviation=deviation, steps=steps, method=method, rate=rate, l1=l1, **how)
 
 
 def fit_soft(seqs: DataFrame, labels: list[str], *, buckets: int = BUCKETS, **how) -> Model:
@@ -221,14 +363,14 @@ def _longer(a: Column, x: Column) -> Column:
     return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
 
-def _trained(rows: DataFrame, one, labels: list[str], *, buckets: int, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0, **how) -> Model:
+def _trained(rows: DataFrame, one, labels: list[str], *, buckets: int, deviation: float = 10.0, steps: int = 200, method: str = "lbfgs", rate: float = 0.1, l1: float = 0.0, whole: bool = False, **how) -> Model:
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = len(labels)
     start = np.zeros(buckets * n + n * n)
     if method == "sgd":
         x = optimize.averaged_sgd(rows, one, start, epochs=steps, rate=rate, l1=l1, **how)
     else:
-        x = optimize.lbfgs(optimize.with_prior(lambda x: optimize.summed(rows, one, x), deviation), start, steps=steps)
+        x = optimize.lbfgs(optimize.with_prior(lambda x: optimize.summed(rows, one, x, whole=whole), deviation), start, steps=steps)
     rows.unpersist()
     return Model(labels, x[: buckets * n].reshape(buckets, n), x[buckets * n :].reshape(n, n))
 
@@ -240,14 +382,18 @@ def decode(seqs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
+        names = np.array(own.labels, dtype=object)
         for batch in batches:
             labels, sure = [], []
-            for row in batch.to_pylist():
-                scores = _scores(row, own.state)
-                path = best_path(scores, own.transitions)
-                labels.append([own.labels[y] for y in path])
-                sure.append(marginals(scores, own.transitions)[1][np.arange(len(path)), path].tolist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "pos")], pa.array(labels, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.float64()))], names=[*keys, "pos", "label_pred", "confidence"])
+            for _, _, piece in chains(batch, len(names)):
+                scores = piece.scores(own.state)
+                path = piece.best(scores, own.transitions)[piece.to]
+                labels.append(names[path])
+                sure.append(piece.marginals(scores, own.transitions)[1][piece.to, path])
+            if batch.num_rows:
+                ends = pa.array(np.append(0, np.cumsum(batch.column("pos").value_lengths().to_numpy(zero_copy_only=False))).astype(np.int32))
+                found = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((labels, pa.string()), (sure, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "pos")], *found], names=[*keys, "pos", "label_pred", "confidence"])
 
     types = {f.name: f.dataType.simpleString() for f in seqs.schema}
     found = seqs.select(*keys, "pos", "fids", "vals").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*keys, "pos")) + ", label_pred array<string>, confidence array<double>")

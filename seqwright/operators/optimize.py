@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqwright.scratch import written
+
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -39,6 +42,32 @@ def summed(rows: DataFrame, term: Callable[..., float], x: np.ndarray, *, whole:
     return float(g[at < 0].sum()), grad
 
 
+#: Places of a task in :func:`packed`, about.
+PLACES = 1 << 15
+
+
+def packed(rows: DataFrame, places: Column, cut: Callable[[pa.RecordBatch], Iterator]) -> DataFrame:
+    """``rows`` as the pieces that ``cut`` makes of a record batch, a row each: evaluations read arrays as they are instead of building them anew.
+
+    Equal rows are one, with ``weight``: how many there are. Tasks are as many as the rows'
+    ``places`` need, since an evaluation costs some time a task.
+    """
+    told = written(rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("weight")), "training-rows")
+    tasks = max(1, -(-int(told.agg(F.sum(places)).first()[0] or 0) // PLACES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(piece, 5) for piece in cut(batch)], pa.binary())], names=["piece"])
+
+    return told.repartition(tasks).mapInArrow(run, "piece binary")
+
+
+def unpacked(term: Callable[..., float]) -> Callable[..., float]:
+    """``term(piece, x, grad)`` for record batches of :func:`packed`."""
+    return lambda batch, x, grad: sum(term(pickle.loads(piece.as_buffer()), x, grad) for piece in batch.column("piece"))
+
+
 def with_prior(objective: Objective, deviation: float) -> Objective:
     """``objective`` and a Gaussian prior of the deviation on every parameter."""
 

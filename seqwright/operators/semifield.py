@@ -43,7 +43,7 @@ class Model:
 
 @dataclass(frozen=True)
 class Lattices:
-    """Sequences of ``n`` places: each candidate's sequence, place and size, and its features with the candidate they belong to."""
+    """Sequences of ``n`` places: each candidate's sequence, place and size, its features with the candidate they belong to, and how often each sequence counts."""
 
     rows: np.ndarray
     n: int
@@ -58,6 +58,7 @@ class Lattices:
     edge_of: np.ndarray
     gids: np.ndarray
     gvals: np.ndarray
+    weight: np.ndarray
 
     def scores(self, longest: int, state: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of segments (sequence, place, size, label), -inf where there is none, and of label pairs (sequence, place, size, before, label)."""
@@ -67,7 +68,12 @@ class Lattices:
         node[at] = 0
         for y in range(labels):
             node[:, y] += np.bincount(at[self.of], self.vals * state[self.fids, y], minlength=cells)
-        pair = np.stack([np.bincount(at[self.edge_of], self.gvals * w[self.gids], minlength=cells) for w in edges.reshape(-1, labels * labels).T], axis=1)
+        flat = edges.reshape(-1, labels * labels)
+        if len(self.edge_of) == len(np.unique(self.edge_of)) and len(at) == len(np.unique(at)):
+            pair = np.zeros((cells, labels * labels))
+            pair[at[self.edge_of]] = self.gvals[:, None] * flat[self.gids]
+        else:
+            pair = np.stack([np.bincount(at[self.edge_of], self.gvals * w[self.gids], minlength=cells) for w in flat.T], axis=1)
         return node.reshape(*shape, labels), pair.reshape(*shape, labels, labels)
 
     def gold(self) -> tuple[np.ndarray, ...]:
@@ -107,10 +113,12 @@ def sequences(candidates: DataFrame, labels: list[str], longest: int, *, buckets
 
 def lattices(batch: pa.RecordBatch, longest: int, labels: int) -> Iterator[Lattices]:
     """The batch's sequences, those of a length together, as far as ``CELLS`` numbers hold them."""
-    counts = batch.column("pos").value_lengths().to_numpy()
-    pos, place, size, y, n_f, n_g, fids, vals, gids, gvals = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "place", "s", "y", "n_f", "n_g", "fids", "vals", "gids", "gvals"))
+    counts = batch.column("place").value_lengths().to_numpy()
+    place, size, y, n_f, n_g, fids, vals, gids, gvals = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "s", "y", "n_f", "n_g", "fids", "vals", "gids", "gvals"))
+    pos = batch.column("pos").flatten().to_numpy(zero_copy_only=False) if "pos" in batch.schema.names else place  # only decoding tells positions
+    weight = batch.column("weight").to_numpy() if "weight" in batch.schema.names else np.ones(batch.num_rows)
     ns, seq = batch.column("n").to_numpy(), np.repeat(np.arange(batch.num_rows), counts)
-    of, edge_of = np.repeat(np.arange(len(pos)), n_f), np.repeat(np.arange(len(pos)), n_g)
+    of, edge_of = np.repeat(np.arange(len(place)), n_f), np.repeat(np.arange(len(place)), n_g)
     for n in np.unique(ns):
         every, step = np.flatnonzero(ns == n), max(1, CELLS // int(n * longest * labels * labels))
         for i in range(0, len(every), step):
@@ -119,7 +127,7 @@ def lattices(batch: pa.RecordBatch, longest: int, labels: int) -> Iterator[Latti
             where[rows] = np.arange(len(rows))
             own = where[seq] >= 0
             new, f, g = np.cumsum(own) - 1, own[of], own[edge_of]
-            yield Lattices(rows, int(n), where[seq[own]], pos[own], place[own], size[own], y[own], new[of[f]], fids[f], vals[f], new[edge_of[g]], gids[g], gvals[g])
+            yield Lattices(rows, int(n), where[seq[own]], pos[own], place[own], size[own], y[own], new[of[f]], fids[f], vals[f], new[edge_of[g]], gids[g], gvals[g], weight[rows])
 
 
 def _lse(x: np.ndarray, axis) -> np.ndarray:
@@ -182,31 +190,40 @@ def _parts(x: np.ndarray, labels: int, buckets: int) -> tuple[np.ndarray, np.nda
     return x[:cut].reshape(buckets, labels), x[cut:].reshape(-1, labels, labels)
 
 
-def term(labels: int, longest: int, buckets: int):
-    """Loss and gradient of a record batch of :func:`sequences`."""
-
-    def whole(batch: pa.RecordBatch, x: np.ndarray, grad: np.ndarray) -> float:
-        (state, edges), (state_grad, edge_grad), loss = _parts(x, labels, buckets), _parts(grad, labels, buckets), 0.0
-        for found in lattices(batch, longest, labels):
-            seq, place, size, y = found.gold()
-            node, pair = found.scores(longest, state, edges)
-            z, own, pairs = marginals(node, pair)
-            taught = np.zeros(len(z), bool)
-            taught[seq] = True
-            own[~taught], pairs[~taught] = 0, 0
-            later = np.flatnonzero(place - size > 0)
-            steps = seq[later], place[later], size[later], y[later - 1], y[later]
-            loss += z[taught].sum() - node[seq, place, size, y].sum() - pair[steps].sum()
-            own[seq, place, size, y] -= 1
-            pairs[steps] -= 1
-            at, edge_at = (tuple(x[i] for x in (found.seq, found.place, found.size)) for i in (found.of, found.edge_of))
-            for c in range(labels):
-                state_grad[:, c] += np.bincount(found.fids, found.vals * own[(*at, c)], minlength=buckets)
-            for p, c in np.ndindex(labels, labels):
-                edge_grad[:, p, c] += np.bincount(found.gids, found.gvals * pairs[(*edge_at, p, c)], minlength=len(edge_grad))
+def piece_term(labels: int, longest: int, buckets: int):
+    """Loss and gradient of a piece: the lattices of some sequences and their gold segments."""
+
+    def one(piece: tuple[Lattices, tuple[np.ndarray, ...]], x: np.ndarray, grad: np.ndarray) -> float:
+        (state, edges), (state_grad, edge_grad) = _parts(x, labels, buckets), _parts(grad, labels, buckets)
+        found, (seq, place, size, y) = piece
+        node, pair = found.scores(longest, state, edges)
+        z, own, pairs = marginals(node, pair)
+        taught = np.zeros(len(z))
+        taught[seq] = found.weight[seq]
+        own[taught == 0], pairs[taught == 0] = 0, 0
+        later = np.flatnonzero(place - size > 0)
+        steps = seq[later], place[later], size[later], y[later - 1], y[later]
+        loss = z[taught > 0] @ taught[taught > 0] - node[seq, place, size, y] @ taught[seq] - pair[steps] @ taught[seq[later]]
+        own[seq, place, size, y] -= 1
+        pairs[steps] -= 1
+        at = (found.seq, found.place, found.size)
+        own, pairs = own[at] * taught[found.seq, None], pairs[at].reshape(-1, labels * labels) * taught[found.seq, None]
+        for c in range(labels):
+            state_grad[:, c] += np.bincount(found.fids, found.vals * own[found.of, c], minlength=buckets)
+        gids, flat = found.gids, edge_grad.reshape(-1, labels * labels)
+        by = np.argsort(gids, kind="stable")
+        if len(by):
+            first = np.flatnonzero(np.diff(gids[by], prepend=-1))
+            flat[gids[by][first]] += np.add.reduceat((found.gvals[:, None] * pairs[found.edge_of])[by], first)
         return float(loss)
 
-    return whole
+    return one
+
+
+def term(labels: int, longest: int, buckets: int):
+    """Loss and gradient of a record batch of :func:`sequences`."""
+    one = piece_term(labels, longest, buckets)
+    return lambda batch, x, grad: sum(one((found, found.gold()), x, grad) for found in lattices(batch, longest, labels))
 
 
 def longest_label(candidates: DataFrame) -> int:
@@ -216,10 +233,11 @@ def longest_label(candidates: DataFrame) -> int:
 
 
 def fit(seqs: DataFrame, labels: list[str], longest: int, *, buckets: int = BUCKETS, edge_buckets: int = EDGE_BUCKETS, deviation: float = 10.0, steps: int = 200) -> Model:
-    """Maximum likelihood of the labelled segmentations with a Gaussian prior, by L-BFGS over Spark jobs."""
+    """Maximum likelihood of the labelled segmentations with a Gaussian prior, by L-BFGS over Spark jobs; equal sequences are one that counts as often."""
     n = len(labels)
-    rows = seqs.where(F.exists("y", lambda y: y >= 0)).drop("doc_id", "seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-    one = term(n, longest, buckets)
+    told = seqs.where(F.exists("y", lambda y: y >= 0)).drop("doc_id", "seq_id", "pos")
+    rows = optimize.packed(told, F.size("place"), lambda batch: ((found, found.gold()) for found in lattices(batch, longest, n))).persist(StorageLevel.MEMORY_AND_DISK)
+    one = optimize.unpacked(piece_term(n, longest, buckets))
     x = optimize.lbfgs(optimize.with_prior(lambda x: optimize.summed(rows, one, x, whole=True), deviation), np.zeros(buckets * n + edge_buckets * n * n), steps=steps)
     rows.unpersist()
     return Model(labels, longest, *_parts(x, n, buckets))

@@ -2,8 +2,10 @@
 
 import itertools
 import math
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,31 @@ def test_adapted_steps_equal_a_plain_loop(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     found = optimize.averaged_sgd(rows, term, np.zeros(3), epochs=2, momentum=0.5, batch=2, period=2)
     assert np.allclose(found, x, rtol=1e-6)
+
+
+def test_chains_together_equal_sequences_one_by_one():
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, known in ((3, True), (1, True), (5, False), (3, False), (2, True)):
+        y = [int(v) if known or i % 2 else None for i, v in enumerate(rng.integers(0, 2, n))]
+        rows.append({"y": y, "fids": [[], *([int(f) for f in rng.integers(0, 4, 2)] for _ in range(n - 1))], "vals": [[], *([0.5, -1.5] for _ in range(n - 1))], "weight": float(1 + n % 3)})
+    batch = pa.RecordBatch.from_pylist(rows)
+    for x in (rng.normal(size=12), np.append(rng.normal(size=8), [400.0, -400.0, 3.0, 2.0])):
+        want, got = np.zeros(12), np.zeros(12)
+        loss = 0.0
+        for row in rows:
+            own = np.zeros(12)
+            loss += row["weight"] * crf.term(2)(row, x, own)
+            want += row["weight"] * own
+        found = sum(crf.piece_term(2)(piece, x, got) for _, _, piece in crf.chains(batch, 2))
+        assert np.isclose(found, loss) and np.allclose(got, want)
+        for row, (_, _, piece) in ((r, next(crf.chains(batch.slice(i, 1), 2))) for i, r in enumerate(rows)):
+            scores = crf._scores(row, x[:8].reshape(4, 2))
+            assert piece.best(piece.scores(x[:8].reshape(4, 2)), x[8:].reshape(2, 2))[piece.to].tolist() == crf.best_path(scores, x[8:].reshape(2, 2))
+
+
+def test_equal_sequences_are_evaluated_once(spark):
+    rows = spark.createDataFrame([([0], [[1]], [[1.0]])] * 50 + [([1], [[2]], [[1.0]])], "y array<int>, fids array<array<int>>, vals array<array<double>>")
+    pieces = optimize.packed(rows, F.size("y"), lambda batch: (p for _, _, p in crf.chains(batch, 2)))
+    found = [pickle.loads(r.piece) for r in pieces.collect()]
+    assert pieces.rdd.getNumPartitions() == 1 and sum(len(p.weight) for p in found) == 2 and sum(p.weight.sum() for p in found) == 51
