@@ -155,3 +155,22 @@ def test_labels_of_arcs(spark):
     found = crf.decode(crf.sequences(arcs.label_features(table(spark, new), side), labels), model)
     right = [new[r.doc_id, 0][r.pos][5] == r.label_pred for r in found.select("doc_id", "pos", "label_pred").collect()]
     assert len(right) == sum(map(len, new.values())) and sum(right) / len(right) > 0.95
+
+
+def test_forward_pairs_are_not_made_backward(spark):
+    words = table(spark, {(1, 0): grammar(1), (2, 0): grammar(2)})
+    key = ["doc_id", "seq_id", "gov", "id"]
+    for reach in (None, 1):
+        every = arcs.features(words, ("basic",), reach=reach).where("gov < id")
+        found = arcs.features(words, ("basic",), reach=reach, forward=True)
+        assert sorted(map(tuple, found.select(*key, F.map_keys("feats")).collect())) == sorted(map(tuple, every.select(*key, F.map_keys("feats")).collect()))
+
+
+def test_trees_without_probabilities(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1, 1.0), (1, 0, 1, 2, 2.0), (1, 0, 0, 2, 0.5), (2, 0, 2, 1, 1.0), (2, 0, 1, 2, 1.0)], "doc_id long, seq_id int, gov int, id int, score double")
+    key = ["doc_id", "id", "gov"]
+    plain = parse.trees(rows, projective=False, probable=False)
+    assert plain.columns == ["doc_id", "seq_id", "id", "gov"]
+    found = parse.trees(rows, projective=False)
+    assert sorted(map(tuple, plain.select(key).collect()), key=str) == sorted(map(tuple, found.select(key).collect()), key=str) == [(1, 1, 0), (1, 2, 1), (2, 1, None), (2, 2, None)]
+    assert {r.prob is None for r in found.where("doc_id = 2").collect()} == {True}
