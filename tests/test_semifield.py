@@ -2,8 +2,10 @@
 
 import itertools
 import math
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,15 @@ def test_odd_rows(spark, labelled):
     assert sorted(((r.doc_id, r.pos, r.s) for r in semifield.decode(seqs, model).collect()), key=repr) == [(1, 0, 0), (1, 1, 0), (3, 0, 0), (None, 0, 0)]
     assert semifield.decode(seqs.where("false"), model).count() == 0
     assert not np.any(semifield.fit(seqs.where("false"), ["X", "Y"], 2, buckets=16).state)
+
+
+def test_a_weight_counts_a_sequence_as_often():
+    one = {"n": 2, "place": [0, 1, 1], "s": [0, 0, 1], "y": [0, 1, -1], "n_f": [1, 2, 1], "n_g": [0, 1, 1], "fids": [0, 1, 2, 3], "vals": [1.0, 0.5, 1.0, 2.0], "gids": [0, 1], "gvals": [1.0, 0.5]}
+    other = one | {"y": [-1, -1, 0], "fids": [3, 2, 2, 0]}
+    x, weighted, plain = RNG.normal(size=4 * 2 + 2 * 4), np.zeros(16), np.zeros(16)
+    term = semifield.term(2, 2, 4)
+    loss = term(pa.RecordBatch.from_pylist([one | {"weight": 3.0}, other | {"weight": 1.0}]), x, weighted)
+    assert math.isclose(loss, term(pa.RecordBatch.from_pylist([one, other, one, one]), x, plain)) and np.allclose(weighted, plain)
+    pieces = [pickle.loads(pickle.dumps((found, found.gold()))) for found in semifield.lattices(pa.RecordBatch.from_pylist([one | {"weight": 3.0}, other | {"weight": 1.0}]), 2, 2)]
+    again = np.zeros(16)
+    assert math.isclose(loss, sum(semifield.piece_term(2, 2, 4)(p, x, again) for p in pieces)) and np.allclose(again, plain)
