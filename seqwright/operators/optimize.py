@@ -17,12 +17,17 @@ from seqwright.scratch import written
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
+#: Tasks whose sums the driver adds up itself: a shuffle of so few takes longer than the sums.
+FEW = 8
+
+
 def summed(rows: DataFrame, term: Callable[..., float], x: np.ndarray, *, whole: bool = False) -> tuple[float, np.ndarray]:
     """Loss and gradient at ``x`` summed over all rows.
 
     ``term(row, x, grad)`` adds a row's gradient to ``grad`` and returns its loss; with ``whole``, that of a record batch.
     A task sums its own rows and yields what is not zero; Spark adds the tasks'
-    sums by parameter, so the driver gets one number a parameter at most.
+    sums by parameter, so the driver gets one number a parameter at most, or, of rows
+    that :func:`packed` has put into up to ``FEW`` tasks, one a parameter and task.
     """
     shared = rows.sparkSession.sparkContext.broadcast(x)  # as long as the parameters, which their owners bound
 
@@ -34,12 +39,11 @@ def summed(rows: DataFrame, term: Callable[..., float], x: np.ndarray, *, whole:
         at = np.flatnonzero(grad)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(grad[at], loss))], names=["at", "g"])
 
-    found = rows.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).toArrow()
+    found = rows.mapInArrow(run, "at long, g double")
+    found = (found if getattr(rows, "_seqwright_tasks", FEW + 1) <= FEW else found.groupBy("at").agg(F.sum("g").alias("g"))).toArrow()
     shared.unpersist()
     at, g = found.column("at").to_numpy(), found.column("g").to_numpy()
-    grad = np.zeros(len(x))
-    grad[at[at >= 0]] = g[at >= 0]
-    return float(g[at < 0].sum()), grad
+    return float(g[at < 0].sum()), np.bincount(at[at >= 0], g[at >= 0], minlength=len(x))
 
 
 #: Places of a task in :func:`packed`, about.
@@ -49,10 +53,11 @@ PLACES = 1 << 15
 def packed(rows: DataFrame, places: Column, cut: Callable[[pa.RecordBatch], Iterator]) -> DataFrame:
     """``rows`` as the pieces that ``cut`` makes of a record batch, a row each: evaluations read arrays as they are instead of building them anew.
 
-    Equal rows are one, with ``weight``: how many there are. Tasks are as many as the rows'
-    ``places`` need, since an evaluation costs some time a task.
+    Equal rows are one, with ``weight``: how many there are, or the sum of their own weights. Tasks
+    are as many as the rows' ``places`` need, since an evaluation costs some time a task.
     """
-    told = written(rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("weight")), "training-rows")
+    often = F.sum("weight") if "weight" in rows.columns else F.count("*")
+    told = written(rows.groupBy(*[c for c in rows.columns if c != "weight"]).agg(often.cast("double").alias("weight")), "training-rows")
     tasks = max(1, -(-int(told.agg(F.sum(places)).first()[0] or 0) // PLACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +65,9 @@ def packed(rows: DataFrame, places: Column, cut: Callable[[pa.RecordBatch], Iter
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(piece, 5) for piece in cut(batch)], pa.binary())], names=["piece"])
 
-    return told.repartition(tasks).mapInArrow(run, "piece binary")
+    found = told.repartition(tasks).mapInArrow(run, "piece binary")
+    found._seqwright_tasks = tasks
+    return found
 
 
 def unpacked(term: Callable[..., float]) -> Callable[..., float]:

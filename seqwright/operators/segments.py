@@ -15,17 +15,17 @@ from seqwright.operators.context import sequence
 from seqwright.operators.evaluate import OUTSIDE
 
 
-def candidates(toks: DataFrame, longest: int) -> DataFrame:
-    """doc_id, seq_id, pos, s, words and attrs (arrays, in order) of every segment of up to ``longest`` tokens.
+def candidates(toks: DataFrame, longest: int, *kept: str) -> DataFrame:
+    """doc_id, seq_id, pos, s, words and attrs (arrays, in order) of every segment of up to ``longest`` tokens, and ``kept`` columns of its last token.
 
     One window gathers the last ``longest`` tokens; the segments are its tails.
     """
     attrs = F.col("attrs") if "attrs" in toks.columns else F.create_map().cast("map<string,string>")
     one = F.struct(F.coalesce("tok", F.lit("")).alias("w"), attrs.alias("a"))
-    rows = toks.select("doc_id", "seq_id", "pos", F.collect_list(one).over(sequence().rowsBetween(1 - longest, 0)).alias("__t"))
-    rows = rows.select("doc_id", "seq_id", "pos", "__t", F.explode(F.sequence(F.lit(0), F.size("__t") - 1)).alias("s"))
+    rows = toks.select("doc_id", "seq_id", "pos", *kept, F.collect_list(one).over(sequence().rowsBetween(1 - longest, 0)).alias("__t"))
+    rows = rows.select("doc_id", "seq_id", "pos", *kept, "__t", F.explode(F.sequence(F.lit(0), F.size("__t") - 1)).alias("s"))
     tail = F.slice("__t", F.size("__t") - F.col("s"), F.col("s") + 1)
-    return rows.select("doc_id", "seq_id", "pos", "s", tail["w"].alias("words"), tail["a"].alias("attrs"))
+    return rows.select("doc_id", "seq_id", "pos", "s", tail["w"].alias("words"), tail["a"].alias("attrs"), *kept)
 
 
 def size_name(s: Column, *, edge: bool = False) -> Column:
@@ -43,6 +43,12 @@ def attribute_phrase(attrs: Column, prefix: str) -> Column:
     return F.concat(F.lit("attrs="), F.array_join(F.transform(F.reverse(attrs), lambda a: F.concat(F.lit("_"), F.array_join(own(a), ""))), ""))
 
 
+def labelled(sized: DataFrame, longest: int, *kept: str) -> DataFrame:
+    """:func:`candidates` with the label of those that the labels of :func:`label_sizes` show, else null: each token ends one of them at most, so nothing is joined."""
+    found = candidates(sized.withColumnRenamed("s", "__shown"), longest, "__shown", "label", *kept)
+    return found.withColumn("label", F.when(F.col("__shown") == F.col("s"), F.col("label"))).drop("__shown")
+
+
 def phrase_lexicon(segments: DataFrame, lex: DataFrame) -> DataFrame:
     """``segments`` with names: the lexicons (lex_name, entry) that have the phrase, sorted, or else the phrase."""
     names = lex.groupBy(F.col("entry").alias("__entry")).agg(F.array_sort(F.collect_set("lex_name")).alias("names"))

@@ -111,3 +111,40 @@ def test_a_weight_counts_a_sequence_as_often():
     pieces = [pickle.loads(pickle.dumps((found, found.gold()))) for found in semifield.lattices(pa.RecordBatch.from_pylist([one | {"weight": 3.0}, other | {"weight": 1.0}]), 2, 2)]
     again = np.zeros(16)
     assert math.isclose(loss, sum(semifield.piece_term(2, 2, 4)(p, x, again) for p in pieces)) and np.allclose(again, plain)
+
+
+def test_equal_features_of_candidates_are_one_set(spark):
+    """Scores and sums over candidates grow with kinds of features, not with candidates; each cell has its own features nonetheless."""
+    seqs = semifield.sequences(candidates(spark, "aab aab ab aab"), ["X", "Y"], 2, buckets=64)
+    batch = seqs.drop("doc_id", "seq_id").toArrow().combine_chunks().to_batches()[0]
+    for found in semifield.lattices(batch, 2, 2):
+        assert found.sets <= 5 and found.edge_sets == 2 and len(found.cells) == len(found.rows) * (2 * found.n - 1)
+        assert np.all(found.block[[0, *range(1, found.n)], 0] >= 0)
+    own = semifield._sets(np.array([2, 0, 0, 2, 3]), np.array([5, 1, 5, 1, 1]), np.array([2.0, 1.0, 2.0, 1.0, 1.0]), 4)
+    assert own[1] == 4 and len(own[2]) == 5 and len(set(own[0])) == 4
+
+
+def test_labels_meet_candidates_without_a_join(spark):
+    toks = [(d, 0, i, c, i == 0 or t[i - 1] != c) for d, t in enumerate(["aab", "ba"]) for i, c in enumerate(t)]
+    df = spark.createDataFrame(toks, "doc_id int, seq_id int, pos int, tok string, begin boolean").withColumn("label", F.upper("tok"))
+    sized = segments.label_sizes(df)
+    key = ["doc_id", "seq_id", "pos", "s", "words", "label"]
+    found = segments.labelled(sized, 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = segments.candidates(df, 2).join(sized.where("s >= 0").select(*key[:4], "label"), key[:4], "left")
+    assert sorted(map(tuple, found.select(key).collect()), key=repr) == sorted(map(tuple, want.select(key).collect()), key=repr)
+
+
+def test_equal_days_are_each_found(spark, tmp_path, monkeypatch):
+    from seqwright.plans import catalogue
+
+    day = "timestamp'2024-01-0{} 0{}:00:00'"
+    rows = [f"({u * 10 + h}, {day.format(1 + u % 2, h)}, {u if u else 'CAST(NULL AS INT)'}, '{t}', {v})" for u in range(6) for h, (t, v) in enumerate([("x", 5.0), ("x", 25.0), ("y", 45.0)] if u < 5 else [("y", 5.0)])]
+    spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(event_id, ts, user_id, event_type, value)").write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    fit = semifield.fit
+    monkeypatch.setattr(semifield, "fit", lambda seqs, *a, **b: seen.append(sorted(r.weight for r in seqs.collect())) or fit(seqs, *a, **b))
+    found = catalogue.event_runs(spark, str(tmp_path)).collect()
+    assert seen == [[1.0, 5.0]]
+    assert sorted({(repr(r.doc_id), r.seq_id) for r in found}) == sorted({(repr(u or None), 8766 + u % 2) for u in range(6)})
+    assert sum(r.s + 1 for r in found) == 16 and len({(r.pos, r.s, r.label_pred) for r in found if r.doc_id in (None, 1, 2, 3, 4)}) == len([r for r in found if r.doc_id == 1])
