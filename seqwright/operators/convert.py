@@ -24,22 +24,28 @@ def offsets(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", tok.alias("tok"), (en - F.char_length(tok)).alias("st"), en.alias("en"))
 
 
-def label_tokens(toks: DataFrame, spans: DataFrame, outside: str = "lex") -> DataFrame:
+def label_tokens(toks: DataFrame, spans: DataFrame, outside: str = "lex", *, tasks: int | None = None) -> DataFrame:
     """``toks`` (doc_id, pos, st, en) with label and begin from the spans (doc_id, st, en, label).
 
     A token that ends inside a span and after its start has the span's label;
     of several the one that starts first, then the shortest. Its first token is
     begin, and so is every token outside. An interval join by bins of offsets:
     a token meets the spans of its own bin alone, whatever the document's length.
+    ``tasks`` states how many tasks tokens meet spans and their neighbours in; without it
+    their number follows what is shuffled, not what a task has to sort.
     """
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(tasks, *by) if tasks else rows
+
     s = spans.select(F.col("doc_id").alias("s_doc"), F.col("st").alias("s_st"), F.col("en").alias("s_en"), F.col("label").alias("s_label"))
     s = s.where("s_en > s_st").withColumn("s_bin", F.explode(F.sequence(F.floor(F.col("s_st") / BIN), F.floor(F.col("s_en") / BIN))))
     # a bin's spans are one row, so that a token meets them at once and is neither multiplied nor joined again
-    s = s.groupBy("s_doc", "s_bin").agg(F.collect_list(F.struct("s_st", "s_en", "s_label")).alias("__spans"))
-    t = toks.withColumn("__bin", F.floor(F.col("en") / BIN))
+    s = dealt(s, "s_doc", "s_bin").groupBy("s_doc", "s_bin").agg(F.collect_list(F.struct("s_st", "s_en", "s_label")).alias("__spans"))
+    t = dealt(toks.withColumn("__bin", F.floor(F.col("en") / BIN)), "doc_id", "__bin")
     found = t.join(s, (t["doc_id"] == s["s_doc"]) & (t["__bin"] == s["s_bin"]), "left")
     own = F.filter("__spans", lambda x: (F.col("en") <= x["s_en"]) & (F.col("en") > x["s_st"]))
-    both = found.withColumn("s", F.array_min(own)).select(*toks.columns, "s")
+    both = dealt(found.withColumn("s", F.array_min(own)).select(*toks.columns, "s"), "doc_id")
     order = Window.partitionBy("doc_id").orderBy("pos")
     new = F.col("s").isNull() | ~F.lag("s").over(order).eqNullSafe(F.col("s"))
     return both.withColumns({"begin": new, "label": F.coalesce("s.s_label", F.lit(outside))}).drop("s")

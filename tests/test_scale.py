@@ -98,3 +98,13 @@ def test_totals_of_arcs_equal_features_counted_one_by_one(spark):
         one = arcs.pairs(words, sets, reach=reach).select(F.inline(arcs.entries(sets))).groupBy("n").agg(F.count("*").alias("m"), F.sum("v").cast("long"))
         found = arcs.totals(words, sets, reach=reach)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_labels_meet_tokens_in_a_stated_number_of_tasks(spark):
+    toks = spark.createDataFrame([(1, i, 2 * i, 2 * i + 2) for i in range(900)] + [(2, 0, 0, 2)], "doc_id long, pos int, st long, en long")
+    spans = spark.createDataFrame([(1, 0, 6, "A"), (1, 4, 1500, "B"), (2, 4, 9, "C")], "doc_id long, st int, en int, label string")
+    found = convert.label_tokens(toks, spans, tasks=7)
+    assert found.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, found.select("doc_id", "pos", "label", "begin").collect())) == sorted(map(tuple, convert.label_tokens(toks, spans).select("doc_id", "pos", "label", "begin").collect()))
+    for name in ("page_labels", "token_labels"):  # no shuffle that is made smaller by what it writes
+        assert all("REPARTITION_BY_NUM" in line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange hashpartitioning" in line), name
