@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwright.operators.convert import feature_numbers
-from seqwright.scratch import new_path
+from seqwright.operators.convert import numbered
+from seqwright.scratch import new_path, remove
 
 
 def _information(n: np.ndarray, left: np.ndarray, right: np.ndarray, total: float) -> np.ndarray:
@@ -111,19 +111,32 @@ def paths(counts: np.ndarray) -> list[str]:
 
 def clusters(toks: DataFrame, n: int) -> DataFrame:
     """tok, cluster and path of every token of the table (doc_id, pos, tok), in at most ``n`` clusters."""
-    spark = toks.sparkSession
+    after = F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
+    return clusters_of(toks.select(F.col("tok").alias("a"), after.alias("b")), n)
+
+
+def array_clusters(docs: DataFrame, n: int) -> DataFrame:
+    """:func:`clusters` of documents whose tokens, none of them null, are an array each (toks): neighbours are next to each other already, so nothing is dealt or sorted."""
+    after = F.slice("toks", F.lit(2), F.greatest(F.size("toks"), F.lit(0)))
+    return clusters_of(docs.select(F.inline(F.arrays_zip(F.col("toks").alias("a"), after.alias("b")))), n)
+
+
+def clusters_of(pairs: DataFrame, n: int) -> DataFrame:
+    """tok, cluster and path of every token a, from rows of a token and the one after it (a, b; b is null at a document's end)."""
+    spark = pairs.sparkSession
     folder = new_path(spark, "clusters")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    after = F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos"))
-    ids = written(feature_numbers(toks.select(F.col("tok").alias("fname"))), "ids")
-    words = toks.select(F.col("tok").alias("a"), after.alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("c"))
-    words = words.join(ids.select(F.col("fname").alias("a"), F.col("fid").alias("x")), "a").join(ids.select(F.col("fname").alias("b"), F.col("fid").alias("y")), "b")
+    bigrams = written(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), "bigrams")  # the one look at the texts: tokens' counts are sums of it
+    ids = written(numbered(written(bigrams.groupBy(F.col("a").alias("fname")).agg(F.sum("c").alias("n")), "counts")), "ids")
+    words = bigrams.where("b IS NOT NULL").join(ids.select(F.col("fname").alias("a"), F.col("fid").alias("x")), "a").join(ids.select(F.col("fname").alias("b"), F.col("fid").alias("y")), "b")
     words = written(words.select("x", "y", "c", F.greatest("x", "y").alias("top")).sortWithinPartitions("top"), "words")  # sorted, so that a band reads its own pages
-    size, done = ids.count(), min(n, ids.count())
+    remove(spark, [f"{folder}/{name}" for name in ("bigrams", "counts")])
+    size = ids.count()
+    done = min(n, size)
     counts = np.zeros((done, done))
     joined = spark.range(1, done + 1).select(F.col("id").alias("fid"), (F.col("id") - 1).cast("int").alias("cluster"))
 

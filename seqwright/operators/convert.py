@@ -147,7 +147,11 @@ def feature_numbers(features: DataFrame) -> DataFrame:
     counts hold most features, so a count's features are dealt to 256 ranges by
     the first bytes of their name's order first.
     """
-    counts = features.groupBy("fname").agg(F.count("*").alias("n"))
+    return numbered(features.groupBy("fname").agg(F.count("*").alias("n")))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """:func:`feature_numbers` of features that are counted already (fname, n); counts are read twice."""
     range_of = F.conv(F.substring(F.rpad(F.hex("fname"), 2, "0"), 1, 2), 16, 10).cast("int")
     sized = counts.withColumn("part", range_of)
     per = sized.groupBy("n", "part").agg(F.count("*").alias("m"))

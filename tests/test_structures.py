@@ -113,3 +113,20 @@ def test_registered_clusters_hold_every_document_word(spark, tmp_path):
     found = catalogue.word_clusters(spark, str(tmp_path)).collect()
     assert sorted(r.tok for r in found) == sorted({w for t in text if t for w in t.split()})
     assert len({r.cluster for r in found}) == len({r.path for r in found}) <= 32
+
+
+def test_clusters_look_at_texts_once(spark, tmp_path):
+    """Tokens' counts come from the bigrams' own table, the last token's included; arrays give what rows of tokens give."""
+    texts = ["a b a b c a", "c", "", None, "b a c d d d e", "e a b"] * 3
+    docs = spark.createDataFrame([(d, t.split() if t is not None else None) for d, t in enumerate(texts)], "doc_id int, toks array<string>")
+    looks = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            looks.add(batch.num_rows)
+            yield batch
+
+    found = cluster.array_clusters(docs.mapInArrow(seen, docs.schema).select("toks"), 3)
+    assert sorted(r.tok for r in found.collect()) == ["a", "b", "c", "d", "e"] and looks.value == len(texts)
+    rows = spark.createDataFrame([(d, i, w) for d, t in enumerate(texts) for i, w in enumerate((t or "").split())], "doc_id int, pos int, tok string")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, cluster.clusters(rows, 3).collect()))
