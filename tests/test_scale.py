@@ -1,9 +1,11 @@
 """Steps that have to grow no faster than their input, seen in plans and in small rows."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, segments
+from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, segments, tokenize
 from seqwright.plans.catalogue import QUERIES
 from seqwright.sources import columns
 
@@ -108,3 +110,23 @@ def test_labels_meet_tokens_in_a_stated_number_of_tasks(spark):
     assert sorted(map(tuple, found.select("doc_id", "pos", "label", "begin").collect())) == sorted(map(tuple, convert.label_tokens(toks, spans).select("doc_id", "pos", "label", "begin").collect()))
     for name in ("page_labels", "token_labels"):  # no shuffle that is made smaller by what it writes
         assert all("REPARTITION_BY_NUM" in line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange hashpartitioning" in line), name
+
+
+def test_sentences_are_cut_without_windows(spark):
+    docs = spark.createDataFrame([("a", "x. y z w v\n! u"), ("b", None), ("c", ""), ("d", " one two?' three. "), ("e", "p q. r"), ("e", "s t."), ("f", ". . . ")], "doc_id string, text string")
+    found = tokenize.sentence_arrays(docs, 3)
+    assert "Window" not in plan(found)
+    old = tokenize.bounded(tokenize.sentences(tokenize.tokens(docs.where("doc_id <> 'e'"))), 3)
+    own = found.select("doc_id", "seq_id", F.posexplode("toks").alias("pos", "tok"))
+    assert sorted(map(tuple, own.where("doc_id <> 'e'").collect())) == sorted(map(tuple, old.select("doc_id", "seq_id", "pos", "tok").collect()))
+    assert sorted(map(tuple, own.where("doc_id = 'e'").collect())) == [("e", 0, 0, "p"), ("e", 0, 1, "s"), ("e", 0, 2, "q."), ("e", 1, 0, "t."), ("e", 2, 0, "r")]
+
+
+def test_totals_of_arcs_unfold_no_pairs(spark):
+    rng = random.Random(3)
+    toks = [(i, 0, [rng.choice(["a", "b|", "cc", "d"] + [f"w{k}" for k in range(60)]) for _ in range(rng.randrange(1, 30))]) for i in range(60)]
+    rows = arcs.rows(spark.createDataFrame(toks, "doc_id long, seq_id int, toks array<string>"), lambda t: {"tok": t, "pos": F.right(t, F.lit(1)), "pref": F.left(t, F.lit(1))})
+    assert "Generate" not in plan(arcs._counted_keys(rows, arcs.SETS, None))
+    for reach in (None, 4):
+        one = arcs.pairs(rows, reach=reach).select(F.inline(arcs.entries())).groupBy("n").agg(F.count("*").alias("m"), F.sum("v").cast("long"))
+        assert sorted(map(tuple, arcs.totals(rows, reach=reach).collect())) == sorted(map(tuple, one.collect()))
