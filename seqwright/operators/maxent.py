@@ -35,6 +35,11 @@ def class_scores(instances: DataFrame, params: DataFrame, classes: list[str]) ->
     table = params.groupBy("fname").agg(*[F.sum(F.when(F.col("cls") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(classes)])
     sums = [F.coalesce(F.sum(F.col("v") * F.col(f"w{i}")), F.lit(0.0)) for i in range(len(classes))]
     scored = rows.join(table, "fname", "left").groupBy("id").agg(F.array(*sums).alias("s"))
+    return chosen(scored, classes)
+
+
+def chosen(scored: DataFrame, classes: list[str]) -> DataFrame:
+    """id, label_pred and probs of rows (id, s: a score a class); the first class wins ties."""
     names = F.array(*map(F.lit, classes))
     return scored.withColumn("p", softmax(F.col("s"))).select("id", F.get(names, F.array_position("s", F.array_max("s")).cast("int") - 1).alias("label_pred"), F.map_from_arrays(names, "p").alias("probs"))
 
