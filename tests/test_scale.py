@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, segments, tokenize
+from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, parse, segments, tokenize
 from seqwright.plans.catalogue import QUERIES
 from seqwright.sources import columns
 
@@ -130,3 +130,21 @@ def test_totals_of_arcs_unfold_no_pairs(spark):
     for reach in (None, 4):
         one = arcs.pairs(rows, reach=reach).select(F.inline(arcs.entries())).groupBy("n").agg(F.count("*").alias("m"), F.sum("v").cast("long"))
         assert sorted(map(tuple, arcs.totals(rows, reach=reach).collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_forward_heads_are_those_of_all_arcs_without_a_row_an_arc(spark):
+    rng = random.Random(4)
+    kinds = ["a", "b", "b|", "|", "a|b", "cc", "ddd", ""] + [f"w{k}" for k in range(20)]
+    toks = [(f"d{i}", i % 3, [rng.choice(kinds) for _ in range(rng.randrange(1, 25))]) for i in range(80)]
+    sentences = spark.createDataFrame(toks, "doc_id string, seq_id int, toks array<string>")
+    tag = lambda t: F.least(F.char_length(t), F.lit(2))
+    found = arcs.forward_heads(sentences, tag)
+    words = arcs.rows(sentences, lambda t: {"tok": t, "pos": tag(t)})
+    near = arcs.features(words, ("basic",), reach=1, forward=True).where("gov = id - 1")
+    weights = near.select(F.explode(F.map_keys("feats")).alias("fname")).groupBy("fname").agg(F.count("*").cast("double").alias("w"))
+    want = parse.trees(arcs.weighed(arcs.features(words, ("basic",), forward=True), weights), projective=False, probable=False)
+    own = found.select("doc_id", "seq_id", F.posexplode("gov").alias("id", "gov")).withColumn("id", F.col("id") + 1)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.select("doc_id", "seq_id", "id", "gov").collect()))
+    assert arcs.forward_heads(sentences.limit(0), tag).count() == 0
+    for name in ("turn_trees", "turn_arc_labels"):  # before, pairs of words were rows of an aggregate by arc
+        assert not any("gov" in line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange" in line), name
