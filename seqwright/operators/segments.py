@@ -28,6 +28,22 @@ def candidates(toks: DataFrame, longest: int, *kept: str) -> DataFrame:
     return rows.select("doc_id", "seq_id", "pos", "s", tail["w"].alias("words"), tail["a"].alias("attrs"), *kept)
 
 
+def array_candidates(sequences: DataFrame, longest: int) -> DataFrame:
+    """doc_id, seq_id, pos, s, words and values (arrays, in order) of every segment of up to ``longest`` tokens of sequences (doc_id, seq_id, toks, values: of each token one), a row each.
+
+    No window: segments are slices of their sequence. Tokens and values are not null.
+    """
+    rows = sequences.select("doc_id", "seq_id", "toks", "values", F.posexplode("toks").alias("pos", "__t"))
+    rows = rows.select("doc_id", "seq_id", "toks", "values", "pos", F.explode(F.sequence(F.lit(0), F.least(F.col("pos"), F.lit(longest - 1)))).alias("s"))
+    part = lambda c: F.slice(c, F.col("pos") - F.col("s") + 1, F.col("s") + 1).alias("words" if c == "toks" else c)
+    return rows.select("doc_id", "seq_id", "pos", "s", part("toks"), part("values"))
+
+
+def value_phrase(values: Column) -> Column:
+    """:func:`attribute_phrase` of tokens that have one value each."""
+    return F.concat(F.lit("attrs=_"), F.array_join(F.reverse(values), "_"))
+
+
 def size_name(s: Column, *, edge: bool = False) -> Column:
     """The state or edge feature of a segment's size."""
     return F.concat(F.lit(":E::" if edge else ":U::"), s.cast("string"))

@@ -148,3 +148,13 @@ def test_forward_heads_are_those_of_all_arcs_without_a_row_an_arc(spark):
     assert arcs.forward_heads(sentences.limit(0), tag).count() == 0
     for name in ("turn_trees", "turn_arc_labels"):  # before, pairs of words were rows of an aggregate by arc
         assert not any("gov" in line for line in physical(QUERIES[name](spark, DATA)).splitlines() if "Exchange" in line), name
+
+
+def test_segments_of_sequences_are_cut_without_windows(spark):
+    sequences = spark.createDataFrame([(1, 0, list("abcde")), (1, 1, ["x"]), (2, 0, []), (3, 0, None), (4, 0, ["", "y z", "q"])], "doc_id long, seq_id int, toks array<string>")
+    found = segments.array_candidates(sequences.withColumn("values", F.transform("toks", lambda t: F.upper(t))), 3)
+    toks = sequences.select("doc_id", "seq_id", F.posexplode("toks").alias("pos", "tok")).withColumn("attrs", F.create_map(F.lit("p1"), F.upper("tok"), F.lit("q"), F.lit("no")))
+    old = segments.candidates(toks, 3)
+    key = ["doc_id", "seq_id", "pos", "s", segments.phrase(F.col("words"))]
+    assert sorted(map(tuple, found.select(*key, segments.value_phrase(F.col("values"))).collect())) == sorted(map(tuple, old.select(*key, segments.attribute_phrase(F.col("attrs"), "p")).collect()))
+    assert "Window" not in plan(QUERIES["segment_features"](spark, DATA))
