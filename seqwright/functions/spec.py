@@ -169,7 +169,7 @@ class Builder:
         """The binned distance to the nearest other token whose attribute has the value."""
         side = "left" if word == "distToLeft" else "right"
         own = context.nearest(self.rows, F.coalesce(F.try_element_at("attrs", F.lit(name)) == value, F.lit(False)))
-        bin_of = F.when(F.col(side) > 12, F.lit("MoreThan-12")).otherwise(F.concat(F.lit("Within-"), F.col(side).cast("string")))
+        bin_of = _bin_name(F.col(side))
         self.n += 1
         column = f"__f{self.n}"
         self.rows = own.withColumn(column, F.array(F.concat(F.lit(f"{name}:{value}{side.title()}"), bin_of))).drop("left", "right")
@@ -191,9 +191,56 @@ class Builder:
         return self.column(FUNCTIONS[word](*args))
 
 
+class ArrayBuilder(Builder):
+    """The same for tokens that carry their sequence's tokens and marks as arrays, so that what stands around a token is read by place. What needs a window can't be read."""
+
+    def __init__(self, toks: DataFrame, marks: dict[tuple[str, str], str]) -> None:
+        super().__init__(toks)
+        self.marks = marks
+
+    def _windowed(self) -> str:
+        own = super()._windowed() if self.items and self.items[0] == "(" else self._function()
+        if self.items and self.items[0] in ("over", "@", "@-", "within", "W", "W-", "ngram", "N-", "displaced"):
+            raise ValueError(f"{self.items[0]!r} needs a window: take a row a token and features()")
+        return own
+
+    def _near_company(self) -> str:
+        near = [F.coalesce(F.get("toks", F.col("pos") + o).isin(*CORPORATE), F.lit(False)) for o in (1, 2, 3)]
+        return self.column(F.when(F.col("tok").rlike("^\\p{Lu}") & (near[0] | near[1] | near[2]), F.array(F.lit("nearCorpAbbrev"))))
+
+    def _distance(self, word: str, name: str, value: str) -> str:
+        side = "Left" if word == "distToLeft" else "Right"
+        d = context.nearest_in(F.col(self.marks[name, value]), F.col(f"{self.marks[name, value]}_back"), F.col("pos"))[side == "Right"]
+        return self.column(F.array(F.concat(F.lit(f"{name}:{value}{side}"), _bin_name(d))))
+
+
+def _bin_name(d: Column) -> Column:
+    return F.when(d > 12, F.lit("MoreThan-12")).otherwise(F.concat(F.lit("Within-"), d.cast("string")))
+
+
+def array_features(sequences: DataFrame, spec: str, attrs: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, seq_id, pos, tok and the columns of :func:`features` for sequences (doc_id, seq_id, toks), a row each, without a window; ``attrs`` makes a token's attributes.
+
+    Functions of tokens, ``predicateFn``, ``cross``, distances and ``nearCorpAbbrev`` can be asked for, nothing over further places.
+    """
+    attrs = attrs or (lambda _: F.create_map().cast("map<string,string>"))
+    told = dict.fromkeys(re.findall(r"distTo(?:Left|Right)\s*\(\s*([\w.:-]+)\s*,\s*([\w.:-]+)\s*\)", spec))
+    marks = {own: f"__m{k}" for k, own in enumerate(told)}
+    is_mark = lambda name, value: F.transform("toks", lambda t: F.coalesce(F.try_element_at(attrs(t), F.lit(name)) == value, F.lit(False)))
+    rows = sequences.select("doc_id", "seq_id", "toks", *[is_mark(*own).alias(c) for own, c in marks.items()])
+    rows = rows.select("*", *[F.reverse(c).alias(f"{c}_back") for c in marks.values()])
+    # outer, or Spark would look at the texts' tokens once more for whether there are any
+    rows = rows.select("*", F.posexplode_outer("toks").alias("pos", "tok")).where("pos IS NOT NULL").withColumn("attrs", attrs(F.col("tok")))
+    return _items(ArrayBuilder(rows, marks), spec, ["doc_id", "seq_id", "pos", "tok"])
+
+
 def features(toks: DataFrame, spec: str) -> DataFrame:
     """``toks`` with an array column of features for each item of the specification, named by the item; comments run to the line's end."""
-    builder, kept = Builder(toks), {}
+    return _items(Builder(toks), spec, toks.columns)
+
+
+def _items(builder: Builder, spec: str, columns: list[str]) -> DataFrame:
+    kept = {}
     for item in re.split(r";\s*(?:\n|$|(?=\w[\w.:-]*\s+as\s))", re.sub(r"(?m)\s#.*$|^#.*$", "", spec)):
         if not item.strip():
             continue
@@ -201,7 +248,7 @@ def features(toks: DataFrame, spec: str) -> DataFrame:
         if not found:
             raise ValueError(f"no expression in {item!r}")
         kept[name.strip()] = builder.expression(re.sub(r"\s(TRANSITION|NEURAL|MULTI)\s*$", "", body))
-    return builder.rows.select(*toks.columns, *[F.col(c).alias(name) for name, c in kept.items()])
+    return builder.rows.select(*columns, *[F.col(c).alias(name) for name, c in kept.items()])
 
 
 def edge_names(spec: str) -> list[str]:

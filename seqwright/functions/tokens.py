@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ def matching(tok: Column, name: str, pattern: str) -> Column:
 
 def shape(tok: Column) -> Column:
     """X, x or d for each upper-case letter, lower-case letter or digit; other characters stay."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(tok, "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
+    any_other = F.regexp_replace(F.regexp_replace(F.regexp_replace(tok, "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
+    # ASCII needs no regular expressions
+    return F.when(F.octet_length(tok) == F.char_length(tok), F.translate(tok, ascii_letters + digits, "x" * 26 + "X" * 26 + "d" * 10)).otherwise(any_other)
 
 
 def _each(tok: Column, n: int, from_n: Column, body) -> Column:
@@ -30,14 +34,21 @@ def _each(tok: Column, n: int, from_n: Column, body) -> Column:
     return F.transform(counts, body)
 
 
+def _down(tok: Column, n: int, body) -> Column:
+    """``body`` of n to 1, nothing for a shorter token; written out where n is small, as lambdas aren't compiled."""
+    if n > 8:
+        return _each(tok, n, F.lit(n), body)
+    return F.when(F.char_length(tok) >= n, F.array(*[body(F.lit(i)) for i in range(n, 0, -1)])).otherwise(F.array().cast("array<string>"))
+
+
 def prefixes(tok: Column, n: int) -> Column:
     """``PREF:`` and the first n to 1 characters; nothing for a shorter token."""
-    return _each(tok, n, F.lit(n), lambda i: F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), i)))
+    return _down(tok, n, lambda i: F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), i)))
 
 
 def suffixes(tok: Column, n: int) -> Column:
     """``SUF:`` and the last n to 1 characters; nothing for a shorter token."""
-    return _each(tok, n, F.lit(n), lambda i: F.concat(F.lit("SUF:"), F.right(tok, i)))
+    return _down(tok, n, lambda i: F.concat(F.lit("SUF:"), F.right(tok, i)))
 
 
 def without_prefixes(tok: Column, n: int) -> Column:
@@ -49,7 +60,7 @@ def without_prefixes(tok: Column, n: int) -> Column:
 def without_suffixes(tok: Column, n: int) -> Column:
     """``PREF:`` and what is left after dropping n to 1 trailing characters; for a token of length n the first is ``SUF:`` and all of it."""
     left = lambda i: F.char_length(tok) - i
-    return _each(tok, n, F.lit(n), lambda i: F.when(left(i) == 0, F.concat(F.lit("SUF:"), tok)).otherwise(F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), left(i)))))
+    return _down(tok, n, lambda i: F.when(left(i) == 0, F.concat(F.lit("SUF:"), tok)).otherwise(F.concat(F.lit("PREF:"), F.substring(tok, F.lit(1), left(i)))))
 
 
 def leading_grams(tok: Column, n: int, r: int) -> Column:

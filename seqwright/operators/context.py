@@ -55,6 +55,19 @@ def displaced(toks: DataFrame, value: Column) -> DataFrame:
     return toks.withColumn("earlier", F.array_sort(F.collect_set(value).over(same)))
 
 
+def binned(d: Column) -> Column:
+    return F.when(d <= 5, d).when(d <= 7, 7).when(d <= 9, 9).when(d <= 12, 12).otherwise(13)
+
+
+def nearest_in(marks: Column, backward: Column, pos: Column) -> tuple[Column, Column]:
+    """left and right of :func:`nearest` for the token at ``pos`` of a sequence whose marks are an array, given ``backward`` too: what lies more than 12 places off is all one."""
+    before = F.array_position(F.slice(backward, F.size(backward) - pos + 1, 12), True)
+    after = F.array_position(F.slice(marks, pos + 2, 12), True)
+    left = F.when(before > 0, before).otherwise(F.least(pos, F.lit(13)))
+    right = F.when(after > 0, after).otherwise(F.least(F.size(marks) - 1 - pos, F.lit(13)))
+    return binned(left.cast("int")), binned(right.cast("int"))
+
+
 def nearest(toks: DataFrame, is_mark: Column) -> DataFrame:
     """``toks`` with left and right: binned distance to the nearest other marked token on either side, or to the sequence's edge.
 
@@ -67,8 +80,4 @@ def nearest(toks: DataFrame, is_mark: Column) -> DataFrame:
     after = F.last(F.when(is_mark, F.col("pos")), True).over(backward)
     left = F.col("pos") - F.coalesce(before, F.min("pos").over(whole))
     right = F.coalesce(after, F.max("pos").over(whole)) - F.col("pos")
-
-    def binned(d: Column) -> Column:
-        return F.when(d <= 5, d).when(d <= 7, 7).when(d <= 9, 9).when(d <= 12, 12).otherwise(13)
-
     return toks.withColumns({"left": binned(left), "right": binned(right)})

@@ -33,8 +33,9 @@ def array_candidates(sequences: DataFrame, longest: int) -> DataFrame:
 
     No window: segments are slices of their sequence. Tokens and values are not null.
     """
-    rows = sequences.select("doc_id", "seq_id", "toks", "values", F.posexplode("toks").alias("pos", "__t"))
-    rows = rows.select("doc_id", "seq_id", "toks", "values", "pos", F.explode(F.sequence(F.lit(0), F.least(F.col("pos"), F.lit(longest - 1)))).alias("s"))
+    # outer, or Spark would make the arrays once more for whether they are empty
+    rows = sequences.select("doc_id", "seq_id", "toks", "values", F.posexplode_outer("toks").alias("pos", "__t")).where("pos IS NOT NULL")
+    rows = rows.select("doc_id", "seq_id", "toks", "values", "pos", F.explode_outer(F.sequence(F.lit(0), F.least(F.col("pos"), F.lit(longest - 1)))).alias("s"))
     part = lambda c: F.slice(c, F.col("pos") - F.col("s") + 1, F.col("s") + 1).alias("words" if c == "toks" else c)
     return rows.select("doc_id", "seq_id", "pos", "s", part("toks"), part("values"))
 

@@ -3,8 +3,10 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from seqwright.functions import spec
 from seqwright.operators import arcs, context, convert, dialog, evaluate, lexer, parse, segments, tokenize
 from seqwright.plans.catalogue import QUERIES
 from seqwright.sources import columns
@@ -158,3 +160,20 @@ def test_segments_of_sequences_are_cut_without_windows(spark):
     key = ["doc_id", "seq_id", "pos", "s", segments.phrase(F.col("words"))]
     assert sorted(map(tuple, found.select(*key, segments.value_phrase(F.col("values"))).collect())) == sorted(map(tuple, old.select(*key, segments.attribute_phrase(F.col("attrs"), "p")).collect()))
     assert "Window" not in plan(QUERIES["segment_features"](spark, DATA))
+
+
+def test_features_of_sequences_equal_those_of_windows(spark):
+    rng = random.Random(6)
+    kinds = ["Ab", "x.", "Inc.", "Co", "ÉéZ9٣", "a", "", "Long", "w-1", "ǅß"]
+    toks = [(i, i % 2, [rng.choice(kinds if i % 3 else ["a", "Ab", "b"] * 9 + ["x."]) for _ in range(rng.randrange(45))]) for i in range(40)] + [(99, 0, None)]
+    sequences = spark.createDataFrame(toks, "doc_id long, seq_id int, toks array<string>")
+    attrs = lambda t: F.create_map(F.lit("end"), F.when(t.rlike("[.]$"), "yes"))
+    text = "cut as antiSuffixFn(2);\npre as prefixFn(9) cross wdShape;\nleft as distToLeft(end,yes);\nright as distToRight(end, yes);\ncompany as nearCorpAbbrev;\nmany as predicateFn(Long, suffixFn(3));"
+    found = spec.array_features(sequences, text, attrs)
+    rows = sequences.select("doc_id", "seq_id", F.posexplode("toks").alias("pos", "tok")).withColumn("attrs", attrs(F.col("tok")))
+    want = spec.features(rows, text).drop("attrs")
+    assert "Window" not in plan(found) and "Window" not in plan(QUERIES["shape_features"](spark, DATA))
+    assert sorted(map(repr, found.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert {r.tok: r.s for r in rows.select("tok", spec.T.shape(F.col("tok")).alias("s")).collect()}["ÉéZ9٣"] == "XxXdd"
+    with pytest.raises(ValueError):
+        spec.array_features(sequences, "a as wdFn over (0, 1);")
